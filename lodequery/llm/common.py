@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Used where the session has no spark.checkpoint.dir, as in tests.
 OWN_CHECKPOINT_DIR = "/tmp/checkpoints/lodequery"
@@ -76,3 +78,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
 
 def broadcast_value(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
+
+
+def with_struct(docs: DataFrame, into: str, fields: str, make: Callable[[], Callable[[list], Iterable[list]]], text: str = "text") -> DataFrame:
+    """docs with a struct column `into` computed from one text column in Arrow batches; all other columns pass through.
+
+    make() runs once in each task and returns what turns a list of texts (None for null) into lists, one for each field.
+    """
+    schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, T.StructType.fromDDL(fields))])
+    kinds = to_arrow_schema(T.StructType.fromDDL(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in slices(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            made = [pa.array(x, type=f.type) for x, f in zip(compute(texts), kinds, strict=True)]
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != into]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.StructArray.from_arrays(made, fields=list(kinds))], names=[n for n, _ in kept] + [into])
+
+    return docs.mapInArrow(run, schema)

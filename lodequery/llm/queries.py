@@ -3,16 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pii
-from .common import table
+from . import langid, pii, quality
+from .common import fold, table, written
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures are written once, without texts: the estimate and the verdicts both read them."""
+    measured = written(quality.with_measures(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__quality"), "quality")
+    model = quality.fit(measured)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return measured.select("doc_id", *(F.col("__quality")[n].alias(n) for n in names), quality.kept(model).alias("kept"), quality.p_good(model).alias("p_good"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.with_language(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "__language.lang_pred", "__language.score")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_language_id": op6_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
