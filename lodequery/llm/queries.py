@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, pii, quality
+from . import bpe, chat, covertree, hmm, langid, minhash, packing, pii, quality, warc
 from .common import fold, table, written
 
 
@@ -35,11 +35,37 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__bpe.*")
 
 
+def op4_embedding_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_embedding_cover_tree": op4_embedding_cover_tree,
+    "op5_minhash": op5_minhash,
     "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
+    "op8_chat_perspectives": op8_chat_perspectives,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_hmm": op10_hmm,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat_perspectives": chat.SQL}
