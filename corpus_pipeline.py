@@ -1,8 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from documents to packed training sequences in five stages.
 
-STAGES = []
+A stage is (name, function of (spark, docs, sf_dir)). Its result is written as Parquet and read again as the next one's
+docs; all but the last return the columns of docs, whatever these are besides doc_id, text, lang and n_chars.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodequery.llm import langid, minhash, packing, pii, quality
+from lodequery.llm.common import table, written
+
+#: The least posterior probability of the predicted language.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that pass the base rules and are good with a posterior probability of at least one half."""
+    measured = quality.with_measures(docs)
+    return measured.where(quality.kept(quality.fit(measured))).select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is found with enough certainty; a null lang becomes the language found."""
+    found = langid.with_language(docs, langid.fit(docs)).where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, the one with the smallest id."""
+    return minhash.one_of_each(docs).select(docs.columns)
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by labels; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the pieces of each document stand in the packed sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("pii", pii_redaction),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Language identification and packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
