@@ -3,12 +3,12 @@
 1. Every text becomes its set of shingle hashes and HASHES minima over it. The set's digest, the low BITS bits of the
    minima packed into words, and a hash for each band of ROWS minima are written; sets and texts are not.
 2. Texts with equal sets are one class. Band buckets with two classes or more propose pairs.
-3. In each of the first rounds a class is paired with one leader of its buckets: the one that the packed signatures hold
-   most similar. Pairs whose estimate, corrected for chance agreement of the low bits, is too low for the threshold are
+3. In each of the first rounds a class is paired with one leader of its buckets (from the second round on, buckets choose
+   theirs at random): the one that the packed signatures hold most similar. Pairs whose estimate, corrected for chance agreement of the low bits, is too low for the threshold are
    dropped; the others are confirmed on full sets, which are made again for these few documents only.
 4. Buckets whose classes are all connected by now need no more pairs, which settles large groups of near copies with a
    number of pairs in proportion to their size. In what remains, every pair of a bucket that isn't connected yet and
-   passes the estimate is confirmed, each once.
+   passes the estimate, and then a closer one by WIDE minima of these few documents, is confirmed, each once.
 """
 
 from __future__ import annotations
@@ -30,15 +30,22 @@ HASHES = ROWS * BANDS
 PACKED = -(-HASHES * BITS // 64)
 #: Leaves out pairs of at least the threshold with a probability of about 1e-5 (4 standard deviations).
 MIN_ESTIMATE = 0.62
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
+#: Minima of the closer estimate, and its bound (4 standard deviations again).
+WIDE, MIN_WIDE = 1024, 0.693
 #: Ids up to which the list of documents whose sets are needed is broadcast (16 MB).
 BROADCAST_IDS = 1_000_000
 #: Word hashes that a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_A = _RNG.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, HASHES, np.uint64)
+
+
+def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+
+
+_BANDED, _WIDE = _functions(HASHES, 20240229), _functions(WIDE, 20240301)
 _STEP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -70,20 +77,22 @@ def shingles(text: str | None, memo: dict) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def minima(hashes: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = _BANDED) -> np.ndarray:
+    a, b = functions
+    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 512):
-        block = np.multiply.outer(_A, hashes[i : i + 512])
-        block += _B[:, None]
+        block = np.multiply.outer(a, hashes[i : i + 512])
+        block += b[:, None]
         np.minimum(out, block.min(axis=1), out=out)
     return out
 
 
 def pack(least: np.ndarray) -> np.ndarray:
     """The low BITS bits of the minima, 64 // BITS in a word."""
-    low = np.zeros(PACKED * (64 // BITS), np.uint64)
-    low[:HASHES] = least & np.uint64((1 << BITS) - 1)
-    return np.bitwise_or.reduce(low.reshape(PACKED, -1) << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1)
+    words = -(-len(least) * BITS // 64)
+    low = np.zeros(words * (64 // BITS), np.uint64)
+    low[: len(least)] = least & np.uint64((1 << BITS) - 1)
+    return np.bitwise_or.reduce(low.reshape(words, -1) << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1)
 
 
 def bands(least: np.ndarray) -> np.ndarray:
@@ -137,23 +146,42 @@ def sets_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, hashes array<long>").distinct()
 
 
-def mismatches(a: str, b: str) -> Column:
-    """How many of the packed low bits' groups differ: XOR, each group folded onto its lowest bit, bits counted."""
+def wide_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, d1, d2, packed wide signature)."""
+
+    def run(batches):
+        memo = _Memo()
+        for batch in slices(batches, "text", 4 << 20):
+            found = [shingles(t, memo) for t in batch.column(1).to_pylist()]
+            d = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in found])
+            packed = np.concatenate([pack(minima(s, _WIDE)) for s in found]).view(np.int64)
+            width = len(packed) // len(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(packed) + 1, width, dtype=np.int32)), pa.array(packed))], names=["key", "d1", "d2", "wide"])
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, d1 long, d2 long, wide array<long>")
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """In how many of its groups of BITS bits a packed word differs: XOR, each group folded onto its lowest bit, bits counted."""
     lowest = sum(1 << i for i in range(0, 64, BITS))
     lowest -= (1 << 64) if lowest >> 63 else 0
+    odd = x.bitwiseXOR(y)
+    folded = reduce(Column.bitwiseOR, (F.shiftrightunsigned(odd, k) for k in range(1, BITS)), odd)
+    return F.bit_count(folded.bitwiseAND(F.lit(lowest)))
 
-    def word(i: int) -> Column:
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
-        folded = reduce(Column.bitwiseOR, (F.shiftrightunsigned(x, k) for k in range(1, BITS)), x)
-        return F.bit_count(folded.bitwiseAND(F.lit(lowest)))
 
-    return reduce(Column.__add__, map(word, range(PACKED)))
+def _corrected(mismatches: Column, n: int) -> Column:
+    """Similarity from the agreement of low bits, less the agreement that chance alone gives."""
+    chance = 2.0**-BITS
+    return ((n - mismatches) / n - chance) / (1 - chance)
 
 
 def estimate(a: str, b: str) -> Column:
-    """Similarity from the agreement of low bits, less the agreement that chance alone gives."""
-    chance = 2.0**-BITS
-    return ((HASHES - mismatches(a, b)) / HASHES - chance) / (1 - chance)
+    return _corrected(reduce(Column.__add__, (_differ(F.col(f"{a}.s{i}"), F.col(f"{b}.s{i}")) for i in range(PACKED))), HASHES)
+
+
+def wide_estimate(a: str, b: str) -> Column:
+    return _corrected(F.aggregate(F.zip_with(a, b, _differ), F.lit(0), lambda acc, x: acc + x), WIDE)
 
 
 def may_link(a: str, b: str) -> Column:
@@ -187,7 +215,7 @@ def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "t
     for step in range(LEADER_ROUNDS):
         if step:
             open_ = _open_members(members, component)
-            lead = open_.groupBy("band").agg(F.min_by(F.struct("rep", "c"), F.struct(F.xxhash64("rep", F.lit(step)), "rep")).alias("l"))
+            lead = open_.groupBy("band").agg(F.min_by(F.struct("rep", "c"), F.struct(F.xxhash64("band", "rep", F.lit(step)), "rep")).alias("l"))
             proposed = open_.join(lead, "band").where("c != l.c").select("rep", F.col("l.rep").alias("lead"))
         else:
             proposed = members.select("rep", "lead")
@@ -198,11 +226,14 @@ def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "t
         pairs = written(scored.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("e", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "pairs")
         links, tested = _plus(links, written(_confirmed(pairs, docs, key, text), "confirmed")), _plus(tested, pairs)
         component = written(connected(links), "components")
-    rest = _open_members(members, component).join(classes.select(F.col("rep").alias("r"), "s", "bands"), F.col("rep") == F.col("r")).select("band", "rep", "c", "s", "bands")
-    rest = written(rest, "open")
+    open_ = written(_open_members(members, component), "open")
+    asked = classes.join(open_.select("rep").distinct(), "rep", "left_semi").select("d1", "d2", F.col("rep").alias("r"), "s", "bands")
+    texts = docs.join(small(open_.select(F.col("rep").alias("id")).distinct(), BROADCAST_IDS), F.col(key) == F.col("id"), "left_semi")
+    known = asked.join(wide_of(texts, key, text).dropDuplicates(["key", "d1", "d2"]), ["d1", "d2"]).where("key = r").select("r", "s", "bands", "wide")
+    rest = written(open_.join(known, F.col("rep") == F.col("r")).select("band", "rep", "c", "s", "bands", "wide"), "rest")
     x, y = rest.select(*(F.col(c).alias(f"x{c}") for c in rest.columns)), rest.select(*(F.col(c).alias(f"y{c}") for c in rest.columns))
     once = F.col("xband") == F.array_min(F.array_intersect("xbands", "ybands"))
-    left = x.join(y, (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & (F.col("xc") != F.col("yc")) & may_link("xs", "ys") & once)
+    left = x.join(y, (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & (F.col("xc") != F.col("yc")) & may_link("xs", "ys") & once & (wide_estimate("xwide", "ywide") >= MIN_WIDE))
     pairs = written(left.select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).join(tested, ["a", "b"], "left_anti"), "pairs")
     links = _plus(links, written(_confirmed(pairs, docs, key, text), "confirmed"))
     component = written(connected(links), "components")

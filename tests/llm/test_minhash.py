@@ -86,6 +86,9 @@ def test_estimate_is_corrected_for_chance(spark):
     import pyspark.sql.functions as F
 
     df = spark.createDataFrame(rows, "k int, share double, x array<long>, y array<long>")
+    wide = [(k, share, *(minhash.pack(minhash.minima(np.concatenate([common[: (n := round(4000 * share / (1 + share)))], rng.integers(0, 1 << 63, 2000 - n, np.uint64)]), minhash._WIDE)).view(np.int64).tolist() for _ in "ab")) for k, share in enumerate((0.0, 0.5, 0.75, 1.0))]
+    for r in spark.createDataFrame(wide, "k int, share double, x array<long>, y array<long>").select("share", minhash.wide_estimate("x", "y").alias("e")).collect():
+        assert abs(r.e - r.share) < 0.06
     for s in "xy":
         df = df.withColumn(s, F.struct(*(F.col(s)[i].alias(f"s{i}") for i in range(minhash.PACKED))))
     for r in df.select("share", minhash.estimate("x", "y").alias("e")).collect():
