@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,18 +183,16 @@ def external_means(samples: DataFrame, metrics: dict[str, Callable[[dict], float
     """Means of injected per-sample metrics; a metric that fails on a sample counts as NaN there, no samples give 0."""
     names = list(metrics)
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for sample in f.to_dict("records"):
-                got = []
-                for m in names:
-                    try:
-                        got.append(float(metrics[m](sample)))
-                    except Exception:
-                        got.append(float("nan"))
-                rows.append(got)
-            yield pd.DataFrame(rows, columns=names)
-
-    scored = samples.mapInPandas(run, ", ".join(f"`{n}` double" for n in names))
+    def value(name: str, sample: dict) -> float:
+        try:
+            return float(metrics[name](sample))
+        except Exception:
+            return float("nan")
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([value(n, r) for r in rows], pa.float64()) for n in names], names=names)
+
+    scored = samples.mapInArrow(run, ", ".join(f"`{n}` double" for n in names))
     return scored.agg(*(F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names))

@@ -93,6 +93,7 @@ def crag(hits: DataFrame, queries: DataFrame, alpha: float = 0.7, covered_from:
     """
     effective = rules.effective_score(F.col("rerank_score"), F.col("score"))
     means = hits.groupBy("query_id").agg(F.coalesce(F.avg("rerank_score"), F.avg("score")).alias("relevance"), F.avg((effective >= covered_from).cast("double")).alias("coverage"), F.count("*").alias("hits"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha * F.col("relevance") + (1 - alpha) * F.col("coverage")))
+    mixed = alpha * F.col("relevance") + (1 - alpha) * F.col("coverage")
+    score = F.when(mixed.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)))
     filled = queries.select("query_id").join(means, "query_id", "left").withColumn("score", F.round(F.coalesce(score, F.lit(0.0)), 6))
     return filled.select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.round(F.coalesce("relevance", F.lit(0.0)), 6).alias("relevance"), F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"), "score", rules.decision(F.col("score"), use, rewrite).alias("decision"))

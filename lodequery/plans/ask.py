@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import answers as A
 from ..operators import fusion, search
+from ..tables import written
 
 #: What finds hits: (queries, k) -> hits with content. What writes answers: queries with evidence -> column.
 Retriever = Callable[[DataFrame, int], DataFrame]
@@ -56,8 +57,9 @@ class Engine:
         open_, final, decisions, audit, all_hits, rewrites = questions.select("query_id", "text"), None, None, None, None, None
         for n in range(self.max_rewrites + 1):
             hits, fused, _ = self.retrieve(open_, k)
+            fused = written(fused, "fused")
             judged = fusion.crag(fused, open_, use=self.use, rewrite=self.rewrite_from)
-            gated = judged.withColumn("decision", rules.decision_gated(F.col("decision"), F.lit(n), self.max_rewrites)).withColumn("rewrites", F.lit(n))
+            gated = written(judged.withColumn("decision", rules.decision_gated(F.col("decision"), F.lit(n), self.max_rewrites)).withColumn("rewrites", F.lit(n)), "judged")
             done = gated.where("decision != 'rewrite'")
             mine = fused.join(done.select("query_id"), "query_id", "left_semi")
             steps = open_.select("query_id").withColumn("node", F.explode(F.array(*map(F.lit, ("planner", "retriever", "evaluator") if n == 0 else ("rewriter", "retriever", "evaluator"))))).withColumn("round", F.lit(n))
@@ -65,19 +67,20 @@ class Engine:
             final, decisions, audit, all_hits = union(final, mine), union(decisions, done), union(audit, steps), union(all_hits, hits.withColumn("round", F.lit(n)))
             if n < self.max_rewrites:
                 again = gated.where("decision = 'rewrite'").select("query_id")
-                open_ = open_.join(again, "query_id", "left_semi").withColumn("text", self.rewriter(F.col("text"), n + 1))
+                open_ = written(open_.join(again, "query_id", "left_semi").withColumn("text", self.rewriter(F.col("text"), n + 1)), "open")
                 rewrites = union(rewrites, open_.select("query_id", F.col("text").alias("rewrite"), F.lit(n + 1).alias("seq")))
         shown = rules.shown_score(F.col("rerank_score"), F.col("score"))
         line = rules.evidence_line(F.col("rank"), F.col("route"), shown, F.coalesce("content", F.lit("")))
         evidence = final.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n\n").alias("evidence"), F.count("*").alias("n"))
         base = questions.join(decisions.select("query_id", "score", "decision", "rewrites"), "query_id").join(evidence, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("(no evidence)"))).withColumn("n", F.coalesce("n", F.lit(0)))
         skeleton = F.concat(F.lit("[skeleton] Based on "), F.col("n").cast("string"), F.lit(" evidence chunks, the answer to '"), F.col("text"), F.lit("' would be synthesized here."))
-        written = self.generator(base) if self.generator else skeleton
-        said = base.withColumn("answer", F.when(F.col("decision") == "use", written).otherwise(rules.fallback_answer(F.col("text"), F.col("score"), F.col("rewrites"))))
+        composed = self.generator(base) if self.generator else skeleton
+        said = base.withColumn("answer", F.when(F.col("decision") == "use", composed).otherwise(rules.fallback_answer(F.col("text"), F.col("score"), F.col("rewrites"))))
         used = said.where("decision = 'use'")
         citations = final.join(used.select("query_id"), "query_id", "left_semi").select("query_id", F.col("rank").alias("pos"), F.coalesce("chunk_id", F.col("rank").cast("string")).alias("chunk_id"), F.substring(F.coalesce("content", F.lit("")), 1, 120).alias("span"), shown.alias("confidence"))
-        cited = A.audited(used.select("query_id", "answer"), final)
-        claims = A.heuristic_claims(used.select("query_id", "answer"), cited, final.select("query_id", "chunk_id", "content"))
+        used = written(used, "answers")
+        cited = written(A.audited(used.select("query_id", "answer"), final), "cited")
+        claims = written(A.heuristic_claims(used.select("query_id", "answer"), cited, final.select("query_id", "chunk_id", "content")), "claims")
         verdicts = A.verdicts(used, claims, cited).unionByName(said.where("decision != 'use'").select("query_id", F.lit("warn").alias("auditor_verdict"), F.lit("warn").alias("verdict"), F.lit(0).cast("long").alias("claims"), F.lit(0).cast("long").alias("unsupported")))
         tail = said.select("query_id", F.explode(F.when(F.col("decision") == "use", F.array(F.lit("generator"), F.lit("auditor"))).otherwise(F.array(F.lit("fallback")))).alias("node"), F.col("rewrites").alias("round"))
         return {"answers": said.select("query_id", "answer", "score", "decision", "rewrites"), "citations": citations, "cited": cited, "claims": claims, "verdicts": verdicts, "audit": audit.unionByName(tail), "hits": all_hits, "fused": final, "rewrites": rewrites}

@@ -189,7 +189,7 @@ def text_functions(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tokens.folded_tokens(t)).alias("folded"), F.size(tokens.blank_split(t)).alias("split"), F.size(tokens.claim_tokens(t)).alias("claim"), F.size(tokens.bench_tokens(t)).alias("bench"), tokens.token_estimate(t).alias("estimate"), tokens.script_language(t).alias("script"), keys.fingerprint(t).alias("fingerprint"), keys.content_key(t).alias("content_key"), F.substring(t, 1, 200).alias("head"), F.size(tokens.query_entities(t)).alias("entities"))
 
 
-@query("""WITH b AS (SELECT doc_id, list_transform(range(0, 16), lambda i: CAST(('0x' || substr(md5(text), CAST(2 * i + 1 AS BIGINT), 2)) AS DOUBLE)) AS v FROM documents),
+@query("""WITH b AS (SELECT doc_id, list_transform(range(0, 16), lambda i: CAST(CAST('0x' || substr(md5(text), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS DOUBLE)) AS v FROM documents),
 n AS (SELECT doc_id, v, sqrt(32 * list_dot_product(v, v)) AS n FROM b) SELECT doc_id, 512 AS dims, round(v[1] / n, 6) AS e1, round(v[16] / n, 6) AS e512, round(list_sum(v) * 32 / n, 6) AS total FROM n""")
 def hash_embedding(spark, d):
     v = table(spark, d, "documents").select("doc_id", keys.hash_embedding(F.col("text")).alias("v"))
@@ -306,7 +306,7 @@ def rerank(spark, d):
 
 
 @query(f"""WITH {S_HITS}, {S_RERANK}, m AS (SELECT query_id, avg(rerank_score) AS relevance, avg(CASE WHEN rerank_score >= 0.5 THEN 1.0 ELSE 0 END) AS coverage, count(*) AS hits FROM reranked GROUP BY 1),
-s AS (SELECT item_id AS query_id, coalesce(hits, 0) AS hits, round(coalesce(relevance, 0), 6) AS relevance, round(coalesce(coverage, 0), 6) AS coverage, round(coalesce(greatest(0, least(1, 0.7 * relevance + 0.3 * coverage)), 0), 6) AS score FROM benchmark LEFT JOIN m ON item_id = query_id)
+s AS (SELECT item_id AS query_id, coalesce(hits, 0) AS hits, round(coalesce(relevance, 0), 6) AS relevance, round(coalesce(coverage, 0), 6) AS coverage, round(CASE WHEN relevance IS NULL THEN 0 ELSE greatest(0, least(1, 0.7 * relevance + 0.3 * coverage)) END, 6) AS score FROM benchmark LEFT JOIN m ON item_id = query_id)
 SELECT *, CASE WHEN score >= 0.7 THEN 'use' WHEN score >= 0.3 THEN 'rewrite' ELSE 'fallback' END AS decision FROM s""")
 def crag_scores(spark, d):
     return fusion.crag(reranked_hits(spark, d), benchmark_queries(spark, d))
@@ -454,9 +454,9 @@ def star_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.withColumn("edge_id", F.concat_ws("|", "source", "type", "target"))
 
 
-S_TRAILS = """t1 AS (SELECT name AS start, v AS fin, 1 AS depth, [u, v] AS nodes, [type] AS rels, [e] AS es FROM starts JOIN both_ways ON name = u),
-t2 AS (SELECT start, v, 2, list_append(nodes, v), list_append(rels, type), list_append(es, e) FROM t1 JOIN both_ways ON fin = u WHERE NOT list_contains(es, e)),
-t3 AS (SELECT start, v, 3, list_append(nodes, v), list_append(rels, type), list_append(es, e) FROM t2(start, fin, depth, nodes, rels, es) JOIN both_ways ON fin = u WHERE NOT list_contains(es, e))"""
+S_TRAILS = """t1(start, fin, depth, nodes, rels, es) AS (SELECT name, v, 1, [u, v], [type], [e] FROM starts JOIN both_ways ON name = u),
+t2(start, fin, depth, nodes, rels, es) AS (SELECT start, v, 2, list_append(nodes, v), list_append(rels, type), list_append(es, e) FROM t1 JOIN both_ways ON fin = u WHERE NOT list_contains(es, e)),
+t3(start, fin, depth, nodes, rels, es) AS (SELECT start, v, 3, list_append(nodes, v), list_append(rels, type), list_append(es, e) FROM t2 JOIN both_ways ON fin = u WHERE NOT list_contains(es, e))"""
 S_NEAR = """near AS (SELECT start, fin AS name, min(depth) AS distance FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) GROUP BY 1, 2),
 neighbours AS (SELECT start, name, type, distance FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY distance, name) AS rn FROM near) JOIN nodes USING (name) WHERE rn <= 50)"""
 
@@ -468,7 +468,7 @@ def graph_upsert(spark, d):
     return graph.upserted_nodes(None, new).select("name", "type", "confidence", F.col("properties")["kind"].alias("kind"), F.col("properties")["size"].alias("size"))
 
 
-@query(f"WITH {S_GRAPH} SELECT 'entity' AS what, type, count(*) AS rows FROM nodes GROUP BY 2 UNION ALL SELECT 'relation', CASE type WHEN 'BELONGS_TO' THEN type WHEN 'PART_OF' THEN type ELSE 'RELATED_TO' END, count(*) FROM edges e JOIN nodes a ON a.name = source JOIN nodes b ON b.name = target GROUP BY 2".replace("a ON a.name", "(SELECT name FROM nodes) a ON a.name").replace("JOIN nodes (", "JOIN (").replace("b ON b.name", "(SELECT name FROM nodes) b ON b.name"))
+@query(f"WITH {S_GRAPH} SELECT 'entity' AS what, type, count(*) AS rows FROM nodes GROUP BY 2 UNION ALL SELECT 'relation', e.type, count(*) FROM edges e JOIN nodes a ON a.name = source JOIN nodes b ON b.name = target GROUP BY 2")
 def graph_upsert_counts(spark, d):
     nodes, edges = star_graph(spark, d)
     return graph.upsert_counts(nodes, edges)
@@ -484,7 +484,7 @@ def graph_stats(spark, d):
     return graph.stats(*star_graph(spark, d))
 
 
-@query(f"WITH {S_GRAPH}, starts AS (SELECT n_name AS name FROM nation), {S_TRAILS}, {S_NEAR} SELECT * FROM neighbours".replace("t3 AS (SELECT start, v, 3, list_append(nodes, v), list_append(rels, type), list_append(es, e) FROM t2(start, fin, depth, nodes, rels, es) JOIN both_ways ON fin = u WHERE NOT list_contains(es, e))", "t3 AS (SELECT 1)"))
+@query(f"WITH {S_GRAPH}, starts AS (SELECT n_name AS name FROM nation), {S_TRAILS}, {S_NEAR} SELECT * FROM neighbours")
 def graph_neighbours(spark, d):
     nodes, edges = star_graph(spark, d)
     return graph.neighbours(nodes, edges, table(spark, d, "nation").select(F.col("n_name").alias("name")))
@@ -534,12 +534,12 @@ def shown_nodes(spark, d) -> tuple[DataFrame, DataFrame]:
     return graph.exported_nodes(full, edges), edges
 
 
-@query(f"WITH {S_GRAPH}, {S_DEGREE} SELECT name AS id, name AS label, type, degree, 0.8 AS confidence, 'entity:' || name AS source FROM shown")
+@query(f"WITH {S_GRAPH}, {S_DEGREE} SELECT name AS id, name AS label, type, degree, CAST(0.8 AS DOUBLE) AS confidence, 'entity:' || name AS source FROM shown")
 def graph_export_nodes(spark, d):
     return shown_nodes(spark, d)[0]
 
 
-@query(f"WITH {S_GRAPH}, {S_DEGREE} SELECT source, target, type AS relation, 0.5 AS weight FROM edges WHERE source IN (SELECT name FROM shown) AND target IN (SELECT name FROM shown)")
+@query(f"WITH {S_GRAPH}, {S_DEGREE} SELECT source, target, type AS relation, CAST(0.5 AS DOUBLE) AS weight FROM edges WHERE source IN (SELECT name FROM shown) AND target IN (SELECT name FROM shown)")
 def graph_export_links(spark, d):
     return graph.exported_links(*shown_nodes(spark, d))
 

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules
 
@@ -28,7 +29,7 @@ def extension(path: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """file_path, file_name, file_type, file_hash, size, modified, content; listing and reading are Spark's."""
+    """file_path, file_name, file_type, file_hash, size, modified, content; listing and reading are Spark's, which leaves out empty files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(F.col("path").alias("file_path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), extension(F.col("path")).alias("file_type"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
@@ -75,7 +76,7 @@ PARSERS: dict[str, Parser] = {".txt": parse_text, ".md": parse_text, ".docx": pa
 def parsed(found: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """found (from files()) with the parsed fields in place of content. What fails to parse has full_text '' and an error."""
     known = PARSERS | (parsers or {})
-    names = [f.split()[0] for f in re.sub(r"<[^ ]*", "", PARSED).split(", ")]
+    names = T.StructType.fromDDL(PARSED).names
     rest = [f for f in found.schema.fields if f.name != "content"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

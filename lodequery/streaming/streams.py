@@ -75,14 +75,11 @@ def openings(calls: DataFrame, failures: int = FAILURES) -> DataFrame:
 def breaker(calls: DataFrame, failures: int = FAILURES, open_seconds: int = OPEN_SECONDS) -> DataFrame:
     """A stream of calls (service, ts, failed) with `allowed`: calls while the breaker is open are refused and don't count.
 
-    State of a service: failures in a row, and until when it is open. It goes when nothing came for an hour.
+    State of a service: failures in a row, and until when it is open, two numbers for each service there is.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, until = state.get if state.exists else (0, 0.0)
-        if state.hasTimedOut:
-            state.remove()
-            return
         for f in frames:
             f = f.sort_values("ts")
             allowed = []
@@ -96,9 +93,8 @@ def breaker(calls: DataFrame, failures: int = FAILURES, open_seconds: int = OPEN
                 allowed.append(ok)
             yield f.assign(allowed=allowed)[["service", "ts", "failed", "allowed"]]
         state.update((run, until))
-        state.setTimeoutDuration(3_600_000)
 
-    return calls.groupBy("service").applyInPandasWithState(step, "service string, ts timestamp, failed boolean, allowed boolean", "run int, until double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy("service").applyInPandasWithState(step, "service string, ts timestamp, failed boolean, allowed boolean", "run int, until double", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_completeness(audit: DataFrame) -> DataFrame:
