@@ -34,9 +34,9 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """At unit length; a zero vector stays as it is."""
-    size = norm(v)
-    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    """At unit length; a zero vector stays as it is. The sum of squares is made once, then shared by all numbers."""
+    scaled = lambda total: F.transform(v, lambda x: F.when(total > 0, x.cast("double") / F.sqrt(total)).otherwise(x.cast("double")))
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"), scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
