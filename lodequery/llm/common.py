@@ -25,18 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR).rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back.
+def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back; with `files`, by so many tasks at most.
 
     A lost executor costs a re-read of files, not a recomputation of what led to them. The files go when the session's
     folder is cleaned; each call has a folder of its own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodequery-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(max(1, files))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int, each: int) -> int:
+    """How many files hold so many rows: a small table is not strewn over the shuffle's partitions, a large one isn't held back."""
+    return -(-rows // each)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
     spark = df.sparkSession

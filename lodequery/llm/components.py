@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, files_for, written
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
+#: Links in a file.
+LINKS_EACH = 200_000
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in a link with another; component is the smallest id reachable. Null ends are no links."""
     edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
@@ -26,7 +30,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         star = large.join(least, F.col("u") == F.col("w"))
-        after = written(star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("w", "m")).distinct(), "links")
+        after = written(star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("w", "m")).distinct(), "links", files_for(mark[0], LINKS_EACH))
         drop_written(edges)
         before, mark, edges = mark, _mark(after), after
         if mark == before:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small, written
+from .common import files_for, slices, small, written
 from .components import connected
 
 WORDS, THRESHOLD = 5, 75
@@ -31,6 +31,8 @@ PACKED = -(-HASHES * BITS // 64)
 #: Leaves out pairs of at least the threshold with a probability of about 1e-5 (4 standard deviations).
 MIN_ESTIMATE = 0.62
 LEADER_ROUNDS = 3
+#: Rows in a file of pairs or ids, and of sets or pairs to confirm.
+PAIRS_EACH, SETS_EACH = 100_000, 3_000
 #: Minima of the closer estimate, and its bound (4 standard deviations again).
 WIDE, MIN_WIDE = 1024, 0.693
 #: Ids up to which the list of documents whose sets are needed is broadcast (16 MB).
@@ -191,12 +193,14 @@ def may_link(a: str, b: str) -> Column:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on full sets."""
+    """The pairs (a, b) that reach the threshold on full sets, written."""
+    n = pairs.count()
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(sets_of(docs.join(small(written(ids, "ids"), BROADCAST_IDS), F.col(key) == F.col("id"), "left_semi"), key, text), "sets")
+    sets = written(sets_of(docs.join(small(written(ids, "ids", files_for(2 * n, PAIRS_EACH)), BROADCAST_IDS), F.col(key) == F.col("id"), "left_semi"), key, text), "sets", files_for(2 * n, SETS_EACH))
     left, right = (sets.select(F.col("key").alias(f"{x}k"), F.col("hashes").alias(f"{x}h")) for x in "ab")
     both = F.size(F.array_intersect("ah", "bh"))
-    return pairs.join(left, F.col("a") == F.col("ak")).join(right, F.col("b") == F.col("bk")).where(100 * both >= THRESHOLD * (F.size("ah") + F.size("bh") - both)).select("a", "b").distinct()
+    held = pairs.join(left, F.col("a") == F.col("ak")).join(right, F.col("b") == F.col("bk")).where(100 * both >= THRESHOLD * (F.size("ah") + F.size("bh") - both))
+    return written(held.select("a", "b").distinct(), "confirmed", files_for(n, PAIRS_EACH))
 
 
 def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -210,6 +214,7 @@ def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "t
     shared = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1").select("band", "lead")
     members = written(rows.join(shared, "band"), "members")
     sigs = lambda x: classes.select(F.col("rep").alias(f"{x}r"), F.col("s").alias(f"{x}s"))
+    reps = members.select("rep").distinct().count()  # each gives a pair a round at most, and a component
     links = tested = None
     component = None
     for step in range(LEADER_ROUNDS):
@@ -223,9 +228,9 @@ def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "t
         if tested is not None:
             proposed = proposed.join(tested, ["a", "b"], "left_anti")
         scored = proposed.join(sigs("x"), F.col("a") == F.col("xr")).join(sigs("y"), F.col("b") == F.col("yr")).where(may_link("xs", "ys")).select("rep", "a", "b", estimate("xs", "ys").alias("e"))
-        pairs = written(scored.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("e", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "pairs")
-        links, tested = _plus(links, written(_confirmed(pairs, docs, key, text), "confirmed")), _plus(tested, pairs)
-        component = written(connected(links), "components")
+        pairs = written(scored.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("e", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "pairs", files_for(reps, PAIRS_EACH))
+        links, tested = _plus(links, _confirmed(pairs, docs, key, text)), _plus(tested, pairs)
+        component = written(connected(links), "components", files_for(reps, PAIRS_EACH))
     open_ = written(_open_members(members, component), "open")
     asked = classes.join(open_.select("rep").distinct(), "rep", "left_semi").select("d1", "d2", F.col("rep").alias("r"), "s", "bands")
     texts = docs.join(small(open_.select(F.col("rep").alias("id")).distinct(), BROADCAST_IDS), F.col(key) == F.col("id"), "left_semi")
@@ -235,8 +240,8 @@ def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "t
     once = F.col("xband") == F.array_min(F.array_intersect("xbands", "ybands"))
     left = x.join(y, (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & (F.col("xc") != F.col("yc")) & may_link("xs", "ys") & once & (wide_estimate("xwide", "ywide") >= MIN_WIDE))
     pairs = written(left.select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = _plus(links, written(_confirmed(pairs, docs, key, text), "confirmed"))
-    component = written(connected(links), "components")
+    links = _plus(links, _confirmed(pairs, docs, key, text))
+    component = written(connected(links), "components", files_for(reps, PAIRS_EACH))
     return classes.join(component, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
 
 
