@@ -4,7 +4,7 @@ Words are lower-cased (A-Z) runs of characters other than space and \\t to \\r;
 count table over the whole training corpus gives the unigram base score. The model's symbols are the TOP most frequent
 words at most, classes of all other words by ending and length, and the end token; a word's probability is that of its
 symbol times that of the word within its class. Expected counts are made in each partition and added up, ITERATIONS times
-over the whole corpus; a bounded sample only says where that starts. Scoring runs the scaled forward recursion over whole
+over the whole corpus, from a start that the count table gives. Scoring runs the scaled forward recursion over whole
 texts, many texts at a time.
 
 What is sent to every task has a bound: HEAD words with their counts, and the model. Words beyond it are looked up by a join.
@@ -22,17 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, written
+from .common import drop_written, fold, slices, written
 
-STATES, ITERATIONS = 8, 2
+STATES, ITERATIONS = 8, 14
 TOP, HEAD = 2000, 250_000
 ENDINGS, LENGTHS = 48, 4
 CLASSES = ENDINGS * LENGTHS
-#: The starting point: about so many documents, and iterations over them.
-START_DOCS, START_ITERATIONS = 400, 12
 #: Training sequences: texts are cut after so many tokens. Scoring doesn't cut.
 WINDOW = 256
-LANES = 2048
+LANES = 512
 SMOOTH = 0.1
 END = "\n"
 
@@ -106,6 +104,8 @@ class Lexicon:
         self.symbol = np.where(top, np.arange(len(top)), self.tops + cls).astype(np.int32) if len(top) else np.zeros(0, np.int32)
         self.within = np.where(top, 0.0, np.log10(self.counts + 0.5) - self.class_log()[cls]) if len(top) else np.zeros(0)
         self.base = np.log10(self.counts + 0.5) - self.base_log()
+        ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
+        self.symbol_n = np.concatenate([self.counts[: self.tops], self.class_n, [float(ends)]])
 
     def base_log(self) -> float:
         return float(np.log10(self.n + 0.5 * (self.v + 1)))
@@ -168,41 +168,50 @@ class Hmm:
         out[order] = total
         return out
 
+    @staticmethod
+    def first(symbol_n: np.ndarray, seed: int = 1) -> Hmm:
+        """Where training starts: every state says symbols by their counts, each count times a fixed random factor."""
+        rng = np.random.Generator(np.random.PCG64(seed))
+        return Hmm.from_counts(np.ones(STATES), np.ones((STATES, STATES)) + 8 * np.eye(STATES), symbol_n * (rng.random((STATES, len(symbol_n))) + 0.05))
+
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts (Baum-Welch) of starts, moves and emissions over the sequences, cut to WINDOW tokens."""
         s, c = self.say.shape
         start, move, out = np.zeros(s), np.zeros((s, s)), np.zeros((s, c))
-        parts = sorted((x[i : i + WINDOW] for x in sequences for i in range(0, len(x), WINDOW)), key=len)
-        say = np.ascontiguousarray(self.say.T)
+        parts = sorted((x[i : i + WINDOW] for x in sequences for i in range(0, len(x), WINDOW)), key=len, reverse=True)
+        say, back, ones = np.ascontiguousarray(self.say.T), np.ascontiguousarray(self.move.T), np.ones(s)
+        room = np.empty((3, sum(map(len, parts[:LANES])), s))
         for k in range(0, len(parts), LANES):
             lanes = parts[k : k + LANES]
             sizes = np.array([len(x) for x in lanes])
-            longest = sizes.max()
-            grid = np.zeros((longest, len(lanes)), np.int32)
-            for j, x in enumerate(lanes):
-                grid[: len(x), j] = x
-            inside = np.arange(longest)[:, None] < sizes[None, :]
-            alpha, scale = np.empty((longest, len(lanes), s)), np.ones((longest, len(lanes)))
-            for t in range(longest):
-                a = (alpha[t - 1] @ self.move if t else self.start[None, :]) * say[grid[t]]
-                scale[t] = a.sum(axis=1)
-                alpha[t] = a / scale[t][:, None]
-            beta = np.ones((len(lanes), s))
-            for t in range(longest - 1, -1, -1):
-                alive = inside[t][:, None]
-                gamma = np.where(alive, alpha[t] * beta, 0.0)
-                gamma_sum = gamma.sum(axis=1, keepdims=True)
-                gamma /= np.where(gamma_sum > 0, gamma_sum, 1)
-                for z in range(s):
-                    out[z] += np.bincount(grid[t], gamma[:, z], c) if len(lanes) > c else 0
-                if len(lanes) <= c:
-                    np.add.at(out.T, grid[t], gamma)
-                if not t:
-                    start += gamma.sum(axis=0)
-                    break
-                ahead = np.where(alive, say[grid[t]] * beta / scale[t][:, None], 0.0)
-                move += self.move * (alpha[t - 1].T @ ahead)
-                beta = np.where(alive, ahead @ self.move.T, 1.0)
+            time = np.concatenate([np.arange(n, dtype=np.int16) for n in sizes])
+            symbols = np.concatenate(lanes)[np.argsort(time, kind="stable")]  # by step; at each step the lanes that go on come first
+            ends = np.cumsum(np.bincount(time))
+            spans = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            says, alpha, beta = (x[: len(symbols)] for x in room)
+            np.take(say, symbols, axis=0, out=says, mode="clip")
+            beta[:], scale = 1.0, np.empty((len(symbols), 1))
+            for t, (i, j) in enumerate(spans):
+                a = alpha[i:j]
+                if t:
+                    np.matmul(alpha[spans[t - 1][0] :][: j - i], self.move, out=a)
+                else:
+                    a[:] = self.start
+                a *= says[i:j]
+                scale[i:j, 0] = a @ ones
+                a /= scale[i:j]
+            says /= scale
+            pairs = np.zeros((s, s))
+            for t in range(len(spans) - 1, 0, -1):
+                (i, j), before = spans[t], spans[t - 1][0]
+                ahead = says[i:j] * beta[i:j]
+                pairs += alpha[before : before + j - i].T @ ahead
+                np.matmul(ahead, back, out=beta[before : before + j - i])
+            gamma = np.multiply(alpha, beta, out=says.reshape(s, -1).T)  # its states are rows in memory
+            start += gamma[: len(lanes)].sum(axis=0)
+            move += self.move * pairs
+            for z in range(s):
+                out[z] += np.bincount(symbols, gamma[:, z], c)
         return start, move, out
 
 
@@ -210,31 +219,42 @@ def _cells(start: np.ndarray, move: np.ndarray, say: np.ndarray) -> np.ndarray:
     return np.concatenate([start, move.ravel(), say.ravel()])
 
 
+def encoded(training: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(symbols, sizes): a row for many texts, their symbols and sequence lengths as 32-bit numbers."""
+    known = training.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            read = [known.value.read(t)[0] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"symbols": [np.concatenate(read).tobytes()], "sizes": [np.array([len(x) for x in read], np.int32).tobytes()]})
+
+    return training.select("text").mapInArrow(run, "symbols binary, sizes binary")
+
+
 def train(training: DataFrame, lexicon: Lexicon) -> Hmm:
-    """Baum-Welch: each partition's expected counts are rows (cell, value), added up by Spark; the cells are bounded."""
+    """Baum-Welch over all of training: each partition's expected counts are rows (cell, value), added up by Spark."""
     spark, symbols = training.sparkSession, lexicon.symbols
-    share = START_DOCS / max(1, training.count())
-    sample = training.where(F.pmod(F.xxhash64("text", F.lit("start")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("text").toArrow().column(0).to_pylist()
-    read = [lexicon.read(t)[0] for t in sorted(sample, key=lambda t: t or "")]
-    model = Hmm.any(symbols)
-    for _ in range(START_ITERATIONS):
-        model = Hmm.from_counts(*model.expected(read))
-    known = spark.sparkContext.broadcast(lexicon)
+    texts = written(encoded(training, lexicon), "symbols")
+    model = Hmm.first(lexicon.symbol_n)
     for _ in range(ITERATIONS):
         now = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = 0
-            for batch in slices(batches, "text"):
-                total = total + _cells(*now.value.expected([known.value.read(t)[0] for t in batch.column(0).to_pylist()]))
+            for batch in batches:
+                for said, sizes in zip(*batch.columns, strict=True):
+                    sequences = np.split(np.frombuffer(said.as_py(), np.int32), np.cumsum(np.frombuffer(sizes.as_py(), np.int32))[:-1])
+                    total = total + _cells(*now.value.expected(sequences))
             if isinstance(total, np.ndarray):
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "value"])
 
-        sums = training.select("text").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        sums = texts.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
         cells = np.zeros(STATES + STATES * STATES + STATES * symbols)
         cells[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
         model = Hmm.from_counts(cells[:STATES], cells[STATES : STATES + STATES**2].reshape(STATES, STATES), cells[STATES + STATES**2 :].reshape(STATES, symbols))
+        now.unpersist()
+    drop_written(texts)
     return model
 
 

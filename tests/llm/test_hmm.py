@@ -102,3 +102,19 @@ def test_empty_and_untrained(spark):
     for r in hmm.scores(docs).collect():
         assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == 0
     assert hmm.scores(docs.limit(0)).count() == 0
+
+
+def test_every_iteration_reads_all_training_texts(spark, monkeypatch):
+    """The distributed training is Baum-Welch over all texts from the first iteration on, not over a sample of them."""
+    monkeypatch.setattr(hmm, "HEAD", 40)
+    monkeypatch.setattr(hmm, "TOP", 20)
+    rng = random.Random(3)
+    texts = [" ".join(f"{'ab'[i % 2]}{rng.randrange(15)}" for _ in range(rng.randrange(1, 9))) for i in range(2000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    lex = hmm.Lexicon(hmm.word_counts(docs).cache())
+    got, want = hmm.train(docs, lex), hmm.Hmm.first(lex.symbol_n)
+    read = [lex.read(t)[0] for t in texts]
+    for _ in range(14):
+        want = hmm.Hmm.from_counts(*want.expected(read))
+    for a, b in ((got.start, want.start), (got.move, want.move), (got.say, want.say)):
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-12)
