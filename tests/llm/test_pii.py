@@ -58,3 +58,18 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ibans_before_capitals_and_digits(spark):
+    ibans = {
+        "IBAN DE89 3704 0044 0532 0130 00 Please pay": ["DE89 3704 0044 0532 0130 00"], "DE89370400440532013000 BIC COBADEFF": ["DE89370400440532013000"],
+        "DE89370400440532013000 5 days": ["DE89370400440532013000"], "GB82 WEST 1234 5698 7654 32 A": ["GB82 WEST 1234 5698 7654 32"],
+        "é𝄞 DE89370400440532013000 GB82WEST12345698765432 X": ["DE89370400440532013000", "GB82WEST12345698765432"], "AB12 DE89370400440532013000": ["DE89370400440532013000"],
+        "DE89370400440532013001 A": [], "DE89370400440532013000x": [], "xDE89370400440532013000": [], "AB12 " * 2000: [],
+    }
+    docs = spark.createDataFrame(list(enumerate(ibans)), "doc_id long, text string")
+    for r in pii.digest(docs).collect():
+        text = list(ibans)[r.doc_id]
+        at = [s.split(":")[1:] for s in r.spans.split(",") if s.startswith("iban")]
+        assert [text[int(a) : int(b)] for a, b in at] == ibans[text], text[:60]
+    assert pii.redact(docs.where("doc_id = 0")).first().text == "IBAN <IBAN> Please pay"
