@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ MIN_WORD, MIN_GRAM, LONGEST = 2, 3, 5
 FIELDS = "lang_pred string, score double"
 #: Unseen words that a task remembers.
 REMEMBERED = 200_000
+#: Words of more letters aren't remembered, and their n-grams are counted in Python, in linear time.
+LONG = 64
+#: Letters of a word whose n-grams are made at a time.
+CHUNK = 65_536
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -29,9 +34,23 @@ def words_of(text: str) -> Counter:
     return Counter(_WORDS.findall(text.lower()))
 
 
-def grams(word: str, n: int) -> list[str]:
+def gram_chunks(word: str, n: int) -> Iterator[list[str]]:
+    """The n-grams of a word between spaces, some at a time, so that a very long word needs little memory."""
     padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)] if len(padded) >= n else []
+    last = len(padded) - n + 1
+    for at in range(0, last, CHUNK):
+        yield [padded[i : i + n] for i in range(at, min(at + CHUNK, last))]
+
+
+def long_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n, types) of long words from (lang, word, n)."""
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k in range(1, LONGEST + 1):
+                for chunk in gram_chunks(word, k):
+                    c = Counter(chunk)
+                    times = np.fromiter(c.values(), np.int64, len(c))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(times * n), pa.array(times)], names=["lang", "gram", "n", "types"])
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -49,11 +68,13 @@ class Model:
         self.langs, self.words, self.word_logs, self.gram_rows, self.gram_logs = langs, words, word_logs, gram_rows, gram_logs
 
     def unseen(self, word: str) -> np.ndarray:
-        if len(word) > 64:  # no language has such words; both ends tell as much
-            word = word[:32] + word[-32:]
         for n in range(LONGEST, 0, -1):
-            if found := [self.gram_rows[g] for g in grams(word, n) if g in self.gram_rows]:
-                return self.gram_logs[found].mean(axis=0)
+            total, seen = 0.0, 0
+            for chunk in gram_chunks(word, n):
+                if found := [self.gram_rows[g] for g in chunk if g in self.gram_rows]:
+                    total, seen = total + self.gram_logs[found].sum(axis=0, dtype=float), seen + len(found)
+            if seen:
+                return total / seen
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -71,8 +92,10 @@ def fit(docs: DataFrame) -> Model:
 
     words = training_rows(docs).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    short = words.where(F.length("word") <= 64).withColumn("n", F.log1p("n"))  # a word counts for its n-grams by the log of its count
-    pieces = short.select("lang", "n", F.explode(F.flatten(F.array(*(_cuts(padded, k) for k in range(1, LONGEST + 1))))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("types")).where(F.col("types") >= MIN_GRAM)
+    logged = words.withColumn("n", F.log1p("n"))  # a word counts for its n-grams by the log of its count
+    short = logged.where(F.length("word") <= LONG).select("lang", F.explode(F.flatten(F.array(*(_cuts(padded, k) for k in range(1, LONGEST + 1))))).alias("gram"), "n", F.lit(1).cast("long").alias("types"))
+    long = logged.where(F.length("word") > LONG).select("lang", "word", "n").mapInArrow(long_grams, "lang string, gram string, n double, types long")
+    pieces = short.union(long).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).where(F.col("types") >= MIN_GRAM)
     known = words.where(F.col("n") >= MIN_WORD).toArrow().to_pydict()
     known_grams = pieces.toArrow().to_pydict()
     langs = sorted(set(known["lang"]) | set(known_grams["lang"]))
@@ -101,7 +124,9 @@ def predictor(model: Model):
         if got is None:
             if len(memory) >= REMEMBERED:
                 memory.clear()
-            got = memory[word] = model.unseen(word)
+            got = model.unseen(word)
+            if len(word) <= LONG:
+                memory[word] = got
         return got
 
     def one(text: str | None) -> tuple[str, float]:

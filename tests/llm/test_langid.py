@@ -38,3 +38,14 @@ def test_backoff_takes_longest_known_grams():
 
     m = langid.Model(["a", "b"], {}, np.zeros((0, 2)), {"abcde": 0, "x": 1}, np.array([[0.0, -1.0], [-2.0, 0.0]]))
     assert list(m.unseen("abcdex")) == [0.0, -1.0] and list(m.unseen("zx")) == [-2.0, 0.0] and list(m.unseen("q")) == [0.0, 0.0]
+
+
+def test_long_words_count_whole(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    model = langid.fit(corpus(spark))
+    docs = spark.createDataFrame([(1, "the" * 12 + "".join(DE) * 500 + "the" * 12)], "doc_id long, text string")
+    assert langid.with_language(docs, model).first()["__language"].lang_pred == "de"
+    assert [g for c in langid.gram_chunks("a" * 60 + "b" * 60, 5) for g in c] == [(" " + "a" * 60 + "b" * 60 + " ")[i : i + 5] for i in range(118)]
+    rows = [(i, "qwzpk" * 40, "xx") for i in range(60)] + [(100 + i, "some plain words here", "yy") for i in range(60)]
+    learned = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"qwzpk", "kqwzp"} <= set(learned.gram_rows)
