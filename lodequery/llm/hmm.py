@@ -1,13 +1,18 @@
 """Language-model scoring by a hidden Markov model, trained by Baum-Welch over all training documents.
 
 Words are lower-cased (A-Z) runs of characters other than space and \\t to \\r; each text ends with one end token. A word
-count table over the whole training corpus gives the unigram base score. The model's symbols are the TOP most frequent
-words at most, classes of all other words by ending and length, and the end token; a word's probability is that of its
-symbol times that of the word within its class. Expected counts are made in each partition and added up, ITERATIONS times
-over the whole corpus, from a start that the count table gives. Scoring runs the scaled forward recursion over whole
-texts, many texts at a time.
-
-What is sent to every task has a bound: HEAD words with their counts, and the model. Words beyond it are looked up by a join.
+count table over the whole training corpus gives the unigram base score.
+
+1. Texts are encoded once. Words that occur often enough to be among the HEAD most frequent, classes of all other words
+   by ending and length, and the end token are symbols; the other words are listed beside them.
+2. Training starts from the corpus's bigram counts over its most frequent words, which are clustered spectrally, and runs
+   ITERATIONS rounds of Baum-Welch: each partition's expected counts are rows, added up by Spark. Texts are never cut.
+3. The last round also counts, state by state, every word outside the head: a distributed table that grows with the
+   corpus. So every training word has emissions of its own; half of an outer word's probability within its class is that
+   of the state, half that of the class at large, which leaves room for words never seen.
+4. Scoring meets that table by a join on words and runs the exact scaled forward recursion over whole texts.
+
+What is sent to every task has a bound: HEAD words and the model's (HEAD + CLASSES + 1) * STATES probabilities.
 """
 
 from __future__ import annotations
@@ -19,20 +24,27 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, fold, slices, written
 
-STATES, ITERATIONS = 8, 14
-TOP, HEAD = 2000, 250_000
+STATES, ITERATIONS = 8, 5
+HEAD = 65_536
 ENDINGS, LENGTHS = 48, 4
 CLASSES = ENDINGS * LENGTHS
-#: Training sequences: texts are cut after so many tokens. Scoring doesn't cut.
-WINDOW = 256
-LANES = 512
+#: The most frequent words whose bigrams give the start.
+STARTERS = 512
 SMOOTH = 0.1
+#: The share of the class at large in an outer word's probability within its class.
+AT_LARGE = 0.5
+#: Texts that step through the recursions together, and tokens whose state probabilities are held at a time.
+LANES, ROOM = 4096, 262_144
+#: Tokens that a task gathers before it runs the recursions.
+GATHERED = 1_000_000
 END = "\n"
+_STATES = [f"g{z}" for z in range(STATES)]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -71,61 +83,67 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """What the count table tells every task: totals, class totals, and the most frequent words up to HEAD."""
+    """What the count table tells every task: totals, class totals, and the words of the head, most frequent first.
+
+    Symbols are the head's words, then the classes of all other words, then the end token. A head word occurs twice at
+    least; of words with equal counts, all or none are in the head.
+    """
 
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("n"), F.count("*")).first()
         self.n, self.v = total[0] or 0, total[1]
-        steps = {r[0]: r[1] for r in counts.where("word != '\\n'").groupBy(F.floor(F.log2("n") * 8)).count().collect()}
-
-        def least(most: int) -> float:
-            """A count that at most so many words reach."""
-            seen, at = 0, 0
-            for k in sorted(steps, reverse=True):
-                seen += steps[k]
-                if seen > most:
-                    return 2 ** ((k + 1) / 8)
-                at = k
-            return 2 ** (at / 8)
-
-        head = counts.where(F.col("word") != END).where(F.col("n") >= least(HEAD) - 1e-9).toArrow().to_pydict()
-        order = sorted(range(len(head["n"])), key=lambda i: (-head["n"][i], head["word"][i]))[:HEAD]
+        words = counts.where(F.col("word") != END)
+        self.least = self._least(words)
+        head = words.where(F.col("n") >= self.least).toArrow().to_pydict()
+        order = sorted(range(len(head["n"])), key=lambda i: (-head["n"][i], head["word"][i]))
         self.words = {head["word"][i].encode(): k for k, i in enumerate(order)}
-        self.counts = np.array([head["n"][i] for i in order], float)
-        cls = np.array([head["cls"][i] for i in order], np.int64)
-        self.least_top = max(2.0, least(TOP))
-        top = self.counts >= self.least_top - 1e-9
-        self.tops = int(top.sum())
-        rest = counts.where(F.col("word") != END).where(F.col("n") < self.least_top - 1e-9)
         self.class_n, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-        for r in rest.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        for r in words.where(F.col("n") < self.least).groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
             self.class_n[r["cls"]], self.class_v[r["cls"]] = r["n"], r["v"]
-        self.symbols = self.tops + CLASSES + 1
-        self.symbol = np.where(top, np.arange(len(top)), self.tops + cls).astype(np.int32) if len(top) else np.zeros(0, np.int32)
-        self.within = np.where(top, 0.0, np.log10(self.counts + 0.5) - self.class_log()[cls]) if len(top) else np.zeros(0)
-        self.base = np.log10(self.counts + 0.5) - self.base_log()
         ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
-        self.symbol_n = np.concatenate([self.counts[: self.tops], self.class_n, [float(ends)]])
+        self.symbols = len(order) + CLASSES + 1
+        self.symbol_n = np.concatenate([np.array([head["n"][i] for i in order], float), self.class_n, [float(ends)]])
+
+    @staticmethod
+    def _least(words: DataFrame) -> int:
+        """The least count, 2 or more, that HEAD words at most reach."""
+        steps = words.select(F.floor(F.log2("n") * 64).alias("step"), "n").groupBy("step").agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+        seen, least = 0, steps[0]["n"] + 1 if steps else 2  # above all, should even the most frequent be too many
+        for r in steps:
+            seen += r["words"]
+            if seen > HEAD:
+                break
+            least = r["n"]
+        return max(2, least)
+
+    @property
+    def head(self) -> int:
+        return len(self.words)
 
     def base_log(self) -> float:
         return float(np.log10(self.n + 0.5 * (self.v + 1)))
 
-    def class_log(self) -> np.ndarray:
-        return np.log10(self.class_n + 0.5 * (self.class_v + 1))
+    def class_size(self) -> np.ndarray:
+        """What a class's word counts, each with a half added, and a half for words never seen add up to."""
+        return self.class_n + 0.5 * (self.class_v + 1)
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, Counter]:
-        """Symbols of a text with its end, places of head words in the head table, and other words with their counts."""
+    def base_logs(self) -> np.ndarray:
+        """The base score of each symbol; 0 for classes, whose words are scored one by one."""
+        logs = np.log10(self.symbol_n + 0.5) - self.base_log()
+        logs[self.head : self.head + CLASSES] = 0.0
+        return logs
+
+    def read(self, text: str | None, outer: dict[bytes, int]) -> np.ndarray:
+        """The symbols of a text with its end. Other words get numbers from `symbols` on, by their place in outer."""
         words = tokens(text)
-        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         out = np.empty(len(words) + 1, np.int32)
         out[-1] = self.symbols - 1
-        others: Counter = Counter()
-        if len(words):
-            out[:-1] = self.symbol[at] if len(self.symbol) else 0
-            for i in np.flatnonzero(at < 0).tolist():
-                out[i] = self.tops + class_of(words[i])
-                others[words[i]] += 1
-        return out, at[at >= 0], others
+        if words:
+            at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int32, len(words))
+            other = np.flatnonzero(at < 0)
+            at[other] = [self.symbols + outer.setdefault(words[i], len(outer)) for i in other.tolist()]
+            out[:-1] = at
+        return out
 
 
 class Hmm:
@@ -146,18 +164,53 @@ class Hmm:
         rng = np.random.Generator(np.random.PCG64(seed))
         return Hmm.from_counts(np.ones(STATES), np.ones((STATES, STATES)) + 8 * np.eye(STATES), rng.random((STATES, symbols)) + 0.05)
 
+    @staticmethod
+    def first(symbol_n: np.ndarray, pairs: np.ndarray) -> Hmm:
+        """Where training starts: each state says mostly one cluster of the most frequent words, and all others by their counts.
+
+        pairs: how often one of these words follows another. They are clustered by the singular vectors of these counts
+        (normalised by row and column sums) and by k-means from the words that lie farthest apart. With fewer words than
+        states, fixed random factors tell the states apart.
+        """
+        m = len(pairs)
+        share = np.full((STATES, len(symbol_n)), 1.0)
+        move = np.ones((STATES, STATES)) + 8 * np.eye(STATES)
+        if m > STATES:
+            rows, cols = np.sqrt(pairs.sum(axis=1) + 1.0), np.sqrt(pairs.sum(axis=0) + 1.0)
+            u, _, vt = np.linalg.svd(pairs / rows[:, None] / cols[None, :])
+            x = np.concatenate([u[:, :STATES], vt[:STATES].T], axis=1)
+            x /= np.sqrt((x * x).sum(axis=1))[:, None] + 1e-12
+            centers = [0]
+            for _ in range(STATES - 1):
+                centers.append(int(np.argmin((x @ x[centers].T).max(axis=1))))
+            middle = x[centers]
+            for _ in range(20):
+                cluster = np.argmax(x @ middle.T, axis=1)
+                middle = np.stack([x[cluster == z].mean(axis=0) if (cluster == z).any() else middle[z] for z in range(STATES)])
+            share[:, :m] = 0.2
+            share[cluster, np.arange(m)] = 4.0
+            member = np.eye(STATES)[cluster]
+            move = member.T @ pairs @ member + 1.0 + move.mean()
+        else:
+            share *= np.random.Generator(np.random.PCG64(1)).random(share.shape) + 0.5
+        return Hmm.from_counts(np.ones(STATES), move, symbol_n * share)
+
+    def with_words(self, words: np.ndarray) -> Hmm:
+        """The model with more symbols: for each a row of probabilities by state."""
+        return Hmm(self.start, self.move, np.concatenate([self.say, words.T], axis=1)) if len(words) else self
+
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Exact log10 likelihood of each sequence by the scaled forward recursion, all of them a step at a time."""
         if not sequences:
             return np.zeros(0)
         sizes = np.array([len(s) for s in sequences])
         order = np.argsort(-sizes, kind="stable")
-        ends = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")  # how many go on at each step
+        going = _going(sizes[order])
         flat = np.concatenate([sequences[i] for i in order])
-        first = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
+        first = np.cumsum(sizes[order]) - sizes[order]
         say, total = np.ascontiguousarray(self.say.T), np.zeros(len(sequences))
         alpha = np.repeat(self.start[None, :], len(sequences), axis=0)
-        for t, n in enumerate(ends.tolist()):
+        for t, n in enumerate(going.tolist()):
             if t:
                 alpha = alpha[:n] @ self.move
             alpha = alpha * say[flat[first[:n] + t]]
@@ -168,139 +221,288 @@ class Hmm:
         out[order] = total
         return out
 
-    @staticmethod
-    def first(symbol_n: np.ndarray, seed: int = 1) -> Hmm:
-        """Where training starts: every state says symbols by their counts, each count times a fixed random factor."""
-        rng = np.random.Generator(np.random.PCG64(seed))
-        return Hmm.from_counts(np.ones(STATES), np.ones((STATES, STATES)) + 8 * np.eye(STATES), symbol_n * (rng.random((STATES, len(symbol_n))) + 0.05))
+    def expected(self, sequences: list[np.ndarray], real: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts (Baum-Welch) of starts, moves and emissions over whole sequences.
 
-    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (Baum-Welch) of starts, moves and emissions over the sequences, cut to WINDOW tokens."""
+        State probabilities are held for ROOM tokens at a time: where a group of sequences has more, the forward pass keeps
+        them at block borders only and each block's are made again on the way back. Probabilities of a token have 32 bits,
+        sums 64.
+        """
         s, c = self.say.shape
-        start, move, out = np.zeros(s), np.zeros((s, s)), np.zeros((s, c))
-        parts = sorted((x[i : i + WINDOW] for x in sequences for i in range(0, len(x), WINDOW)), key=len, reverse=True)
-        say, back, ones = np.ascontiguousarray(self.say.T), np.ascontiguousarray(self.move.T), np.ones(s)
-        room = np.empty((3, sum(map(len, parts[:LANES])), s))
-        for k in range(0, len(parts), LANES):
-            lanes = parts[k : k + LANES]
+        start, move, out = np.zeros(s), np.zeros((s, s)), np.zeros((c, s))
+        say, ahead_of, back = np.ascontiguousarray(self.say.T, real), np.ascontiguousarray(self.move, real), np.ascontiguousarray(self.move.T, real)
+        first_state, ones = self.start.astype(real), np.ones(s, real)
+        ordered = sorted(sequences, key=len, reverse=True)
+        for k in range(0, len(ordered), LANES):
+            lanes = ordered[k : k + LANES]
             sizes = np.array([len(x) for x in lanes])
-            time = np.concatenate([np.arange(n, dtype=np.int16) for n in sizes])
-            symbols = np.concatenate(lanes)[np.argsort(time, kind="stable")]  # by step; at each step the lanes that go on come first
-            ends = np.cumsum(np.bincount(time))
-            spans = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
-            says, alpha, beta = (x[: len(symbols)] for x in room)
-            np.take(say, symbols, axis=0, out=says, mode="clip")
-            beta[:], scale = 1.0, np.empty((len(symbols), 1))
-            for t, (i, j) in enumerate(spans):
-                a = alpha[i:j]
-                if t:
-                    np.matmul(alpha[spans[t - 1][0] :][: j - i], self.move, out=a)
-                else:
-                    a[:] = self.start
-                a *= says[i:j]
-                scale[i:j, 0] = a @ ones
-                a /= scale[i:j]
-            says /= scale
+            flat, at, going = np.concatenate(lanes), np.cumsum(sizes) - sizes, _going(sizes)
+            upto = np.concatenate([[0], np.cumsum(going)])
+            borders = [0]
+            while borders[-1] < len(going):
+                borders.append(max(borders[-1] + 1, int(np.searchsorted(upto, upto[borders[-1]] + ROOM, side="right")) - 1))
+            width = max(upto[b] - upto[a] for a, b in zip(borders, borders[1:], strict=False))
+            room = np.empty((3, width, s), real)
+            entry: list[np.ndarray | None] = [None]  # the state probabilities with which each block begins
+
+            def forward(a: int, b: int, before: np.ndarray | None, room=room, going=going, upto=upto, at=at, flat=flat) -> tuple:
+                n = going[a:b]
+                spans = (upto[a : b + 1] - upto[a]).tolist()
+                lane = np.arange(spans[-1]) - np.repeat(upto[a:b] - upto[a], n)
+                symbols = flat[at[lane] + np.repeat(np.arange(a, b), n)]
+                says, alpha, _ = (x[: spans[-1]] for x in room)
+                np.take(say, symbols, axis=0, out=says, mode="clip")
+                scale = np.empty((spans[-1], 1), real)
+                for i, j in zip(spans, spans[1:], strict=False):
+                    now = alpha[i:j]
+                    if before is None:
+                        now[:] = first_state
+                    else:
+                        np.matmul(before[: j - i], ahead_of, out=now)
+                    now *= says[i:j]
+                    scale[i:j, 0] = now @ ones
+                    now /= scale[i:j]
+                    before = now
+                return spans, symbols, says, alpha, scale
+
+            for a, b in list(zip(borders, borders[1:], strict=False))[:-1]:
+                spans, _, _, alpha, _ = forward(a, b, entry[-1])
+                entry.append(alpha[spans[-2] : spans[-1]].copy())
+            later = None  # what the first step of the block after this one says of the steps before it
             pairs = np.zeros((s, s))
-            for t in range(len(spans) - 1, 0, -1):
-                (i, j), before = spans[t], spans[t - 1][0]
-                ahead = says[i:j] * beta[i:j]
-                pairs += alpha[before : before + j - i].T @ ahead
-                np.matmul(ahead, back, out=beta[before : before + j - i])
-            gamma = np.multiply(alpha, beta, out=says.reshape(s, -1).T)  # its states are rows in memory
-            start += gamma[: len(lanes)].sum(axis=0)
+            for a, b, before in reversed(list(zip(borders, borders[1:], entry, strict=False))):
+                spans, symbols, says, alpha, scale = forward(a, b, before)
+                beta = room[2][: spans[-1]]
+                beta[:] = 1.0
+                says /= scale
+                if later is not None:
+                    np.matmul(later, back, out=beta[spans[-2] : spans[-2] + len(later)])
+                    pairs += alpha[spans[-2] : spans[-2] + len(later)].T @ later
+                for t in range(len(spans) - 2, 0, -1):
+                    i, j, p = spans[t], spans[t + 1], spans[t - 1]
+                    ahead = says[i:j] * beta[i:j]
+                    pairs += alpha[p : p + j - i].T @ ahead
+                    np.matmul(ahead, back, out=beta[p : p + j - i])
+                if a:
+                    later = says[: spans[1]] * beta[: spans[1]]
+                alpha *= beta  # now the probability of each state given the whole sequence
+                if a == 0:
+                    start += alpha[: spans[1]].sum(axis=0, dtype=float)
+                order = np.argsort(symbols, kind="stable")
+                found, from_ = np.unique(symbols[order], return_index=True)
+                out[found] += np.add.reduceat(alpha[order].astype(float), from_, axis=0)
             move += self.move * pairs
-            for z in range(s):
-                out[z] += np.bincount(symbols, gamma[:, z], c)
-        return start, move, out
+        return start, move, out.T
+
+
+def _going(sizes: np.ndarray) -> np.ndarray:
+    """How many of the sequences, longest first, have a step t, for each t."""
+    return np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
 
 
-def _cells(start: np.ndarray, move: np.ndarray, say: np.ndarray) -> np.ndarray:
-    return np.concatenate([start, move.ravel(), say.ravel()])
+ENCODED = "batch long, ids array<long>, learn binary, symbols binary, sizes binary, words array<string>"
 
 
-def encoded(training: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(symbols, sizes): a row for many texts, their symbols and sequence lengths as 32-bit numbers."""
-    known = training.sparkSession.sparkContext.broadcast(lexicon)
+def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """A row for many texts of docs (key, text, learn): keys, which to learn from, symbols and lengths, and other words."""
+    known = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            read = [known.value.read(t)[0] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"symbols": [np.concatenate(read).tobytes()], "sizes": [np.array([len(x) for x in read], np.int32).tobytes()]})
+        number = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", 4 << 20):
+            outer: dict[bytes, int] = {}
+            read = [known.value.read(t, outer) for t in batch.column(1).to_pylist()]
+            learn = np.array(batch.column(2).to_pylist(), bool)
+            row = [[number], [batch.column(0).to_pylist()], [learn.tobytes()], [np.concatenate(read).tobytes()], [np.array([len(x) for x in read], np.int32).tobytes()], [[w.decode() for w in outer]]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
+            number += 1
+
+    return docs.mapInArrow(run, ENCODED)
+
+
+def _sequences(symbols: bytes, sizes: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(symbols, np.int32), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
+
+
+def _to_learn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """Training sequences and the other words that they number from 0 on (added to the symbols), for many rows at a time."""
+    kept: list[np.ndarray] = []
+    outer: dict[bytes, int] = {}
+    held = 0
+    for batch in batches:
+        learn, symbols, sizes, words, first = (batch.column(i) for i in range(5))
+        for i in range(batch.num_rows):
+            here = np.array([outer.setdefault(w.encode(), len(outer)) for w in words[i].as_py()], np.int32)
+            beyond = first[i].as_py()
+            for x, use in zip(_sequences(symbols[i].as_py(), sizes[i].as_py()), np.frombuffer(learn[i].as_py(), bool), strict=True):
+                if use:
+                    x = x.copy()
+                    other = x >= beyond
+                    x[other] = here[x[other] - beyond] + beyond
+                    kept.append(x)
+                    held += len(x)
+            if held >= GATHERED:
+                yield kept, list(outer)
+                kept, outer, held = [], {}, 0
+    if kept:
+        yield kept, list(outer)
+
+
+def _rows(at: np.ndarray, values: np.ndarray, words: list[str] | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
+    """(cell, word, n, g0 ...): a row of values for each word with its count, or for each cell whose values aren't all 0."""
+    if words is None:
+        some = np.flatnonzero(values.any(axis=1))
+        at, values, words, n = at[some], values[some], [None] * len(some), np.zeros(len(some), np.int64)
+    cols = [pa.array(at.astype(np.int64)), pa.array(words, pa.string()), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(v)) for v in values.T)]
+    return pa.RecordBatch.from_arrays(cols, names=["cell", "word", "n", *_STATES])
+
+
+#: Cells of the counts of starts and of moves from each state; cells from 0 on are symbols.
+_START, _MOVE = -1, -2
+_COUNTS = "cell long, word string, n long, " + ", ".join(f"{g} double" for g in _STATES)
+
+
+def _counted(texts: DataFrame, lexicon: Lexicon, model: Hmm, words: bool) -> DataFrame:
+    """Expected counts of each task as rows of cells; with `words`, also for every word outside the head."""
+    sent = texts.sparkSession.sparkContext.broadcast((model, lexicon.symbols, lexicon.head))
 
-    return training.select("text").mapInArrow(run, "symbols binary, sizes binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hmm, symbols, head = sent.value
+        start, move, say = np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
+        for sequences, outer in _to_learn(batches):
+            cls = np.array([class_of(w) for w in outer], np.int64)
+            if words:
+                a, b, c = hmm.with_words(hmm.say.T[head + cls]).expected(sequences)
+                own, said = c.T[symbols:], np.concatenate(sequences)
+                n = np.bincount(said[said >= symbols] - symbols, minlength=len(outer))
+                yield _rows(np.full(len(own), symbols), own, [w.decode() for w in outer], n)
+                np.add.at(c.T, head + cls, own)
+            else:
+                for x in sequences:
+                    other = x >= symbols
+                    x[other] = head + cls[x[other] - symbols]
+                a, b, c = hmm.expected(sequences)
+            start, move, say = start + a, move + b, say + c.T[:symbols]
+        yield _rows(np.full(1, _START), start)
+        yield _rows(_MOVE - np.arange(STATES), move)
+        yield _rows(np.arange(symbols), say)
+
+    read = texts.select("learn", "symbols", "sizes", "words", F.lit(lexicon.symbols).alias("beyond"))
+    return read.mapInArrow(run, _COUNTS)
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("cell").agg(*(F.sum(g).alias(g) for g in _STATES))
+
+
+def _model_of(sums: pa.Table, symbols: int) -> tuple[Hmm, np.ndarray]:
+    """The model that the summed counts give, and the symbols' counts by state."""
+    cell, values = sums.column("cell").to_numpy(), np.stack([sums.column(g).to_numpy() for g in _STATES], axis=1)
+    start, move, say = np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
+    start[_START - cell[cell == _START]] = values[cell == _START]
+    move[_MOVE - cell[cell <= _MOVE]] = values[cell <= _MOVE]
+    say[cell[cell >= 0]] = values[cell >= 0]
+    return Hmm.from_counts(start[0], move, say.T), say
+
+
+def bigrams(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """How often each of the STARTERS most frequent words follows each, over all training texts."""
+    m, symbols = min(STARTERS, lexicon.head), lexicon.symbols
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(m * m)
+        for sequences, _ in _to_learn(batches):
+            x = np.concatenate(sequences).astype(np.int64)
+            a, b = x[:-1], x[1:]  # across texts too, but there stands an end, which is no starter
+            both = (a < m) & (b < m)
+            total += np.bincount(a[both] * m + b[both], minlength=m * m)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-def train(training: DataFrame, lexicon: Lexicon) -> Hmm:
-    """Baum-Welch over all of training: each partition's expected counts are rows (cell, value), added up by Spark."""
-    spark, symbols = training.sparkSession, lexicon.symbols
-    texts = written(encoded(training, lexicon), "symbols")
-    model = Hmm.first(lexicon.symbol_n)
-    for _ in range(ITERATIONS):
-        now = spark.sparkContext.broadcast(model)
+    read = texts.select("learn", "symbols", "sizes", "words", F.lit(symbols).alias("beyond"))
+    sums = read.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(m * m)
+    out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    return out.reshape(m, m)
 
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = 0
-            for batch in batches:
-                for said, sizes in zip(*batch.columns, strict=True):
-                    sequences = np.split(np.frombuffer(said.as_py(), np.int32), np.cumsum(np.frombuffer(sizes.as_py(), np.int32))[:-1])
-                    total = total + _cells(*now.value.expected(sequences))
-            if isinstance(total, np.ndarray):
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "value"])
 
-        sums = texts.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-        cells = np.zeros(STATES + STATES * STATES + STATES * symbols)
-        cells[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
-        model = Hmm.from_counts(cells[:STATES], cells[STATES : STATES + STATES**2].reshape(STATES, STATES), cells[STATES + STATES**2 :].reshape(STATES, symbols))
-        now.unpersist()
-    drop_written(texts)
-    return model
+def train(texts: DataFrame, lexicon: Lexicon) -> tuple[Hmm, np.ndarray, DataFrame]:
+    """Baum-Welch over the encoded training texts: the model, its symbols' counts by state, and (word, n, g0 ...) of all other words."""
+    model = Hmm.first(lexicon.symbol_n, bigrams(texts, lexicon))
+    for _ in range(ITERATIONS - 1):
+        model, _ = _model_of(_added(_counted(texts, lexicon, model, False)).toArrow(), lexicon.symbols)
+    last = written(_counted(texts, lexicon, model, True), "expected")
+    model, say = _model_of(_added(last.where("word is null")).toArrow(), lexicon.symbols)
+    others = last.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(g).cast("float").alias(g) for g in _STATES))
+    return model, say, written(others, "others")
 
 
-SCORED = "n_tokens long, known long, base double, score double, words array<string>, classes array<int>, times array<int>"
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: Hmm, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (key, text); a null text is empty.
+def score(texts: DataFrame, lexicon: Lexicon, model: Hmm, say: np.ndarray, others: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) for every encoded text.
 
-    Each task does what the head words allow and lists the other words of each text; these meet the count table in a join
-    by word. Rows that repeat a key, and null keys, are scored each for itself.
+    The other words of a batch of texts meet their table by a join on words, come together again by batch, and are more
+    symbols to the model there.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((lexicon, model))
-    end_base = float(np.log10((counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0) + 0.5) - lexicon.base_log())
-    names = ["row", key, *(x.split()[0] for x in SCORED.split(", "))]
+    sent = texts.sparkSession.sparkContext.broadcast((lexicon, model, say[lexicon.head : lexicon.head + CLASSES]))
+    asked = texts.select("batch", F.posexplode("words").alias("at", "word"))
+    met = asked.join(others, "word").select("batch", F.struct("at", "n", F.array(*_STATES).alias("g")).alias("o"))
+    found = met.groupBy("batch").agg(F.collect_list("o").alias("o")).select("batch", F.col("o.at").alias("at"), F.col("o.n").alias("n"), F.flatten("o.g").alias("g"))
+    both = texts.select("batch", "ids", "symbols", "sizes", "words").join(found, "batch", "left").drop("batch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, hmm = sent.value
-        for batch in slices(batches, "text"):
-            read = [lex.read(t) for t in batch.column(2).to_pylist()]
-            likelihood = hmm.log10([r[0] for r in read])
-            heads = [(float(lex.base[h].sum()), float(lex.within[h].sum()), len(h)) for _, h, _ in read]
-            cols = [
-                pa.array([len(r[0]) for r in read], pa.int64()), pa.array([h[2] for h in heads], pa.int64()), pa.array([h[0] + end_base for h in heads]), pa.array([h[1] + p for h, p in zip(heads, likelihood.tolist(), strict=True)]),
-                pa.array([[w.decode() for w in r[2]] for r in read], pa.list_(pa.string())), pa.array([list(map(class_of, r[2])) for r in read], pa.list_(pa.int32())), pa.array([list(r[2].values()) for r in read], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias(key), "text")
-    done = written(rows.mapInArrow(run, f"row long, {key} long, {SCORED}"), "scored")
-    class_logs = F.array(*(F.lit(float(x)) for x in lexicon.class_log()))
-    others = done.select("row", F.explode(F.arrays_zip("words", "classes", "times")).alias("o")).select("row", F.col("o.words").alias("word"), F.col("o.classes").alias("k"), F.col("o.times").alias("times"))
-    met = others.join(counts.select("word", "n"), "word", "left").withColumn("log", F.log10(F.coalesce("n", F.lit(0)) + 0.5))
-    sums = met.groupBy("row").agg(F.sum(F.col("times") * (F.col("log") - lexicon.base_log())).alias("more_base"), F.sum(F.col("times") * (F.col("log") - F.element_at(class_logs, F.col("k") + 1))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    end_known = F.lit(1 if lexicon.n else 0)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return done.drop("words", "classes", "times").join(sums, "row", "left").select(
-        key, "n_tokens", (F.col("known") + zero("more_known") + end_known).cast("long").alias("n_known"), F.lit(lexicon.n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more")).alias("score"),
-    )
+        lex, hmm, in_class = sent.value
+        base, size = lex.base_logs(), lex.class_size()
+        for batch in batches:
+            for ids, symbols, sizes, words, at, n, g in zip(*batch.columns, strict=True):
+                sequences, words = _sequences(symbols.as_py(), sizes.as_py()), words.as_py()
+                cls = np.array([class_of(w.encode()) for w in words], np.int64)
+                counts, own = np.zeros(len(words)), np.zeros((len(words), STATES))
+                if at.is_valid and len(words):
+                    places = at.values.to_numpy()
+                    counts[places] = n.values.to_numpy()
+                    own[places] = g.values.to_numpy().reshape(-1, STATES)
+                within = outer_probability(counts, own, in_class[cls], size[cls])
+                model = hmm.with_words(hmm.say.T[lex.head + cls] * within)
+                logs = np.concatenate([base, np.log10(counts + 0.5) - lex.base_log()])
+                seen = np.concatenate([np.full(lex.symbols, lex.n > 0), counts > 0])
+                flat = np.concatenate(sequences)
+                from_ = np.cumsum([0, *map(len, sequences[:-1])])
+                cols = [
+                    pa.array(ids.as_py(), pa.int64()), pa.array([len(x) for x in sequences], pa.int64()), pa.array(np.add.reduceat(seen[flat].astype(np.int64), from_)),
+                    pa.array(np.add.reduceat(logs[flat], from_)), pa.array(model.log10(sequences)),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
+
+    return both.mapInArrow(run, SCORED)
+
+
+def outer_probability(counts: np.ndarray, own: np.ndarray, in_class: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The probability of words within their class, a column for each state.
+
+    counts, own: a word's occurrences, and those by state; in_class, size: the same of its class. A state that never says
+    the class takes the class at large.
+    """
+    at_large = ((counts + 0.5) / size)[:, None]
+    never = in_class <= 0
+    of_state = np.where(never, at_large, own / np.where(never, 1.0, in_class))
+    return (1 - AT_LARGE) * of_state + AT_LARGE * at_large
 
 
 def scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
-    """All documents' scores by what is learned from those whose fold isn't held out; a null doc_id is not learned from."""
-    training = docs.where(fold() != held_out).select("text")
-    counts = written(word_counts(training), "counts")
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
+
+    Learned from the rows whose fold isn't held out; a null doc_id is not learned from. A null or empty text is one end.
+    Rows that repeat an id or a text are learned from and scored each for itself, in any table, one without rows included;
+    a text of any length is one sequence. With nothing to learn from, counts are 0 and the model says all symbols alike.
+    """
+    learn = F.coalesce(fold() != held_out, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    counts = written(word_counts(rows.where(learn).select("text")), "counts")
     lexicon = Lexicon(counts)
-    model = train(training, lexicon)
-    return score(docs.select("doc_id", "text"), counts, lexicon, model)
+    texts = written(encoded(rows.withColumn("learn", learn), lexicon), "symbols")
+    scored = score(texts, lexicon, *train(texts, lexicon))
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(lexicon.n).cast("long").alias("train_tokens"), "base_score", "score")

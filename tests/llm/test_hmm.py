@@ -5,8 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lodequery.llm import hmm
+from lodequery.llm import hmm, queries
 
 
 def words(text):
@@ -30,7 +31,6 @@ def corpus():
 
 def test_base_score_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 20)
-    monkeypatch.setattr(hmm, "TOP", 8)
     rows = corpus()
     counts = Counter(t for i, x, _ in rows if learned(i) for t in [*words(x), "\n"])
     n, v = sum(counts.values()), len(counts)
@@ -46,18 +46,20 @@ def test_base_score_against_brute_force(spark, monkeypatch):
 
 
 def test_word_probabilities_add_up(spark, monkeypatch):
-    """Over a closed vocabulary with one unknown word for each class, one-token texts exhaust the start distribution."""
+    """Within a class and state, the words that training holds and one word for all others exhaust the class."""
     monkeypatch.setattr(hmm, "HEAD", 20)
-    monkeypatch.setattr(hmm, "TOP", 8)
-    docs = spark.createDataFrame([r for r in corpus() if learned(r[0])], "doc_id long, text string, x double")
-    counts = hmm.word_counts(docs).cache()
-    lex = hmm.Lexicon(counts)
-    assert lex.tops <= 8 and len(lex.words) <= 20
-    total = np.zeros(hmm.CLASSES)
-    for r in counts.where("word != '\n'").collect():
-        if r.n < lex.least_top:
-            total[r.cls] += (r.n + 0.5) / 10 ** lex.class_log()[r.cls]
-    assert np.allclose(total + 0.5 / 10 ** lex.class_log(), 1)
+    docs = spark.createDataFrame([r for r in corpus() if learned(r[0])], "doc_id long, text string, x double").select("doc_id", "text")
+    lex = hmm.Lexicon(hmm.word_counts(docs).cache())
+    assert 0 < lex.head <= 20
+    model, say, others = hmm.train(hmm.encoded(docs.withColumn("learn", F.lit(True)), lex), lex)
+    total, unseen = np.zeros((hmm.CLASSES, hmm.STATES)), lex.class_size()
+    in_class = say[lex.head : lex.head + hmm.CLASSES]
+    for r in others.collect():
+        k = hmm.class_of(r.word.encode())
+        total[k] += hmm.outer_probability(np.array([r.n]), np.array([[r[g] for g in hmm._STATES]]), in_class[[k]], unseen[[k]])[0]
+    none = hmm.outer_probability(np.zeros(hmm.CLASSES), np.zeros((hmm.CLASSES, hmm.STATES)), in_class, unseen)
+    assert np.allclose((total + none)[lex.class_v > 0], 1, atol=1e-4)
+    assert np.allclose(model.say.sum(axis=1), 1)
 
 
 def test_forward_and_counts_against_enumeration():
@@ -104,17 +106,91 @@ def test_empty_and_untrained(spark):
     assert hmm.scores(docs.limit(0)).count() == 0
 
 
-def test_every_iteration_reads_all_training_texts(spark, monkeypatch):
-    """The distributed training is Baum-Welch over all texts from the first iteration on, not over a sample of them."""
-    monkeypatch.setattr(hmm, "HEAD", 40)
-    monkeypatch.setattr(hmm, "TOP", 20)
-    rng = random.Random(3)
-    texts = [" ".join(f"{'ab'[i % 2]}{rng.randrange(15)}" for _ in range(rng.randrange(1, 9))) for i in range(2000)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    lex = hmm.Lexicon(hmm.word_counts(docs).cache())
-    got, want = hmm.train(docs, lex), hmm.Hmm.first(lex.symbol_n)
-    read = [lex.read(t)[0] for t in texts]
-    for _ in range(14):
-        want = hmm.Hmm.from_counts(*want.expected(read))
-    for a, b in ((got.start, want.start), (got.move, want.move), (got.say, want.say)):
-        assert np.allclose(a, b, rtol=1e-6, atol=1e-12)
+def naive(m, x):
+    """Likelihood and expected counts of one sequence by the unscaled recursions over nested lists."""
+    s, n = len(m.start), len(x)
+    alpha, beta = [[0.0] * s for _ in x], [[1.0] * s for _ in x]
+    for t in range(n):
+        for z in range(s):
+            came = m.start[z] if t == 0 else sum(alpha[t - 1][y] * m.move[y, z] for y in range(s))
+            alpha[t][z] = came * m.say[z, x[t]]
+    for t in range(n - 2, -1, -1):
+        for z in range(s):
+            beta[t][z] = sum(m.move[z, y] * m.say[y, x[t + 1]] * beta[t + 1][y] for y in range(s))
+    whole = sum(alpha[-1])
+    gamma = np.array([[alpha[t][z] * beta[t][z] / whole for z in range(s)] for t in range(n)])
+    pairs = np.zeros((s, s))
+    for t in range(1, n):
+        for y in range(s):
+            for z in range(s):
+                pairs[y, z] += alpha[t - 1][y] * m.move[y, z] * m.say[z, x[t]] * beta[t][z] / whole
+    return math.log10(whole), gamma, pairs
+
+
+def test_query_against_brute_force(spark, monkeypatch, tmp_path):
+    """The registered query's scores are those of a plain Baum-Welch over all training texts with every word's own counts."""
+    monkeypatch.setattr(hmm, "HEAD", 12)
+    monkeypatch.setattr(hmm, "STARTERS", 10)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(0, 25)))) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op10_hmm"](spark, str(tmp_path)).collect()}
+    train = {i: [w.encode() for w in words(x)] for i, x in rows if learned(i)}
+    counts = Counter(w for x in train.values() for w in x)
+    order = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))
+    while len(order) > 12:  # words with equal counts go together
+        order = [w for w in order if counts[w] > counts[order[-1]]]
+    at, end = {w: k for k, w in enumerate(order)}, len(order) + hmm.CLASSES
+    code = lambda x: [at.get(w, len(order) + hmm.class_of(w)) for w in x] + [end]
+    n = np.zeros(end + 1)
+    pairs = np.zeros((min(10, len(order)),) * 2)
+    for x in train.values():
+        for a in code(x):
+            n[a] += 1
+        for a, b in zip(code(x), code(x)[1:], strict=False):
+            if a < len(pairs) and b < len(pairs):
+                pairs[a, b] += 1
+    m = hmm.Hmm.first(n, pairs)
+    for _ in range(hmm.ITERATIONS):
+        start, move, say, own = np.zeros(hmm.STATES), np.zeros((hmm.STATES,) * 2), np.zeros((end + 1, hmm.STATES)), {}
+        for x in train.values():
+            _, gamma, more = naive(m, code(x))
+            start, move = start + gamma[0], move + more
+            for k, w, g in zip(code(x), [*x, None], gamma, strict=True):
+                say[k] += g
+                own[w] = own.get(w, 0) + g
+        m = hmm.Hmm.from_counts(start, move, say.T)
+    cls_n, cls_v = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in at:
+            cls_n[hmm.class_of(w)] += c
+            cls_v[hmm.class_of(w)] += 1
+    for i, x in rows:
+        x = [w.encode() for w in words(x)]
+        y, extra = [], []
+        for w, k in zip([*x, None], code(x), strict=True):
+            if len(order) <= k < end:
+                c = k - len(order)
+                large = (counts[w] + 0.5) / (cls_n[c] + 0.5 * (cls_v[c] + 1))
+                state = [own[w][z] / say[k][z] if say[k][z] > 0 and w in own else (0.0 if say[k][z] > 0 else large) for z in range(hmm.STATES)]
+                extra.append(m.say[:, k] * (0.5 * np.array(state) + 0.5 * large))
+                k = end + len(extra)
+            y.append(k)
+        want = naive(m.with_words(np.array(extra)), y)[0]
+        assert math.isclose(got[i].score, want, rel_tol=1e-3), (i, got[i].score, want)
+    assert len(got) == 90
+
+
+def test_blocks_change_nothing(monkeypatch):
+    """Forward probabilities kept at block borders only give the same counts, however long a sequence is."""
+    rng = np.random.default_rng(8)
+    m = hmm.Hmm.any(30)
+    data = [rng.integers(0, 30, n).astype(np.int32) for n in (700, 3, 90, 1, 250, 250)]
+    whole = m.expected(data, np.float64)
+    for room in (1, 7, 100, 1293):
+        monkeypatch.setattr(hmm, "ROOM", room)
+        for a, b in zip(m.expected(data, np.float64), whole, strict=True):
+            assert np.allclose(a, b)
+    monkeypatch.setattr(hmm, "LANES", 2)
+    for a, b in zip(m.expected(data), whole, strict=True):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
