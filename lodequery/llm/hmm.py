@@ -1,16 +1,17 @@
 """Language-model scoring by a hidden Markov model, trained by Baum-Welch over all training documents.
 
-Words are lower-cased (A-Z) runs of characters other than space and \\t to \\r; each text ends with one end token. A word
-count table over the whole training corpus gives the unigram base score.
-
-1. Texts are encoded once. Words that occur often enough to be among the HEAD most frequent, classes of all other words
-   by ending and length, and the end token are symbols; the other words are listed beside them.
-2. Training starts from the corpus's bigram counts over its most frequent words, which are clustered spectrally, and runs
-   ITERATIONS rounds of Baum-Welch: each partition's expected counts are rows, added up by Spark. Texts are never cut.
+Words are lower-cased (A-Z) runs of characters other than space and \\t to \\r; each text ends with one end token.
+
+1. Texts are split once, and numbered by a word list for each batch of them. The lists' counts add up to the corpus's
+   word count table, which gives the unigram base score.
+2. Words that occur often enough to be among the HEAD most frequent, classes of all other words by ending and length, and
+   the end token are the model's symbols. Training starts from the corpus's bigram counts over its most frequent words,
+   which are clustered spectrally, and runs ITERATIONS rounds of Baum-Welch: each partition's expected counts are rows,
+   added up by Spark. Texts are never cut.
 3. The last round also counts, state by state, every word outside the head: a distributed table that grows with the
    corpus. So every training word has emissions of its own; half of an outer word's probability within its class is that
    of the state, half that of the class at large, which leaves room for words never seen.
-4. Scoring meets that table by a join on words and runs the exact scaled forward recursion over whole texts.
+4. These counts return to the batches that hold the words, and the exact scaled forward recursion scores whole texts.
 
 What is sent to every task has a bound: HEAD words and the model's (HEAD + CLASSES + 1) * STATES probabilities.
 """
@@ -18,20 +19,20 @@ What is sent to every task has a bound: HEAD words and the model's (HEAD + CLASS
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, fold, slices, written
+from .common import fold, slices, written
 
-STATES, ITERATIONS = 8, 5
-HEAD = 65_536
+STATES, ITERATIONS = 8, 4
+HEAD = 262_144
 ENDINGS, LENGTHS = 48, 4
 CLASSES = ENDINGS * LENGTHS
 #: The most frequent words whose bigrams give the start.
@@ -39,47 +40,70 @@ STARTERS = 512
 SMOOTH = 0.1
 #: The share of the class at large in an outer word's probability within its class.
 AT_LARGE = 0.5
-#: Texts that step through the recursions together, and tokens whose state probabilities are held at a time.
-LANES, ROOM = 4096, 262_144
+#: Tokens whose state probabilities are held at a time: those of texts that step through the recursions together.
+ROOM = 1_000_000
 #: Tokens that a task gathers before it runs the recursions.
-GATHERED = 1_000_000
+GATHERED = 4_000_000
+#: Bytes of text that are numbered together.
+BATCH_BYTES = 8 << 20
+#: Shares of states of an outer word travel as 16-bit numbers, four in a long.
+SHARE = 65535
 END = "\n"
 _STATES = [f"g{z}" for z in range(STATES)]
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def class_of(word: str) -> int:
+    """0 to CLASSES - 1, by the last two characters and the length in characters."""
+    return zlib.crc32(word[-2:].encode()) % ENDINGS * LENGTHS + (len(word) > 4) + (len(word) > 8) + (len(word) > 14)
 
 
-def class_of(word: bytes) -> int:
-    """0 to CLASSES - 1, by the last two characters and the length in characters."""
-    text = word.decode()
-    return zlib.crc32(text[-2:].encode()) % ENDINGS * LENGTHS + (len(text) > 4) + (len(text) > 8) + (len(text) > 14)
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of all texts as numbers, 0 for the end after each text; how many each text has; the word list, beginning with the end."""
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.fill_null("")))
+    every = lists.flatten()  # with empty strings where a text begins or ends in white space
+    some = pa.compute.binary_length(every).to_numpy(zero_copy_only=False) > 0
+    upto, at = np.concatenate([[0], np.cumsum(some)]), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    sizes = (upto[at[1:]] - upto[at[:-1]] + 1).astype(np.int32)
+    words = every.filter(pa.array(some)).dictionary_encode()
+    out = np.zeros(len(words) + len(sizes), np.int32)
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    out[is_word] = words.indices.to_numpy() + 1
+    return out, sizes, [END, *words.dictionary.to_pylist()]
+
+
+ENCODED = "batch long, ids array<long>, learn binary, symbols binary, sizes binary, words array<string>, n array<long>"
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, cls, n) over all training documents, the end token included with a class of its own."""
+def encoded(docs: DataFrame) -> DataFrame:
+    """A row for many texts of docs (key, text, learn): keys, which to learn from, words as numbers, lengths, the word list, and
+    how often each of its words occurs in the texts to learn from. The list begins with the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(c: Counter) -> pa.RecordBatch:
-            words = [w.decode() for w in c]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(map(class_of, c)), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "cls", "n"])
-
-        counts: Counter = Counter()
-        texts = 0
-        for batch in slices(batches, "text"):
-            for t in batch.column(0).to_pylist():
-                counts.update(tokens(t))
-                texts += 1
-            if len(counts) > 400_000:
-                yield rows(counts)
-                counts = Counter()
-        if counts:
-            yield rows(counts)
-        if texts:
-            yield pa.RecordBatch.from_pydict({"word": [END], "cls": pa.array([CLASSES], pa.int32()), "n": [texts]})
-
-    return training.select("text").mapInArrow(run, "word string, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+        number = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", BATCH_BYTES):
+            symbols, sizes, words = numbered(batch.column(1))
+            learn = np.array(batch.column(2).to_pylist(), bool)
+            n = np.bincount(symbols[np.repeat(learn, sizes)], minlength=len(words))
+            row = [number, batch.column(0).to_pylist(), learn.tobytes(), symbols.tobytes(), sizes.tobytes(), words, n]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
+            number += 1
+
+    return docs.mapInArrow(run, ENCODED)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) over the encoded training texts, the end token included."""
+    each = texts.select(F.explode(F.arrays_zip("words", "n")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.n").alias("n"))
+    return each.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _class_column(word: Column) -> Column:
+    """class_of() as an expression."""
+    size = F.length(word)
+    longer = sum(((size > k).cast("int") for k in (4, 8, 14)), F.lit(0))
+    return (F.crc32(F.right(word, F.lit(2)).cast("binary")) % ENDINGS * LENGTHS + longer).cast("int")
 
 
 class Lexicon:
@@ -96,9 +120,9 @@ class Lexicon:
         self.least = self._least(words)
         head = words.where(F.col("n") >= self.least).toArrow().to_pydict()
         order = sorted(range(len(head["n"])), key=lambda i: (-head["n"][i], head["word"][i]))
-        self.words = {head["word"][i].encode(): k for k, i in enumerate(order)}
+        self.words = {head["word"][i]: k for k, i in enumerate(order)}
         self.class_n, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-        for r in words.where(F.col("n") < self.least).groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        for r in words.where(F.col("n") < self.least).groupBy(_class_column(F.col("word")).alias("cls")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
             self.class_n[r["cls"]], self.class_v[r["cls"]] = r["n"], r["v"]
         ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
         self.symbols = len(order) + CLASSES + 1
@@ -133,17 +157,14 @@ class Lexicon:
         logs[self.head : self.head + CLASSES] = 0.0
         return logs
 
-    def read(self, text: str | None, outer: dict[bytes, int]) -> np.ndarray:
-        """The symbols of a text with its end. Other words get numbers from `symbols` on, by their place in outer."""
-        words = tokens(text)
-        out = np.empty(len(words) + 1, np.int32)
-        out[-1] = self.symbols - 1
-        if words:
-            at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int32, len(words))
-            other = np.flatnonzero(at < 0)
-            at[other] = [self.symbols + outer.setdefault(words[i], len(outer)) for i in other.tolist()]
-            out[:-1] = at
-        return out
+    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a word list: symbols, where words outside the head have their class's; which ones these are; their classes."""
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int32, len(words))
+        at[0] = self.symbols - 1
+        outer = np.flatnonzero(at < 0)
+        cls = np.fromiter((class_of(words[i]) for i in outer.tolist()), np.int32, len(outer))
+        at[outer] = self.head + cls
+        return at, outer, cls
 
 
 class Hmm:
@@ -196,8 +217,8 @@ class Hmm:
         return Hmm.from_counts(np.ones(STATES), move, symbol_n * share)
 
     def with_words(self, words: np.ndarray) -> Hmm:
-        """The model with more symbols: for each a row of probabilities by state."""
-        return Hmm(self.start, self.move, np.concatenate([self.say, words.T], axis=1)) if len(words) else self
+        """The model with more symbols: for each a column of probabilities by state."""
+        return Hmm(self.start, self.move, np.concatenate([self.say, words], axis=1))
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Exact log10 likelihood of each sequence by the scaled forward recursion, all of them a step at a time."""
@@ -208,14 +229,14 @@ class Hmm:
         going = _going(sizes[order])
         flat = np.concatenate([sequences[i] for i in order])
         first = np.cumsum(sizes[order]) - sizes[order]
-        say, total = np.ascontiguousarray(self.say.T), np.zeros(len(sequences))
-        alpha = np.repeat(self.start[None, :], len(sequences), axis=0)
+        say, back, total = np.ascontiguousarray(self.say), np.ascontiguousarray(self.move.T), np.zeros(len(sequences))
+        alpha = np.repeat(self.start[:, None], len(sequences), axis=1)
         for t, n in enumerate(going.tolist()):
             if t:
-                alpha = alpha[:n] @ self.move
-            alpha = alpha * say[flat[first[:n] + t]]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
+                alpha = back @ alpha[:, :n]
+            alpha *= say[:, flat[first[:n] + t]]
+            scale = alpha.sum(axis=0)
+            alpha /= scale
             total[:n] += np.log10(scale)
         out = np.empty(len(sequences))
         out[order] = total
@@ -224,75 +245,91 @@ class Hmm:
     def expected(self, sequences: list[np.ndarray], real: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts (Baum-Welch) of starts, moves and emissions over whole sequences.
 
-        State probabilities are held for ROOM tokens at a time: where a group of sequences has more, the forward pass keeps
-        them at block borders only and each block's are made again on the way back. Probabilities of a token have 32 bits,
-        sums 64.
+        State probabilities are held for ROOM tokens at a time. Where one sequence has more, the forward pass keeps them at
+        block borders only and each block's are made again on the way back. Probabilities of a token have 32 bits, sums 64.
         """
         s, c = self.say.shape
-        start, move, out = np.zeros(s), np.zeros((s, s)), np.zeros((c, s))
-        say, ahead_of, back = np.ascontiguousarray(self.say.T, real), np.ascontiguousarray(self.move, real), np.ascontiguousarray(self.move.T, real)
-        first_state, ones = self.start.astype(real), np.ones(s, real)
+        start, move, out = np.zeros(s), np.zeros((s, s)), np.zeros((s, c))
         ordered = sorted(sequences, key=len, reverse=True)
-        for k in range(0, len(ordered), LANES):
-            lanes = ordered[k : k + LANES]
-            sizes = np.array([len(x) for x in lanes])
-            flat, at, going = np.concatenate(lanes), np.cumsum(sizes) - sizes, _going(sizes)
-            upto = np.concatenate([[0], np.cumsum(going)])
-            borders = [0]
-            while borders[-1] < len(going):
-                borders.append(max(borders[-1] + 1, int(np.searchsorted(upto, upto[borders[-1]] + ROOM, side="right")) - 1))
-            width = max(upto[b] - upto[a] for a, b in zip(borders, borders[1:], strict=False))
-            room = np.empty((3, width, s), real)
-            entry: list[np.ndarray | None] = [None]  # the state probabilities with which each block begins
-
-            def forward(a: int, b: int, before: np.ndarray | None, room=room, going=going, upto=upto, at=at, flat=flat) -> tuple:
-                n = going[a:b]
-                spans = (upto[a : b + 1] - upto[a]).tolist()
-                lane = np.arange(spans[-1]) - np.repeat(upto[a:b] - upto[a], n)
-                symbols = flat[at[lane] + np.repeat(np.arange(a, b), n)]
-                says, alpha, _ = (x[: spans[-1]] for x in room)
-                np.take(say, symbols, axis=0, out=says, mode="clip")
-                scale = np.empty((spans[-1], 1), real)
-                for i, j in zip(spans, spans[1:], strict=False):
-                    now = alpha[i:j]
-                    if before is None:
-                        now[:] = first_state
-                    else:
-                        np.matmul(before[: j - i], ahead_of, out=now)
-                    now *= says[i:j]
-                    scale[i:j, 0] = now @ ones
-                    now /= scale[i:j]
-                    before = now
-                return spans, symbols, says, alpha, scale
-
-            for a, b in list(zip(borders, borders[1:], strict=False))[:-1]:
-                spans, _, _, alpha, _ = forward(a, b, entry[-1])
-                entry.append(alpha[spans[-2] : spans[-1]].copy())
-            later = None  # what the first step of the block after this one says of the steps before it
-            pairs = np.zeros((s, s))
-            for a, b, before in reversed(list(zip(borders, borders[1:], entry, strict=False))):
-                spans, symbols, says, alpha, scale = forward(a, b, before)
-                beta = room[2][: spans[-1]]
-                beta[:] = 1.0
+        group = np.zeros(len(ordered), np.int64)  # sequences of about equal length go together
+        held = 0
+        for k, x in enumerate(ordered):
+            held += len(x)
+            group[k] = group[k - 1] + (held > ROOM) if k else 0
+            held = len(x) if held > ROOM else held
+        for k in range(group[-1] + 1 if len(group) else 0):
+            lanes = _Lanes(self, ordered[np.searchsorted(group, k) : np.searchsorted(group, k, side="right")], real)
+            pairs, later = np.zeros((s, s)), None  # later: what the step after a block says of the one before it
+            for a, b, before in reversed(lanes.blocks()):
+                spans, symbols, says, alpha, scale = lanes.forward(a, b, before)
                 says /= scale
+                beta = lanes.room[2][:, : spans[-1]]
+                beta[:] = 1.0
                 if later is not None:
-                    np.matmul(later, back, out=beta[spans[-2] : spans[-2] + len(later)])
-                    pairs += alpha[spans[-2] : spans[-2] + len(later)].T @ later
+                    n = later.shape[1]
+                    np.matmul(lanes.onward, later, out=beta[:, spans[-2] : spans[-2] + n])
+                    pairs += alpha[:, spans[-2] : spans[-2] + n] @ later.T
                 for t in range(len(spans) - 2, 0, -1):
                     i, j, p = spans[t], spans[t + 1], spans[t - 1]
-                    ahead = says[i:j] * beta[i:j]
-                    pairs += alpha[p : p + j - i].T @ ahead
-                    np.matmul(ahead, back, out=beta[p : p + j - i])
-                if a:
-                    later = says[: spans[1]] * beta[: spans[1]]
+                    ahead = says[:, i:j] * beta[:, i:j]
+                    pairs += alpha[:, p : p + j - i] @ ahead.T
+                    np.matmul(lanes.onward, ahead, out=beta[:, p : p + j - i])
+                later = says[:, : spans[1]] * beta[:, : spans[1]]
                 alpha *= beta  # now the probability of each state given the whole sequence
+                for z in range(s):
+                    out[z] += np.bincount(symbols, alpha[z], c)
                 if a == 0:
-                    start += alpha[: spans[1]].sum(axis=0, dtype=float)
-                order = np.argsort(symbols, kind="stable")
-                found, from_ = np.unique(symbols[order], return_index=True)
-                out[found] += np.add.reduceat(alpha[order].astype(float), from_, axis=0)
+                    start += alpha[:, : spans[1]].sum(axis=1, dtype=float)
             move += self.move * pairs
-        return start, move, out.T
+        return start, move, out
+
+
+class _Lanes:
+    """Sequences, longest first, that step through the forward recursion together: an array's row is a state, a column a token,
+    by step and then by sequence."""
+
+    def __init__(self, model: Hmm, sequences: list[np.ndarray], real: type):
+        sizes = np.array([len(x) for x in sequences])
+        self.flat, self.at, self.going = np.concatenate(sequences), np.cumsum(sizes) - sizes, _going(sizes)
+        self.upto = np.concatenate([[0], np.cumsum(self.going)])
+        self.borders = [0]
+        while self.borders[-1] < len(self.going):
+            most = int(np.searchsorted(self.upto, self.upto[self.borders[-1]] + ROOM, side="right")) - 1
+            self.borders.append(max(self.borders[-1] + 1, most))
+        self.say, self.start = model.say.astype(real), model.start.astype(real)[:, None]
+        self.onward, self.back = np.ascontiguousarray(model.move, real), np.ascontiguousarray(model.move.T, real)
+        self.room = np.empty((3, len(self.start), max(self.upto[b] - self.upto[a] for a, b in self.spans())), real)
+
+    def spans(self) -> list[tuple[int, int]]:
+        return list(zip(self.borders, self.borders[1:], strict=False))
+
+    def blocks(self) -> list[tuple[int, int, np.ndarray | None]]:
+        """Steps a to b of each block, with the state probabilities just before it."""
+        entry: list[np.ndarray | None] = [None]
+        for a, b in self.spans()[:-1]:
+            spans, _, _, alpha, _ = self.forward(a, b, entry[-1])
+            entry.append(alpha[:, spans[-2] : spans[-1]].copy())
+        return [(a, b, e) for (a, b), e in zip(self.spans(), entry, strict=True)]
+
+    def forward(self, a: int, b: int, before: np.ndarray | None) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each step begins, symbols, their probabilities, scaled state probabilities and scales of a block."""
+        n, spans = self.going[a:b], (self.upto[a : b + 1] - self.upto[a]).tolist()
+        lane = np.arange(spans[-1]) - np.repeat(self.upto[a:b] - self.upto[a], n)
+        symbols = self.flat[self.at[lane] + np.repeat(np.arange(a, b), n)]
+        says, alpha, _ = (x[:, : spans[-1]] for x in self.room)
+        np.take(self.say, symbols, axis=1, out=says, mode="clip")
+        scale = np.empty(spans[-1], says.dtype)
+        for i, j in zip(spans, spans[1:], strict=False):
+            now, whole = alpha[:, i:j], scale[i:j]
+            if before is None:
+                np.multiply(self.start, says[:, i:j], out=now)
+            else:
+                np.matmul(self.back, before[:, : j - i], out=now)
+                now *= says[:, i:j]
+            np.add.reduce(now, axis=0, out=whole)
+            now /= whole
+            before = now
+        return spans, symbols, says, alpha, scale
 
 
 def _going(sizes: np.ndarray) -> np.ndarray:
@@ -300,119 +337,119 @@ def _going(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
 
 
-ENCODED = "batch long, ids array<long>, learn binary, symbols binary, sizes binary, words array<string>"
-
+def _sequences(symbols: np.ndarray, sizes: bytes) -> list[np.ndarray]:
+    return np.split(symbols, np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
 
-def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """A row for many texts of docs (key, text, learn): keys, which to learn from, symbols and lengths, and other words."""
-    known = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", 4 << 20):
-            outer: dict[bytes, int] = {}
-            read = [known.value.read(t, outer) for t in batch.column(1).to_pylist()]
-            learn = np.array(batch.column(2).to_pylist(), bool)
-            row = [[number], [batch.column(0).to_pylist()], [learn.tobytes()], [np.concatenate(read).tobytes()], [np.array([len(x) for x in read], np.int32).tobytes()], [[w.decode() for w in outer]]]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
-            number += 1
-
-    return docs.mapInArrow(run, ENCODED)
-
-
-def _sequences(symbols: bytes, sizes: bytes) -> list[np.ndarray]:
-    return np.split(np.frombuffer(symbols, np.int32), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
+def _to_learn(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, apart: bool) -> Iterator[tuple[list[np.ndarray], list[tuple]]]:
+    """Training sequences in symbols, many rows at a time; `apart`: each row's outer words are symbols of their own, beyond all others.
 
-
-def _to_learn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
-    """Training sequences and the other words that they number from 0 on (added to the symbols), for many rows at a time."""
+    With them, for each row (batch, words, n, places of outer words in these, their classes, the first one's symbol).
+    """
     kept: list[np.ndarray] = []
-    outer: dict[bytes, int] = {}
-    held = 0
-    for batch in batches:
-        learn, symbols, sizes, words, first = (batch.column(i) for i in range(5))
-        for i in range(batch.num_rows):
-            here = np.array([outer.setdefault(w.encode(), len(outer)) for w in words[i].as_py()], np.int32)
-            beyond = first[i].as_py()
-            for x, use in zip(_sequences(symbols[i].as_py(), sizes[i].as_py()), np.frombuffer(learn[i].as_py(), bool), strict=True):
-                if use:
-                    x = x.copy()
-                    other = x >= beyond
-                    x[other] = here[x[other] - beyond] + beyond
-                    kept.append(x)
-                    held += len(x)
+    rows: list[tuple] = []
+    held, beyond = 0, lexicon.symbols
+    for columns in batches:
+        for batch, learn, symbols, sizes, words, n in zip(*columns, strict=True):
+            words = words.as_py()
+            codes, outer, cls = lexicon.codes(words)
+            if apart:
+                codes[outer] = beyond + np.arange(len(outer), dtype=np.int32)
+                rows.append((batch.as_py(), words, n.values.to_numpy(), outer, cls, beyond))
+                beyond += len(outer)
+            own = codes[np.frombuffer(symbols.as_py(), np.int32)]
+            new = [x for x, use in zip(_sequences(own, sizes.as_py()), np.frombuffer(learn.as_py(), bool), strict=True) if use]
+            kept += new
+            held += sum(map(len, new))
             if held >= GATHERED:
-                yield kept, list(outer)
-                kept, outer, held = [], {}, 0
-    if kept:
-        yield kept, list(outer)
+                yield kept, rows
+                kept, rows, held, beyond = [], [], 0, lexicon.symbols
+    if kept or rows:
+        yield kept, rows
 
 
-def _rows(at: np.ndarray, values: np.ndarray, words: list[str] | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
-    """(cell, word, n, g0 ...): a row of values for each word with its count, or for each cell whose values aren't all 0."""
-    if words is None:
-        some = np.flatnonzero(values.any(axis=1))
-        at, values, words, n = at[some], values[some], [None] * len(some), np.zeros(len(some), np.int64)
-    cols = [pa.array(at.astype(np.int64)), pa.array(words, pa.string()), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(v)) for v in values.T)]
-    return pa.RecordBatch.from_arrays(cols, names=["cell", "word", "n", *_STATES])
+def _learning(texts: DataFrame) -> DataFrame:
+    return texts.select("batch", "learn", "symbols", "sizes", "words", "n")
 
 
 #: Cells of the counts of starts and of moves from each state; cells from 0 on are symbols.
 _START, _MOVE = -1, -2
-_COUNTS = "cell long, word string, n long, " + ", ".join(f"{g} double" for g in _STATES)
+_CELLS = "cell long, " + ", ".join(f"{g} float" for g in _STATES)
+_WORDS = "batch long, at int, word string, n long, low long, high long"
+assert STATES == 8
 
 
-def _counted(texts: DataFrame, lexicon: Lexicon, model: Hmm, words: bool) -> DataFrame:
-    """Expected counts of each task as rows of cells; with `words`, also for every word outside the head."""
-    sent = texts.sparkSession.sparkContext.broadcast((model, lexicon.symbols, lexicon.head))
+def _cell_rows(start: np.ndarray, move: np.ndarray, say: np.ndarray) -> pa.RecordBatch:
+    cell = np.concatenate([[_START], _MOVE - np.arange(STATES), np.arange(say.shape[1])])
+    values = np.concatenate([start[:, None], move.T, say], axis=1).astype(np.float32)
+    some = np.flatnonzero(values.any(axis=0))
+    return pa.RecordBatch.from_arrays([pa.array(cell[some]), *(pa.array(v[some]) for v in values)], names=["cell", *_STATES])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hmm, symbols, head = sent.value
-        start, move, say = np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
-        for sequences, outer in _to_learn(batches):
-            cls = np.array([class_of(w) for w in outer], np.int64)
-            if words:
-                a, b, c = hmm.with_words(hmm.say.T[head + cls]).expected(sequences)
-                own, said = c.T[symbols:], np.concatenate(sequences)
-                n = np.bincount(said[said >= symbols] - symbols, minlength=len(outer))
-                yield _rows(np.full(len(own), symbols), own, [w.decode() for w in outer], n)
-                np.add.at(c.T, head + cls, own)
-            else:
-                for x in sequences:
-                    other = x >= symbols
-                    x[other] = head + cls[x[other] - symbols]
-                a, b, c = hmm.expected(sequences)
-            start, move, say = start + a, move + b, say + c.T[:symbols]
-        yield _rows(np.full(1, _START), start)
-        yield _rows(_MOVE - np.arange(STATES), move)
-        yield _rows(np.arange(symbols), say)
 
-    read = texts.select("learn", "symbols", "sizes", "words", F.lit(lexicon.symbols).alias("beyond"))
-    return read.mapInArrow(run, _COUNTS)
+def packed_shares(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each state (row) in a column's sum as two longs; 0 for columns of zeros."""
+    total = values.sum(axis=0)
+    q = np.round(values / np.where(total > 0, total, 1.0) * SHARE).astype(np.uint64)
+    low, high = (np.bitwise_or.reduce(q[k : k + 4] << (np.arange(4, dtype=np.uint64) * np.uint64(16))[:, None], axis=0) for k in (0, 4))
+    return low.view(np.int64), high.view(np.int64)
 
 
-def _added(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("cell").agg(*(F.sum(g).alias(g) for g in _STATES))
+def unpacked_shares(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    q = np.stack([(x.view(np.uint64) >> np.uint64(16 * k)) & np.uint64(SHARE) for x in (low, high) for k in range(4)]).astype(float)
+    return q / np.maximum(q.sum(axis=0), 1.0)
 
 
-def _model_of(sums: pa.Table, symbols: int) -> tuple[Hmm, np.ndarray]:
-    """The model that the summed counts give, and the symbols' counts by state."""
-    cell, values = sums.column("cell").to_numpy(), np.stack([sums.column(g).to_numpy() for g in _STATES], axis=1)
-    start, move, say = np.zeros((1, STATES)), np.zeros((STATES, STATES)), np.zeros((symbols, STATES))
-    start[_START - cell[cell == _START]] = values[cell == _START]
-    move[_MOVE - cell[cell <= _MOVE]] = values[cell <= _MOVE]
-    say[cell[cell >= 0]] = values[cell >= 0]
-    return Hmm.from_counts(start[0], move, say.T), say
+def _counted(texts: DataFrame, lexicon: Lexicon, model: Hmm, apart: bool) -> DataFrame:
+    """Expected counts of each task as rows of cells; `apart`: with rows of words for every batch's words outside the head."""
+    sent = texts.sparkSession.sparkContext.broadcast((lexicon, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, hmm = sent.value
+        s = lex.symbols
+        start, move, say = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, s))
+        for sequences, rows in _to_learn(batches, lex, apart):
+            cls = np.concatenate([np.zeros(0, np.int32), *(r[4] for r in rows)])
+            a, b, c = hmm.with_words(hmm.say[:, lex.head + cls]).expected(sequences)
+            own = c[:, s:]
+            for batch, words, n, outer, _, first in rows:
+                low, high = packed_shares(own[:, first - s : first - s + len(outer)])
+                cols = [pa.array(np.full(len(outer), batch)), pa.array(outer.astype(np.int32)), pa.array([words[i] for i in outer], pa.string()), pa.array(n[outer]), pa.array(low), pa.array(high)]
+                yield _both(None, pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _WORDS.split(", ")]))
+            start, move, say = start + a, move + b, say + c[:, :s]
+            for z in range(STATES):
+                say[z, lex.head : lex.head + CLASSES] += np.bincount(cls, own[z], CLASSES)
+        cells = _cell_rows(start, move, say)
+        yield _both(cells, None) if apart else cells
+
+    return _learning(texts).mapInArrow(run, f"{_CELLS}, {_WORDS}" if apart else _CELLS)
+
+
+def _both(cells: pa.RecordBatch | None, words: pa.RecordBatch | None) -> pa.RecordBatch:
+    """Rows of one kind with nulls for the columns of the other."""
+    n = len(cells) if cells is not None else len(words)
+    kinds = [("cell", pa.int64()), *((g, pa.float32()) for g in _STATES), ("batch", pa.int64()), ("at", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
+    own = cells if cells is not None else words
+    return pa.RecordBatch.from_arrays([own.column(k) if k in own.schema.names else pa.nulls(n, t) for k, t in kinds], names=[k for k, _ in kinds])
+
+
+def _model_of(rows: DataFrame, symbols: int) -> tuple[Hmm, np.ndarray]:
+    """The model that the rows of cells add up to, and the symbols' counts by state."""
+    sums = rows.groupBy("cell").agg(*(F.sum(g).alias(g) for g in _STATES)).toArrow()
+    cell, values = sums.column("cell").to_numpy(), np.stack([sums.column(g).to_numpy() for g in _STATES])
+    start, move, say = np.zeros((STATES, 1)), np.zeros((STATES, STATES)), np.zeros((STATES, symbols))
+    start[:, _START - cell[cell == _START]] = values[:, cell == _START]
+    move[:, _MOVE - cell[cell <= _MOVE]] = values[:, cell <= _MOVE]
+    say[:, cell[cell >= 0]] = values[:, cell >= 0]
+    return Hmm.from_counts(start[:, 0], move.T, say), say
 
 
 def bigrams(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """How often each of the STARTERS most frequent words follows each, over all training texts."""
-    m, symbols = min(STARTERS, lexicon.head), lexicon.symbols
+    m, sent = min(STARTERS, lexicon.head), texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(m * m)
-        for sequences, _ in _to_learn(batches):
+        for sequences, _ in _to_learn(batches, sent.value, False):
             x = np.concatenate(sequences).astype(np.int64)
             a, b = x[:-1], x[1:]  # across texts too, but there stands an end, which is no starter
             both = (a < m) & (b < m)
@@ -420,76 +457,74 @@ def bigrams(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    read = texts.select("learn", "symbols", "sizes", "words", F.lit(symbols).alias("beyond"))
-    sums = read.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = _learning(texts).mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(m * m)
     out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     return out.reshape(m, m)
 
 
 def train(texts: DataFrame, lexicon: Lexicon) -> tuple[Hmm, np.ndarray, DataFrame]:
-    """Baum-Welch over the encoded training texts: the model, its symbols' counts by state, and (word, n, g0 ...) of all other words."""
+    """Baum-Welch over the encoded training texts: the model, its symbols' counts by state, and the outer words of each batch
+    (batch, at, n, low, high) with their counts and shares of states over the whole corpus."""
     model = Hmm.first(lexicon.symbol_n, bigrams(texts, lexicon))
     for _ in range(ITERATIONS - 1):
-        model, _ = _model_of(_added(_counted(texts, lexicon, model, False)).toArrow(), lexicon.symbols)
+        model, _ = _model_of(_counted(texts, lexicon, model, False), lexicon.symbols)
     last = written(_counted(texts, lexicon, model, True), "expected")
-    model, say = _model_of(_added(last.where("word is null")).toArrow(), lexicon.symbols)
-    others = last.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(g).cast("float").alias(g) for g in _STATES))
-    return model, say, written(others, "others")
+    model, say = _model_of(last.where("word is null"), lexicon.symbols)
+    return model, say, _totals(last.where("word is not null"))
 
 
-SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+def _totals(words: DataFrame) -> DataFrame:
+    """n and the shares of states (low, high) of each word in each batch, over all batches. A word outside the head is rare, and
+    no batch lists it twice."""
+    w = Window.partitionBy("word")
+    one = lambda c, k: F.shiftrightunsigned(F.col(c), 16 * k).bitwiseAND(F.lit(SHARE).cast("long"))
+    sums = words.select("batch", "at", F.sum("n").over(w).alias("total"), *(F.sum(F.col("n") * one(c, k)).over(w).alias(f"{c}{k}") for c in ("low", "high") for k in range(4)))
+    again = lambda c: reduce(Column.bitwiseOR, (F.shiftleft(F.round(F.col(f"{c}{k}") / F.col("total")).cast("long"), 16 * k) for k in range(4)))
+    return sums.where("total > 0").select("batch", "at", F.col("total").alias("n"), again("low").alias("low"), again("high").alias("high"))
 
 
-def score(texts: DataFrame, lexicon: Lexicon, model: Hmm, say: np.ndarray, others: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) for every encoded text.
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-    The other words of a batch of texts meet their table by a join on words, come together again by batch, and are more
-    symbols to the model there.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast((lexicon, model, say[lexicon.head : lexicon.head + CLASSES]))
-    asked = texts.select("batch", F.posexplode("words").alias("at", "word"))
-    met = asked.join(others, "word").select("batch", F.struct("at", "n", F.array(*_STATES).alias("g")).alias("o"))
-    found = met.groupBy("batch").agg(F.collect_list("o").alias("o")).select("batch", F.col("o.at").alias("at"), F.col("o.n").alias("n"), F.flatten("o.g").alias("g"))
-    both = texts.select("batch", "ids", "symbols", "sizes", "words").join(found, "batch", "left").drop("batch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score(texts: DataFrame, lexicon: Lexicon, model: Hmm, say: np.ndarray, outer: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) for every encoded text; the outer words of a batch of texts are more symbols
+    to the model there."""
+    sent = texts.sparkSession.sparkContext.broadcast((lexicon, model, say[:, lexicon.head : lexicon.head + CLASSES]))
+
+    def run(batch: pa.Table, known: pa.Table) -> pa.Table:
         lex, hmm, in_class = sent.value
-        base, size = lex.base_logs(), lex.class_size()
-        for batch in batches:
-            for ids, symbols, sizes, words, at, n, g in zip(*batch.columns, strict=True):
-                sequences, words = _sequences(symbols.as_py(), sizes.as_py()), words.as_py()
-                cls = np.array([class_of(w.encode()) for w in words], np.int64)
-                counts, own = np.zeros(len(words)), np.zeros((len(words), STATES))
-                if at.is_valid and len(words):
-                    places = at.values.to_numpy()
-                    counts[places] = n.values.to_numpy()
-                    own[places] = g.values.to_numpy().reshape(-1, STATES)
-                within = outer_probability(counts, own, in_class[cls], size[cls])
-                model = hmm.with_words(hmm.say.T[lex.head + cls] * within)
-                logs = np.concatenate([base, np.log10(counts + 0.5) - lex.base_log()])
-                seen = np.concatenate([np.full(lex.symbols, lex.n > 0), counts > 0])
-                flat = np.concatenate(sequences)
-                from_ = np.cumsum([0, *map(len, sequences[:-1])])
-                cols = [
-                    pa.array(ids.as_py(), pa.int64()), pa.array([len(x) for x in sequences], pa.int64()), pa.array(np.add.reduceat(seen[flat].astype(np.int64), from_)),
-                    pa.array(np.add.reduceat(logs[flat], from_)), pa.array(model.log10(sequences)),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")])
-
-    return both.mapInArrow(run, SCORED)
+        out = []
+        for ids, symbols, sizes, words in zip(*(batch.column(c) for c in ("ids", "symbols", "sizes", "words")), strict=True):
+            codes, places, cls = lex.codes(words.as_py())
+            codes[places] = lex.symbols + np.arange(len(places), dtype=np.int32)
+            row = np.zeros(len(codes), np.int64)
+            row[places] = np.arange(len(places))
+            at = row[known.column("at").to_numpy()]
+            n, own = np.zeros(len(places)), np.zeros((STATES, len(places)))
+            n[at] = known.column("n").to_numpy()
+            own[:, at] = unpacked_shares(known.column("low").to_numpy(), known.column("high").to_numpy()) * n[at]
+            own_model = hmm.with_words(hmm.say[:, lex.head + cls] * outer_probability(n, own, in_class[:, cls], lex.class_size()[cls]))
+            logs = np.concatenate([lex.base_logs(), np.log10(n + 0.5) - lex.base_log()])
+            seen = np.concatenate([np.full(lex.symbols, int(lex.n > 0)), (n > 0).astype(np.int64)])
+            flat = codes[np.frombuffer(symbols.as_py(), np.int32)]
+            sequences = _sequences(flat, sizes.as_py())
+            starts = np.cumsum([0, *map(len, sequences[:-1])])
+            cols = [pa.array(ids.as_py(), pa.int64()), pa.array([len(x) for x in sequences], pa.int64()), pa.array(np.add.reduceat(seen[flat], starts)), pa.array(np.add.reduceat(logs[flat], starts)), pa.array(own_model.log10(sequences))]
+            out.append(pa.Table.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")]))
+        return pa.concat_tables(out)
+
+    return texts.select("batch", "ids", "symbols", "sizes", "words").groupBy("batch").cogroup(outer.groupBy("batch")).applyInArrow(run, SCORED)
 
 
 def outer_probability(counts: np.ndarray, own: np.ndarray, in_class: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The probability of words within their class, a column for each state.
+    """The probability of words within their class, a row for each state.
 
-    counts, own: a word's occurrences, and those by state; in_class, size: the same of its class. A state that never says
-    the class takes the class at large.
+    counts, own: a word's occurrences, and those by state; in_class, size: the same of its class. A state with under a
+    hundredth of the class takes the class at large, as its shares are too small to be exact.
     """
-    at_large = ((counts + 0.5) / size)[:, None]
-    never = in_class <= 0
-    of_state = np.where(never, at_large, own / np.where(never, 1.0, in_class))
-    return (1 - AT_LARGE) * of_state + AT_LARGE * at_large
+    at_large, never = (counts + 0.5) / size, in_class <= 0.01 * in_class.sum(axis=0)
+    return (1 - AT_LARGE) * np.where(never, at_large, own / np.where(never, 1.0, in_class)) + AT_LARGE * at_large
 
 
 def scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
@@ -500,9 +535,9 @@ def scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
     a text of any length is one sequence. With nothing to learn from, counts are 0 and the model says all symbols alike.
     """
     learn = F.coalesce(fold() != held_out, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    counts = written(word_counts(rows.where(learn).select("text")), "counts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), learn.alias("learn"))
+    texts = written(encoded(rows), "symbols")
+    counts = written(word_counts(texts), "counts")
     lexicon = Lexicon(counts)
-    texts = written(encoded(rows.withColumn("learn", learn), lexicon), "symbols")
     scored = score(texts, lexicon, *train(texts, lexicon))
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(lexicon.n).cast("long").alias("train_tokens"), "base_score", "score")

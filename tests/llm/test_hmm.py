@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodequery.llm import hmm, queries
 
 
-def words(text):
+def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
@@ -31,14 +31,15 @@ def corpus():
 
 def test_base_score_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 20)
+    monkeypatch.setattr(hmm, "BATCH_BYTES", 3000)
     rows = corpus()
-    counts = Counter(t for i, x, _ in rows if learned(i) for t in [*words(x), "\n"])
+    counts = Counter(t for i, x, _ in rows if learned(i) for t in [*words_of(x), "\n"])
     n, v = sum(counts.values()), len(counts)
     got = hmm.scores(spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(3)).collect()
     assert len(got) == len(rows)
-    texts = {(i, len(words(x)) + 1): x for i, x, _ in rows}
+    texts = {(i, len(words_of(x)) + 1): x for i, x, _ in rows}
     for r in got:
-        want = [*words(texts[r.doc_id, r.n_tokens]), "\n"]
+        want = [*words_of(texts[r.doc_id, r.n_tokens]), "\n"]
         assert r.train_tokens == n and r.n_known == sum(counts[t] > 0 for t in want)
         assert math.isclose(r.base_score, sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in want), rel_tol=1e-9)
     held = [r for r in got if r.doc_id is not None and r.doc_id < 240 and not learned(r.doc_id)]
@@ -48,18 +49,31 @@ def test_base_score_against_brute_force(spark, monkeypatch):
 def test_word_probabilities_add_up(spark, monkeypatch):
     """Within a class and state, the words that training holds and one word for all others exhaust the class."""
     monkeypatch.setattr(hmm, "HEAD", 20)
+    monkeypatch.setattr(hmm, "BATCH_BYTES", 3000)
     docs = spark.createDataFrame([r for r in corpus() if learned(r[0])], "doc_id long, text string, x double").select("doc_id", "text")
-    lex = hmm.Lexicon(hmm.word_counts(docs).cache())
+    texts = hmm.encoded(docs.withColumn("learn", F.lit(True))).cache()
+    lex = hmm.Lexicon(hmm.word_counts(texts).cache())
     assert 0 < lex.head <= 20
-    model, say, others = hmm.train(hmm.encoded(docs.withColumn("learn", F.lit(True)), lex), lex)
-    total, unseen = np.zeros((hmm.CLASSES, hmm.STATES)), lex.class_size()
-    in_class = say[lex.head : lex.head + hmm.CLASSES]
-    for r in others.collect():
-        k = hmm.class_of(r.word.encode())
-        total[k] += hmm.outer_probability(np.array([r.n]), np.array([[r[g] for g in hmm._STATES]]), in_class[[k]], unseen[[k]])[0]
-    none = hmm.outer_probability(np.zeros(hmm.CLASSES), np.zeros((hmm.CLASSES, hmm.STATES)), in_class, unseen)
-    assert np.allclose((total + none)[lex.class_v > 0], 1, atol=1e-4)
+    model, say, outer = hmm.train(texts, lex)
+    words = {(r.batch, k): w for r in texts.select("batch", "words").collect() for k, w in enumerate(r.words)}
+    assert len({b for b, _ in words}) > 1
+    found = {words[r.batch, r["at"]]: (r.n, hmm.unpacked_shares(np.array([r.low]), np.array([r.high]))[:, 0]) for r in outer.collect()}
+    total, size = np.zeros((hmm.STATES, hmm.CLASSES)), lex.class_size()
+    in_class = say[:, lex.head : lex.head + hmm.CLASSES]
+    for w, (n, share) in found.items():
+        k = hmm.class_of(w)
+        total[:, k] += hmm.outer_probability(np.array([n]), (n * share)[:, None], in_class[:, [k]], size[[k]])[:, 0]
+    none = hmm.outer_probability(np.zeros(hmm.CLASSES), np.zeros((hmm.STATES, hmm.CLASSES)), in_class, size)
+    assert np.allclose((total + none)[:, lex.class_v > 0], 1, atol=1e-3)
     assert np.allclose(model.say.sum(axis=1), 1)
+    want = Counter(w for i, x, _ in corpus() if learned(i) for w in words_of(x))
+    assert {w: n for w, (n, _) in found.items()} == {w: n for w, n in want.items() if n < lex.least}
+
+
+def test_class_expression(spark):
+    some = ["a", "ab", "über", "wörter", "日本語", "x" * 20, "𝒳𝒴𝒵", "-", "ends-here"]
+    got = spark.createDataFrame([(w,) for w in some], "word string").select(hmm._class_column(F.col("word"))).collect()
+    assert [r[0] for r in got] == [hmm.class_of(w) for w in some]
 
 
 def test_forward_and_counts_against_enumeration():
@@ -131,11 +145,12 @@ def test_query_against_brute_force(spark, monkeypatch, tmp_path):
     """The registered query's scores are those of a plain Baum-Welch over all training texts with every word's own counts."""
     monkeypatch.setattr(hmm, "HEAD", 12)
     monkeypatch.setattr(hmm, "STARTERS", 10)
+    monkeypatch.setattr(hmm, "BATCH_BYTES", 500)
     rng = random.Random(9)
     rows = [(i, " ".join(f"{'ab'[i % 2]}{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(0, 25)))) for i in range(90)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.QUERIES["op10_hmm"](spark, str(tmp_path)).collect()}
-    train = {i: [w.encode() for w in words(x)] for i, x in rows if learned(i)}
+    train = {i: words_of(x) for i, x in rows if learned(i)}
     counts = Counter(w for x in train.values() for w in x)
     order = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))
     while len(order) > 12:  # words with equal counts go together
@@ -152,31 +167,31 @@ def test_query_against_brute_force(spark, monkeypatch, tmp_path):
                 pairs[a, b] += 1
     m = hmm.Hmm.first(n, pairs)
     for _ in range(hmm.ITERATIONS):
-        start, move, say, own = np.zeros(hmm.STATES), np.zeros((hmm.STATES,) * 2), np.zeros((end + 1, hmm.STATES)), {}
+        start, move, say, own = np.zeros(hmm.STATES), np.zeros((hmm.STATES,) * 2), np.zeros((hmm.STATES, end + 1)), {}
         for x in train.values():
             _, gamma, more = naive(m, code(x))
             start, move = start + gamma[0], move + more
             for k, w, g in zip(code(x), [*x, None], gamma, strict=True):
-                say[k] += g
+                say[:, k] += g
                 own[w] = own.get(w, 0) + g
-        m = hmm.Hmm.from_counts(start, move, say.T)
+        m = hmm.Hmm.from_counts(start, move, say)
     cls_n, cls_v = Counter(), Counter()
     for w, c in counts.items():
         if w not in at:
             cls_n[hmm.class_of(w)] += c
             cls_v[hmm.class_of(w)] += 1
     for i, x in rows:
-        x = [w.encode() for w in words(x)]
         y, extra = [], []
-        for w, k in zip([*x, None], code(x), strict=True):
+        for w, k in zip([*words_of(x), None], code(words_of(x)), strict=True):
             if len(order) <= k < end:
                 c = k - len(order)
                 large = (counts[w] + 0.5) / (cls_n[c] + 0.5 * (cls_v[c] + 1))
-                state = [own[w][z] / say[k][z] if say[k][z] > 0 and w in own else (0.0 if say[k][z] > 0 else large) for z in range(hmm.STATES)]
+                used = [say[z][k] > 0.01 * say[:, k].sum() for z in range(hmm.STATES)]
+                state = [(own[w][z] / say[z][k] if w in own else 0.0) if used[z] else large for z in range(hmm.STATES)]
                 extra.append(m.say[:, k] * (0.5 * np.array(state) + 0.5 * large))
                 k = end + len(extra)
             y.append(k)
-        want = naive(m.with_words(np.array(extra)), y)[0]
+        want = naive(m.with_words(np.array(extra).reshape(-1, hmm.STATES).T), y)[0]
         assert math.isclose(got[i].score, want, rel_tol=1e-3), (i, got[i].score, want)
     assert len(got) == 90
 
@@ -191,6 +206,6 @@ def test_blocks_change_nothing(monkeypatch):
         monkeypatch.setattr(hmm, "ROOM", room)
         for a, b in zip(m.expected(data, np.float64), whole, strict=True):
             assert np.allclose(a, b)
-    monkeypatch.setattr(hmm, "LANES", 2)
+    monkeypatch.setattr(hmm, "ROOM", 600)
     for a, b in zip(m.expected(data), whole, strict=True):
         assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
