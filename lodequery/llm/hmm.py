@@ -4,16 +4,17 @@ Words are lower-cased (A-Z) runs of characters other than space and \\t to \\r;
 
 1. Texts are split once, and numbered by a word list for each batch of them. The lists' counts add up to the corpus's
    word count table, which gives the unigram base score.
-2. Words that occur often enough to be among the HEAD most frequent, classes of all other words by ending and length, and
-   the end token are the model's symbols. Training starts from the corpus's bigram counts over its most frequent words,
-   which are clustered spectrally, and runs ITERATIONS rounds of Baum-Welch: each partition's expected counts are rows,
-   added up by Spark. Texts are never cut.
-3. The last round also counts, state by state, every word outside the head: a distributed table that grows with the
-   corpus. So every training word has emissions of its own; half of an outer word's probability within its class is that
-   of the state, half that of the class at large, which leaves room for words never seen.
-4. These counts return to the batches that hold the words, and the exact scaled forward recursion scores whole texts.
-
-What is sent to every task has a bound: HEAD words and the model's (HEAD + CLASSES + 1) * STATES probabilities.
+2. The model's symbols are the TOP most frequent words at most, classes of all other words by ending and length, and the
+   end token. Training starts from the corpus's bigram counts over its most frequent words, which are clustered
+   spectrally, and runs ITERATIONS rounds of Baum-Welch: each partition's expected counts are rows, added up by Spark.
+   Texts are never cut.
+3. The last round also counts every other word state by state: those among the HEAD most frequent come to the driver, all
+   others stay a distributed table that grows with the corpus. So every training word has emissions of its own: the class's
+   times the word's within its class, of which half is the state's and half that of the class at large, which leaves room
+   for words never seen.
+4. The table's counts return to the batches that hold the words, and the exact scaled forward recursion scores whole texts.
+
+What is sent to every task has a bound: HEAD words, and STATES probabilities for each of them and of the classes.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices, written
 
-STATES, ITERATIONS = 8, 4
-HEAD = 262_144
+STATES, ITERATIONS = 8, 3
+TOP, HEAD = 16_384, 131_072
 ENDINGS, LENGTHS = 48, 4
 CLASSES = ENDINGS * LENGTHS
 #: The most frequent words whose bigrams give the start.
@@ -85,7 +86,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             symbols, sizes, words = numbered(batch.column(1))
             learn = np.array(batch.column(2).to_pylist(), bool)
             n = np.bincount(symbols[np.repeat(learn, sizes)], minlength=len(words))
-            row = [number, batch.column(0).to_pylist(), learn.tobytes(), symbols.tobytes(), sizes.tobytes(), words, n]
+            row = [number, batch.column(0).to_pylist(), learn.tobytes(), pa.compress(symbols.tobytes(), "zstd", asbytes=True), sizes.tobytes(), words, n]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
             number += 1
@@ -107,42 +108,32 @@ def _class_column(word: Column) -> Column:
 
 
 class Lexicon:
-    """What the count table tells every task: totals, class totals, and the words of the head, most frequent first.
+    """What the count table tells every task: totals, class totals, and the head's words, most frequent first.
 
-    Symbols are the head's words, then the classes of all other words, then the end token. A head word occurs twice at
-    least; of words with equal counts, all or none are in the head.
+    Symbols are the first words of the head (`top`), the classes of all other words, and the end token. A head word occurs
+    twice at least; of words with equal counts, all or none are in the head, or among its first.
     """
 
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("n"), F.count("*")).first()
         self.n, self.v = total[0] or 0, total[1]
         words = counts.where(F.col("word") != END)
-        self.least = self._least(words)
+        steps = words.select(F.floor(F.log2("n") * 64).alias("step"), "n").groupBy("step").agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+        self.least, least_top = _least(steps, HEAD), _least(steps, TOP)
         head = words.where(F.col("n") >= self.least).toArrow().to_pydict()
         order = sorted(range(len(head["n"])), key=lambda i: (-head["n"][i], head["word"][i]))
         self.words = {head["word"][i]: k for k, i in enumerate(order)}
+        n = np.array([head["n"][i] for i in order], np.int64)
+        self.top = int((n >= least_top).sum())
+        #: Counts and classes of the head's other words.
+        self.middle_n = n[self.top :]
+        self.middle_class = np.array([class_of(head["word"][i]) for i in order[self.top :]], np.int32)
         self.class_n, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-        for r in words.where(F.col("n") < self.least).groupBy(_class_column(F.col("word")).alias("cls")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        for r in words.where(F.col("n") < least_top).groupBy(_class_column(F.col("word")).alias("cls")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
             self.class_n[r["cls"]], self.class_v[r["cls"]] = r["n"], r["v"]
         ends = counts.where(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
-        self.symbols = len(order) + CLASSES + 1
-        self.symbol_n = np.concatenate([np.array([head["n"][i] for i in order], float), self.class_n, [float(ends)]])
-
-    @staticmethod
-    def _least(words: DataFrame) -> int:
-        """The least count, 2 or more, that HEAD words at most reach."""
-        steps = words.select(F.floor(F.log2("n") * 64).alias("step"), "n").groupBy("step").agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
-        seen, least = 0, steps[0]["n"] + 1 if steps else 2  # above all, should even the most frequent be too many
-        for r in steps:
-            seen += r["words"]
-            if seen > HEAD:
-                break
-            least = r["n"]
-        return max(2, least)
-
-    @property
-    def head(self) -> int:
-        return len(self.words)
+        self.symbols = self.top + CLASSES + 1
+        self.symbol_n = np.concatenate([n[: self.top].astype(float), self.class_n, [float(ends)]])
 
     def base_log(self) -> float:
         return float(np.log10(self.n + 0.5 * (self.v + 1)))
@@ -151,22 +142,41 @@ class Lexicon:
         """What a class's word counts, each with a half added, and a half for words never seen add up to."""
         return self.class_n + 0.5 * (self.class_v + 1)
 
-    def base_logs(self) -> np.ndarray:
-        """The base score of each symbol; 0 for classes, whose words are scored one by one."""
-        logs = np.log10(self.symbol_n + 0.5) - self.base_log()
-        logs[self.head : self.head + CLASSES] = 0.0
-        return logs
+    def log_of(self, n: np.ndarray) -> np.ndarray:
+        """The base score of words that occur so often."""
+        return np.log10(n + 0.5) - self.base_log()
+
+    def codes(self, words: list[str], apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a word list: symbols, the places of words outside the head, and their classes.
 
-    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For a word list: symbols, where words outside the head have their class's; which ones these are; their classes."""
+        A word that isn't a symbol has its class's; `apart`, the head's other words come after the symbols, in order, and
+        then the list's words outside the head.
+        """
         at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int32, len(words))
-        at[0] = self.symbols - 1
-        outer = np.flatnonzero(at < 0)
+        at[0] = -2
+        outer, middle = np.flatnonzero(at == -1), np.flatnonzero(at >= self.top)
         cls = np.fromiter((class_of(words[i]) for i in outer.tolist()), np.int32, len(outer))
-        at[outer] = self.head + cls
+        if apart:
+            at[middle] += self.symbols - self.top
+            at[outer] = self.symbols + len(self.middle_n) + np.arange(len(outer), dtype=np.int32)
+        else:
+            at[middle] = self.top + self.middle_class[at[middle] - self.top]
+            at[outer] = self.top + cls
+        at[0] = self.symbols - 1
         return at, outer, cls
 
 
+def _least(steps: list, most: int) -> int:
+    """The least count, 2 or more, that `most` words at most reach. steps: numbers of words by count, the highest first."""
+    seen, least = 0, steps[0]["n"] + 1 if steps else 2  # above all, should even the most frequent be too many
+    for r in steps:
+        seen += r["words"]
+        if seen > most:
+            break
+        least = r["n"]
+    return max(2, least)
+
+
 class Hmm:
     """Start, transition and emission probabilities."""
 
@@ -337,33 +347,35 @@ def _going(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
 
 
-def _sequences(symbols: np.ndarray, sizes: bytes) -> list[np.ndarray]:
-    return np.split(symbols, np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
+def _sequences(codes: np.ndarray, symbols: bytes, sizes: bytes) -> list[np.ndarray]:
+    """Each text of a row as symbols, which codes gives for the numbers of its word list."""
+    n = np.frombuffer(sizes, np.int32)
+    return np.split(codes[np.frombuffer(pa.decompress(symbols, int(n.sum(dtype=np.int64)) * 4, "zstd"), np.int32)], np.cumsum(n)[:-1])
 
 
 def _to_learn(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, apart: bool) -> Iterator[tuple[list[np.ndarray], list[tuple]]]:
-    """Training sequences in symbols, many rows at a time; `apart`: each row's outer words are symbols of their own, beyond all others.
+    """Training sequences in symbols, many rows at a time; `apart`: words that are no symbols come beyond these.
 
-    With them, for each row (batch, words, n, places of outer words in these, their classes, the first one's symbol).
+    With them, for each row (batch, words, n, places of words outside the head in these, their classes, the first one's number).
     """
     kept: list[np.ndarray] = []
     rows: list[tuple] = []
-    held, beyond = 0, lexicon.symbols
+    first = lexicon.symbols + len(lexicon.middle_n)
+    held, more = 0, 0
     for columns in batches:
         for batch, learn, symbols, sizes, words, n in zip(*columns, strict=True):
             words = words.as_py()
-            codes, outer, cls = lexicon.codes(words)
+            codes, outer, cls = lexicon.codes(words, apart)
             if apart:
-                codes[outer] = beyond + np.arange(len(outer), dtype=np.int32)
-                rows.append((batch.as_py(), words, n.values.to_numpy(), outer, cls, beyond))
-                beyond += len(outer)
-            own = codes[np.frombuffer(symbols.as_py(), np.int32)]
-            new = [x for x, use in zip(_sequences(own, sizes.as_py()), np.frombuffer(learn.as_py(), bool), strict=True) if use]
+                codes[outer] += more
+                rows.append((batch.as_py(), words, n.values.to_numpy(), outer, cls, first + more))
+                more += len(outer)
+            new = [x for x, use in zip(_sequences(codes, symbols.as_py(), sizes.as_py()), np.frombuffer(learn.as_py(), bool), strict=True) if use]
             kept += new
             held += sum(map(len, new))
             if held >= GATHERED:
                 yield kept, rows
-                kept, rows, held, beyond = [], [], 0, lexicon.symbols
+                kept, rows, held, more = [], [], 0, 0
     if kept or rows:
         yield kept, rows
 
@@ -400,24 +412,23 @@ def unpacked_shares(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _counted(texts: DataFrame, lexicon: Lexicon, model: Hmm, apart: bool) -> DataFrame:
-    """Expected counts of each task as rows of cells; `apart`: with rows of words for every batch's words outside the head."""
+    """Expected counts of each task as rows of cells; `apart`: of each word, with rows of words for those outside the head."""
     sent = texts.sparkSession.sparkContext.broadcast((lexicon, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, hmm = sent.value
-        s = lex.symbols
-        start, move, say = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, s))
+        s, m = lex.symbols, lex.symbols + len(lex.middle_n) * apart
+        start, move, say = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, m))
         for sequences, rows in _to_learn(batches, lex, apart):
-            cls = np.concatenate([np.zeros(0, np.int32), *(r[4] for r in rows)])
-            a, b, c = hmm.with_words(hmm.say[:, lex.head + cls]).expected(sequences)
-            own = c[:, s:]
+            cls = np.concatenate([lex.middle_class[: m - s], *(r[4] for r in rows)])
+            a, b, c = hmm.with_words(hmm.say[:, lex.top + cls]).expected(sequences)
             for batch, words, n, outer, _, first in rows:
-                low, high = packed_shares(own[:, first - s : first - s + len(outer)])
+                low, high = packed_shares(c[:, first : first + len(outer)])
                 cols = [pa.array(np.full(len(outer), batch)), pa.array(outer.astype(np.int32)), pa.array([words[i] for i in outer], pa.string()), pa.array(n[outer]), pa.array(low), pa.array(high)]
                 yield _both(None, pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _WORDS.split(", ")]))
-            start, move, say = start + a, move + b, say + c[:, :s]
+            start, move, say = start + a, move + b, say + c[:, :m]
             for z in range(STATES):
-                say[z, lex.head : lex.head + CLASSES] += np.bincount(cls, own[z], CLASSES)
+                say[z, lex.top : lex.top + CLASSES] += np.bincount(cls, c[z, s:], CLASSES)
         cells = _cell_rows(start, move, say)
         yield _both(cells, None) if apart else cells
 
@@ -432,20 +443,20 @@ def _both(cells: pa.RecordBatch | None, words: pa.RecordBatch | None) -> pa.Reco
     return pa.RecordBatch.from_arrays([own.column(k) if k in own.schema.names else pa.nulls(n, t) for k, t in kinds], names=[k for k, _ in kinds])
 
 
-def _model_of(rows: DataFrame, symbols: int) -> tuple[Hmm, np.ndarray]:
-    """The model that the rows of cells add up to, and the symbols' counts by state."""
+def _model_of(rows: DataFrame, symbols: int, more: int = 0) -> tuple[Hmm, np.ndarray]:
+    """The model that the rows of cells add up to, and the counts by state of its symbols and of `more` cells after them."""
     sums = rows.groupBy("cell").agg(*(F.sum(g).alias(g) for g in _STATES)).toArrow()
     cell, values = sums.column("cell").to_numpy(), np.stack([sums.column(g).to_numpy() for g in _STATES])
-    start, move, say = np.zeros((STATES, 1)), np.zeros((STATES, STATES)), np.zeros((STATES, symbols))
+    start, move, say = np.zeros((STATES, 1)), np.zeros((STATES, STATES)), np.zeros((STATES, symbols + more))
     start[:, _START - cell[cell == _START]] = values[:, cell == _START]
     move[:, _MOVE - cell[cell <= _MOVE]] = values[:, cell <= _MOVE]
     say[:, cell[cell >= 0]] = values[:, cell >= 0]
-    return Hmm.from_counts(start[:, 0], move.T, say), say
+    return Hmm.from_counts(start[:, 0], move.T, say[:, :symbols]), say
 
 
 def bigrams(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """How often each of the STARTERS most frequent words follows each, over all training texts."""
-    m, sent = min(STARTERS, lexicon.head), texts.sparkSession.sparkContext.broadcast(lexicon)
+    m, sent = min(STARTERS, lexicon.top), texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(m * m)
@@ -463,15 +474,16 @@ def bigrams(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
     return out.reshape(m, m)
 
 
-def train(texts: DataFrame, lexicon: Lexicon) -> tuple[Hmm, np.ndarray, DataFrame]:
-    """Baum-Welch over the encoded training texts: the model, its symbols' counts by state, and the outer words of each batch
-    (batch, at, n, low, high) with their counts and shares of states over the whole corpus."""
+def train(texts: DataFrame, lexicon: Lexicon) -> tuple[Hmm, np.ndarray, np.ndarray, DataFrame]:
+    """Baum-Welch over the encoded training texts: the model, the classes' counts by state, the head's other words' as well, and the
+    words outside the head in each batch (batch, at, n, low, high) with their counts and shares of states over the whole corpus."""
+    s, m = lexicon.symbols, len(lexicon.middle_n)
     model = Hmm.first(lexicon.symbol_n, bigrams(texts, lexicon))
     for _ in range(ITERATIONS - 1):
-        model, _ = _model_of(_counted(texts, lexicon, model, False), lexicon.symbols)
+        model, _ = _model_of(_counted(texts, lexicon, model, False), s)
     last = written(_counted(texts, lexicon, model, True), "expected")
-    model, say = _model_of(last.where("word is null"), lexicon.symbols)
-    return model, say, _totals(last.where("word is not null"))
+    model, say = _model_of(last.where("word is null"), s, m)
+    return model, say[:, lexicon.top : lexicon.top + CLASSES], say[:, s:], _totals(last.where("word is not null"))
 
 
 def _totals(words: DataFrame) -> DataFrame:
@@ -487,30 +499,29 @@ def _totals(words: DataFrame) -> DataFrame:
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(texts: DataFrame, lexicon: Lexicon, model: Hmm, say: np.ndarray, outer: DataFrame) -> DataFrame:
+def score(texts: DataFrame, lexicon: Lexicon, model: Hmm, in_class: np.ndarray, middle: np.ndarray, outer: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every encoded text; the outer words of a batch of texts are more symbols
     to the model there."""
-    sent = texts.sparkSession.sparkContext.broadcast((lexicon, model, say[:, lexicon.head : lexicon.head + CLASSES]))
+    sent = texts.sparkSession.sparkContext.broadcast((lexicon, model, in_class, middle))
 
     def run(batch: pa.Table, known: pa.Table) -> pa.Table:
-        lex, hmm, in_class = sent.value
+        lex, hmm, in_class, middle = sent.value
         out = []
         for ids, symbols, sizes, words in zip(*(batch.column(c) for c in ("ids", "symbols", "sizes", "words")), strict=True):
-            codes, places, cls = lex.codes(words.as_py())
-            codes[places] = lex.symbols + np.arange(len(places), dtype=np.int32)
+            codes, places, cls = lex.codes(words.as_py(), True)
             row = np.zeros(len(codes), np.int64)
             row[places] = np.arange(len(places))
             at = row[known.column("at").to_numpy()]
             n, own = np.zeros(len(places)), np.zeros((STATES, len(places)))
             n[at] = known.column("n").to_numpy()
             own[:, at] = unpacked_shares(known.column("low").to_numpy(), known.column("high").to_numpy()) * n[at]
-            own_model = hmm.with_words(hmm.say[:, lex.head + cls] * outer_probability(n, own, in_class[:, cls], lex.class_size()[cls]))
-            logs = np.concatenate([lex.base_logs(), np.log10(n + 0.5) - lex.base_log()])
-            seen = np.concatenate([np.full(lex.symbols, int(lex.n > 0)), (n > 0).astype(np.int64)])
-            flat = codes[np.frombuffer(symbols.as_py(), np.int32)]
-            sequences = _sequences(flat, sizes.as_py())
-            starts = np.cumsum([0, *map(len, sequences[:-1])])
-            cols = [pa.array(ids.as_py(), pa.int64()), pa.array([len(x) for x in sequences], pa.int64()), pa.array(np.add.reduceat(seen[flat], starts)), pa.array(np.add.reduceat(logs[flat], starts)), pa.array(own_model.log10(sequences))]
+            n, own, cls = np.concatenate([lex.middle_n, n]), np.concatenate([middle, own], axis=1), np.concatenate([lex.middle_class, cls])
+            whole = hmm.with_words(hmm.say[:, lex.top + cls] * outer_probability(n, own, in_class[:, cls], lex.class_size()[cls]))
+            n = np.concatenate([lex.symbol_n, n])
+            logs, seen = lex.log_of(n), (n > 0).astype(np.int64)
+            sequences = _sequences(codes, symbols.as_py(), sizes.as_py())
+            flat, starts = np.concatenate(sequences), np.cumsum([0, *map(len, sequences[:-1])])
+            cols = [pa.array(ids.as_py(), pa.int64()), pa.array([len(x) for x in sequences], pa.int64()), pa.array(np.add.reduceat(seen[flat], starts)), pa.array(np.add.reduceat(logs[flat], starts)), pa.array(whole.log10(sequences))]
             out.append(pa.Table.from_arrays(cols, names=[x.split()[0] for x in SCORED.split(", ")]))
         return pa.concat_tables(out)
 

@@ -31,6 +31,7 @@ def corpus():
 
 def test_base_score_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 20)
+    monkeypatch.setattr(hmm, "TOP", 8)
     monkeypatch.setattr(hmm, "BATCH_BYTES", 3000)
     rows = corpus()
     counts = Counter(t for i, x, _ in rows if learned(i) for t in [*words_of(x), "\n"])
@@ -49,17 +50,19 @@ def test_base_score_against_brute_force(spark, monkeypatch):
 def test_word_probabilities_add_up(spark, monkeypatch):
     """Within a class and state, the words that training holds and one word for all others exhaust the class."""
     monkeypatch.setattr(hmm, "HEAD", 20)
+    monkeypatch.setattr(hmm, "TOP", 8)
     monkeypatch.setattr(hmm, "BATCH_BYTES", 3000)
     docs = spark.createDataFrame([r for r in corpus() if learned(r[0])], "doc_id long, text string, x double").select("doc_id", "text")
     texts = hmm.encoded(docs.withColumn("learn", F.lit(True))).cache()
     lex = hmm.Lexicon(hmm.word_counts(texts).cache())
-    assert 0 < lex.head <= 20
-    model, say, outer = hmm.train(texts, lex)
+    assert 0 < lex.top <= 8 < len(lex.words) <= 20
+    model, in_class, middle, outer = hmm.train(texts, lex)
     words = {(r.batch, k): w for r in texts.select("batch", "words").collect() for k, w in enumerate(r.words)}
     assert len({b for b, _ in words}) > 1
     found = {words[r.batch, r["at"]]: (r.n, hmm.unpacked_shares(np.array([r.low]), np.array([r.high]))[:, 0]) for r in outer.collect()}
     total, size = np.zeros((hmm.STATES, hmm.CLASSES)), lex.class_size()
-    in_class = say[:, lex.head : lex.head + hmm.CLASSES]
+    for k, p in zip(lex.middle_class, hmm.outer_probability(lex.middle_n, middle, in_class[:, lex.middle_class], size[lex.middle_class]).T, strict=True):
+        total[:, k] += p
     for w, (n, share) in found.items():
         k = hmm.class_of(w)
         total[:, k] += hmm.outer_probability(np.array([n]), (n * share)[:, None], in_class[:, [k]], size[[k]])[:, 0]
@@ -143,7 +146,8 @@ def naive(m, x):
 
 def test_query_against_brute_force(spark, monkeypatch, tmp_path):
     """The registered query's scores are those of a plain Baum-Welch over all training texts with every word's own counts."""
-    monkeypatch.setattr(hmm, "HEAD", 12)
+    monkeypatch.setattr(hmm, "HEAD", 24)
+    monkeypatch.setattr(hmm, "TOP", 12)
     monkeypatch.setattr(hmm, "STARTERS", 10)
     monkeypatch.setattr(hmm, "BATCH_BYTES", 500)
     rng = random.Random(9)
