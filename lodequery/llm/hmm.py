@@ -22,7 +22,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices, written
 
-STATES, ITERATIONS = 8, 3
+STATES, ITERATIONS = 8, 2
 TOP, HEAD = 16_384, 131_072
 ENDINGS, LENGTHS = 48, 4
 CLASSES = ENDINGS * LENGTHS
@@ -46,7 +45,7 @@ ROOM = 1_000_000
 #: Tokens that a task gathers before it runs the recursions.
 GATHERED = 4_000_000
 #: Bytes of text that are numbered together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 #: Shares of states of an outer word travel as 16-bit numbers, four in a long.
 SHARE = 65535
 END = "\n"
@@ -58,6 +57,14 @@ def class_of(word: str) -> int:
     return zlib.crc32(word[-2:].encode()) % ENDINGS * LENGTHS + (len(word) > 4) + (len(word) > 8) + (len(word) > 14)
 
 
+def classes_of(words: pa.Array) -> np.ndarray:
+    """class_of() of each word; endings are few."""
+    ends = pa.compute.utf8_slice_codeunits(words, start=-2).dictionary_encode()
+    by_end = np.array([zlib.crc32(e.encode()) % ENDINGS * LENGTHS for e in ends.dictionary.to_pylist()], np.int32)
+    sizes = pa.compute.utf8_length(words).to_numpy(zero_copy_only=False)
+    return (by_end[ends.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)) + (sizes > 4) + (sizes > 8) + (sizes > 14)
+
+
 def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words of all texts as numbers, 0 for the end after each text; how many each text has; the word list, beginning with the end."""
     lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.fill_null("")))
@@ -122,12 +129,12 @@ class Lexicon:
         self.least, least_top = _least(steps, HEAD), _least(steps, TOP)
         head = words.where(F.col("n") >= self.least).toArrow().to_pydict()
         order = sorted(range(len(head["n"])), key=lambda i: (-head["n"][i], head["word"][i]))
-        self.words = {head["word"][i]: k for k, i in enumerate(order)}
+        self.words = pa.array([head["word"][i] for i in order], pa.string())
         n = np.array([head["n"][i] for i in order], np.int64)
         self.top = int((n >= least_top).sum())
         #: Counts and classes of the head's other words.
         self.middle_n = n[self.top :]
-        self.middle_class = np.array([class_of(head["word"][i]) for i in order[self.top :]], np.int32)
+        self.middle_class = classes_of(self.words[self.top :]).astype(np.int32)
         self.class_n, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
         for r in words.where(F.col("n") < least_top).groupBy(_class_column(F.col("word")).alias("cls")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
             self.class_n[r["cls"]], self.class_v[r["cls"]] = r["n"], r["v"]
@@ -146,16 +153,16 @@ class Lexicon:
         """The base score of words that occur so often."""
         return np.log10(n + 0.5) - self.base_log()
 
-    def codes(self, words: list[str], apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def codes(self, words: pa.Array, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For a word list: symbols, the places of words outside the head, and their classes.
 
         A word that isn't a symbol has its class's; `apart`, the head's other words come after the symbols, in order, and
         then the list's words outside the head.
         """
-        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int32, len(words))
+        at = pa.compute.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int32)
         at[0] = -2
         outer, middle = np.flatnonzero(at == -1), np.flatnonzero(at >= self.top)
-        cls = np.fromiter((class_of(words[i]) for i in outer.tolist()), np.int32, len(outer))
+        cls = classes_of(words.take(pa.array(outer))).astype(np.int32)
         if apart:
             at[middle] += self.symbols - self.top
             at[outer] = self.symbols + len(self.middle_n) + np.arange(len(outer), dtype=np.int32)
@@ -269,23 +276,19 @@ class Hmm:
             held = len(x) if held > ROOM else held
         for k in range(group[-1] + 1 if len(group) else 0):
             lanes = _Lanes(self, ordered[np.searchsorted(group, k) : np.searchsorted(group, k, side="right")], real)
-            pairs, later = np.zeros((s, s)), None  # later: what the step after a block says of the one before it
+            pairs, later = np.zeros((s, s)), None  # later: what a step says of the one before it
             for a, b, before in reversed(lanes.blocks()):
                 spans, symbols, says, alpha, scale = lanes.forward(a, b, before)
-                says /= scale
-                beta = lanes.room[2][:, : spans[-1]]
-                beta[:] = 1.0
-                if later is not None:
-                    n = later.shape[1]
-                    np.matmul(lanes.onward, later, out=beta[:, spans[-2] : spans[-2] + n])
-                    pairs += alpha[:, spans[-2] : spans[-2] + n] @ later.T
-                for t in range(len(spans) - 2, 0, -1):
-                    i, j, p = spans[t], spans[t + 1], spans[t - 1]
-                    ahead = says[:, i:j] * beta[:, i:j]
-                    pairs += alpha[:, p : p + j - i] @ ahead.T
-                    np.matmul(lanes.onward, ahead, out=beta[:, p : p + j - i])
-                later = says[:, : spans[1]] * beta[:, : spans[1]]
-                alpha *= beta  # now the probability of each state given the whole sequence
+                for i, j in reversed(list(zip(spans, spans[1:], strict=False))):
+                    now, beta = alpha[:, i:j], np.ones((s, j - i), real)
+                    if later is not None:
+                        n = later.shape[1]
+                        pairs += now[:, :n] @ later.T
+                        np.matmul(lanes.onward, later, out=beta[:, :n])
+                    now *= beta  # now the probability of each state given the whole sequence
+                    beta *= says[:, i:j]
+                    beta /= scale[i:j]
+                    later = beta
                 for z in range(s):
                     out[z] += np.bincount(symbols, alpha[z], c)
                 if a == 0:
@@ -308,7 +311,7 @@ class _Lanes:
             self.borders.append(max(self.borders[-1] + 1, most))
         self.say, self.start = model.say.astype(real), model.start.astype(real)[:, None]
         self.onward, self.back = np.ascontiguousarray(model.move, real), np.ascontiguousarray(model.move.T, real)
-        self.room = np.empty((3, len(self.start), max(self.upto[b] - self.upto[a] for a, b in self.spans())), real)
+        self.room = np.empty((2, len(self.start), max(self.upto[b] - self.upto[a] for a, b in self.spans())), real)
 
     def spans(self) -> list[tuple[int, int]]:
         return list(zip(self.borders, self.borders[1:], strict=False))
@@ -326,7 +329,7 @@ class _Lanes:
         n, spans = self.going[a:b], (self.upto[a : b + 1] - self.upto[a]).tolist()
         lane = np.arange(spans[-1]) - np.repeat(self.upto[a:b] - self.upto[a], n)
         symbols = self.flat[self.at[lane] + np.repeat(np.arange(a, b), n)]
-        says, alpha, _ = (x[:, : spans[-1]] for x in self.room)
+        says, alpha = (x[:, : spans[-1]] for x in self.room)
         np.take(self.say, symbols, axis=1, out=says, mode="clip")
         scale = np.empty(spans[-1], says.dtype)
         for i, j in zip(spans, spans[1:], strict=False):
@@ -364,7 +367,7 @@ def _to_learn(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, apart: bool)
     held, more = 0, 0
     for columns in batches:
         for batch, learn, symbols, sizes, words, n in zip(*columns, strict=True):
-            words = words.as_py()
+            words = words.values
             codes, outer, cls = lexicon.codes(words, apart)
             if apart:
                 codes[outer] += more
@@ -424,7 +427,7 @@ def _counted(texts: DataFrame, lexicon: Lexicon, model: Hmm, apart: bool) -> Dat
             a, b, c = hmm.with_words(hmm.say[:, lex.top + cls]).expected(sequences)
             for batch, words, n, outer, _, first in rows:
                 low, high = packed_shares(c[:, first : first + len(outer)])
-                cols = [pa.array(np.full(len(outer), batch)), pa.array(outer.astype(np.int32)), pa.array([words[i] for i in outer], pa.string()), pa.array(n[outer]), pa.array(low), pa.array(high)]
+                cols = [pa.array(np.full(len(outer), batch)), pa.array(outer.astype(np.int32)), words.take(pa.array(outer)), pa.array(n[outer]), pa.array(low), pa.array(high)]
                 yield _both(None, pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _WORDS.split(", ")]))
             start, move, say = start + a, move + b, say + c[:, :m]
             for z in range(STATES):
@@ -508,7 +511,7 @@ def score(texts: DataFrame, lexicon: Lexicon, model: Hmm, in_class: np.ndarray,
         lex, hmm, in_class, middle = sent.value
         out = []
         for ids, symbols, sizes, words in zip(*(batch.column(c) for c in ("ids", "symbols", "sizes", "words")), strict=True):
-            codes, places, cls = lex.codes(words.as_py(), True)
+            codes, places, cls = lex.codes(words.values, True)
             row = np.zeros(len(codes), np.int64)
             row[places] = np.arange(len(places))
             at = row[known.column("at").to_numpy()]
