@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,36 +13,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Used where the session has no spark.checkpoint.dir, as in tests.
-OWN_CHECKPOINT_DIR = "/tmp/checkpoints/lodequery"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR).rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local session may do without, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints/lodequery"
+    return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back; with `files`, by so many tasks at most.
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
     A lost executor costs a re-read of files, not a recomputation of what led to them. The files go when the session's
     folder is cleaned; each call has a folder of its own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodequery-{what}-{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(max(1, files))).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def files_for(rows: int, each: int) -> int:
-    """How many files hold so many rows: a small table is not strewn over the shuffle's partitions, a large one isn't held back."""
-    return -(-rows // each)
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
     spark = df.sparkSession
@@ -62,8 +59,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
-def column_lists(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
-    return (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*map(named, like.columns))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -81,24 +91,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
         yield batch.slice(start)
 
 
-def broadcast_value(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)
-
-
 def with_struct(docs: DataFrame, into: str, fields: str, make: Callable[[], Callable[[list], Iterable[list]]], text: str = "text") -> DataFrame:
     """docs with a struct column `into` computed from one text column in Arrow batches; all other columns pass through.
 
     make() runs once in each task and returns what turns a list of texts (None for null) into lists, one for each field.
     """
-    schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, T.StructType.fromDDL(fields))])
+    rest = [f for f in docs.schema.fields if f.name != into]
+    kept = [f.name for f in rest]
+    place = kept.index(text)
+    # by number in between, as names may hold any character
+    plain = docs.select(*(named(n).alias(f"c{i}") for i, n in enumerate(kept)))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)] + [T.StructField("made", T.StructType.fromDDL(fields))])
     kinds = to_arrow_schema(T.StructType.fromDDL(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in slices(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            made = [pa.array(x, type=f.type) for x, f in zip(compute(texts), kinds, strict=True)]
-            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != into]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.StructArray.from_arrays(made, fields=list(kinds))], names=[n for n, _ in kept] + [into])
+        for batch in slices(batches, f"c{place}"):
+            made = [pa.array(x, type=f.type) for x, f in zip(compute(batch.column(place).to_pylist()), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(made, fields=list(kinds))], names=[*batch.schema.names, "made"])
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, into)

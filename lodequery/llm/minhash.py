@@ -2,17 +2,21 @@
 
 1. Every text becomes its set of shingle hashes and HASHES minima over it. The set's digest, the low BITS bits of the
    minima packed into words, and a hash for each band of ROWS minima are written; sets and texts are not.
-2. Texts with equal sets are one class. Band buckets with two classes or more propose pairs.
+2. Texts with equal sets are one class. Band buckets with two classes or more propose pairs. The sets of their classes are
+   made and written once; all that follows reads these.
 3. In each of the first rounds a class is paired with one leader of its buckets (from the second round on, buckets choose
-   theirs at random): the one that the packed signatures hold most similar. Pairs whose estimate, corrected for chance agreement of the low bits, is too low for the threshold are
-   dropped; the others are confirmed on full sets, which are made again for these few documents only.
+   theirs at random): the one that the packed signatures hold most similar. Pairs whose estimate, corrected for chance
+   agreement of the low bits, is too low for the threshold are dropped; the others are confirmed on full sets. A round's
+   links join the components of the rounds before.
 4. Buckets whose classes are all connected by now need no more pairs, which settles large groups of near copies with a
-   number of pairs in proportion to their size. In what remains, every pair of a bucket that isn't connected yet and
-   passes the estimate, and then a closer one by WIDE minima of these few documents, is confirmed, each once.
+   number of pairs in proportion to their size. What remains is compared pair by pair: buckets are cut into blocks of about
+   BLOCK classes and pairs of blocks are dealt out, so that no task holds a bucket. Pairs that aren't connected and pass
+   the estimate, and then a closer one by WIDE minima of these few documents, are confirmed, each once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import files_for, slices, small, written
+from .common import drop_written, free_name, same_columns, slices, small, written
 from .components import connected
 
 WORDS, THRESHOLD = 5, 75
@@ -31,15 +35,18 @@ PACKED = -(-HASHES * BITS // 64)
 #: Leaves out pairs of at least the threshold with a probability of about 1e-5 (4 standard deviations).
 MIN_ESTIMATE = 0.62
 LEADER_ROUNDS = 3
-#: Rows in a file of pairs or ids, and of sets or pairs to confirm.
-PAIRS_EACH, SETS_EACH = 100_000, 3_000
+#: Classes of a bucket in a block, about.
+BLOCK = 256
+#: Pairs of one document that meet its set in one place.
+SPLIT = 500
 #: Minima of the closer estimate, and its bound (4 standard deviations again).
 WIDE, MIN_WIDE = 1024, 0.693
-#: Ids up to which the list of documents whose sets are needed is broadcast (16 MB).
-BROADCAST_IDS = 1_000_000
+#: Rows up to which lists of documents (id and digest, 24 bytes) are broadcast.
+BROADCAST_IDS = 500_000
 #: Word hashes that a task remembers.
-REMEMBERED = 250_000
-
+REMEMBERED = 100_000
+#: The low bit of each group of BITS bits.
+_LOWEST = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
 
 
 def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,32 +142,32 @@ def signed(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return kept.mapInArrow(run, ddl)
 
 
-def sets_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, shingle hashes)."""
+def sets_of(docs: DataFrame) -> DataFrame:
+    """(rep, hashes) from (rep, d1, d2, text), for texts whose set has that digest."""
 
     def run(batches):
         memo = _Memo()
         for batch in slices(batches, "text", 4 << 20):
-            found = [shingles(t, memo).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [shingles(t, memo).view(np.int64) for t in batch.column(3).to_pylist()]
+            same = [np.array_equal(np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64), d) for x, d in zip(found, zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True), strict=True)]
+            found = [x for x, ok in zip(found, same, strict=True) if ok]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["key", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], names=["rep", "hashes"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, hashes array<long>").distinct()
+    return docs.mapInArrow(run, "rep long, hashes array<long>")
 
 
-def wide_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, d1, d2, packed wide signature)."""
+def wide_of(sets: DataFrame) -> DataFrame:
+    """(rep, wide): the packed wide signature of each set."""
 
     def run(batches):
-        memo = _Memo()
-        for batch in slices(batches, "text", 4 << 20):
-            found = [shingles(t, memo) for t in batch.column(1).to_pylist()]
-            d = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in found])
-            packed = np.concatenate([pack(minima(s, _WIDE)) for s in found]).view(np.int64)
-            width = len(packed) // len(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(packed) + 1, width, dtype=np.int32)), pa.array(packed))], names=["key", "d1", "d2", "wide"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                packed = [pack(minima(h.values.to_numpy().view(np.uint64), _WIDE)).tobytes() for h in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["rep", "wide"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, d1 long, d2 long, wide array<long>")
+    return sets.select("rep", "hashes").mapInArrow(run, "rep long, wide binary")
 
 
 def _differ(x: Column, y: Column) -> Column:
@@ -172,7 +179,7 @@ def _differ(x: Column, y: Column) -> Column:
     return F.bit_count(folded.bitwiseAND(F.lit(lowest)))
 
 
-def _corrected(mismatches: Column, n: int) -> Column:
+def _corrected(mismatches, n: int):
     """Similarity from the agreement of low bits, less the agreement that chance alone gives."""
     chance = 2.0**-BITS
     return ((n - mismatches) / n - chance) / (1 - chance)
@@ -182,8 +189,12 @@ def estimate(a: str, b: str) -> Column:
     return _corrected(reduce(Column.__add__, (_differ(F.col(f"{a}.s{i}"), F.col(f"{b}.s{i}")) for i in range(PACKED))), HASHES)
 
 
-def wide_estimate(a: str, b: str) -> Column:
-    return _corrected(F.aggregate(F.zip_with(a, b, _differ), F.lit(0), lambda acc, x: acc + x), WIDE)
+def similarity(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """As estimate(), for arrays of packed signatures of n minima (the last axis)."""
+    odd = x ^ y
+    for k in range(1, BITS):
+        odd |= (x ^ y) >> np.uint64(k)
+    return _corrected(np.bitwise_count(odd & _LOWEST).sum(axis=-1, dtype=np.int64), n)
 
 
 def may_link(a: str, b: str) -> Column:
@@ -192,31 +203,119 @@ def may_link(a: str, b: str) -> Column:
     return (100 * F.least(na, nb) >= THRESHOLD * F.greatest(na, nb)) & (estimate(a, b) >= MIN_ESTIMATE)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _with_set(pairs: DataFrame, sets: DataFrame, at: str) -> DataFrame:
+    """pairs with the set of the document in column `at`. One with many pairs meets them in parts, each with a copy of its set."""
+    many = pairs.groupBy(F.col(at).alias("many")).agg(F.ceil(F.count("*") / SPLIT).alias("parts")).where("parts > 1")
+    many = small(many, BROADCAST_IDS)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(many, F.col(at) == F.col("many"), "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts)).drop("many", "parts")
+    copies = sets.join(many, F.col("rep") == F.col("many"), "left").select("rep", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("copy"), F.col("hashes").alias(f"{at}_set"))
+    return dealt.join(copies, (F.col(at) == F.col("rep")) & (F.col("part") == F.col("copy"))).drop("part", "rep", "copy")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that reach the threshold on full sets, written."""
-    n = pairs.count()
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(sets_of(docs.join(small(written(ids, "ids", files_for(2 * n, PAIRS_EACH)), BROADCAST_IDS), F.col(key) == F.col("id"), "left_semi"), key, text), "sets", files_for(2 * n, SETS_EACH))
-    left, right = (sets.select(F.col("key").alias(f"{x}k"), F.col("hashes").alias(f"{x}h")) for x in "ab")
-    both = F.size(F.array_intersect("ah", "bh"))
-    held = pairs.join(left, F.col("a") == F.col("ak")).join(right, F.col("b") == F.col("bk")).where(100 * both >= THRESHOLD * (F.size("ah") + F.size("bh") - both))
-    return written(held.select("a", "b").distinct(), "confirmed", files_for(n, PAIRS_EACH))
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    needed = sets.join(small(ids, BROADCAST_IDS), F.col("rep") == F.col("id"), "left_semi")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    held = _with_set(_with_set(pairs, needed, "a"), needed, "b").where(100 * both >= THRESHOLD * (F.size("a_set") + F.size("b_set") - both))
+    done = written(held.select("a", "b").distinct(), "confirmed")
+    drop_written(ids)
+    return done
+
+
+def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after further links between the components so far; documents that occur in neither have no row."""
+    if component is None:
+        return written(connected(links), "components")
+    of = lambda end: component.select(F.col("id").alias(f"{end}_id"), F.col("component").alias(f"{end}_c"))
+    ends = links.join(of("a"), F.col("a") == F.col("a_id"), "left").join(of("b"), F.col("b") == F.col("b_id"), "left")
+    step = written(connected(ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))), "steps")
+    moved = component.join(step.select(F.col("id").alias("old"), F.col("component").alias("new")), F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
+    done = written(moved.union(step.join(component, "id", "left_anti")), "components")
+    drop_written(step)
+    drop_written(component)
+    return done
+
+
+def _leader_pairs(proposed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): for each class (rep), of the leaders it was proposed with (lead) that it may link, the one with the highest estimate."""
+    sigs = lambda x: classes.select(F.col("rep").alias(f"{x}r"), F.col("s").alias(f"{x}s"))
+    scored = proposed.join(sigs("x"), F.col("a") == F.col("xr")).join(sigs("y"), F.col("b") == F.col("yr")).where(may_link("xs", "ys")).select("rep", "a", "b", estimate("xs", "ys").alias("e"))
+    best = F.max_by(F.struct("a", "b"), F.struct("e", -F.col("a"), -F.col("b")))
+    return scored.groupBy("rep").agg(best.alias("p")).select("p.a", "p.b").distinct()
+
+
+def _open_pairs(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of classes that share a bucket, aren't in one component c, and may be similar by both estimates."""
+    reps = small(written(open_.select("rep").distinct(), "open-reps"), BROADCAST_IDS)
+    wide = written(wide_of(sets.join(reps, "rep", "left_semi")), "wide")
+    own = classes.join(reps, "rep", "left_semi").select("rep", "s").join(wide, "rep")
+    sizes = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = open_.join(sizes, "band").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # a block meets itself and every other one: as the first with later ones, as the second with earlier ones
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"), (j < F.col("i")).alias("second")))
+    rows = placed.select("band", "rep", "c", F.explode(meets).alias("m")).select("band", "m.*", "rep", "c").join(own, "rep")
+    key = ["band", "p", "q"]
+    cols = rows.select(*key, "second", "rep", "c", F.col("s.n").alias("n"), F.array(*(F.col("s")[f"s{i}"] for i in range(PACKED))).alias("sig"), "wide")
+    return cols.repartition(*key).sortWithinPartitions(*key).mapInArrow(_meeting, "a long, b long").distinct()
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each run of rows with equal band, p and q: rows of one block among themselves (p = q), or of two with each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = [batch.column(k).to_numpy() for k in range(3)]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            part = batch.slice(i, j - i)
+            if held and j > i and any(held[-1].column(k)[-1].as_py() != part.column(k)[0].as_py() for k in range(3)):
+                yield from _compared(held)
+                held = []
+            if j > i:
+                held.append(part)
+    if held:
+        yield from _compared(held)
+
+
+def _compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    own = rows.column("p")[0].as_py() == rows.column("q")[0].as_py()
+    second = rows.column("second").to_numpy()
+    rep, c, n = (rows.column(k).to_numpy() for k in ("rep", "c", "n"))
+    sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), PACKED)
+    wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(len(rep), -1)
+    first, other = (np.arange(len(rep)),) * 2 if own else (np.flatnonzero(~second), np.flatnonzero(second))
+    for k in range(0, len(first), 64):
+        x = first[k : k + 64]
+        go = (rep[x][:, None] < rep[other][None, :]) if own else np.ones((len(x), len(other)), bool)
+        go &= c[x][:, None] != c[other][None, :]
+        least, most = np.minimum(n[x][:, None], n[other][None, :]), np.maximum(n[x][:, None], n[other][None, :])
+        go &= 100 * least >= THRESHOLD * most
+        at, to = np.nonzero(go)
+        at, to = x[at], other[to]
+        near = similarity(sig[at], sig[to], HASHES) >= MIN_ESTIMATE
+        at, to = at[near], to[near]
+        near = similarity(wide[at], wide[to], WIDE) >= MIN_WIDE
+        if near.any():
+            a, b = rep[at[near]], rep[to[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(d1, d2, component) for every set with a shingle and a non-null key: the smallest key reachable by links.
+    """(d1, d2, component) for every set with a shingle: the smallest key reachable by links.
 
-    marks: the table from signed(), written, with a long column `key`; docs: where to find the texts of keys.
+    marks: the table from signed(), written, with a long column `key` without nulls; docs: where to find the texts of keys.
     """
-    firsts = marks.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).where("rep is not null")
+    firsts = marks.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = written(firsts.select("d1", "d2", "rep", F.struct("n", *(F.col("sig")[i].alias(f"s{i}") for i in range(PACKED))).alias("s"), "bands"), "classes")
     rows = classes.select("rep", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).where("c > 1").select("band", "lead")
     members = written(rows.join(shared, "band"), "members")
-    sigs = lambda x: classes.select(F.col("rep").alias(f"{x}r"), F.col("s").alias(f"{x}s"))
-    reps = members.select("rep").distinct().count()  # each gives a pair a round at most, and a component
-    links = tested = None
-    component = None
+    wanted = written(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "d1", "d2"), "candidates")
+    texts = docs.select(F.col(key).alias("of"), F.col(text).alias("text")).join(small(wanted, BROADCAST_IDS), F.col("of") == F.col("rep"))
+    sets = written(sets_of(texts.select("rep", "d1", "d2", "text")), "sets")
+    used, tested, component = [members, wanted, sets], None, None
     for step in range(LEADER_ROUNDS):
         if step:
             open_ = _open_members(members, component)
@@ -227,28 +326,20 @@ def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "t
         proposed = proposed.where("rep != lead").select(F.greatest("rep", "lead").alias("b"), F.least("rep", "lead").alias("a"), "rep").distinct()
         if tested is not None:
             proposed = proposed.join(tested, ["a", "b"], "left_anti")
-        scored = proposed.join(sigs("x"), F.col("a") == F.col("xr")).join(sigs("y"), F.col("b") == F.col("yr")).where(may_link("xs", "ys")).select("rep", "a", "b", estimate("xs", "ys").alias("e"))
-        pairs = written(scored.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("e", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct(), "pairs", files_for(reps, PAIRS_EACH))
-        links, tested = _plus(links, _confirmed(pairs, docs, key, text)), _plus(tested, pairs)
-        component = written(connected(links), "components", files_for(reps, PAIRS_EACH))
+        pairs = written(_leader_pairs(proposed, classes), "pairs")
+        links = _confirmed(pairs, sets)
+        used += [pairs, links]
+        tested = pairs if tested is None else tested.union(pairs)
+        component = _merged(component, links)
     open_ = written(_open_members(members, component), "open")
-    asked = classes.join(open_.select("rep").distinct(), "rep", "left_semi").select("d1", "d2", F.col("rep").alias("r"), "s", "bands")
-    texts = docs.join(small(open_.select(F.col("rep").alias("id")).distinct(), BROADCAST_IDS), F.col(key) == F.col("id"), "left_semi")
-    known = asked.join(wide_of(texts, key, text).dropDuplicates(["key", "d1", "d2"]), ["d1", "d2"]).where("key = r").select("r", "s", "bands", "wide")
-    rest = written(open_.join(known, F.col("rep") == F.col("r")).select("band", "rep", "c", "s", "bands", "wide"), "rest")
-    x, y = rest.select(*(F.col(c).alias(f"x{c}") for c in rest.columns)), rest.select(*(F.col(c).alias(f"y{c}") for c in rest.columns))
-    once = F.col("xband") == F.array_min(F.array_intersect("xbands", "ybands"))
-    left = x.join(y, (F.col("xband") == F.col("yband")) & (F.col("xrep") < F.col("yrep")) & (F.col("xc") != F.col("yc")) & may_link("xs", "ys") & once & (wide_estimate("xwide", "ywide") >= MIN_WIDE))
-    pairs = written(left.select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = _plus(links, _confirmed(pairs, docs, key, text))
-    component = written(connected(links), "components", files_for(reps, PAIRS_EACH))
+    pairs = written(_open_pairs(open_, classes, sets).join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = _confirmed(pairs, sets)
+    component = _merged(component, links)
+    for df in (*used, open_, pairs, links):
+        drop_written(df)
     return classes.join(component, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
 
 
-def _plus(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.union(b)
-
-
 def _open_members(members: DataFrame, component: DataFrame) -> DataFrame:
     """The members, with their component c, of buckets that aren't in one component yet."""
     now = members.select("band", "rep").join(component, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
@@ -257,24 +348,36 @@ def _open_members(members: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: key, n_shingles, component_id, kept.
+    """A row per document: key, n_shingles, component_id, kept. Only these two columns are read, whatever the others are called.
 
-    A document without words has n_shingles 0 and is its own component. Rows that repeat an id share its class if their
-    texts agree. A null id gets the component of its equals, or null, and isn't kept.
+    A document without words (a null or blank text) has n_shingles 0 and is its own component. Rows that repeat an id share its
+    class if their texts agree. A row with a null id links like any other, but is no component's name and isn't kept; a component
+    of such rows alone has a null id. Ids lie below 2 ** 62. A text of any length is one set, and ties don't matter: a component's
+    id is its smallest. A table without rows gives none.
     """
-    own = docs.select(F.col(f"`{key}`").cast("long").alias(key), F.col(f"`{text}`").alias(text))
-    marks = written(signed(own, key, text), "signed")
-    found = class_components(marks, own, key, text)
-    component = F.coalesce("component", key)
-    out = marks.select(key, "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
-    return out.select(key, "n_shingles", component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(False)).alias("kept"))
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    most = own.agg(F.max("id")).first()[0]
+    most = -1 if most is None else max(most, -1)
+    nameless = written(own.where("id is null").select((F.lit(most + 1) + F.monotonically_increasing_id()).alias("id"), "text"), "nameless")
+    own = own.where("id is not null").union(nameless)
+    marks = written(signed(own, "id", "text"), "signed")
+    found = class_components(marks, own, "id", "text").select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), F.col("component").alias("smallest"))
+    named = lambda c: F.when(F.col(c) <= most, F.col(c))
+    out = marks.join(found, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2")), "left").withColumn("smallest", F.coalesce("smallest", "id"))
+    return out.select(named("id").alias(key), "n_shingles", named("smallest").alias("component_id"), F.coalesce(named("id") == F.col("smallest"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", prefer: str = "doc_id") -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest id. Documents without words stay."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    marks = written(signed(numbered.select("__row", F.col(f"`{prefer}`").alias("__prefer"), F.col(f"`{text}`").alias(text)), "__row", text), "signed")
-    found = class_components(marks, numbered.select("__row", F.col(f"`{text}`").alias(text)), "__row", text)
-    grouped = marks.where("n_shingles > 0").join(found, ["d1", "d2"]).groupBy("component").agg(F.min(F.struct(F.col("__prefer").isNull().alias("no_id"), "__prefer", "__row")).alias("first"))
-    stay = grouped.select(F.col("first.__row").alias("__stay")).union(marks.where("n_shingles = 0").select("__row"))
-    return numbered.join(stay, F.col("__row") == F.col("__stay"), "left_semi").drop("__row")
+    """docs without all but one document of each group: the one with the smallest id, of equal ids any. Documents without words stay.
+
+    A null id comes after all others. Repeated rows are documents of their own, of which one stays if their text has words.
+    """
+    row = free_name(docs, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    own = numbered.select(F.col(row).alias("id"), F.col(f"`{prefer}`").alias("prefer"), F.col(f"`{text}`").alias("text"))
+    marks = written(signed(own, "id", "text"), "signed")
+    found = class_components(marks, own, "id", "text")
+    grouped = marks.where("n_shingles > 0").join(found, ["d1", "d2"]).groupBy("component").agg(F.min(F.struct(F.col("prefer").isNull().alias("no_id"), "prefer", "id")).alias("first"))
+    stay = grouped.select(F.col("first.id").alias("stays")).union(marks.where("n_shingles = 0").select("id"))
+    kept = numbered.alias("n").join(stay.alias("s"), F.col(f"n.{row}") == F.col("s.stays"), "left_semi")
+    return same_columns(kept.select("n.*"), docs)

@@ -76,6 +76,45 @@ def test_one_of_each_keeps_rows_and_columns(spark):
     assert (5, 3, False) in dups and (3, 3, True) in dups and (None, 3, False) in dups and (9, 9, True) in dups and (None, None, False) in dups
 
 
+def test_rows_without_id_link_too(spark):
+    """Two texts that are near only to one without an id are connected by it; texts without ids alone have no component's name."""
+    words = [f"t{i}" for i in range(200)]
+    left, middle, right = words[:], words[:], words[:]
+    left[20:24], right[100:104], right[150:153] = ["a"] * 4, ["b"] * 4, ["c"] * 3
+    left[60:63] = ["d"] * 3
+    other = " ".join(f"o{i}" for i in range(50))
+    rows = [(7, " ".join(left)), (None, " ".join(middle)), (4, " ".join(right)), (None, other), (None, other + " x")]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alone = minhash.near_duplicates(spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")).collect()
+    assert {r.component_id for r in alone} == {4, 7}
+    assert got == {(7, 196, 4, False), (None, 196, 4, False), (4, 196, 4, True), (None, 46, None, False), (None, 47, None, False)}
+    none = minhash.near_duplicates(spark.createDataFrame(rows[3:], "doc_id long, text string")).collect()
+    assert [(r.component_id, r.kept) for r in none] == [(None, False)] * 2
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_blocks_of_open_buckets(spark, monkeypatch, block):
+    """A family of pages from one template, half of them near others, none connected by a leader: every pair counts."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LEADER_ROUNDS", 1)
+    rng = random.Random(12)
+    template = [f"page{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = template + [f"own{i // 3 if i % 2 else i}-{k}" for k in range(45)]
+        words[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(words), 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept long")).collect()}
+    assert got == plain(rows)
+
+
+def test_many_pairs_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SPLIT", 3)
+    rows = corpus()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept long")).collect()}
+    assert got == plain(rows)
+
+
 def test_estimate_is_corrected_for_chance(spark):
     rng = np.random.default_rng(1)
     common, rows = rng.integers(0, 1 << 63, 3000, np.uint64), []
@@ -87,8 +126,10 @@ def test_estimate_is_corrected_for_chance(spark):
 
     df = spark.createDataFrame(rows, "k int, share double, x array<long>, y array<long>")
     wide = [(k, share, *(minhash.pack(minhash.minima(np.concatenate([common[: (n := round(4000 * share / (1 + share)))], rng.integers(0, 1 << 63, 2000 - n, np.uint64)]), minhash._WIDE)).view(np.int64).tolist() for _ in "ab")) for k, share in enumerate((0.0, 0.5, 0.75, 1.0))]
-    for r in spark.createDataFrame(wide, "k int, share double, x array<long>, y array<long>").select("share", minhash.wide_estimate("x", "y").alias("e")).collect():
-        assert abs(r.e - r.share) < 0.06
+    for _, share, x, y in wide:
+        assert abs(minhash.similarity(np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64), minhash.WIDE) - share) < 0.06
+    for r in rows:
+        assert abs(minhash.similarity(np.array(r[2], np.int64).view(np.uint64), np.array(r[3], np.int64).view(np.uint64), minhash.HASHES) - r[1]) < 0.13
     for s in "xy":
         df = df.withColumn(s, F.struct(*(F.col(s)[i].alias(f"s{i}") for i in range(minhash.PACKED))))
     for r in df.select("share", minhash.estimate("x", "y").alias("e")).collect():
