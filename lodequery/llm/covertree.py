@@ -6,8 +6,11 @@ their roots' covering radii, and the others are traversed two trees at a time: a
 are farther apart than the threshold and both radii, and linked as a whole when even the farthest descendants are near
 enough. At unit length, cosine >= c is distance <= sqrt(2 - 2 c).
 
+Which blocks meet is found by their roots alone, in a grid of groups of blocks; then the blocks of each cell of the grid
+that has a pair left are brought together, so that a block travels once for a group of others and not for each of them.
+
 A traversal says how many links each vector has and which vectors it connects, not each pair; equal vectors are one with a
-weight. So large groups of copies cost what their distinct members cost, and results grow with the vectors.
+weight, known by a digest. So large groups of copies cost what their distinct members cost, and results grow with the vectors.
 """
 
 from __future__ import annotations
@@ -28,10 +31,13 @@ from .components import connected
 THRESHOLD = 0.98
 #: Numbers in a block: 4096 vectors of 64 dimensions.
 BLOCK_NUMBERS = 1 << 18
-#: Pivots that sort a label's vectors into cells before these are cut to blocks.
-MAX_PIVOTS = 64
-#: Rows up to which pivots (MAX_PIVOTS for a label and dimension) are broadcast.
-PIVOT_ROWS = 50_000
+#: Pivots that sort a label's vectors into cells before these are cut to blocks, and numbers in the pivots of all labels, which
+#: are broadcast. With so many large labels that none gets a pivot, cells are cut by hash alone.
+MAX_PIVOTS, PIVOT_NUMBERS = 64, 4_000_000
+#: Rows up to which totals of labels, blocks' counts, cells of the grid and vectors' results are broadcast.
+BROADCAST_ROWS = 200_000
+#: Blocks in a group of the grid at most; a label has at least GRID groups before these hold more than one.
+GROUP, GRID = 8, 16
 #: Distances are held against bounds with this slack (near 0 they are that inexact); closer pairs are decided by their raw vectors.
 SLACK = 1e-7
 
@@ -175,37 +181,40 @@ def exact_pairs(vectors: np.ndarray, threshold: float = THRESHOLD) -> list[tuple
     return sorted((min(p), max(p)) for p in links.pairs)
 
 
-def representatives(table: DataFrame) -> DataFrame:
-    """(rep, n, label, embedding) for each distinct usable vector of a label: smallest vec_id, and how many rows have it.
+def digested(table: DataFrame) -> DataFrame:
+    """(vec_id, label, h1, h2, embedding): a 128-bit digest of the vector, null where it is unusable.
 
     Unusable: a null label or vec_id, a vector that is null, empty or zero or has null or non-finite numbers.
     """
     v = F.col("embedding")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table.where("label is not null and vec_id is not null and embedding is not null").where(fine).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return table.select("vec_id", "label", F.when(fine, F.xxhash64(v)).alias("h1"), F.when(fine, F.xxhash64(F.lit("second"), v)).alias("h2"), v.alias("embedding"))
 
 
-def _block_rows(dims: int) -> int:
-    return max(64, BLOCK_NUMBERS // max(1, dims))
+def representatives(table: DataFrame) -> DataFrame:
+    """(label, h1, h2, rep, n, embedding) for each distinct usable vector of a label: smallest vec_id, and how many rows have it."""
+    return digested(table).where("h1 is not null").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
 
 
 def blocks(reps: DataFrame) -> DataFrame:
     """A row (kind, block, center, radius, data) for each block: its root's centre and radius, and the packed vectors and tree.
 
-    A label's vectors go to the nearest of up to MAX_PIVOTS of them, chosen by hash; a cell of more than a block's rows is
-    cut by hash. kind: label and dimensions.
+    A label's vectors go to the nearest of its pivots, which are chosen by hash; a cell of more than a block's rows is cut by
+    hash. kind: label and dimensions.
     """
     spark = reps.sparkSession
     sized = reps.withColumn("kind", F.concat_ws("/", "label", F.size("embedding")))
-    spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 40))
-    totals = small(sized.groupBy("kind").agg(F.count("*").alias("total"), F.max(F.size("embedding")).alias("dims")), PIVOT_ROWS)
     per_block = F.greatest(F.lit(64), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dims")))
-    joined = sized.join(totals, "kind").withColumn("wanted", F.least(F.ceil(2 * F.col("total") / per_block), F.lit(MAX_PIVOTS)))
-    # the pivots: about `wanted` of each kind; the hash's lowest values
+    totals = written(sized.groupBy("kind").agg(F.count("*").alias("total"), F.max(F.size("embedding")).alias("dims")), "totals")
+    numbers = totals.where(F.col("total") > per_block).agg(F.sum("dims")).first()[0] or 0
+    most = min(MAX_PIVOTS, PIVOT_NUMBERS // max(1, 2 * numbers))
+    spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 40))
+    joined = sized.join(small(totals, BROADCAST_ROWS), "kind").withColumn("wanted", F.least(F.ceil(2 * F.col("total") / per_block), F.lit(most)))
+    # the pivots: about `wanted` of each kind, those with the lowest hashes
     pivots = joined.where((F.col("total") > per_block) & (spread < F.col("wanted") * ((1 << 40) / F.col("total"))))
     listed: dict[str, list] = {}
     for r in pivots.select("kind", "embedding").toLocalIterator():
-        if len(own := listed.setdefault(r["kind"], [])) < 2 * MAX_PIVOTS:
+        if len(own := listed.setdefault(r["kind"], [])) < 2 * most:
             own.append(r["embedding"])
     sent = spark.sparkContext.broadcast({k: unit(np.array(v, float)) for k, v in listed.items()})
 
@@ -219,9 +228,9 @@ def blocks(reps: DataFrame) -> DataFrame:
             yield f.assign(cell=cell)
 
     in_cells = written(joined.select("rep", "n", "kind", "embedding", "dims").mapInPandas(nearest, "rep long, n long, kind string, embedding array<double>, dims int, cell int"), "cells")
-    count = in_cells.groupBy("kind", "cell").agg(F.count("*").alias("rows"), F.max("dims").alias("d"))
-    parts = count.select("kind", "cell", F.ceil(F.col("rows") / F.greatest(F.lit(64), F.floor(F.lit(BLOCK_NUMBERS) / F.col("d")))).alias("parts"))
-    keyed = in_cells.join(small(parts, PIVOT_ROWS), ["kind", "cell"]).withColumn("block", F.concat_ws("/", "kind", "cell", F.pmod(F.xxhash64("rep", F.lit("part")), "parts")))
+    count = in_cells.groupBy("kind", "cell").agg(F.count("*").alias("rows"), F.max("dims").alias("dims"))
+    parts = count.select("kind", "cell", F.ceil(F.col("rows") / per_block).alias("parts"))
+    keyed = in_cells.join(small(parts, BROADCAST_ROWS), ["kind", "cell"]).withColumn("block", F.concat_ws("/", "kind", "cell", F.pmod(F.xxhash64("rep", F.lit("part")), "parts")))
 
     def build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rep")
@@ -237,47 +246,72 @@ def blocks(reps: DataFrame) -> DataFrame:
 def link_counts(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(rep, links, other): parts of each vector's number of links, and another vector that it is connected with, if any."""
     made = written(blocks(reps), "blocks")
-    tau = math.sqrt(2.0 - 2.0 * threshold)
-    roots = made.select("kind", "block", "center", "radius")
-    x, y = (roots.select("kind", *(F.col(c).alias(f"{s}_{c}") for c in ("block", "center", "radius"))) for s in "xy")
+    tau, cell = math.sqrt(2.0 - 2.0 * threshold), ["kind", "p", "q"]
+    group = F.least(F.lit(GROUP), F.greatest(F.lit(1), F.floor(F.col("blocks") / GRID)))
+    groups = made.groupBy("kind").agg(F.count("*").alias("blocks")).select("kind", F.ceil(F.col("blocks") / group).alias("groups"))
+    grid = made.join(small(groups, BROADCAST_ROWS), "kind").withColumn("i", F.pmod(F.xxhash64("block"), "groups"))
+    # a group meets itself and every other one: as the first with later ones, as the second with earlier ones
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"), (j < F.col("i")).alias("second")))
+    roots = grid.select("kind", "block", "center", "radius", F.explode(meets).alias("m")).select("kind", "m.*", "block", "center", "radius")
+    x, y = (roots.select(*cell, *(F.col(c).alias(f"{s}_{c}") for c in ("second", "block", "center", "radius"))) for s in "xy")
     gap = F.sqrt(F.aggregate(F.zip_with("x_center", "y_center", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, d: acc + d))
-    met = x.join(y, "kind").where((F.col("x_block") <= F.col("y_block")) & (gap <= tau + F.col("x_radius") + F.col("y_radius") + 1e-7)).select("x_block", "y_block")
-    both = met.join(made.select(F.col("block").alias("x_block"), F.col("data").alias("x")), "x_block").join(made.select(F.col("block").alias("y_block"), F.col("data").alias("y")), "y_block")
+    paired = F.when(F.col("p") == F.col("q"), F.col("x_block") <= F.col("y_block")).otherwise(~F.col("x_second") & F.col("y_second"))
+    needed = written(x.join(y, cell).where(paired & (gap <= tau + F.col("x_radius") + F.col("y_radius") + SLACK)).select(*cell).distinct(), "grid")
+    dealt = grid.select("kind", "block", "data", F.explode(meets).alias("m")).select("kind", "m.*", "block", "data").join(small(needed, BROADCAST_ROWS), cell, "left_semi")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
         for batch in batches:
             for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                ids, weights, raw, tree = pickle.loads(batch.column(2)[k].as_py())
-                points = unit(raw)
-                if same:
-                    found = Links(weights)
-                    traverse(tree, points, raw, tree, points, raw, 0, found, threshold)
-                else:
-                    ids2, weights2, raw2, tree2 = pickle.loads(batch.column(3)[k].as_py())
-                    found, n = Links(np.concatenate([weights, weights2])), len(ids)
-                    ids = np.concatenate([ids, ids2])
-                    traverse(tree, points, raw, tree2, unit(raw2), raw2, n, found, threshold)
-                at = np.flatnonzero(found.count)
-                other = ids[[found.find(int(i)) for i in at]] if len(at) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(found.count[at], pa.int64()), pa.array(other, pa.int64())], names=["rep", "links", "other"])
-
-    # a row is a pair of blocks, some megabytes: each is a task's work
-    return both.select("x_block", "y_block", "x", "y").repartition(F.col("x_block"), F.col("y_block")).mapInArrow(links, "rep long, links long, other long")
+                here = tuple(batch.column(c)[k].as_py() for c in range(3))
+                if held and here != now:
+                    yield from _linked(held, now[1] == now[2], threshold)
+                    held = []
+                now = here
+                held.append((batch.column(3)[k].as_py(), pickle.loads(batch.column(5)[k].as_py())))
+        if held:
+            yield from _linked(held, now[1] == now[2], threshold)
+
+    # a row is a block, some megabytes; a cell's blocks follow each other
+    return dealt.select(*cell, "second", "block", "data").repartition(*cell).sortWithinPartitions(*cell, "block").mapInArrow(links, "rep long, links long, other long")
+
+
+def _linked(held: list[tuple], own: bool, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between the blocks of a cell: all of one group (own), or those of its first with those of its second group."""
+    tau = math.sqrt(2.0 - 2.0 * threshold)
+    points = [unit(block[2]) for _, block in held]
+    for a, (second, (ids, weights, raw, tree)) in enumerate(held):
+        for b in range(a, len(held)) if own else [] if second else [b for b, (later, _) in enumerate(held) if later]:
+            ids2, weights2, raw2, tree2 = held[b][1]
+            gap = distances(points[a][tree.center[:1]], points[b][tree2.center[:1]])[0, 0]
+            if gap > tau + tree.radius[0] + tree2.radius[0] + SLACK:
+                continue
+            if a == b:
+                found, every = Links(weights), ids
+                traverse(tree, points[a], raw, tree, points[a], raw, 0, found, threshold)
+            else:
+                found, every = Links(np.concatenate([weights, weights2])), np.concatenate([ids, ids2])
+                traverse(tree, points[a], raw, tree2, points[b], raw2, len(ids), found, threshold)
+            at = np.flatnonzero(found.count)
+            other = every[[found.find(int(i)) for i in at]] if len(at) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every[at], pa.int64()), pa.array(found.count[at], pa.int64()), pa.array(other, pa.int64())], names=["rep", "links", "other"])
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row per vector: vec_id, n_links, component_id, kept.
+    """A row per vector: vec_id, n_links, component_id, kept. Only vec_id, label and embedding are read.
 
     Rows with an unusable vector have no links and are their own component (null for a null vec_id, which isn't kept).
-    Rows that repeat a vec_id are vectors of their own.
+    Rows that repeat a vec_id are vectors of their own. Vectors of any length are compared, those of different lengths never.
+    Ties don't matter: a component's id is its smallest. A table without rows gives none.
     """
     table = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label"))
     reps = written(representatives(table), "vectors")
     found = written(link_counts(reps, threshold), "links")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = written(connected(found.select("rep", "other"), "rep", "other"), "components")
-    known = reps.join(totals, "rep", "left").join(component, F.col("rep") == F.col("id"), "left").select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = table.join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")) & F.col("vec_id").isNotNull(), "left")
+    known = reps.select("label", "h1", "h2", "rep", "n").join(totals, "rep", "left").join(component, F.col("rep") == F.col("id"), "left")
+    known = written(known.select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "known")
+    out = digested(table).drop("embedding").join(small(known, BROADCAST_ROWS), ["label", "h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

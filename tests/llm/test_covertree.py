@@ -35,9 +35,10 @@ def test_tree_covers_with_halving_radii():
             assert t.center[t.kids[k][0]] == t.center[k]  # nested
 
 
-@pytest.mark.parametrize("numbers", [1 << 18, 1 << 9])
-def test_table(spark, monkeypatch, numbers):
-    monkeypatch.setattr(covertree, "BLOCK_NUMBERS", numbers)
+@pytest.mark.parametrize("numbers,group,grid,pivots", [(1 << 18, 8, 16, 1 << 20), (1 << 9, 8, 16, 1 << 20), (1 << 8, 3, 1, 1 << 20), (1 << 8, 2, 2, 0)])
+def test_table(spark, monkeypatch, numbers, group, grid, pivots):
+    for name, value in (("BLOCK_NUMBERS", numbers), ("GROUP", group), ("GRID", grid), ("PIVOT_NUMBERS", pivots)):
+        monkeypatch.setattr(covertree, name, value)
     rng = np.random.default_rng(7)
     raw = cloud(rng, 500, 4, 25).astype(np.float32)
     raw[100:140] = raw[100]
