@@ -2,24 +2,35 @@
 
 Everything is a DataFrame expression, so a scan of the texts is one stage without shuffle or Python. Positions come from
 cutting a text at its matches: Spark returns the pieces and the matches, and their lengths in code points add up to the
-offsets. The patterns are written so that Java's matcher neither recurses per character nor rescans a run: quantified
+offsets. All work is linear in a text and its hits: spans are gathered by blocks, and what stands around one is cut from
+pieces of bounded size. The patterns are written so that Java's matcher neither recurses per character nor rescans a run: quantified
 groups are possessive, and a match starts only where a run starts or where the last match ended.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, named
+
 #: Context windows: so many code points before and after a span.
 CONTEXT = 48
+#: What a context word for a kind adds to a span's score, and what one against it takes away.
+RAISE, LOWER = 0.2, 0.3
+#: Hits that are gathered together, and code points in a piece of text.
+BLOCK, PIECE = 256, 1024
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data. base: kept whatever its score; else the score must reach MIN_SCORE."""
+    """A kind of personal data. base: kept whatever its score; else the score must reach MIN_SCORE.
+
+    words, against: context that raises or lowers the score.
+    """
 
     name: str
     needs: str
@@ -27,19 +38,20 @@ class Kind:
     base: bool
     prior: float
     words: str
+    against: str
     label: str
 
 
 _L, _D = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
 #: In the order in which spans that start together are listed.
 KINDS = (
-    Kind("email", "@", rf"(?:\G|(?<!{_L})){_L}++@{_D}++(?:\.{_D}++)++", True, 0.9, r"e-?mail|contact|mail|write|correo|courriel", "<EMAIL>"),
-    Kind("ip", ".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True, 0.6, r"\bip\b|host|server|address|login|adresse", "<IP>"),
-    Kind("card", "", r"[0-9](?:[\x20-]?[0-9])++", True, 0.7, r"card|visa|credit|debit|payment|karte|tarjeta|carte", "<CARD>"),
-    Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.7, r"phone|call|tel|mobile|fax|whatsapp|anruf", "<PHONE>"),
+    Kind("email", "@", rf"(?:\G|(?<!{_L})){_L}++@{_D}++(?:\.{_D}++)++", True, 0.9, r"e-?mail|contact|mail|write|correo|courriel", r"example|no-?reply", "<EMAIL>"),
+    Kind("ip", ".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True, 0.6, r"\bip\b|host|server|address|login|adresse", r"version|release|section", "<IP>"),
+    Kind("card", "", r"[0-9](?:[\x20-]?[0-9])++", True, 0.7, r"card|visa|credit|debit|payment|karte|tarjeta|carte", r"order|invoice|tracking|serial|isbn", "<CARD>"),
+    Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.7, r"phone|call|tel|mobile|fax|whatsapp|anruf", r"order|invoice|tracking|serial", "<PHONE>"),
     # Takes the first four characters only, so that candidates may overlap; the group is what follows at most.
-    Kind("iban", "", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}", False, 0.8, r"iban|account|bank|konto|cuenta|compte", "<IBAN>"),
-    Kind("ssn", "-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, 0.4, r"ssn|social security|tax id|taxpayer", "<SSN>"),
+    Kind("iban", "", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}", False, 0.75, r"iban|account|bank|konto|cuenta|compte", r"example|specimen|dummy|beispiel", "<IBAN>"),
+    Kind("ssn", "-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, 0.4, r"ssn|social security|tax id|taxpayer", r"order|invoice|part no|serial|example", "<SSN>"),
 )
 MIN_SCORE = 0.5
 #: Lengths of IBANs by country. They only say which of several valid ends is taken; other countries' have the longest.
@@ -91,36 +103,80 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _folded(items: Column, state: dict[str, Column], out: Column, step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """The array of what step gives for each item (out: an empty array of its type), with state handed on from item to item.
+
+    Items are taken BLOCK at a time, so that appending costs the same however many there are.
+    """
+
+    def one(acc: Column, item: Column) -> Column:
+        now, more = step(acc, item)
+        return F.struct(*(c.alias(k) for k, c in now.items()), F.concat(acc["out"], more).alias("out"))
+
+    def block(acc: Column, i: Column) -> Column:
+        inner = F.aggregate(F.slice(items, i * BLOCK + 1, F.lit(BLOCK)), F.struct(*(acc[k].alias(k) for k in state), out.alias("out")), one)
+        return _let(inner, lambda x: F.struct(*(x[k].alias(k) for k in state), F.concat(acc["all"], F.array(x["out"])).alias("all")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) + BLOCK - 1) / BLOCK).cast("int") - 1)
+    whole = F.aggregate(blocks, F.struct(*(c.alias(k) for k, c in state.items()), F.slice(F.array(out), F.lit(1), F.lit(0)).alias("all")), block, lambda acc: F.flatten(acc["all"]))
+    return F.when(F.size(items) > 0, whole).otherwise(out)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text in pieces; empty if end isn't greater."""
+    first = F.floor(start / PIECE).cast("int")
+    count = F.greatest(F.floor((end - 1) / PIECE).cast("int") - first + 1, F.lit(0))
+    return F.substring(F.array_join(F.slice(pieces, first + 1, count), ""), start - first * PIECE + 1, F.greatest(end - start, F.lit(0)))
+
+
 def _found(text: Column, kind: Kind) -> Column:
     """array<struct<kind,start,end,score>> of one kind. A text without the needed character isn't searched."""
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-
     inner = kind.name == "iban"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        around = F.lower(F.concat(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))), F.lit(" "), F.substring(text, end + 1, F.lit(CONTEXT))))
-        score = F.least(F.lit(1.0), F.lit(kind.prior) + F.when(around.rlike(kind.words), 0.2).otherwise(0.0))
-        keep = _valid(kind.name, x["m"]) if kind.base else _valid(kind.name, x["m"]) & (score >= MIN_SCORE)
-        one = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score")))
-        if inner:
-            keep = keep & (start >= F.coalesce(F.try_element_at(acc["spans"], F.lit(-1))["end"], F.lit(0)))
-        return F.struct((start + 4 if inner else end).alias("at"), F.when(keep, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
-
-    pieces, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(int(inner)))
-    if inner:
-        matches = F.transform(matches, _iban)
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.contains(text, F.lit(kind.needs)) if kind.needs else text.rlike("[0-9]"), spans).otherwise(empty)
+    def spans_of(pairs: Column, pieces: Column) -> Column:
+        def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+            start = acc["at"] + x["gap"]
+            end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+            around = F.lower(F.concat(_cut(pieces, F.greatest(start - CONTEXT, F.lit(0)), start), F.lit(" "), _cut(pieces, end, end + CONTEXT)))
+            score = _let(around, lambda a: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.prior) + F.when(a.rlike(kind.words), RAISE).otherwise(0.0) - F.when(a.rlike(kind.against), LOWER).otherwise(0.0))))
+            keep = F.coalesce(_valid(kind.name, x["m"]), F.lit(False))
+            if inner:
+                keep = keep & (start >= acc["last"])
+            spans = _let(score, lambda v: F.when(F.lit(kind.base) | (v >= MIN_SCORE), F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), v.alias("score")))).otherwise(empty))
+            return _let_state(F.when(keep, spans).otherwise(empty), start + 4 if inner else end, end, acc)
+
+        return _folded(pairs, {"at": F.lit(0), "last": F.lit(0)}, empty, step)
+
+    def _let_state(spans: Column, at: Column, end: Column, acc: Column) -> tuple[dict[str, Column], Column]:
+        last = F.when(F.size(spans) > 0, end).otherwise(acc["last"]) if inner else end
+        return {"at": at, "last": last}, spans
+
+    def of_matches(matches: Column) -> Column:
+        cut = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches))
+        found = F.transform(matches, _iban) if inner else matches
+        pairs = F.zip_with(cut, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
+        return F.when(F.size(matches) > 0, _let(pairs, lambda x: _let(_pieces(text), lambda y: spans_of(x, y)))).otherwise(empty)
+
+    searched = _let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(int(inner))), of_matches)
+    return F.when(F.contains(text, F.lit(kind.needs)) if kind.needs else text.rlike("[0-9]"), searched).otherwise(empty)
 
 
 def with_spans(docs: DataFrame, text: str = "text", into: str = "pii_spans") -> DataFrame:
-    """Add array<struct<kind,start,end,score>>, by start, then kind as listed in KINDS. Null text: no spans.
+    """Add array<struct<kind,start,end,score>>, by start, then kind as listed in KINDS. Null or empty text: no spans.
 
-    start and end are code points, end exclusive. Kinds are searched separately, so spans of different kinds may overlap.
-    Other columns are kept whatever their names; a column named as `into` is replaced.
+    start and end are code points, end exclusive. Kinds are searched separately, so spans of different kinds may overlap;
+    those that start together are in the order of KINDS. Texts of any length are searched whole, and repeated rows each for
+    itself. Other columns are kept whatever their names; a column named as `into` is replaced.
     """
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k.name), F.lit(i))))
     every = F.concat(*(_found(F.coalesce(F.col(f"`{text}`"), F.lit("")), k) for k in KINDS))
@@ -157,13 +213,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Null texts stay null, texts without spans are unchanged.
     """
     label = F.create_map(*(x for k in KINDS for x in (F.lit(k.name), F.lit(k.label))))
-    body = F.col(f"`{text}`")
+    body, found = F.col(f"`{text}`"), free_name(docs, "spans")
+
+    def cut(pieces: Column) -> Column:
+        def step(acc: Column, s: Column) -> tuple[dict[str, Column], Column]:
+            parts = F.when(s["start"] < acc["at"], F.array().cast("array<string>")).otherwise(F.array(_cut(pieces, acc["at"], s["start"]), label[s["kind"]]))
+            return {"at": F.greatest(acc["at"], s["end"])}, parts
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, label[s["kind"]]))).alias("out"))
+        parts = _folded(F.col(found), {"at": F.lit(0)}, F.array().cast("array<string>"), step)
+        return F.concat(F.array_join(parts, ""), _cut(pieces, F.array_max(F.transform(found, lambda s: s["end"])), F.length(body)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("__pii", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))))
-    return with_spans(docs, text, "__pii").withColumn(text, F.when(body.isNull() | (F.size("__pii") == 0), body).otherwise(cut)).drop("__pii")
+    replaced = F.when(body.isNull() | (F.size(found) == 0), body).otherwise(_let(_pieces(body), cut))
+    spanned = with_spans(docs, text, found)
+    return spanned.select(*(replaced.alias(c) if c == text else named(c) for c in docs.columns))

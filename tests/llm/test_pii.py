@@ -73,3 +73,23 @@ def test_ibans_before_capitals_and_digits(spark):
         at = [s.split(":")[1:] for s in r.spans.split(",") if s.startswith("iban")]
         assert [text[int(a) : int(b)] for a, b in at] == ibans[text], text[:60]
     assert pii.redact(docs.where("doc_id = 0")).first().text == "IBAN <IBAN> Please pay"
+
+
+def test_many_hits_in_a_long_text(spark):
+    """Positions and replacement stay right over block and piece borders."""
+    text = "".join(f"é𝄞{'x' * (i % 37)} a{i}@b.de " for i in range(900))
+    docs = spark.createDataFrame([(0, text), (1, text), (1, text)], "doc_id long, text string")
+    got = pii.digest(docs).collect()
+    assert len(got) == 3 and len({r.spans for r in got}) == 1
+    assert [s for s in got[0].spans.split(",") if s.startswith("email")] == [s for s in plain(text) if s.startswith("email")] and got[0].n_email == 900
+    assert pii.redact(docs).first().text == re.sub(BASE["email"], "<EMAIL>", text)
+
+
+def test_context_raises_and_lowers(spark):
+    texts = ["DE89370400440532013000", "IBAN DE89370400440532013000", "example DE89370400440532013000", "example IBAN DE89370400440532013000", "SSN 123-45-6789", "part no 123-45-6789 ssn", "order 4041894974608795", "visa 4041894974608795"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.split(":") for s in r.scored_spans.split(",") if s] for r in pii.digest(docs).collect()}
+    score = lambda i, kind: [float(x[3]) for x in got[i] if x[0] == kind]
+    assert score(0, "iban") == [0.75] and score(1, "iban") == [0.95] and score(2, "iban") == [] and score(3, "iban") == [0.65]
+    assert score(4, "ssn") == [0.6] and score(5, "ssn") == []
+    assert score(6, "card") == [0.4] and score(7, "card") == [0.9]
