@@ -11,10 +11,10 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_struct
+from .common import free_name, same_columns, with_struct, written
 
 SYMBOLS = "#*$%&|<>"
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, code int"
@@ -86,7 +86,10 @@ _UPPER = re.compile(r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]+")
 
 
 def with_measures(docs: DataFrame, text: str = "text", into: str = "__quality") -> DataFrame:
-    """Measures and votes of each text as a struct. A null text counts as an empty one: no words, base_failed."""
+    """Measures and votes of each text as a struct. A null text counts as an empty one: no words, base_failed.
+
+    Texts of any length are measured whole, and repeated rows each for itself.
+    """
     return with_struct(docs, into, FIELDS, lambda: lambda texts: zip(*(_measures(t or "") for t in texts), strict=True), text)
 
 
@@ -125,23 +128,35 @@ def posteriors(counts: dict[int, int]) -> dict[int, float]:
                 mass = [PRIOR_COUNT * START["good" if cls == 0 else "bad"][v] for v in range(3)]
                 for c, g, vs in zip(codes, good, votes, strict=True):
                     mass[vs[r]] += counts[c] * (g if cls == 0 else 1 - g)
-                # more trust in a good vote than in a bad one would turn the classes round
                 rates[cls][r] = [m / sum(mass) for m in mass]
     return dict(zip(codes, good, strict=True))
 
 
 def fit(measured: DataFrame, into: str = "__quality") -> dict[int, float]:
     """Posteriors for every code that occurs among documents that pass the base rules."""
-    seen = measured.where(~F.col(into)["base_failed"]).groupBy(F.col(into)["code"].alias("code")).count().collect()
+    own = F.col(f"`{into}`")
+    seen = measured.where(~own["base_failed"]).groupBy(own["code"].alias("code")).count().collect()
     return posteriors({r["code"]: r["count"] for r in seen}) if seen else {}
 
 
-def p_good(model: dict[int, float], into: str = "__quality") -> Column:
-    """Null for documents that fail the base rules."""
-    if not model:
-        return F.lit(None).cast("double")
-    return F.when(~F.col(into)["base_failed"], F.element_at(F.from_json(F.lit(str({str(c): round(p, 6) for c, p in model.items()}).replace("'", '"')), "map<string,double>"), F.col(into)["code"].cast("string")))
+def with_verdict(measured: DataFrame, model: dict[int, float], into: str = "__quality", p_good: str = "p_good", kept: str = "kept") -> DataFrame:
+    """measured with the posterior probability of being good (null for documents that fail the base rules) and the verdict.
+
+    Posteriors meet documents by code in a join; there are 3 ** len(RULES) codes at most, which is what is broadcast.
+    """
+    table = measured.sparkSession.createDataFrame(list(model.items()), f"`code of {p_good}` int, `{p_good}` double")
+    own = F.col(f"`{into}`")
+    met = measured.join(F.broadcast(table), (own["code"] == F.col(f"`code of {p_good}`")) & ~own["base_failed"], "left").drop(f"code of {p_good}")
+    return met.withColumn(kept, F.coalesce(F.col(f"`{p_good}`") >= 0.5, F.lit(False)))
+
 
+def good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without those that fail the base rules or are held to be good with a posterior probability under one half.
 
-def kept(model: dict[int, float], into: str = "__quality") -> Column:
-    return F.coalesce(p_good(model, into) >= 0.5, F.lit(False))
+    A null, empty or blank text has no words and goes. Texts of any length are measured whole; equal texts have equal
+    verdicts, and repeated rows stay or go together; a probability of exactly one half stays. A table without rows gives none.
+    Rows that pass the base rules are written with their measures, so that estimate and verdicts measure once.
+    """
+    into, p, kept = (free_name(docs, x) for x in ("quality measures", "quality p_good", "quality kept"))
+    measured = written(with_measures(docs, text, into).where(~F.col(f"`{into}`")["base_failed"]), "quality")
+    return same_columns(with_verdict(measured, fit(measured, into), into, p, kept).where(F.col(f"`{kept}`")), docs)

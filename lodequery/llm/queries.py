@@ -16,9 +16,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures are written once, without texts: the estimate and the verdicts both read them."""
     measured = written(quality.with_measures(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__quality"), "quality")
-    model = quality.fit(measured)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return measured.select("doc_id", *(F.col("__quality")[n].alias(n) for n in names), quality.kept(model).alias("kept"), quality.p_good(model).alias("p_good"))
+    return quality.with_verdict(measured, quality.fit(measured)).select("doc_id", *(F.col("__quality")[n].alias(n) for n in names), "kept", "p_good")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
+import random
 import re
 
-from lodequery.llm import quality
+from lodequery.llm import quality, queries
 
 TEXTS = [
     None, "", " \t\n", "one", "w " * 9, "a b c d e f g h i j", "x y z " * 40, "line one\nline one\nline two\n\n\n \n \nline one", "a b c d e a b c d e f a b c d e",
@@ -38,8 +39,7 @@ def clean(i):
 def test_verdicts_and_extra_columns(spark):
     rows = [(i, clean(i), "x") for i in range(60)] + [(100 + i, " ".join(f"{w}*** |" for w in clean(i).split()), None) for i in range(8)] + [(None, None, None), (None, clean(3), "y"), (3, clean(3), "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
-    measured = quality.with_measures(docs)
-    got = measured.where(quality.kept(quality.fit(measured))).select(docs.columns).collect()
+    got = quality.good(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.kept) for r in got) == sorted([(False, i, "x") for i in range(60)] + [(True, 0, "y"), (False, 3, "x")])
 
 
@@ -51,5 +51,61 @@ def test_posteriors_trust_rare_bad_votes():
 
 
 def test_empty_table(spark):
-    measured = quality.with_measures(spark.createDataFrame([], "doc_id long, text string"))
-    assert quality.fit(measured) == {} and measured.where(quality.kept({})).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert quality.fit(quality.with_measures(docs)) == {} and quality.good(docs).count() == 0
+
+
+def votes(text):
+    """Each rule's vote by its own plain measure: 0 bad, 1 abstains, 2 good."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    _, chars, symbols, dup, rep, _ = plain(text)
+    n = len(words)
+    letters = [c for c in text if re.match(r"[^\W\d_]", c)]
+    shares = {
+        "symbols": symbols / n, "repeats": rep / n, "echoes": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "dup_lines": dup / max(1, len(lines)),
+        "capitals": sum(bool(re.match("[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]", c)) for c in letters) / max(1, len(letters)), "shouts": sum(c in "!?" for c in text) / n,
+        "non_letters": 1 - sum(bool(re.match(r"[^\W_]", c)) for c in text) / max(1, chars), "long_words": sum(len(w.encode()) > 30 for w in words) / n,
+        "bare": sum(not re.search(r"[^\W_]", w) for w in words) / n, "near_echoes": sum(words[i] in words[i - 3 : i] for i in range(3, n)) / n,
+    }
+    return {k: 0 if shares[k] >= bad else 2 if shares[k] <= good else 1 for k, (good, bad) in quality.RULES.items()}
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """The registered query's verdicts are those of expectation-maximisation over documents, one at a time, rule by rule."""
+    rng = random.Random(4)
+    rows = [(i, clean(i) + "\n" + clean(i + 7)) for i in range(150)]
+    for i in range(150, 230):
+        words = clean(i).split()
+        for _ in range(rng.randrange(0, 40)):
+            k = rng.randrange(len(words))
+            words[k] = rng.choice(["###", "WHAT!!!", "$$$", words[k - 1], "x" * 40, "---", "LOUD", words[k] + "*"])
+        rows.append((i, " ".join(words)))
+    rows += [(900 + k, t) for k, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op3_quality_rules"](spark, str(tmp_path)).collect()}
+    asked = {i: votes(t) for i, t in rows if not plain(t)[5]}
+    bad_share = quality.START_BAD
+    rate = {c: {r: list(quality.START[c]) for r in quality.RULES} for c in ("good", "bad")}
+    for _ in range(quality.ROUNDS):
+        p = {}
+        for i, vs in asked.items():
+            odds = {"good": 1 - bad_share, "bad": bad_share}
+            for c in odds:
+                for r, v in vs.items():
+                    if v != 1:
+                        odds[c] *= rate[c][r][v] / (rate[c][r][0] + rate[c][r][2])
+            p[i] = odds["good"] / (odds["good"] + odds["bad"])
+        bad_share = min(0.5, max(1e-6, (sum(1 - x for x in p.values()) + quality.START_BAD) / (len(p) + 1)))
+        for c in rate:
+            for r in quality.RULES:
+                mass = list(quality.START[c])
+                for i, vs in asked.items():
+                    mass[vs[r]] += p[i] if c == "good" else 1 - p[i]
+                rate[c][r] = [m / sum(mass) for m in mass]
+    assert len(got) == len(rows) and 0 < sum(x < 0.5 for x in p.values()) < len(p) / 2
+    for i, _ in rows:
+        if i in p:
+            assert abs(got[i].p_good - p[i]) < 1e-9 and got[i].kept == (p[i] >= 0.5), i
+        else:
+            assert got[i].p_good is None and not got[i].kept
