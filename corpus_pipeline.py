@@ -10,36 +10,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.llm import langid, minhash, packing, pii, quality
-from lodequery.llm.common import table, written
+from lodequery.llm.common import free_name, named, table, written
 
 #: The least posterior probability of the predicted language.
 MIN_LANGUAGE_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the base rules and are good with a posterior probability of at least one half."""
-    measured = quality.with_measures(docs)
-    return measured.where(quality.kept(quality.fit(measured))).select(docs.columns)
+    """Keeps documents that pass the base rules and are good with a posterior probability of at least one half.
+
+    Null, empty and blank texts go; texts of any length are judged whole; repeated rows stay or go together; without rows,
+    none. Columns of any name pass through.
+    """
+    return quality.good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is found with enough certainty; a null lang becomes the language found."""
-    found = langid.with_language(docs, langid.fit(docs)).where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(docs.columns)
+    """Keeps documents whose language is found with enough certainty; a null lang becomes the language found.
+
+    Null texts, texts without a letter, and all texts if no row has a lang, have none and go. Of languages that fit equally,
+    the first in order is taken. Texts of any length are read whole; repeated rows stay or go together.
+    """
+    found = free_name(docs, "language")
+    own = F.col(f"`{found}`")
+    sure = langid.with_language(docs, langid.fit(docs), found).where((own["lang_pred"] != "und") & (own["score"] >= MIN_LANGUAGE_SCORE))
+    return sure.select(*(F.coalesce("lang", own["lang_pred"]).alias("lang") if c == "lang" else named(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest id."""
-    return minhash.one_of_each(docs).select(docs.columns)
+    """Keeps one document of each group of near duplicates, the one with the smallest id; a null id comes after all others.
+
+    Of rows with equal ids any one stays. Documents without words (null or blank texts) have no duplicates and stay, each row
+    of them. Texts of any length are compared by their whole sets; without rows, none.
+    """
+    return minhash.one_of_each(docs)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by labels; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Replaces personal data by labels; n_chars follows the text.
+
+    Every row stays. A null text stays null and has a null n_chars; an empty one is unchanged. Where spans overlap, the first
+    one's label stands for their union; of spans that start together, the kind listed first is the first.
+    """
+    redacted = pii.redact(docs)
+    return redacted.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the pieces of each document stand in the packed sequences."""
+    """Where the pieces of each document stand in the packed sequences.
+
+    A null or empty text is one piece with the end id alone; longer ones are cut into as many pieces as it takes; repeated rows
+    and null ids are documents of their own; without rows, none.
+    """
     return packing.packed(docs)
 
 
