@@ -23,10 +23,10 @@ from . import bpe
 from .common import slices, small, written
 
 VOCABULARY, END_ID, SIZE = "byte_bpe_50k.json", 2, 1024
-#: Pieces that are ranked together.
-GROUP = 20_000
+#: Pieces that are ranked together, about.
+GROUP = 2_000
 #: Rows up to which the running counts of groups (one row for GROUP pieces) are broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 #: Below this code point both tokenizer libraries split texts alike (a test compares them on every such character).
 SAME_BELOW = "ɐ"
 
@@ -35,15 +35,15 @@ class Ids:
     """The ids of a text by the vocabulary in a tokenizers file.
 
     If its merges are at hand as ranks, texts of ordinary Latin characters take the faster library for the same
-    vocabulary; other texts, and other vocabularies, are encoded by the file itself. The strings of special tokens are
-    ordinary text.
+    vocabulary, which gives the same ids (tests hold the two against each other on generated texts). Other texts, those that
+    hold the string of a special token, and other vocabularies are encoded by the file itself, special tokens and all.
     """
 
     def __init__(self, path: str, ranks_path: str | None):
         import tokenizers
 
         self.slow = tokenizers.Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -53,7 +53,7 @@ class Ids:
     def __call__(self, text: str) -> list[int]:
         if not text:
             return []
-        if self.fast and max(text) < SAME_BELOW:
+        if self.fast and max(text) < SAME_BELOW and not any(x in text for x in self.special):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
