@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -108,7 +109,7 @@ def row_of(head: dict[str, str], block: bytes) -> tuple:
 
 
 def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages with refers_to: the smallest page_id whose payload is equal, null for that page itself and for payloads under min_bytes.
+    """(page_id, url, html) of pages with refers_to: the smallest page_id whose payload is equal, null for that page itself and for payloads under min_bytes.
 
     Payloads count as equal by SHA-256. Only digests and ids are shuffled for this; rows that repeat a page_id with the
     smallest id are all responses. A null page_id comes after all others.
@@ -117,9 +118,12 @@ def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     keys = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= min_bytes)
     keys = written(keys.select("page_id", "digest"), "digests")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
-    revisits = written(keys.join(first, "digest").where("page_id is null or page_id != refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
+    revisits = written(keys.join(small(first, BROADCAST_ROWS), "digest").where("page_id is null or page_id != refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
     mine = F.sha2(payload, 256)
-    return pages.withColumn("__digest", mine).alias("p").join(small(revisits, BROADCAST_ROWS).alias("r"), F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("__digest") == F.col("r.digest")), "left").select("p.page_id", "p.url", "p.html", "r.refers_to")
+    own = pages.select("page_id", "url", "html", mine.alias("digest")).alias("p")
+    again = small(revisits, BROADCAST_ROWS).alias("r")
+    met = own.join(again, F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("p.digest") == F.col("r.digest")), "left")
+    return met.select("p.page_id", "p.url", "p.html", "r.refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -127,7 +131,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
     A task rolls over to a new archive after ARCHIVE_BYTES of payload.
     """
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    spark = pages.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)  # a path without a scheme is on the cluster's default file system
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    folder = f"file://{folder.removeprefix('file:')}" if re.match("file:/(?!//)", folder) else folder
 
     def run(batches):
         part = TaskContext.get().partitionId()

@@ -38,3 +38,9 @@ def test_table(spark):
     back = bpe.decoded(bpe.encoded(docs)).collect()
     assert [bytes(r.decoded).decode() for r in sorted(back)] == [t or "" for t in texts]
     assert bpe.with_digests(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_agree(spark):
+    docs = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, "same text")], "doc_id long, text string")
+    got = [tuple(r["__bpe"]) for r in bpe.with_digests(docs).collect()]
+    assert len(got) == 3 and len(set(got)) == 1

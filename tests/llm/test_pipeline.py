@@ -56,3 +56,31 @@ def test_stages_and_run(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    """Dots, quotes, and the names that the operators use themselves: columns, rows and values stay as they are."""
+    rng = random.Random(2)
+    odd = ["a.b", "c`d", "__quality", "__language", "__row", "__pii", "quality measures", "quality kept", "p_good", "kept", "language", "spans", "row", "id", "component", "rep", "code"]
+    rows = [(i, text(rng, lang := ("en", "de")[i % 2]), lang, "s", 0, *(f"{name}{i}" for name in odd)) for i in range(40)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *odd]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == names, name
+        found = {r[0]: tuple(r)[5:] for r in got.collect()}
+        assert found == {r[0]: r[5:] for r in rows}, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).where("piece = 0").count() == 40
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows."""
+    rng = random.Random(3)
+    long = text(rng, "en", 30_000)
+    rows = [(i, text(rng, "en"), "en", "s", 1) for i in range(30)] + [(None,) * 5, (None,) * 5, (1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, long, "en", "s", 9), (3, long, "en", "s", 9), (4, " \n", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {name: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in stage(spark, docs, str(tmp_path)).collect()) for name, stage in corpus_pipeline.STAGES[:4]}
+    words = sorted((False, i, t) for i, t, *_ in rows if t and t.strip())
+    assert kept["quality_rules"] == words and kept["language_id"] == words
+    assert kept["near_dedup"] == sorted([*{w for w in words}, *((i is None, i or 0, t or "") for i, t, *_ in rows if not (t or "").strip())])
+    assert kept["pii"] == sorted((i is None, i or 0, t or "") for i, t, *_ in rows)
