@@ -41,11 +41,11 @@ SMOOTH = 0.1
 #: The share of the class at large in an outer word's probability within its class.
 AT_LARGE = 0.5
 #: Tokens whose state probabilities are held at a time: those of texts that step through the recursions together.
-ROOM = 1_000_000
+ROOM = 500_000
 #: Tokens that a task gathers before it runs the recursions.
-GATHERED = 4_000_000
+GATHERED = 1_500_000
 #: Bytes of text that are numbered together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Shares of states of an outer word travel as 16-bit numbers, four in a long.
 SHARE = 65535
 END = "\n"
@@ -414,8 +414,9 @@ def unpacked_shares(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return q / np.maximum(q.sum(axis=0), 1.0)
 
 
-def _counted(texts: DataFrame, lexicon: Lexicon, model: Hmm, apart: bool) -> DataFrame:
-    """Expected counts of each task as rows of cells; `apart`: of each word, with rows of words for those outside the head."""
+def _counted(texts: DataFrame, lexicon: Lexicon, model: Hmm, apart: bool = False, outer_only: bool = False) -> DataFrame:
+    """Expected counts of each task as rows of cells; `apart`: of the head's other words too; outer_only: instead a row for each
+    batch and word outside the head."""
     sent = texts.sparkSession.sparkContext.broadcast((lexicon, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,25 +426,17 @@ def _counted(texts: DataFrame, lexicon: Lexicon, model: Hmm, apart: bool) -> Dat
         for sequences, rows in _to_learn(batches, lex, apart):
             cls = np.concatenate([lex.middle_class[: m - s], *(r[4] for r in rows)])
             a, b, c = hmm.with_words(hmm.say[:, lex.top + cls]).expected(sequences)
-            for batch, words, n, outer, _, first in rows:
+            for batch, words, n, outer, _, first in rows if outer_only else []:
                 low, high = packed_shares(c[:, first : first + len(outer)])
                 cols = [pa.array(np.full(len(outer), batch)), pa.array(outer.astype(np.int32)), words.take(pa.array(outer)), pa.array(n[outer]), pa.array(low), pa.array(high)]
-                yield _both(None, pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _WORDS.split(", ")]))
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _WORDS.split(", ")])
             start, move, say = start + a, move + b, say + c[:, :m]
             for z in range(STATES):
                 say[z, lex.top : lex.top + CLASSES] += np.bincount(cls, c[z, s:], CLASSES)
-        cells = _cell_rows(start, move, say)
-        yield _both(cells, None) if apart else cells
+        if not outer_only:
+            yield _cell_rows(start, move, say)
 
-    return _learning(texts).mapInArrow(run, f"{_CELLS}, {_WORDS}" if apart else _CELLS)
-
-
-def _both(cells: pa.RecordBatch | None, words: pa.RecordBatch | None) -> pa.RecordBatch:
-    """Rows of one kind with nulls for the columns of the other."""
-    n = len(cells) if cells is not None else len(words)
-    kinds = [("cell", pa.int64()), *((g, pa.float32()) for g in _STATES), ("batch", pa.int64()), ("at", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
-    own = cells if cells is not None else words
-    return pa.RecordBatch.from_arrays([own.column(k) if k in own.schema.names else pa.nulls(n, t) for k, t in kinds], names=[k for k, _ in kinds])
+    return _learning(texts).mapInArrow(run, _WORDS if outer_only else _CELLS)
 
 
 def _model_of(rows: DataFrame, symbols: int, more: int = 0) -> tuple[Hmm, np.ndarray]:
@@ -483,10 +476,11 @@ def train(texts: DataFrame, lexicon: Lexicon) -> tuple[Hmm, np.ndarray, np.ndarr
     s, m = lexicon.symbols, len(lexicon.middle_n)
     model = Hmm.first(lexicon.symbol_n, bigrams(texts, lexicon))
     for _ in range(ITERATIONS - 1):
-        model, _ = _model_of(_counted(texts, lexicon, model, False), s)
-    last = written(_counted(texts, lexicon, model, True), "expected")
-    model, say = _model_of(last.where("word is null"), s, m)
-    return model, say[:, lexicon.top : lexicon.top + CLASSES], say[:, s:], _totals(last.where("word is not null"))
+        model, _ = _model_of(_counted(texts, lexicon, model), s)
+    # the last round's words outside the head are counted again on their way to the batches, rather than written in between
+    outer = _totals(_counted(texts, lexicon, model, apart=True, outer_only=True))
+    model, say = _model_of(_counted(texts, lexicon, model, apart=True), s, m)
+    return model, say[:, lexicon.top : lexicon.top + CLASSES], say[:, s:], outer
 
 
 def _totals(words: DataFrame) -> DataFrame:
