@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -76,8 +79,20 @@ def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*map(named, like.columns))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return memory that is free to the system: a Python worker lives on after its task, beside those of the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another libc
+            pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the named string column holds about `limit` bytes at most (a longer row is alone)."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -89,6 +104,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    batch = sizes = None
+    give_back()
 
 
 def with_struct(docs: DataFrame, into: str, fields: str, make: Callable[[], Callable[[list], Iterable[list]]], text: str = "text") -> DataFrame:
