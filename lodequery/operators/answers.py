@@ -101,16 +101,21 @@ def trace_completeness(audit: DataFrame) -> DataFrame:
     return audit.groupBy("run_id").agg((hit / len(EXPECTED_NODES)).alias("completeness"))
 
 
-def tool_necessity(calls: DataFrame, cited: DataFrame) -> DataFrame:
-    """(run_id, necessity): share of a run's distinct tools (run_id, tool) that its audit cites; runs without calls have no row here."""
+def _of_runs(shares: DataFrame, name: str, runs: DataFrame | None) -> DataFrame:
+    """shares with 1 for the runs (run_id) that have none."""
+    return shares if runs is None else runs.select("run_id").distinct().join(shares, "run_id", "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
+
+
+def tool_necessity(calls: DataFrame, cited: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(run_id, necessity): share of a run's distinct tools (run_id, tool) that its audit cites; 1 for runs without calls."""
     used = calls.select("run_id", "tool").distinct().join(cited.select("run_id", "tool").distinct().withColumn("hit", F.lit(1)), ["run_id", "tool"], "left")
-    return used.groupBy("run_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("necessity"))
+    return _of_runs(used.groupBy("run_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("necessity")), "necessity", runs)
 
 
-def audit_coverage(audit: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(run_id, coverage): share of a run's distinct deciding nodes that its audit has."""
+def audit_coverage(audit: DataFrame, decisions: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(run_id, coverage): share of a run's distinct deciding nodes that its audit has; 1 for runs without decisions."""
     made = decisions.select("run_id", "node").distinct().join(audit.select("run_id", "node").distinct().withColumn("hit", F.lit(1)), ["run_id", "node"], "left")
-    return made.groupBy("run_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("coverage"))
+    return _of_runs(made.groupBy("run_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("coverage")), "coverage", runs)
 
 
 def fix_rate(runs: DataFrame) -> DataFrame:
@@ -123,6 +128,23 @@ def keyword_evaluation(answers: DataFrame) -> DataFrame:
     return answers.select("id", F.round(rules.keyword_score(F.coalesce("answer", F.lit("")), F.col("keywords")), 6).alias("score"))
 
 
+def keyword_report(scores: DataFrame) -> DataFrame:
+    """(average, answers) of keyword_evaluation; 0 without answers. `seconds`, if scores have it, is averaged too."""
+    extra = [F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("seconds")] if "seconds" in scores.columns else []
+    return scores.agg(F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("average"), F.count("*").alias("answers"), *extra)
+
+
+def bench_report(provenance_report: DataFrame, adversarial_report: DataFrame, target: float = 0.8) -> DataFrame:
+    """Both suites' figures in a row, with all_pass: the mean provenance reaches its target and the adversarial rates pass."""
+    met = provenance_report.crossJoin(passes(adversarial_report))  # a row each
+    return met.withColumn("all_pass", F.col("passes") & (F.col("mean_ps") >= target))
+
+
+def of_route(trace: DataFrame, route: str) -> DataFrame:
+    """The rows of a retrieval trace that one route found."""
+    return trace.where(F.col("route") == route)
+
+
 def audited(answers: DataFrame, hits: DataFrame) -> DataFrame:
     """Citations of each answer (query_id, chunk_id, pos): chunks whose id the answer names, else the first three."""
     met = hits.join(answers.select("query_id", "answer"), "query_id").withColumn("named", F.contains("answer", F.col("chunk_id").cast("string")))

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, tokens
+from ..tables import written
 
 # Fixed values.
 SENTENCE_END = "(?<=[。！？.!?])"
 FENCES = r"(?s)```.*?```|\$\$.*?\$\$"
 CLAIM_END = r"(?<=[。！？!?.])[ \t\n\x0B\f\r]+|(?<=[。！？])"
+FENCE_LINE, HEADING, LEVELS = "^\\s*```", "^(#{1,6})\\s+(.*?)\\s*#*\\s*$", range(1, 7)
+LINE_END = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 DEFAULT_SIZE, DEFAULT_OVERLAP = 512, 50
 DEFAULT_TOKENS, DEFAULT_OVERLAP_TOKENS = 512, 64
 
@@ -72,20 +75,25 @@ class Packer:
         return pieces[k:] if self.overlap > 0 else []
 
     def chunks(self, text: str) -> Iterator[tuple[str, int]]:
-        """Content and token count of each chunk."""
+        """Content and token count of each chunk. Each piece is counted once; the total runs along."""
         pieces: list[str] = []
+        total, blank = 0, True  # blank: nothing but white space so far
         for sentence in self.sentences(text):
             joined = pieces and "一" <= pieces[-1][-1:] <= "鿿" and "一" <= sentence[:1] <= "鿿"
             piece = sentence if joined or not pieces else " " + sentence
-            if pieces and sum(map(self.count, pieces)) + self.count(piece) > self.most:
-                yield from self._chunk(pieces)
-                pieces, piece = self.carried(pieces) if "".join(pieces).strip() else [], sentence
+            n = self.count(piece)
+            if pieces and total + n > self.most:
+                yield from self._chunk(pieces, total)
+                pieces = [] if blank else self.carried(pieces)
+                piece = sentence
+                total, blank, n = sum(map(self.count, pieces)), not "".join(pieces).strip(), self.count(piece)
             pieces.append(piece)
-        yield from self._chunk(pieces)
+            total, blank = total + n, blank and not piece.strip()
+        yield from self._chunk(pieces, total)
 
-    def _chunk(self, pieces: list[str]) -> Iterator[tuple[str, int]]:
+    def _chunk(self, pieces: list[str], total: int) -> Iterator[tuple[str, int]]:
         if content := "".join(pieces).strip():
-            yield content, sum(map(self.count, pieces))
+            yield content, total
 
 
 def chunk_key(doc: object, index: int, content: str) -> str:
@@ -116,26 +124,29 @@ def semantic_chunks(docs: DataFrame, most: int = DEFAULT_TOKENS, overlap: int =
     return _per_text(docs, key, text, CHUNKS, rows)
 
 
-def sections(text: str) -> Iterator[tuple[list[str], str]]:
-    """Breadcrumbs and body of each markdown section. Headings inside fences are text; a heading closes those as deep or deeper."""
-    open_: list[tuple[int, str]] = []
-    body: list[str] = []
-    fenced = False
-    for line in text.splitlines():
-        heading = None
-        if re.match(r"\s*```", line):
-            fenced = not fenced
-        elif not fenced:
-            heading = re.match(r"(#{1,6})\s+(.*?)\s*#*\s*$", line)
-        if heading is None:
-            body.append(line)
-            continue
-        if body:
-            yield [n for _, n in open_], "\n".join(body)
-        depth, body = len(heading[1]), []
-        open_ = [(d, n) for d, n in open_ if d < depth] + [(depth, heading[2].strip())]
-    if body:
-        yield [n for _, n in open_], "\n".join(body)
+def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, section_index, breadcrumbs array, content) of the sections of each markdown text that hold anything.
+
+    Lines are rows. A line is code while the number of fence lines up to it is odd; a heading that isn't code opens a section.
+    Of a section's headings so far, the last one of a level counts unless a shallower one came after it.
+    """
+    numbered = docs.where(F.col(text).isNotNull()).select(F.col(key), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    lines = numbered.select(key, "row", F.posexplode(F.split("text", LINE_END)).alias("pos", "line"))
+    so_far = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    fence = F.col("line").rlike(FENCE_LINE)
+    marks = F.regexp_extract("line", HEADING, 1)
+    level = F.when(~fence & (F.sum(fence.cast("int")).over(so_far) % 2 == 0) & F.col("line").rlike(HEADING), F.length(marks))
+    leveled = lines.withColumn("level", level).withColumn("title", tokens.stripped(F.regexp_extract("line", HEADING, 2)))
+    last = [F.max(F.when(F.col("level") == k, F.struct("pos", "title"))).over(so_far) for k in LEVELS]
+    placed = leveled.withColumn("section", F.count("level").over(so_far)).withColumns({f"h{k}": c for k, c in zip(LEVELS, last, strict=True)})
+    place = lambda k: F.coalesce(F.col(f"h{k}")["pos"], F.lit(-1))
+    alive = [F.when(place(k) > F.greatest(F.lit(-1), *(place(j) for j in LEVELS if j < k), F.lit(-1)), F.col(f"h{k}")["title"]) for k in LEVELS]
+    crumbs = F.filter(F.array(*alive), lambda t: t.isNotNull())
+    own = placed.select(key, "row", "section", "pos", F.when(F.col("level").isNull(), F.col("line")).alias("line"), crumbs.alias("crumbs"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("pos", "line")))), lambda s: s["line"]), "\n")
+    made = own.groupBy(key, "row", "section").agg(tokens.stripped(body).alias("content"), F.max_by("crumbs", "pos").alias("breadcrumbs")).where("content != ''")
+    index = F.row_number().over(Window.partitionBy("row").orderBy("section")) - 1
+    return made.select(key, index.alias("section_index"), "breadcrumbs", "content")
 
 
 def markdown_chunks(docs: DataFrame, most: int = DEFAULT_TOKENS, overlap: int = DEFAULT_OVERLAP_TOKENS, count: Counter | None = None, atomic_fences: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,13 +156,31 @@ def markdown_chunks(docs: DataFrame, most: int = DEFAULT_TOKENS, overlap: int =
     """
     packer = Packer(most, overlap, count)
 
-    def rows(doc: object, body: str) -> Iterator[tuple]:
-        for s, (crumbs, content) in enumerate((c, b.strip()) for c, b in sections(body) if b.strip()):
-            whole = atomic_fences and "```" in content
-            for i, (chunk, n) in enumerate([(content, packer.count(content))] if whole else packer.chunks(content)):
-                yield s, i, chunk_key(doc, i, chunk), chunk, n, " > ".join(crumbs), len(crumbs)
+    def rows(doc: object, part: tuple) -> Iterator[tuple]:
+        section, crumbs, content = part
+        whole = atomic_fences and "```" in content
+        for i, (chunk, n) in enumerate([(content, packer.count(content))] if whole else packer.chunks(content)):
+            yield section, i, chunk_key(doc, i, chunk), chunk, n, " > ".join(crumbs), len(crumbs)
+
+    parts = markdown_sections(docs, key, text).select(key, F.struct("section_index", "breadcrumbs", "content").alias("part"))
+    return _per_text(parts, key, "part", f"section_index int, {CHUNKS}, breadcrumbs string, heading_depth int", lambda doc, p: rows(doc, (p["section_index"], p["breadcrumbs"], p["content"])))
+
 
-    return _per_text(docs, key, text, f"section_index int, {CHUNKS}, breadcrumbs string, heading_depth int", rows)
+def batches(rows: DataFrame, n: int, order: str, by: str | None = None) -> DataFrame:
+    """rows with batch_index: successive rows, n at a time, in the order given (within each value of `by`).
+
+    Without `by`, positions come from a range partitioning and its partitions' sizes, so that no task sees all rows.
+    """
+    if n < 1:
+        raise ValueError("a batch holds one row at least")
+    if by is not None:
+        return rows.withColumn("batch_index", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / n))
+    dealt = written(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "batches")
+    counts = dealt.groupBy("__part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))  # a row for each partition
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return dealt.withColumn("__local", local).join(F.broadcast(offsets), "__part").withColumn("batch_index", F.floor((F.col("__before") + F.col("__local")) / n)).drop("__part", "__local", "__before")
 
 
 def late_spans(chunks: DataFrame, key: str = "doc_id", order: str = "chunk_index", content: str = "content", tokens_of: Column | None = None) -> DataFrame:
@@ -177,12 +206,26 @@ def pooled(vectors: DataFrame, spans: DataFrame, how: str = "mean", position: st
     return spans.join(made, "span_id", "left").withColumn("pooled", F.coalesce("pooled", F.array().cast("array<double>")))
 
 
-def contextualised(chunks: DataFrame, docs: DataFrame, context: Callable[[Column, Column], Column] | None = None, key: str = "doc_id") -> DataFrame:
+def contextualised(chunks: DataFrame, docs: DataFrame, context: Callable[[Column, Column], Column] | None = None, key: str = "doc_id", writer: Callable[[str, str], str] | None = None) -> DataFrame:
     """chunks with context and augmented_content: context, a blank line, the chunk; the chunk alone if the context is blank.
 
-    context makes it from (document text, chunk); without one it is the document's first sentence.
+    context makes it from (document text, chunk) as columns; without one it is the document's first sentence. A writer, a
+    function of both texts, is called in Arrow batches instead; where it fails, the context is blank and the chunk stays.
     """
     make = context or (lambda document, chunk: F.element_at(sentence_array(document), 1))
+    if writer is not None:
+
+        def safe(document: str | None, chunk: str | None) -> str:
+            try:
+                return writer(document or "", chunk or "") or ""
+            except Exception:  # a model that fails on one chunk costs that chunk's context alone
+                return ""
+
+        @F.pandas_udf("string")
+        def written_by(document: pd.Series, chunk: pd.Series) -> pd.Series:
+            return pd.Series([safe(d, c) for d, c in zip(document, chunk, strict=True)], dtype=object)
+
+        make = written_by
     met = chunks.join(docs.select(key, F.col("text").alias("__document")), key)
     made = tokens.stripped(F.coalesce(make(F.col("__document"), F.col("content")), F.lit("")))
     return met.withColumn("context", made).drop("__document").withColumn("augmented_content", F.when(F.col("context") != "", F.concat_ws("\n\n", "context", "content")).otherwise(F.col("content")))

@@ -67,7 +67,10 @@ def overlap_score(query: Column, content: Column) -> Column:
 
 
 def reranked(hits: DataFrame, queries: DataFrame, k: int = 5, scorer: Callable[[str, list[str]], list[float]] | None = None) -> DataFrame:
-    """The k best of each query by rerank_score; null counts as 0. scorer: (query, contents) -> scores, called with at most a batch."""
+    """The k best of each query by rerank_score; null counts as 0. scorer: (query, contents) -> scores, called with at most a batch.
+
+    Where the scorer fails on a query, that query's hits keep their order and have no rerank_score.
+    """
     met = hits.join(queries.select("query_id", F.col("text").alias("__query")), "query_id")
     if scorer is None:
         scored = met.withColumn("rerank_score", overlap_score(F.col("__query"), F.col("content")))
@@ -75,24 +78,44 @@ def reranked(hits: DataFrame, queries: DataFrame, k: int = 5, scorer: Callable[[
 
         @F.pandas_udf("double")
         def score(q: pd.Series, c: pd.Series) -> pd.Series:
-            out = pd.Series(0.0, index=q.index)
+            out = pd.Series(float("nan"), index=q.index)
             for query, at in q.groupby(q).groups.items():
-                out.loc[at] = scorer(query, c.loc[at].fillna("").tolist())
+                try:
+                    out.loc[at] = [float(x) for x in scorer(query, c.loc[at].fillna("").tolist())]
+                except Exception:  # no score says so
+                    continue
             return out
 
-        scored = met.withColumn("rerank_score", score("__query", "content"))
+        made = F.nanvl(score("__query", "content"), F.lit(None).cast("double"))
+        scored = met.withColumn("rerank_score", made)
+        failed = F.max(F.col("rerank_score").isNull()).over(Window.partitionBy("query_id"))  # batches may part a query's hits
+        scored = scored.withColumn("__failed", failed).withColumn("rerank_score", F.when(~F.col("__failed"), F.col("rerank_score"))).drop("__failed")
     pre = scored.withColumn("pre_rank", F.col("rank")).withColumn("__r", F.coalesce("rerank_score", F.lit(0.0)))
-    return ranked(pre, "__r", k).drop("__r", "__query")
+    w = Window.partitionBy("query_id").orderBy(F.desc("__r"), F.when(F.col("rerank_score").isNull(), F.col("pre_rank")), "ord")
+    return pre.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("__r", "__query")
 
 
-def crag(hits: DataFrame, queries: DataFrame, alpha: float = 0.7, covered_from: float = 0.5, use: float = rules.USE, rewrite: float = rules.REWRITE) -> DataFrame:
+def crag(hits: DataFrame, queries: DataFrame, alpha: float = 0.7, covered_from: float = 0.5, use: float = rules.USE, rewrite: float = rules.REWRITE, scorer: Callable[[str, list[str]], list[float]] | None = None) -> DataFrame:
     """relevance, coverage, score and decision for each query; without hits 0 and fallback.
 
     Relevance is the mean rerank score of hits that have one, else the mean score; coverage is the share of hits whose
-    effective score reaches covered_from.
+    effective score reaches covered_from. scorer: (query, contents) -> scores, whose mean is the
+    relevance instead; a query's few hits are one call.
     """
+    if "rerank_score" not in hits.columns:
+        hits = hits.withColumn("rerank_score", F.lit(None).cast("double"))
     effective = rules.effective_score(F.col("rerank_score"), F.col("score"))
     means = hits.groupBy("query_id").agg(F.coalesce(F.avg("rerank_score"), F.avg("score")).alias("relevance"), F.avg((effective >= covered_from).cast("double")).alias("coverage"), F.count("*").alias("hits"))
+    if scorer is not None:
+        gathered = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("content", F.lit("")).alias("content")))), lambda h: h["content"])
+
+        @F.pandas_udf("double")
+        def mean(q: pd.Series, contents: pd.Series) -> pd.Series:
+            scores = [list(scorer(a, list(b))) for a, b in zip(q, contents, strict=True)]
+            return pd.Series([sum(s) / len(s) if s else 0.0 for s in scores], dtype=float)
+
+        by_query = hits.groupBy("query_id").agg(gathered.alias("contents")).join(queries.select("query_id", "text"), "query_id")
+        means = means.drop("relevance").join(by_query.select("query_id", mean("text", "contents").alias("relevance")), "query_id")
     mixed = alpha * F.col("relevance") + (1 - alpha) * F.col("coverage")
     score = F.when(mixed.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)))
     filled = queries.select("query_id").join(means, "query_id", "left").withColumn("score", F.round(F.coalesce(score, F.lit(0.0)), 6))

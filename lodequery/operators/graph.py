@@ -53,21 +53,62 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.union(edges.where("source != target").select("target", "source", "type", "edge_id"))
 
 
-def trails(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """Undirected paths of 1 to depth edges, none of which repeats: start, end, depth, nodes, rels, edge_ids. Unrolled joins."""
+def trails(edges: DataFrame, starts: DataFrame, depth: int, enough: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Undirected paths of 1 to depth edges, none of which repeats: start, end, depth, nodes, rels, edge_ids. Unrolled joins.
+
+    enough: starts with so many paths already are not followed further, as longer ones would come after these. pairs (source,
+    target): only paths to a start's targets are wanted, of which `enough` for each; the last step then goes to these alone.
+    """
     step = both_ways(edges)
-    now = starts.select(F.col("name").alias("start")).distinct().join(step, F.col("start") == F.col("u")).select("start", F.col("v").alias("end"), F.array("u", "v").alias("nodes"), F.array("type").alias("rels"), F.array("edge_id").alias("edge_ids"))
-    out = now
-    for _ in range(1, depth):
-        ahead = step.select(F.col("u").alias("end"), "v", "type", "edge_id")
-        now = now.join(ahead, "end").where(~F.array_contains("edge_ids", F.col("edge_id"))).select("start", F.col("v").alias("end"), F.concat("nodes", F.array("v")).alias("nodes"), F.concat("rels", F.array("type")).alias("rels"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
-        out = out.union(now)
+    seeds = starts.select(F.col("name").alias("start")).distinct()
+    wanted = None if pairs is None else pairs.select(F.col("source").alias("start"), F.col("target").alias("v")).distinct()
+    ahead = step.select(F.col("u").alias("end"), "v", "type", "edge_id")
+    array = lambda c, kind: F.array().cast(f"array<{kind}>") if c is None else F.array(c)
+    now = seeds.select("start", F.col("start").alias("end"), array("start", "string").alias("nodes"), array(None, "string").alias("rels"), array(None, "string").alias("edge_ids"))
+    out = None
+    for d in range(1, depth + 1):
+        if out is not None and enough is not None:
+            if wanted is None:
+                done = out.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("start")
+                now = now.join(done, "start", "left_anti")
+            else:
+                full = out.select("start", F.col("end").alias("v")).join(wanted, ["start", "v"]).groupBy("start", "v").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+                now = now.join(wanted.join(full, ["start", "v"], "left_anti").select("start").distinct(), "start", "left_semi")
+        last = d == depth and wanted is not None
+        met = now.join(wanted, "start").join(ahead, ["end", "v"]) if last else now.join(ahead, "end")
+        fresh = met.where(~F.array_contains("edge_ids", F.col("edge_id")))
+        now = fresh.select("start", F.col("v").alias("end"), F.concat("nodes", F.array("v")).alias("nodes"), F.concat("rels", F.array("type")).alias("rels"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
+        out = now if out is None else out.union(now)
     return out.withColumn("depth", F.size("rels"))
 
 
+def _reached(edges: DataFrame, starts: DataFrame, depth: int, limit: int) -> DataFrame:
+    """(start, name, distance): least number of edges of a path without repeated edges, by distinct frontiers, a level at a time.
+
+    Starts with `limit` names are not followed further. A start comes back to itself by a loop, two edges to one neighbour, or
+    a triangle.
+    """
+    step = both_ways(edges).groupBy("u", "v").agg(F.count("*").alias("edges"))
+    first = starts.select(F.col("name").alias("start")).distinct().join(step, F.col("start") == F.col("u")).select("start", F.col("v").alias("name"), "edges")
+    reached = first.select("start", "name", F.lit(1).alias("distance"))
+    others = first.where("name != start")
+    for d in range(2, depth + 1):
+        follow = reached.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") < limit).select("start")
+        frontier = reached.where((F.col("distance") == d - 1) & (F.col("name") != F.col("start"))).join(follow, "start", "left_semi")
+        ahead = frontier.select("start", F.col("name").alias("u")).join(step, "u").select("start", F.col("v").alias("name")).where("name != start").distinct()
+        if d == 2:
+            back = others.where("edges > 1").select("start").distinct()
+        else:
+            legs = others.select("start", F.col("name").alias("u")).join(step, "u").where("u != v").select("start", F.col("v").alias("name"))
+            back = legs.join(others.select("start", "name"), ["start", "name"], "left_semi").select("start").distinct()
+        more = ahead.union(back.join(follow, "start", "left_semi").select("start", F.col("start").alias("name"))).join(reached, ["start", "name"], "left_anti")
+        reached = reached.union(more.withColumn("distance", F.lit(d)))
+    return reached
+
+
 def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """(start, name, type, distance): the nearest `limit` within depth; ties by name. The start may come back through a cycle."""
-    near = trails(edges, starts, clamp(depth, 1, 3)).groupBy("start", F.col("end").alias("name")).agg(F.min("depth").alias("distance"))
+    near = _reached(edges, starts, clamp(depth, 1, 3), limit)
     w = Window.partitionBy("start").orderBy("distance", "name")
     kept = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
     return kept.join(nodes.groupBy("name").agg(F.min("type").alias("type")), "name").select("start", "name", "type", "distance")
@@ -75,7 +116,8 @@ def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int
 
 def paths_between(edges: DataFrame, pairs: DataFrame, depth: int = 3, limit: int = 5) -> DataFrame:
     """(source, target, rank, depth, path, rels): the shortest `limit` paths of each pair (source, target); ties by path."""
-    found = trails(edges, pairs.select(F.col("source").alias("name")), clamp(depth, 1, 4)).join(pairs.distinct(), (F.col("start") == F.col("source")) & (F.col("end") == F.col("target")))
+    pairs = pairs.select("source", "target").distinct()
+    found = trails(edges, pairs.select(F.col("source").alias("name")), clamp(depth, 1, 4), limit, pairs).join(pairs, (F.col("start") == F.col("source")) & (F.col("end") == F.col("target")))
     keyed = found.withColumn("path", keys.path_id(F.col("nodes"))).withColumn("rel_list", F.array_join("rels", ","))
     w = Window.partitionBy("source", "target").orderBy("depth", "path", "rel_list")
     return keyed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("source", "target", "rank", "depth", "path", "rel_list")
@@ -95,6 +137,38 @@ def graph_search(nodes: DataFrame, edges: DataFrame, entities: DataFrame, depth:
     return best.select("query_id", F.col("neighbour").alias("name"), "b.type", "b.distance", rules.graph_context(F.col("neighbour"), F.col("b.type"), F.col("b.distance")).alias("content"), F.round(rules.distance_score(F.col("b.distance")), 9).alias("score"))
 
 
+def graph_search_paths(edges: DataFrame, entities: DataFrame, depth: int = 3, limit: int = 5) -> DataFrame:
+    """(query_id, source, target, rank, depth, path, rel_list): the paths between each two of a query's entities, which graph_search
+    goes with."""
+    pairs = entity_pairs(entities).distinct()
+    return pairs.join(paths_between(edges, pairs, depth, limit), ["source", "target"]).select("query_id", "source", "target", "rank", "depth", "path", "rel_list")
+
+
+def path_record(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """paths (path_id, nodes, rels arrays) as records: arrays of nodes with their types, and of relations with both ends."""
+    placed = paths.select("path_id", F.posexplode("nodes").alias("pos", "name")).join(nodes.groupBy("name").agg(F.min("type").alias("type")), "name", "left")
+    listed = placed.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "type"))).alias("n"))
+    rels = F.transform("rels", lambda r, i: F.struct(F.get(F.col("nodes"), i).alias("source"), F.get(F.col("nodes"), i + 1).alias("target"), r.alias("type")))
+    return paths.join(listed, "path_id").select("path_id", F.size("rels").alias("depth"), F.transform("n", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"))).alias("node_list"), rels.alias("rel_list"))
+
+
+def shown_stats(shown: DataFrame, links: DataFrame) -> DataFrame:
+    """(nodes, links, types): what a view of exported nodes and links counts."""
+    return shown.agg(F.count("*").alias("nodes"), F.count_distinct("type").alias("types")).crossJoin(links.agg(F.count("*").alias("links"))).select("nodes", "links", "types")  # a row each
+
+
+def labelled(shown: DataFrame, part: str) -> DataFrame:
+    """Nodes whose label contains a text, in any case."""
+    return shown.where(F.contains(F.lower("label"), F.lit(part.lower())))
+
+
+def view(shown: DataFrame, attachments: bool = True, orphans: bool = True, existing: DataFrame | None = None) -> DataFrame:
+    """Exported nodes as a view filters them: without documents (attachments), without those of no degree, only existing names."""
+    kept = shown if attachments else shown.where("type != 'Document'")
+    kept = kept if orphans else connected_only(kept)
+    return kept if existing is None else kept.join(existing.select(F.col("name").alias("id")).distinct(), "id", "left_semi")
+
+
 def stats(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     """(what, value): totals, and the `top` types by count."""
     kinds = nodes.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(top).select(F.concat(F.lit("type:"), "type").alias("what"), F.col("n").alias("value"))
@@ -134,7 +208,7 @@ def path_hits(nodes: DataFrame, edges: DataFrame, entities: DataFrame, depth: in
     Scores are reciprocal ranks. The first hit carries the sorted ids of all nodes that the query's paths visit.
     """
     seeds = entities.select("query_id", "name").distinct().join(nodes.select(F.col("name").alias("seed")).distinct(), F.col("name") == F.lower("seed"))
-    found = trails(edges, seeds.select(F.col("seed").alias("name")), clamp(depth, 1, 4)).withColumn("path", keys.path_id(F.col("nodes"))).withColumn("rel_list", F.array_join("rels", ","))
+    found = trails(edges, seeds.select(F.col("seed").alias("name")), clamp(depth, 1, 4), branches).withColumn("path", keys.path_id(F.col("nodes"))).withColumn("rel_list", F.array_join("rels", ","))
     per_seed = Window.partitionBy("start").orderBy("depth", "path", "rel_list")
     few = found.withColumn("b", F.row_number().over(per_seed)).where(F.col("b") <= branches)
     w = Window.partitionBy("query_id").orderBy("depth", "path", "rel_list")

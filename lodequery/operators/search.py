@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..tables import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms, and query vectors in a block, up to which they are broadcast.
@@ -21,35 +23,77 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, key: str, text: str, fold: bool) -> DataFrame:
-    """(key, dl, tokens)."""
+    """(chunk_id, tokens, dl). The first generation (fold) leaves texts without a character out of its index."""
     cut = tokens.folded_tokens if fold else tokens.blank_split
-    return docs.select(F.col(key).alias("chunk_id"), cut(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    kept = docs.where(F.coalesce(F.col(text), F.lit("")) != "") if fold else docs
+    return kept.select(F.col(key).alias("chunk_id"), cut(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
+
+
+def idf_of(terms: DataFrame, docs: int) -> DataFrame:
+    """(term, df, idf) of (term, df) over so many documents; a negative idf becomes EPSILON times the mean idf of all terms."""
+    raw = terms.withColumn("raw", F.log(docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """postings: term, chunk_id, dl, tf; terms: term, df; docs, tokens: totals. fold: tokens are lower-cased."""
+
+    postings: DataFrame
+    terms: DataFrame
+    docs: int
+    tokens: int
+    fold: bool
+    k1: float = K1
+    b: float = B
+
+    def idf(self) -> DataFrame:
+        return idf_of(self.terms, self.docs)
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) for every document with a term of the query; a term that is repeated in a query counts again."""
+        cut = tokens.folded_tokens if self.fold else tokens.blank_split
+        asked = queries.select("query_id", F.explode(cut(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        worth = self.idf().join(broadcast_if(asked, BROADCAST_TERMS), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+        mean = self.tokens / self.docs if self.docs else 0.0
+        length = self.k1 * (1 - self.b + self.b * F.col("dl") / (mean or 1.0))
+        part = F.col("weight") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + length)
+        met = self.postings.join(broadcast_if(written(worth, "terms-asked"), BROADCAST_TERMS), "term")
+        return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+
+    def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
+        """Raw scores, none that isn't positive."""
+        return top(self.scores(queries).where("score > 0"), k, "bm25")
+
+    def relative(self, queries: DataFrame, k: int = 10, key: DataFrame | None = None) -> DataFrame:
+        """Scores over the best one (1 if that is 0); documents without a term (ids in `key`) fill up with 0, in key order."""
+        scored = written(self.scores(queries), "scored")
+        best = top(scored, k, "bm25").select("query_id", "chunk_id", "score")
+        # of the 2 k smallest ids at most k are among a query's best already
+        kind = self.postings.schema["chunk_id"].dataType.simpleString()
+        ids = key if key is not None else self.postings.select("chunk_id").distinct()
+        first = [r[0] for r in ids.select("chunk_id").orderBy("chunk_id").limit(2 * k).collect()]
+        fill = queries.select("query_id").withColumn("chunk_id", F.explode(F.array(*map(F.lit, first)).cast(f"array<{kind}>"))).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+        ranked = top(best.unionByName(fill), k, "bm25")
+        most = F.max("score").over(Window.partitionBy("query_id"))
+        return ranked.withColumn("score", F.col("score") / F.when(most == 0, 1.0).otherwise(most))
+
+
+def postings_of(docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
+    split = tokenised(docs, key, text, fold)
+    return split.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def term_stats(split: DataFrame) -> DataFrame:
-    """(term, df, idf); a negative idf becomes EPSILON times the mean idf of all terms."""
-    df = split.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = split.agg(F.count("*").alias("docs"))
-    raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, chunk_id, score) for every document with a term of the query; a term that is repeated in a query counts again.
-
-    Only postings of query terms are made: tokens meet the terms before anything is counted by document.
-    """
-    split = tokenised(docs, key, text, fold)
-    cut = tokens.folded_tokens if fold else tokens.blank_split
-    asked = queries.select("query_id", F.explode(cut(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = broadcast_if(asked.select("term").distinct(), BROADCAST_TERMS)
-    postings = split.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    mean = split.agg(F.avg("dl").alias("avgdl"))
-    idf = term_stats(split).join(terms, "term", "left_semi").select("term", "idf")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = postings.join(broadcast_if(asked.join(idf, "term"), BROADCAST_TERMS), "term").join(F.broadcast(mean))
-    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+def keyword_index(docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> KeywordIndex:
+    """Texts are split once; postings and document frequencies are written and read from there."""
+    postings = written(postings_of(docs, fold, key, text), "postings")
+    n = (docs.where(F.coalesce(F.col(text), F.lit("")) != "") if fold else docs).count()
+    return KeywordIndex(postings, written(document_frequencies(postings), "terms"), n, postings.agg(F.sum("tf")).first()[0] or 0, fold, k1, b)
 
 
 def top(scored: DataFrame, k: int, route: str) -> DataFrame:
@@ -58,21 +102,19 @@ def top(scored: DataFrame, k: int, route: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("route", F.lit(route)).select("query_id", "route", "chunk_id", "score", "rank")
 
 
+def bm25_scores(queries: DataFrame, docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return keyword_index(docs, fold, key, text).scores(queries)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Case-sensitive tokens, raw scores, none that isn't positive."""
-    return top(bm25_scores(queries, docs, False, key, text).where("score > 0"), k, "bm25")
+    return keyword_index(docs, False, key, text).search(queries, k)
 
 
 def bm25_relative(queries: DataFrame, docs: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lower-cased tokens, scores over the best one (1 if that is 0); documents without a term fill up with 0, in key order."""
-    scored = bm25_scores(queries, docs, True, key, text)
-    first = [r[0] for r in docs.select(key).orderBy(key).limit(2 * k).collect()]
-    best = top(scored, 2 * k, "bm25").select("query_id", "chunk_id", "score")
-    kind = docs.schema[key].dataType.simpleString()
-    fill = queries.select("query_id").withColumn("chunk_id", F.explode(F.array(*map(F.lit, first)).cast(f"array<{kind}>"))).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    ranked = top(best.unionByName(fill), k, "bm25")
-    most = F.max("score").over(Window.partitionBy("query_id"))
-    return ranked.withColumn("score", F.col("score") / F.when(most == 0, 1.0).otherwise(most))
+    kept = docs.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(key).alias("chunk_id"))
+    return keyword_index(docs, True, key, text).relative(queries, k, kept)
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "chunk_id", dims: int | None = None) -> DataFrame:

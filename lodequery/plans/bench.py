@@ -47,7 +47,7 @@ def answered(questions: DataFrame, chunks: DataFrame, triples: DataFrame) -> dic
     unsupported = claims.groupBy("query_id").agg(F.min(F.size("evidence_ids")).alias("least"))
     verdict = questions.select("query_id").join(unsupported, "query_id", "left").select("query_id", F.when(F.col("least") > 0, "supported").otherwise("unsupported").alias("verdict"))
     entities = chunks.select("chunk_id", F.explode("entities").alias("name"))
-    named = entities.select("name").distinct().join(questions, F.contains(F.lower("text"), F.lower("name"))).select("query_id", "name")
+    named = named_in(questions, entities)
     seeds = named.union(used.join(entities, "chunk_id").select("query_id", "name")).distinct()
     paths = one_hop(triples, seeds)
     nodes = seeds.union(paths.select("query_id", "head")).union(paths.select("query_id", "tail")).distinct()
@@ -55,6 +55,20 @@ def answered(questions: DataFrame, chunks: DataFrame, triples: DataFrame) -> dic
     return {"ranking": ranking, "cited": used, "answers": said, "contexts": contexts, "claims": claims, "verdicts": verdict, "paths": paths, "nodes": nodes, "visited": visited}
 
 
+def named_in(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, name): entities whose name a question's text contains, in any case.
+
+    A question's substrings of the lengths that names have meet the names in an equi-join; there are as many lengths as the
+    longest name has characters at most.
+    """
+    names = entities.where(F.coalesce("name", F.lit("")) != "").select("name", F.lower("name").alias("low")).distinct()
+    sizes = [r[0] for r in names.select(F.length("low").alias("n")).distinct().collect()]
+    low = F.lower("text")
+    cut = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.flatten(F.array(*map(cut, sizes)))) if sizes else F.array().cast("array<string>")
+    return questions.select("query_id", F.explode(parts).alias("low")).join(names, "low").select("query_id", "name")
+
+
 def scored(parts: dict[str, DataFrame]) -> DataFrame:
     """Provenance of each question."""
     return A.provenance(parts["answers"], parts["claims"].select("query_id", "claim_index", "claim", "evidence_ids"), parts["cited"], parts["contexts"])

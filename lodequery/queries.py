@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import keys, rules, tokens
+from .functions import checks, keys, outputs, rules, tokens
 from .operators import answers as A
 from .operators import chunking, fusion, graph, search
-from .plans import ask, bench
+from .plans import agents, ask, bench, tools
 from .sources import files, stores
 from .streaming import streams
+from .tables import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,7 +85,7 @@ CHUNKS = """chunks AS (SELECT doc_id, CAST(st // 462 AS INTEGER) AS chunk_index,
 
 def s_bm25(fold: bool, name: str = "bm25", k: int = 20) -> str:
     low = (lambda x: f"lower({x})") if fold else (lambda x: x)
-    return f"""split AS (SELECT doc_id, {s_split(low("coalesce(text, '')"))} AS toks FROM documents),
+    return f"""split AS (SELECT doc_id, {s_split(low("coalesce(text, '')"))} AS toks FROM documents{" WHERE coalesce(text, '') <> ''" if fold else ""}),
 lens AS (SELECT doc_id, len(toks) AS dl FROM split),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM split) GROUP BY ALL),
@@ -148,7 +151,46 @@ def semantic_chunks(spark, d):
 
 @query()
 def markdown_chunks(spark, d):
-    return chunking.markdown_chunks(table(spark, d, "documents"))
+    return chunking.markdown_chunks(markdown_texts(spark, d))
+
+
+#: A conversation as markdown: a heading for each turn, three levels deep in turn, and code that holds what looks like one.
+S_MARKDOWN = """md AS (SELECT conv_id AS doc_id, string_agg(repeat('#', 1 + turn % 3) || ' ' || coalesce(role, '') || chr(10) || coalesce(text, '') || CASE WHEN turn % 5 = 4 THEN chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' ELSE '' END, chr(10) ORDER BY turn, role, text) AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1)"""
+
+
+def markdown_texts(spark, d) -> DataFrame:
+    turns = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    code = F.when(F.col("turn") % 5 == 4, "\n```\n# code\n```").otherwise("")
+    part = F.concat(F.expr("repeat('#', cast(1 + turn % 3 as int))"), F.lit(" "), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), code)
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text", part.alias("part"))))
+    return turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(parts, lambda s: s["part"]), "\n").alias("text"))
+
+
+def s_crumbs() -> str:
+    """Of the last heading of each level, those after which no shallower one came."""
+    place = lambda k: f"coalesce(p{k}, -1)"
+    return "list_filter([" + ", ".join(f"CASE WHEN {place(k)} > greatest(-1, {', '.join(['-1', *(place(j) for j in range(1, k))])}) THEN t{k} END" for k in range(1, 7)) + "], lambda t: t IS NOT NULL)"
+
+
+S_HEADING = r"'^(#{1,6})\s+(.*?)\s*#*\s*$'"
+
+
+@query(f"""WITH {S_MARKDOWN}, cut AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]') AS l FROM md),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM cut), f AS (SELECT *, regexp_matches(line, '^\\s*```') AS fence FROM lines),
+n AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS fences FROM f),
+v AS (SELECT *, CASE WHEN NOT fence AND fences % 2 = 0 AND regexp_matches(line, {S_HEADING}) THEN length(regexp_extract(line, {S_HEADING}, 1)) END AS level, {s_strip(f"regexp_extract(line, {S_HEADING}, 2)")} AS title FROM n),
+s AS (SELECT *, count(level) OVER w AS section, {", ".join(f"max(CASE WHEN level = {k} THEN pos END) OVER w AS p{k}, last_value(CASE WHEN level = {k} THEN title END IGNORE NULLS) OVER w AS t{k}" for k in range(1, 7))} FROM v
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT doc_id, section, {s_strip("coalesce(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY pos), '')")} AS content, arg_max(array_to_string({s_crumbs()}, ' > '), pos) AS breadcrumbs FROM s GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INTEGER) AS section_index, breadcrumbs, content FROM m WHERE content <> ''""")
+def markdown_sections(spark, d):
+    return chunking.markdown_sections(markdown_texts(spark, d)).withColumn("breadcrumbs", F.array_join("breadcrumbs", " > "))
+
+
+@query("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 100 AS BIGINT) AS batch_index FROM events")
+def batches(spark, d):
+    return chunking.batches(table(spark, d, "events").select("event_id"), 100, "event_id")
 
 
 @query(f"""WITH {CHUNKS}, n AS (SELECT doc_id, chunk_index, {s_estimate('content')} AS n FROM chunks),
@@ -223,7 +265,7 @@ def decision_rules(spark, d):
 
 @query(f"WITH {s_bm25(False)} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_statistics(spark, d):
-    return search.term_stats(search.tokenised(table(spark, d, "documents"), "doc_id", "text", False)).withColumn("idf", F.round("idf", 6))
+    return search.keyword_index(table(spark, d, "documents"), False).idf().withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {s_bm25(False)} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM bm25")
@@ -231,8 +273,17 @@ def bm25_search(spark, d):
     return search.bm25(benchmark_queries(spark, d), table(spark, d, "documents")).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {s_bm25(True)}, every AS (SELECT item_id AS query_id, doc_id, coalesce(score, 0) AS score FROM benchmark b CROSS JOIN documents LEFT JOIN scored USING (doc_id) WHERE scored.query_id = b.item_id OR scored.query_id IS NULL
-  UNION SELECT item_id, doc_id, 0 FROM benchmark, documents WHERE (item_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM scored)),
+@query(f"WITH {s_bm25(False)} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM bm25")
+def bm25_saved_search(spark, d):
+    """An index that is saved, added to and loaded again."""
+    docs, path = table(spark, d, "documents"), f"{shared_dir(spark)}/lodequery-index-{uuid.uuid4().hex}"
+    stores.save_index(docs.where("lang = 'en'"), path, fold=False)
+    stores.add_to_index(docs.where("lang is null or lang != 'en'"), path, fold=False)
+    return stores.load_index(spark, path).search(benchmark_queries(spark, d)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {s_bm25(True)}, every AS (SELECT item_id AS query_id, doc_id, coalesce(score, 0) AS score FROM benchmark b CROSS JOIN split LEFT JOIN scored USING (doc_id) WHERE scored.query_id = b.item_id OR scored.query_id IS NULL
+  UNION SELECT item_id, doc_id, 0 FROM benchmark, split WHERE (item_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM scored)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM every), m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS most FROM r WHERE rank <= 10)
 SELECT query_id, doc_id AS chunk_id, CAST(rank AS INTEGER) AS rank, round(score / CASE WHEN most = 0 THEN 1 ELSE most END, 6) AS score FROM m""")
 def bm25_relative_search(spark, d):
@@ -290,7 +341,7 @@ def context_compression(spark, d):
 
 
 S_RERANK = f"""t AS (SELECT item_id AS query_id, {s_claim('text')} AS qt FROM benchmark), pool AS (SELECT query_id, chunk_id, max(score) AS score, arg_min(content, ord) AS content, min(ord) AS ord FROM hits WHERE chunk_id IS NOT NULL GROUP BY 1, 2),
-rr AS (SELECT p.*, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, {s_claim('content')})) / len(qt) ELSE 0 END AS rerank_score FROM pool p JOIN t USING (query_id)),
+rr AS (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS pre_rank, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, {s_claim('content')})) / len(qt) ELSE 0 END AS rerank_score FROM pool p JOIN t USING (query_id)),
 reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, ord) AS rank FROM rr) WHERE rank <= 5)"""
 
 
@@ -300,9 +351,9 @@ def reranked_hits(spark, d) -> DataFrame:
     return fusion.reranked(fusion.ranked(pool, "score"), benchmark_queries(spark, d))
 
 
-@query(f"WITH {S_HITS}, {S_RERANK} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(rerank_score, 6) AS rerank_score FROM reranked")
+@query(f"WITH {S_HITS}, {S_RERANK} SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(pre_rank AS INTEGER) AS pre_rank, chunk_id, round(rerank_score, 6) AS rerank_score FROM reranked")
 def rerank(spark, d):
-    return reranked_hits(spark, d).select("query_id", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+    return reranked_hits(spark, d).select("query_id", "rank", "pre_rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query(f"""WITH {S_HITS}, {S_RERANK}, m AS (SELECT query_id, avg(rerank_score) AS relevance, avg(CASE WHEN rerank_score >= 0.5 THEN 1.0 ELSE 0 END) AS coverage, count(*) AS hits FROM reranked GROUP BY 1),
@@ -367,16 +418,16 @@ def trace_completeness(spark, d):
     return A.trace_completeness(run_log(spark, d))
 
 
-@query("WITH c AS (SELECT DISTINCT user_id, event_type FROM events), g AS (SELECT DISTINCT user_id, event_type, 1 AS hit FROM events WHERE value > 100) SELECT user_id AS run_id, round(count(hit) / count(*), 4) AS necessity FROM c LEFT JOIN g USING (user_id, event_type) GROUP BY 1")
+@query("WITH c AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('click', 'error')), r AS (SELECT DISTINCT user_id FROM events), g AS (SELECT DISTINCT user_id, event_type, 1 AS hit FROM events WHERE value > 100) SELECT r.user_id AS run_id, coalesce(round(count(hit) / nullif(count(c.event_type), 0), 4), 1.0) AS necessity FROM r LEFT JOIN c USING (user_id) LEFT JOIN g ON c.user_id = g.user_id AND c.event_type = g.event_type GROUP BY 1")
 def tool_necessity(spark, d):
     log = run_log(spark, d)
-    return A.tool_necessity(log, log.where("value > 100"))
+    return A.tool_necessity(log.where("tool in ('click', 'error')"), log.where("value > 100"), log)
 
 
-@query(f"WITH e AS (SELECT user_id, value, {S_NODE} AS node FROM events), c AS (SELECT DISTINCT user_id, node FROM e), g AS (SELECT DISTINCT user_id, node, 1 AS hit FROM e WHERE value < 20) SELECT user_id AS run_id, round(count(hit) / count(*), 4) AS coverage FROM c LEFT JOIN g USING (user_id, node) GROUP BY 1")
+@query(f"WITH e AS (SELECT user_id, value, {S_NODE} AS node FROM events), c AS (SELECT DISTINCT user_id, node FROM e WHERE node IN ('planner', 'fallback')), r AS (SELECT DISTINCT user_id FROM e), g AS (SELECT DISTINCT user_id, node, 1 AS hit FROM e WHERE value < 20) SELECT r.user_id AS run_id, coalesce(round(count(hit) / nullif(count(c.node), 0), 4), 1.0) AS coverage FROM r LEFT JOIN c USING (user_id) LEFT JOIN g ON c.user_id = g.user_id AND c.node = g.node GROUP BY 1")
 def audit_coverage(spark, d):
     log = run_log(spark, d)
-    return A.audit_coverage(log.where("value < 20"), log)
+    return A.audit_coverage(log.where("value < 20"), log.where("node in ('planner', 'fallback')"), log)
 
 
 @query("WITH r AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS rewrites, arg_max(event_type, {'a': ts, 'b': event_id}) AS last FROM events GROUP BY 1) SELECT coalesce(avg(CASE WHEN last = 'purchase' THEN 1.0 ELSE 0 END), 0) AS fix_rate, count(*) AS rewritten_runs FROM r WHERE rewrites > 0")
@@ -393,6 +444,11 @@ def keyword_evaluation(spark, d):
     return A.keyword_evaluation(asked.join(best, "query_id", "left").select(F.col("query_id").alias("id"), "answer", F.slice(tokens.blank_split(F.col("text")), 1, 5).alias("keywords")))
 
 
+@query(f"WITH scores AS ({SQL['keyword_evaluation']}) SELECT round(coalesce(avg(score), 0), 6) AS average, count(*) AS answers FROM scores")
+def keyword_report(spark, d):
+    return A.keyword_report(keyword_evaluation(spark, d))
+
+
 @query(f"""WITH {S_HITS}, h AS (SELECT * FROM hits WHERE chunk_id IS NOT NULL), m AS (SELECT query_id, chunk_id, max(score) AS score, min(ord) AS ord FROM h GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS fused_rank FROM m), first AS (SELECT query_id, route, chunk_id, min(ord) AS raw_rank, arg_min(score, ord) AS raw_score FROM h GROUP BY 1, 2, 3),
 o AS (SELECT a.*, CASE WHEN f.fused_rank <= 5 THEN f.fused_rank END AS fused_rank, CASE WHEN f.fused_rank <= 5 THEN f.score END AS fused_score, coalesce(b.rank <= 3, false) AS cited FROM first a LEFT JOIN f USING (query_id, chunk_id) LEFT JOIN bm25 b ON a.query_id = b.query_id AND a.chunk_id = CAST(b.chunk_id AS VARCHAR))
@@ -404,6 +460,11 @@ def retrieval_trace(spark, d):
     return out.select("query_id", "position", "route", "chunk_id", "raw_rank", F.round("raw_score", 6).alias("raw_score"), "fused_rank", F.round("fused_score", 6).alias("fused_score"), "cited")
 
 
+@query(f"WITH trace AS ({SQL['retrieval_trace']}) SELECT * FROM trace WHERE route = 'bm25'")
+def trace_of_route(spark, d):
+    return A.of_route(retrieval_trace(spark, d), "bm25")
+
+
 @query(f"""WITH q AS (SELECT item_id AS query_id, unnest({s_bench('text')}) AS t FROM benchmark), c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest({s_bench('text')}) AS t FROM documents),
 s AS (SELECT query_id, chunk_id, count(*) AS overlap FROM q JOIN c USING (t) GROUP BY ALL)
 SELECT query_id, chunk_id, overlap, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_id) AS rank FROM s) WHERE rank <= 6""")
@@ -412,13 +473,41 @@ def overlap_ranking(spark, d):
     return bench.overlap_ranking(benchmark_queries(spark, d), chunks)
 
 
-@query()
+#: For each benchmark text the document that shares most of its tokens, and a copy of it without the text's first word.
+S_ADVERSARIAL = f"""asked AS (SELECT item_id AS query_id, text AS question, {s_bench('text')} AS q, {s_split('text')}[1] AS word FROM benchmark),
+found AS (SELECT * FROM ({SQL['overlap_ranking']}) WHERE rank = 1),
+pool AS (SELECT query_id, chunk_id, text AS content FROM found JOIN documents ON chunk_id = CAST(doc_id AS VARCHAR)
+  UNION ALL SELECT query_id, 'distractor:' || query_id, replace(text, word, 'zzz') FROM found JOIN documents ON chunk_id = CAST(doc_id AS VARCHAR) JOIN asked USING (query_id)),
+o AS (SELECT query_id, chunk_id, content, len(list_intersect(q, {s_bench('content')})) AS overlap FROM pool JOIN asked USING (query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_id) AS rank, max(overlap) OVER (PARTITION BY query_id) AS best FROM o),
+u AS MATERIALIZED (SELECT *, {s_claim('content')} AS own FROM r WHERE rank <= 3 AND (overlap > 0 OR (best = 0 AND rank = 1))),
+p AS (SELECT query_id, i AS claim_index, l[i] AS claim FROM (SELECT query_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT query_id, {s_claims('content')} AS l FROM u WHERE rank = 1))),
+m AS (SELECT p.query_id, claim_index, u.chunk_id, len(list_intersect({s_claim('claim')}, own)) >= 2 AS ok FROM p LEFT JOIN u USING (query_id)),
+e AS (SELECT query_id, claim_index, count(*) FILTER (WHERE ok) AS n, coalesce(bool_or(ok AND starts_with(chunk_id, 'distractor:')), false) AS touched FROM m GROUP BY 1, 2),
+v AS (SELECT query_id, min(n) AS least, bool_or(touched) AS touched FROM e GROUP BY 1), w AS (SELECT query_id, bool_or(starts_with(chunk_id, 'distractor:')) AS misled FROM u GROUP BY 1),
+cases AS (SELECT coalesce(misled, false) AS misled, coalesce(least, 0) = 0 OR coalesce(touched, false) AS lost FROM found LEFT JOIN v USING (query_id) LEFT JOIN w USING (query_id)),
+rates AS (SELECT round(avg(CASE WHEN misled THEN 1.0 ELSE 0 END), 4) AS misled_rate, round(avg(CASE WHEN lost THEN 1.0 ELSE 0 END), 4) AS hallucination_rate, round(avg(CASE WHEN misled THEN 0 ELSE 1.0 END), 4) AS distractor_visited_rate, count(*) AS cases FROM cases)"""
+
+
+@query(f"WITH {S_ADVERSARIAL} SELECT *, misled_rate <= 0.1 AND hallucination_rate <= 0.1 AND distractor_visited_rate >= 0.5 AS passes FROM rates")
 def adversarial_rates(spark, d):
-    """Each benchmark text against documents' first matches: the planted chunk swaps one frequent word of the gold one."""
-    asked = benchmark_queries(spark, d).select(F.col("query_id").cast("string").alias("query_id"), "text")
-    gold = asked.select("query_id", F.concat(F.lit("gold:"), "query_id").alias("chunk_id"), F.col("text").alias("content"))
-    planted = A.with_distractor(asked.select(F.col("query_id").alias("case_id"), F.col("text").alias("content"), F.lit("the").alias("swap_from"), F.lit("THE1").alias("swap_to")))
-    return A.passes(A.adversarial(bench.adversarial_cases(asked, gold, planted, strip=False)))
+    """Each benchmark text against the document nearest to it and a copy of that with a word swapped."""
+    return A.passes(adversarial_report(spark, d))
+
+
+def adversarial_report(spark, d) -> DataFrame:
+    chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    asked = benchmark_queries(spark, d)
+    gold = bench.overlap_ranking(asked, chunks).where("rank = 1 and overlap > 0").join(chunks, "chunk_id").join(asked.select("query_id", "text"), "query_id")
+    word = F.get(tokens.blank_split(F.col("text")), 0)
+    planted = A.with_distractor(gold.select(F.col("query_id").alias("case_id"), "content", word.alias("swap_from"), F.lit("zzz").alias("swap_to")))
+    return A.adversarial(bench.adversarial_cases(asked, gold, planted, strip=False))
+
+
+@query(f"""WITH {s_bm25(False)}, {S_CLAIMS}, {S_PROVENANCE}, {S_ADVERSARIAL}, ps AS (SELECT round(avg(ps), 4) AS mean_ps, round(median(ps), 4) AS median_ps, round(avg(CASE WHEN ps >= 0.8 THEN 1.0 ELSE 0 END), 4) AS pass_rate, count(*) AS questions FROM prov),
+kpis AS (SELECT *, misled_rate <= 0.1 AND hallucination_rate <= 0.1 AND distractor_visited_rate >= 0.5 AS passes FROM ps, rates) SELECT *, passes AND mean_ps >= 0.8 AS all_pass FROM kpis""".replace("asked AS (SELECT item_id AS query_id, text AS question", "asked_of AS (SELECT item_id AS query_id, text AS question").replace("JOIN asked USING (query_id)", "JOIN asked_of USING (query_id)"))
+def bench_report(spark, d):
+    return A.bench_report(provenance_summary(spark, d), adversarial_report(spark, d))
 
 
 @query()
@@ -428,12 +517,93 @@ def ask_questions(spark, d):
     return got["answers"].join(got["verdicts"], "query_id").select("query_id", "decision", "rewrites", "score", "verdict", "claims", "unsupported")
 
 
-@query()
-def hybrid_search(spark, d):
-    docs, asked = table(spark, d, "documents"), benchmark_queries(spark, d)
+S_HYBRID = f"""{s_bm25(False, k=5)}, {s_vectors("SELECT item_id AS query_id FROM benchmark", 5)},
+hits AS (SELECT h.query_id, route, CAST(chunk_id AS VARCHAR) AS chunk_id, score, rank, text AS content, row_number() OVER (PARTITION BY h.query_id ORDER BY CASE route WHEN 'vector' THEN 1 ELSE 2 END, rank, CAST(chunk_id AS VARCHAR)) AS ord
+  FROM (SELECT * FROM vector UNION ALL SELECT * FROM bm25) h JOIN documents ON chunk_id = doc_id)"""
+
+
+def hybrid_routes(spark, d) -> dict:
+    docs = table(spark, d, "documents")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    routes = {"bm25": ask.keyword_route(docs), "vector": ask.vector_route(docs, vectors, vectors.withColumnRenamed("doc_id", "query_id"))}
-    return ask.hybrid(asked, routes)[0].select("query_id", "rank", "chunk_id", F.round("fusion_score", 6).alias("fusion_score"), F.length("content").alias("chars"))
+
+    def down(queries: DataFrame, k: int) -> DataFrame:
+        raise ConnectionError("no graph here")
+
+    return {"bm25": ask.keyword_route(docs), "vector": ask.vector_route(docs, vectors, vectors.withColumnRenamed("doc_id", "query_id")), "graph": down}
+
+
+@query(f"""WITH {S_HYBRID}, {S_WEIGHTED}, u AS (SELECT *, coalesce(sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM fused)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(fusion_score, 6) AS fusion_score, CAST(least(length(content), 6000 - used) AS INTEGER) AS chars FROM u WHERE used < 6000""")
+def hybrid_search(spark, d):
+    """Two routes, and a third that fails and leaves them alone."""
+    fused, _, _ = ask.hybrid(benchmark_queries(spark, d), hybrid_routes(spark, d))
+    return fused.select("query_id", "rank", "chunk_id", F.round("fusion_score", 6).alias("fusion_score"), F.length("content").alias("chars"))
+
+
+@query(f"""WITH q AS (SELECT {s_split('text')} AS l FROM benchmark ORDER BY item_id LIMIT 1), e AS (SELECT 0 AS seq, 'phase' AS type, 'analysis' AS text UNION ALL SELECT 1, 'phase', 'retrieval' UNION ALL SELECT 2, 'answer_start', ''
+UNION ALL SELECT 3 + i, 'token', l[i + 1] FROM (SELECT l, unnest(range(0, len(l))) AS i FROM q) UNION ALL SELECT 3 + len(l), 'answer_end', '' FROM q UNION ALL SELECT 4 + len(l), 'done', '' FROM q) SELECT CAST(seq AS INTEGER) AS seq, type, text FROM e""")
+def answer_stream(spark, d):
+    """The events of the first benchmark question, answered by its own words one at a time."""
+    question = benchmark_queries(spark, d).orderBy("query_id").limit(1)
+    said = question.select(tokens.blank_split(F.col("text"))).first()[0]
+    events = agents.answer_events(question, hybrid_routes(spark, d), lambda prompt: iter(said), k=5)
+    return spark.createDataFrame([(i, e["type"], e.get("phase") or e.get("text") or "") for i, e in enumerate(events)], "seq int, type string, text string")
+
+
+# --- model output, records, access -----------------------------------------------------------------------------------
+
+
+@query("""SELECT conv_id, turn, text, coalesce(role, '') AS evidence, 'supported' AS support FROM conversations WHERE text IS NOT NULL
+UNION ALL SELECT conv_id, turn, role, '', 'unsupported' FROM conversations WHERE role IS NOT NULL""")
+def claim_coercion(spark, d):
+    """From a list of an object, one without a text, a number, and a string."""
+    whole, bare = F.to_json(F.struct("text", F.array("role").alias("evidence_ids"))), F.to_json(F.array("role"))
+    listed = F.concat(F.lit("["), whole, F.lit(', {"evidence_ids": ["x"]}, 7, '), F.expr("substring(bare, 2, length(bare) - 1)"))
+    turns = table(spark, d, "conversations").withColumn("bare", bare)
+    return turns.select("conv_id", "turn", F.explode(outputs.coerced_claims(listed)).alias("c")).select("conv_id", "turn", "c.text", F.array_join("c.evidence_ids", ",").alias("evidence"), "c.support")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'compare' ELSE 'query' END AS intent, CASE event_id % 3 WHEN 0 THEN 'a,b' ELSE '' END AS entities, 'medium' AS complexity, event_id % 3 = 0 AS requires_multi_hop,
+CASE event_id % 3 WHEN 1 THEN 'better ' || event_type ELSE event_type END AS query_rewrite, event_id % 3 = 1 AS is_supported, CASE event_id % 3 WHEN 1 THEN 0.5 ELSE 0 END AS confidence FROM events""")
+def typed_outputs(spark, d):
+    """Fields that are there, missing, mistyped, and a text that is no JSON."""
+    kind = F.col("event_id") % 3
+    said = F.when(kind == 0, '{"intent": "compare", "entities": ["a", "b"], "requires_multi_hop": true, "query_rewrite": "", "confidence": null}').when(
+        kind == 1, F.concat(F.lit('{"intent": 7, "query_rewrite": "better '), "event_type", F.lit('", "is_supported": true, "confidence": 0.5, "complexity": []}'))
+    ).otherwise("no JSON")
+    rows = table(spark, d, "events").select("event_id", outputs.analysis(said, F.col("event_type")).alias("a"), outputs.verification(said).alias("v"))
+    return rows.select("event_id", "a.intent", F.array_join("a.entities", ",").alias("entities"), "a.complexity", "a.requires_multi_hop", "a.query_rewrite", "v.is_supported", "v.confidence")
+
+
+@query("""SELECT event_id, event_id % 4 = event_id % 3 + 1 AND user_id % 3 = event_id % 3 AS path_fits, regexp_matches(CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'X' || event_type END, '^[a-z][a-z0-9_]*$') AS plain_name,
+value / 100 BETWEEN 0 AND 1 AS unit_score, event_id % 5 BETWEEN 0 AND 2 AS rewrites_fit, coalesce(length(props) BETWEEN 10 AND 2000, false) AS reasoning_fits FROM events""")
+def record_checks(spark, d):
+    n = F.col("event_id")
+    name = F.when(n % 2 == 0, F.col("event_type")).otherwise(F.concat(F.lit("X"), "event_type"))
+    nodes, rels = F.expr("array_repeat('n', cast(event_id % 4 as int))"), F.expr("array_repeat('r', cast(user_id % 3 as int))")
+    return table(spark, d, "events").select(
+        "event_id", checks.path_fits(n % 3, nodes, rels).alias("path_fits"), checks.plain_name(name).alias("plain_name"), checks.unit_score(F.col("value") / 100).alias("unit_score"),
+        checks.rewrites_fit(n % 5).alias("rewrites_fit"), checks.reasoning_fits(F.col("props")).alias("reasoning_fits"),
+    )
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 200 ELSE 401 END AS status, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment END AS key, 503 AS unlisted, 'auth_disabled' AS unchecked FROM customer")
+def key_access(spark, d):
+    key = F.col("c_mktsegment")
+    listed, unlisted, off = checks.access(key, True, " BUILDING, MACHINERY ,"), checks.access(key, True, " , "), checks.access(key, False, "")
+    return table(spark, d, "customer").select("c_custkey", listed["status"].alias("status"), listed["key"].alias("key"), unlisted["status"].alias("unlisted"), off["key"].alias("unchecked"))
+
+
+@query("SELECT name, true AS read_only, position = 5 AS asks FROM (VALUES ('search.vector', 1), ('search.bm25', 2), ('search.kg', 3), ('search.web', 4), ('orchestrate.ask', 5)) t(name, position)")
+def tool_list(spark, d):
+    return tools.tool_list(spark).select("name", "read_only", (F.get_json_object("descriptor", "$.metadata.route") == "all").alias("asks"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN s >= 0.7 THEN 'use' WHEN s >= 0.3 AND r < 2 THEN 'rewrite' ELSE 'fallback' END AS branch, CASE WHEN r >= 2 THEN 'fallback' WHEN s >= 0.7 THEN 'use' WHEN s >= 0.3 THEN 'rewrite' ELSE 'fallback' END AS branch_cap_first,
+printf('score %.4f after %d rewrites: %s', s, r, branch) AS reasoning FROM (SELECT l_orderkey, l_linenumber, round(least(1, l_discount * 10), 1) AS s, CAST(l_linenumber % 3 AS INTEGER) AS r FROM lineitem)""")
+def decision_records(spark, d):
+    rows = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("query_id"), F.round(F.least(F.lit(1.0), F.col("l_discount") * 10), 1).alias("score"), (F.col("l_linenumber") % 3).cast("int").alias("rewrites"))
+    return ask.decision_records(rows).select("query_id.*", "branch", "branch_cap_first", "reasoning")
 
 
 # --- graph -----------------------------------------------------------------------------------------------------------
@@ -525,6 +695,24 @@ def graph_path_hits(spark, d):
     return graph.path_hits(*star_graph(spark, d), named_entities(spark, d).withColumn("name", F.lower("name")))
 
 
+@query(f"""WITH {S_GRAPH}, {S_ENTITIES}, starts AS (SELECT DISTINCT name FROM entities), {S_TRAILS}, a AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3),
+p AS (SELECT a.query_id, a.name AS source, b.name AS target FROM entities a JOIN entities b USING (query_id) WHERE a.pos < b.pos),
+f AS (SELECT query_id, source, target, depth, array_to_string(nodes, '->') || '@d' || depth AS path, array_to_string(rels, ',') AS rel_list FROM a JOIN p ON start = source AND fin = target)
+SELECT query_id, source, target, CAST(rank AS INTEGER) AS rank, depth, path, rel_list FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, target ORDER BY depth, path, rel_list) AS rank FROM f) WHERE rank <= 5""")
+def graph_search_paths(spark, d):
+    return graph.graph_search_paths(star_graph(spark, d)[1], named_entities(spark, d))
+
+
+@query(f"""WITH {S_GRAPH}, starts AS (SELECT r_name AS name FROM region), {S_TRAILS}, k AS (SELECT name, min(type) AS type FROM nodes GROUP BY 1)
+SELECT nodes[1] || '->' || nodes[2] || '@d1' AS path_id, 1 AS depth, a.name || ':' || a.type || ',' || b.name || ':' || b.type AS node_list, nodes[1] || '|' || rels[1] || '|' || nodes[2] AS rel_list FROM t1 JOIN k a ON a.name = nodes[1] JOIN k b ON b.name = nodes[2]""")
+def graph_path_records(spark, d):
+    nodes, edges = star_graph(spark, d)
+    paths = graph.trails(edges, table(spark, d, "region").select(F.col("r_name").alias("name")), 1).withColumn("path_id", keys.path_id(F.col("nodes")))
+    made = graph.path_record(nodes, paths.select("path_id", "nodes", "rels"))
+    ends = lambda r: F.concat_ws("|", r["source"], r["type"], r["target"])
+    return made.select("path_id", "depth", F.array_join(F.transform("node_list", lambda n: F.concat_ws(":", n["name"], n["type"])), ",").alias("node_list"), F.array_join(F.transform("rel_list", ends), ",").alias("rel_list"))
+
+
 S_DEGREE = "ends AS (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges), deg AS (SELECT n.name, n.type, coalesce(c, 0) AS degree FROM nodes n LEFT JOIN (SELECT name, count(*) AS c FROM ends GROUP BY 1) USING (name)), shown AS (SELECT * FROM deg ORDER BY degree DESC, name LIMIT 500)"
 
 
@@ -544,6 +732,19 @@ def graph_export_links(spark, d):
     return graph.exported_links(*shown_nodes(spark, d))
 
 
+@query(f"WITH {S_GRAPH}, {S_DEGREE} SELECT count(*) AS nodes, (SELECT count(*) FROM edges WHERE source IN (SELECT name FROM shown) AND target IN (SELECT name FROM shown)) AS links, count(DISTINCT type) AS types FROM shown")
+def graph_view_stats(spark, d):
+    shown, edges = shown_nodes(spark, d)
+    return graph.shown_stats(shown, graph.exported_links(shown, edges))
+
+
+@query(f"WITH {S_GRAPH}, {S_DEGREE} SELECT name AS id, degree FROM shown WHERE contains(lower(name), 'at') AND type <> 'Document' AND degree > 0 AND name IN (SELECT n_name FROM nation)")
+def graph_labels(spark, d):
+    shown, _ = shown_nodes(spark, d)
+    existing = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return graph.labelled(graph.view(shown, attachments=False, orphans=False, existing=existing), "AT").select("id", "degree")
+
+
 @query(f"WITH {S_GRAPH} SELECT u AS name, count(*) AS n, md5(string_agg(v, ',' ORDER BY v)) AS digest FROM (SELECT DISTINCT u, v FROM both_ways) GROUP BY 1")
 def graph_adjacency(spark, d):
     return graph.adjacency(star_graph(spark, d)[1]).select("name", F.size("neighbours").cast("long").alias("n"), F.md5(F.array_join("neighbours", ",").cast("binary")).alias("digest"))

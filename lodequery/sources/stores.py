@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..functions import keys, tokens
-from ..operators.search import term_stats, tokenised
+from ..operators.search import B, K1, KeywordIndex, document_frequencies, postings_of
 
 WEB_CHARS = 2000
 
@@ -20,26 +22,94 @@ def append_vectors(table: DataFrame, path: str, key: str = "vec_id") -> None:
     table.select(key, keys.normalised(F.col("embedding")).alias("embedding")).write.mode("append").parquet(path)
 
 
-def save_index(docs: DataFrame, path: str, fold: bool, key: str = "doc_id", text: str = "text") -> None:
-    """Postings (by term, so that a search prunes files) and statistics of a keyword index."""
-    split = tokenised(docs, key, text, fold)
-    postings = split.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    term_stats(split).write.mode("overwrite").parquet(f"{path}/terms")
-    split.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+def add_to_index(docs: DataFrame, path: str, fold: bool, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> None:
+    """Add documents to the keyword index under a path, which may not exist yet.
+
+    An addition is a part of its own: postings (sorted by term, so that a search prunes files), document frequencies, which
+    add up over parts, and a row of totals, written last. A part without totals was interrupted and is not read.
+    """
+    part = uuid.uuid4().hex
+    postings_of(docs, fold, key, text).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings/part={part}")
+    postings = docs.sparkSession.read.parquet(f"{path}/postings/part={part}")
+    document_frequencies(postings).write.parquet(f"{path}/terms/part={part}")
+    n = (docs.where(F.coalesce(F.col(text), F.lit("")) != "") if fold else docs).count()
+    totals = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).select(F.lit(n).alias("docs"), "tokens", F.lit(fold).alias("fold"), F.lit(k1).alias("k1"), F.lit(b).alias("b"))
+    totals.withColumn("part", F.lit(part)).coalesce(1).write.mode("append").parquet(f"{path}/totals")
+
+
+def save_index(docs: DataFrame, path: str, fold: bool, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> None:
+    """A new index; what is under the path is replaced."""
+    where = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    add_to_index(docs, path, fold, key, text, k1, b)
 
 
-def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "totals"))
+def load_index(spark: SparkSession, path: str) -> KeywordIndex:
+    """The index under a path, ready to be searched; its parameters are those of the first part."""
+    totals = spark.read.parquet(f"{path}/totals").orderBy("part").collect()
+    parts = [r["part"] for r in totals]
+    read = lambda name: spark.read.option("basePath", f"{path}/{name}").parquet(*(f"{path}/{name}/part={p}" for p in parts)).drop("part")
+    terms = read("terms").groupBy("term").agg(F.sum("df").alias("df"))
+    return KeywordIndex(read("postings"), terms, sum(r["docs"] for r in totals), sum(r["tokens"] for r in totals), totals[0]["fold"], totals[0]["k1"], totals[0]["b"])
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    """Nodes by their type and edges by theirs, a folder for each; a search for one type reads that folder alone."""
+    nodes.withColumn("label", F.col("type")).write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
+    edges.withColumn("rel_type", F.col("type")).write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/edges")
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    return spark.read.parquet(f"{path}/nodes").drop("label"), spark.read.parquet(f"{path}/edges").drop("rel_type")
+
+
+class Store:
+    """Tables under a path that are read when they are first asked for. A store that can't be read is disconnected, and empty.
+
+    schemas: what the tables hold, by name.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str]):
+        self.spark, self.path, self.schemas = spark, path, schemas
+        self.error: str | None = None
+        self._tables: dict[str, DataFrame] | None = None
+
+    def _connect(self) -> dict[str, DataFrame]:
+        if self._tables is None:
+            try:
+                self._tables, self.error = {n: self.spark.read.parquet(f"{self.path}/{n}") for n in self.schemas}, None
+            except Exception as e:  # whatever is wrong with a store, the service goes on without it
+                self.error = str(e).split("\n")[0]
+                return {n: self.spark.createDataFrame([], s) for n, s in self.schemas.items()}
+        return self._tables
+
+    @property
+    def connected(self) -> bool:
+        self._connect()
+        return self.error is None
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._connect()[name]
+
+    def close(self) -> None:
+        """Forget the tables; the next use connects again."""
+        self._tables = self.error = None
+
+
+def graph_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, {"nodes": "name string, type string, confidence double, properties map<string,string>", "edges": "source string, target string, type string, edge_id string"})
+
+
+def vector_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, {"vectors": "chunk_id string, embedding array<double>", "chunks": "chunk_id string, content string"})
+
+
+def load_vectors(spark: SparkSession, path: str, key: str = "vec_id", kind: str = "long") -> DataFrame:
+    """The stored vectors (key, embedding); a store that can't be read is an empty one."""
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # as at the first start
+        return spark.createDataFrame([], f"{key} {kind}, embedding array<double>")
 
 
 def static_hits(spark: SparkSession, rows: list[tuple], k: int, route: str = "vector") -> DataFrame:

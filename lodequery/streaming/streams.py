@@ -15,6 +15,8 @@ from ..operators.chunking import fixed_chunks, ingest_rows
 LIMIT, WINDOW = 60, "1 minute"
 FAILURES, OPEN_SECONDS = 5, 30
 LATE = "10 minutes"
+#: Folders of an upserted table; tables have no such columns of their own.
+BUCKET, VERSION = "__bucket", "__version"
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "doc_id long, text string"):
@@ -23,27 +25,61 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schem
     return ingest_rows(fixed_chunks(arrived)).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def extract_entities(spark: SparkSession, chunks: str, target: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], chars: int = 3000):
-    """A second stream over stored chunks: extract makes entity rows from the first `chars` characters of each document."""
-    schema = spark.read.parquet(chunks).schema
-    arrived = spark.readStream.schema(schema).parquet(chunks).where(F.col("chunk_index") == 0).withColumn("content", F.substring("content", 1, chars))
+def extract_entities(spark: SparkSession, source: str, target: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], chars: int = 3000, schema: str = "doc_id long, text string"):
+    """A second stream over the documents that ingest() chunks: extract makes entity rows from the first `chars` characters of each.
+
+    extract sees doc_id and content. Chunks overlap and are shorter than that, so it is the document that is read.
+    """
+    arrived = spark.readStream.schema(schema).parquet(source).where(F.coalesce("text", F.lit("")) != "").withColumn("content", F.substring("text", 1, chars)).drop("text")
     return extract(arrived).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """The latest row of each key in a table of versions: every batch writes a new version of the table, named by its number.
+def upsert(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64):
+    """The latest row of each key. The table is divided by a hash of the key; a batch writes a new version of the buckets it touches.
 
-    A batch that is run again overwrites its own version alone, so repeating it changes nothing.
+    A version is named by its batch, so a batch that is run again overwrites its own versions alone. A bucket's version before the
+    last one is deleted. read_upserted() reads each bucket's last version.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = batch if n == 0 else spark.read.parquet(f"{path}/v{n - 1}").unionByName(batch)
-        latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/v{n}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+        rows = latest(batch, keys, order).withColumn(BUCKET, bucket)
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
+        before = {b: v for b, v in versions(spark, path).items() if b in touched}
+        old = [f"{path}/{BUCKET}={b}/{VERSION}={max(x for x in v if x < n)}" for b, v in before.items() if any(x < n for x in v)]
+        if old:
+            rows = spark.read.option("basePath", path).parquet(*old).drop(VERSION).unionByName(rows)
+        kept = latest(rows, [*keys, BUCKET], order).withColumn(VERSION, F.lit(n).cast("long"))
+        kept.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, VERSION).parquet(path)
+        fs, hadoop = _file_system(spark, path)
+        for b, v in before.items():
+            for x in sorted(x for x in v if x < n)[:-1]:
+                fs.delete(hadoop(f"{path}/{BUCKET}={b}/{VERSION}={x}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each bucket of an upserted table that are there in full."""
+    fs, hadoop = _file_system(spark, path)
+    out: dict[int, list[int]] = {}
+    for status in fs.globStatus(hadoop(f"{path}/{BUCKET}=*/{VERSION}=*")) or []:
+        bucket, v = (part.rpartition("=")[2] for part in status.getPath().toString().split("/")[-2:])
+        out.setdefault(int(bucket), []).append(int(v))
+    return out
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    last = [f"{path}/{BUCKET}={b}/{VERSION}={max(v)}" for b, v in versions(spark, path).items()]
+    return spark.read.option("basePath", path).parquet(*last).drop(BUCKET, VERSION)
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last value of every column for each key; append-only tables and last-write-wins fields meet here."""
     rest = [c for c in rows.columns if c not in keys]

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,31 @@ def test_contextual(spark):
     got = {r.doc_id: r.augmented_content for r in C.contextualised(chunks, docs).collect()}
     assert got == {1: "First.\n\nSecond.", 2: "x"}
     assert C.contextualised(chunks, docs, lambda d, c: F.lit(None).cast("string")).where("augmented_content = content").count() == 2
+
+
+def test_many_short_sentences_are_linear():
+    """Sentences under four characters count for nothing, so one chunk takes them all: without going over them again each time."""
+    began = time.process_time()
+    assert len(list(C.Packer().chunks("a. " * 40_000))) == 1
+    assert time.process_time() - began < 3
+
+
+def test_failing_context_leaves_the_chunk(spark):
+    docs = spark.createDataFrame([(1, "First. Second."), (2, "Other.")], "doc_id long, text string")
+    chunks = spark.createDataFrame([(1, "Second."), (2, "x")], "doc_id long, content string")
+
+    def writer(document, chunk):
+        if chunk == "x":
+            raise RuntimeError("down")
+        return f"about {chunk}"
+
+    assert {r.doc_id: r.augmented_content for r in C.contextualised(chunks, docs, writer=writer).collect()} == {1: "about Second.\n\nSecond.", 2: "x"}
+
+
+def test_batches(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(25)], "i int, k int").repartition(4)
+    assert {r.i: r.batch_index for r in C.batches(rows, 10, "i").collect()} == {i: i // 10 for i in range(25)}
+    assert {r.i: r.batch_index for r in C.batches(rows, 10, "i", by="k").collect()} == {i: i // 20 for i in range(25)}
+    assert C.batches(rows.limit(0), 10, "i").count() == 0
+    with pytest.raises(ValueError):
+        C.batches(rows, 0, "i")

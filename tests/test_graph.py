@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from lodequery.functions import keys
 from lodequery.operators import graph as G
 from lodequery.sources import stores
 
@@ -52,3 +55,27 @@ def test_export_search_stats(spark, tmp_path):
     assert {r.name: r.neighbours for r in G.adjacency(edges).collect()} == {"A": ["B", "C"], "B": ["A", "C"], "C": ["A", "B"], "D": ["D"]}
     stores.save_graph(nodes, edges, str(tmp_path))
     assert [x.count() for x in stores.load_graph(spark, str(tmp_path))] == [4, 4]
+
+
+def test_neighbours_like_trails(spark):
+    """Distances by frontiers are those of the shortest paths without repeated edges, returns to the start included."""
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(14)]
+    for density in (10, 22):
+        rows = [(rng.choice(names), rng.choice(names), "USES", f"e{i}") for i in range(density)] + [("n0", "n1", "USES", "x1"), ("n0", "n1", "CAUSES", "x2")]
+        edges = spark.createDataFrame(rows, "source string, target string, type string, edge_id string")
+        starts = spark.createDataFrame([(n,) for n in names], "name string")
+        for depth in (1, 2, 3):
+            want = {(r.start, r.end): r.d for r in G.trails(edges, starts, depth).groupBy("start", "end").agg(F.min("depth").alias("d")).collect()}
+            assert {(r.start, r.name): r.distance for r in G._reached(edges, starts, depth, 1000).collect()} == want
+        nodes = starts.withColumn("type", F.lit("Entity"))
+        few = {(r.start, r.name, r.distance) for r in G.neighbours(nodes, edges, starts, 3, 4).collect()}
+        order = sorted((s, d, e) for (s, e), d in want.items())
+        assert few == {(s, e, d) for i, (s, d, e) in enumerate(order) if sum(x[0] == s for x in order[:i]) < 4}
+        pairs = spark.createDataFrame([(a, b) for a in names[:5] for b in names[5:8]], "source string, target string")
+        found = {(r.source, r.target, r.rank): (r.depth, r.path) for r in G.paths_between(edges, pairs, 3, 2).collect()}
+        every = G.trails(edges, starts, 3).select("start", "end", "depth", keys.path_id(F.col("nodes")).alias("p"), F.array_join("rels", ",").alias("r")).collect()
+        for a in names[:5]:
+            for b in names[5:8]:
+                best = sorted((r.depth, r.p, r.r) for r in every if (r.start, r.end) == (a, b))[:2]
+                assert [found[a, b, k + 1] for k in range(len(best))] == [x[:2] for x in best] and (a, b, len(best) + 1) not in found

@@ -1,14 +1,15 @@
 import datetime
 import io
 import json
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodequery.functions import keys
-from lodequery.operators import graph
-from lodequery.plans import ask
+from lodequery.functions import checks, keys, outputs
+from lodequery.operators import fusion, graph, search
+from lodequery.plans import agents, ask, tools
 from lodequery.plans.service import Service
 from lodequery.sources import files, stores
 from lodequery.streaming import streams
@@ -52,8 +53,8 @@ def test_files(spark, tmp_path):
 def test_stores(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
     stores.save_index(docs, str(tmp_path / "i"), fold=True)
-    postings, terms, totals = stores.load_index(spark, str(tmp_path / "i"))
-    assert {(r.term, r.chunk_id, r.tf) for r in postings.collect()} == {("a", 1, 2), ("b", 1, 1), ("b", 2, 1), ("c", 2, 1)} and totals.first().avgdl == 2.5 and terms.count() == 3
+    index = stores.load_index(spark, str(tmp_path / "i"))
+    assert {(r.term, r.chunk_id, r.tf) for r in index.postings.collect()} == {("a", 1, 2), ("b", 1, 1), ("b", 2, 1), ("c", 2, 1)} and (index.docs, index.tokens) == (2, 5) and index.terms.count() == 3
     v = spark.createDataFrame([(1, [3.0, 4.0])], "vec_id long, embedding array<double>")
     stores.append_vectors(v, str(tmp_path / "v"))
     stores.append_vectors(v, str(tmp_path / "v"))
@@ -77,8 +78,8 @@ def test_ingest_and_entities(spark, tmp_path):
     spark.createDataFrame([(2, "y")], "doc_id long, text string").write.mode("append").parquet(src)
     streams.ingest(spark, src, str(tmp_path / "chunks"), str(tmp_path / "c1")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "chunks")).count() == 4
-    streams.extract_entities(spark, str(tmp_path / "chunks"), str(tmp_path / "ents"), str(tmp_path / "c2"), lambda c: c.select(F.col("doc_id"), F.substring("content", 1, 1).alias("name")), 10).awaitTermination()
-    assert {r.name for r in spark.read.parquet(str(tmp_path / "ents")).collect()} == {"x", "y"}
+    streams.extract_entities(spark, src, str(tmp_path / "ents"), str(tmp_path / "c2"), lambda c: c.select("doc_id", F.length("content").alias("chars")), 900).awaitTermination()
+    assert {(r.doc_id, r.chars) for r in spark.read.parquet(str(tmp_path / "ents")).collect()} == {(1, 900), (2, 1)}  # more than a chunk of 512
 
 
 def test_upsert(spark, tmp_path):
@@ -86,7 +87,8 @@ def test_upsert(spark, tmp_path):
     for n, rows in enumerate(([("a", 1, 1), ("b", 1, 2)], [("a", 2, 3)])):
         spark.createDataFrame(rows, "k string, v int, seq int").write.mode("append").parquet(src)
         streams.upsert(spark.readStream.schema("k string, v int, seq int").parquet(src), str(tmp_path / "t"), ["k"], "seq", str(tmp_path / "c")).awaitTermination()
-        assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / f"t/v{n}")).collect()} == ({"a": 1, "b": 1}, {"a": 2, "b": 1})[n]
+        assert {r.k: r.v for r in streams.read_upserted(spark, str(tmp_path / "t")).collect()} == ({"a": 1, "b": 1}, {"a": 2, "b": 1})[n]
+    assert sorted(len(v) for v in streams.versions(spark, str(tmp_path / "t")).values()) == [1, 2]  # only the bucket of a was written again
 
 
 def at(second):
@@ -154,3 +156,122 @@ def test_engine_and_service(spark, tmp_path):
     taken, refused = s.upload(str(tmp_path))
     assert taken.first().content == "hello" and refused.first().file_name == "y.exe"
     assert ask.hybrid(questions, {"bm25": route, "bad": broken})[1] == ["bad: down"] and graph.clamp(9, 1, 4) == 4
+
+
+def test_index_grows(spark, tmp_path):
+    """An index that is added to finds what one over all documents finds; a part without totals isn't read."""
+    rows = [(1, "graph search engine"), (2, "sparse search"), (3, ""), (4, None), (5, "graph graph")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "graph search")], "query_id long, text string")
+    for fold in (True, False):
+        path = str(tmp_path / f"i{fold}")
+        stores.save_index(docs.where("doc_id < 3"), path, fold)
+        stores.add_to_index(docs.where("doc_id >= 3"), path, fold)
+        stores.postings_of(docs, fold).write.parquet(f"{path}/postings/part=interrupted")
+        index = stores.load_index(spark, path)
+        want = search.keyword_index(docs, fold)
+        assert (index.docs, index.tokens, index.fold) == (want.docs, want.tokens, fold) == (3 if fold else 5, 7, fold)
+        assert sorted(index.search(asked).collect()) == sorted(want.search(asked).collect())
+
+
+def test_disconnected_stores(spark, tmp_path):
+    store = stores.graph_store(spark, str(tmp_path / "none"))
+    assert not store.connected and store["nodes"].count() == 0 and store.error and stores.load_vectors(spark, str(tmp_path / "none")).count() == 0
+    n, e = stores.static_triples(spark, [("A", "USES", "B")])
+    stores.save_graph(n, e, str(tmp_path / "g"))
+    assert {p.name for p in (tmp_path / "g" / "edges").iterdir() if p.is_dir()} == {"rel_type=USES"}
+    store = stores.graph_store(spark, str(tmp_path / "g"))
+    assert store.connected and store["nodes"].count() == 2 and store["edges"].first().type == "USES"
+    assert stores.load_graph(spark, str(tmp_path / "g"))[1].columns == e.select("source", "type", "target", "edge_id").columns
+
+
+def test_every_route_fails(spark):
+    def broken(queries, k):
+        raise RuntimeError("down")
+
+    def late(queries, k):  # fails in its tasks, not when it is planned
+        bad = F.assert_true(F.lit(False), F.lit("late failure"))
+        return queries.select("query_id", F.lit("web").alias("route"), F.lit("x").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"), F.concat("text", F.coalesce(bad.cast("string"), F.lit(""))).alias("content"))
+
+    questions = spark.createDataFrame([(1, "corvid quill")], "query_id long, text string")
+    fused, warnings, hits = ask.hybrid(questions, {"a": broken, "b": late})
+    assert fused.count() == hits.count() == 0 and len(warnings) == 2
+    got = ask.Engine({"a": broken, "b": late}).ask(questions)
+    assert got["answers"].first().decision == "fallback" and got["warnings"].count() >= 2 and got["records"].first().branch == "fallback"
+
+
+def test_hooks(spark):
+    chunks = spark.createDataFrame([(1, "corvid speaks quill"), (2, "lattice uses corvid"), (3, "else"), (4, "more"), (5, "words")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "corvid quill"), (2, "bad one")], "query_id long, text string")
+
+    def embedder(text):
+        if "bad" in text:
+            raise ValueError("no vector")
+        return [1.0, float(len(text))]
+
+    vectors = ask.embedded(chunks.select(F.col("doc_id").alias("query_id"), "text"), embedder).withColumnRenamed("query_id", "doc_id")
+    got = ask.embedded_route(chunks, vectors, embedder, 2)(asked, 5).collect()
+    assert {r.query_id for r in got} == {1} and len(got) == 5
+    assert ask.embedded(asked, embedder, 3).count() == 0
+    assert [r.name for r in ask.query_entities(asked, lambda t: [w for w in t.upper().split() if len(w) > 3]).collect()] == ["corvid", "quill"]
+    assert [r.name for r in ask.query_entities(asked).where("query_id = 2").collect()] == ["bad", "one"]
+    hits = fusion.in_order(spark.createDataFrame([(1, "bm25", "a", 0.9, 1, "x"), (1, "bm25", "b", 0.8, 2, "y"), (2, "bm25", "c", 0.7, 1, "z")], "query_id long, route string, chunk_id string, score double, rank int, content string"))
+
+    def scorer(query, contents):
+        if "bad" in query:
+            raise ValueError("no score")
+        return [float(c == "y") for c in contents]
+
+    top = fusion.reranked(hits, asked, 5, scorer).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id, r.rerank_score) for r in top] == [(1, "b", 1.0), (1, "a", 0.0), (2, "c", None)]
+    judged = fusion.crag(hits, asked, scorer=lambda q, c: [0.5] * len(c)).orderBy("query_id").collect()
+    assert [(r.relevance, r.coverage, r.score) for r in judged] == [(0.5, 0.0, 0.35), (0.5, 0.0, 0.35)] or judged[0].relevance == 0.5
+    failing = ask.Engine({"bm25": ask.keyword_route(chunks)}, auditor=lambda a, e: a.select("no such column")).ask(asked.where("query_id = 1"))
+    assert failing["cited"].count() > 0 and "auditor_failed" in failing["warnings"].first().warning
+
+
+def test_agents_and_frames(spark):
+    chunks = spark.createDataFrame([(1, "corvid speaks quill"), (2, "other things"), (3, "nothing here")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "corvid quill")], "query_id long, text string")
+
+    def model(prompt):
+        if "Sources:" in prompt:
+            raise RuntimeError("down")
+        return 'Sure: ```json\n{"intent": "compare", "query_rewrite": "corvid", "answer": "a raven", "confidence": "high"}\n```'
+
+    assert agents.analysed(asked, model).first().analysis.query_rewrite == "corvid"
+    evidence = agents.evidence_texts(ask.hybrid(asked, {"bm25": ask.keyword_route(chunks)})[0])
+    said = agents.reasoned(asked, evidence, model).first()
+    assert said.reasoning.answer == "a raven" and said.reasoning.confidence == 0.0 and "corvid speaks quill" in said.evidence
+    assert agents.reasoned(asked, evidence.limit(0), model).first().reasoning.limitations == "retrieval_empty"
+    checked = agents.verified(asked.withColumns({"answer": F.lit("x"), "sources": F.array(F.lit("s"))}), model).first().verification
+    assert (checked.is_supported, checked.confidence, checked.issues) == (False, 0.0, [])
+    events = list(agents.answer_events(asked, {"bm25": ask.keyword_route(chunks)}, lambda p: iter(["a ", "raven"]), model))
+    assert [e["type"] for e in events] == ["phase", "phase", "answer_start", "token", "token", "answer_end", "done"] and events[1]["data"]["bm25_count"] == 1
+    assert events[-1]["data"]["sources"] == ["corvid speaks quill"]
+    empty = list(agents.answer_events(asked, {}, lambda p: iter(["never"])))
+    assert [e["text"] for e in empty if e["type"] == "token"] == [agents.NO_EVIDENCE]
+    frames = list(agents.event_frames(iter(events)))
+    assert frames[0].startswith("event: phase\ndata: {") and all(f.endswith("\n\n") for f in frames)
+
+    def breaks():
+        yield events[0]
+        raise RuntimeError("gone")
+
+    assert [f.split("\n")[0] for f in agents.event_frames(breaks())] == ["event: phase", "event: error"]
+
+
+def test_tools_and_access(spark):
+    described = tools.TOOLS[0].descriptor()
+    assert described["annotations"] == {"readOnlyHint": True, "idempotent": True, "openWorld": False} and described["inputSchema"]["required"] == ["query"]
+    assert not tools.Tool("w", "writes", {}, {}, side_effects=True).descriptor()["annotations"]["readOnlyHint"]
+    assert tools.planned_tools() == ["retrieve_vector", "retrieve_bm25", "retrieve_kg"] and tools.planned_tools(False, True)[-1] == "retrieve_web"
+    rows = spark.createDataFrame([("a",), (None,), ("z",)], "key string")
+    assert [r[0].status for r in rows.select(checks.access(F.col("key"), True, "a, b")).collect()] == [200, 401, 401]
+    assert [r[0].status for r in rows.select(checks.access(F.col("key"), True, " ,")).collect()] == [503] * 3
+    assert checks.asserted(rows, F.lit(True), "fine").count() == 3
+    with pytest.raises(Exception, match="no key"):
+        checks.asserted(rows, F.col("key").isNotNull(), "no key").collect()
+    bad = spark.createDataFrame([("[1, {\"text\": \"t\", \"support\": 3}]",), ("nope",), (None,), ("{\"k\": 1}",), ("[{\"text\": \"t\", \"evidence_ids\": [\"e\"], \"x\": 1}]",)], "t string")
+    assert [[tuple(c) for c in r[0]] for r in bad.select(outputs.coerced_claims(F.col("t"))).collect()] == [[], [], [], [("k", [], "unsupported")], [("t", ["e"], "supported")]]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00", spark.range(1).select(outputs.now_iso()).first()[0])
