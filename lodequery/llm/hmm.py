@@ -65,8 +65,16 @@ def classes_of(words: pa.Array) -> np.ndarray:
     return (by_end[ends.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)) + (sizes > 4) + (sizes > 8) + (sizes > 14)
 
 
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> pa.Buffer:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")
+
+
 def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words of all texts as numbers, 0 for the end after each text; how many each text has; the word list, beginning with the end."""
+    """Words of all texts as numbers, 0 for the end after each text; how many each text has; the words in the order of their numbers."""
     lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.fill_null("")))
     every = lists.flatten()  # with empty strings where a text begins or ends in white space
     some = pa.compute.binary_length(every).to_numpy(zero_copy_only=False) > 0
@@ -77,24 +85,30 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     is_word = np.ones(len(out), bool)
     is_word[np.cumsum(sizes) - 1] = False
     out[is_word] = words.indices.to_numpy() + 1
-    return out, sizes, [END, *words.dictionary.to_pylist()]
+    return out, sizes, words.dictionary.to_pylist()
+
 
+def listed(words: bytes) -> pa.Array:
+    """The word list of a row: the end, then the words."""
+    rest = unsqueezed(words).to_pybytes().decode()
+    return pa.concat_arrays([pa.array([END]), pa.compute.split_pattern(pa.array([rest]), " ").flatten()]) if rest else pa.array([END])
 
-ENCODED = "batch long, ids array<long>, learn binary, symbols binary, sizes binary, words array<string>, n array<long>"
+
+ENCODED = "batch long, ids array<long>, learn binary, symbols binary, sizes binary, words binary, n array<long>"
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """A row for many texts of docs (key, text, learn): keys, which to learn from, words as numbers, lengths, the word list, and
-    how often each of its words occurs in the texts to learn from. The list begins with the end token."""
+    """A row for many texts of docs (key, text, learn): keys, which to learn from, words as numbers (squeezed), lengths, the words
+    (squeezed, without the end), and how often the end and each of them occurs in the texts to learn from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", BATCH_BYTES):
             symbols, sizes, words = numbered(batch.column(1))
             learn = np.array(batch.column(2).to_pylist(), bool)
-            n = np.bincount(symbols[np.repeat(learn, sizes)], minlength=len(words))
-            row = [number, batch.column(0).to_pylist(), learn.tobytes(), pa.compress(symbols.tobytes(), "zstd", asbytes=True), sizes.tobytes(), words, n]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            n = np.bincount(symbols[np.repeat(learn, sizes)], minlength=len(words) + 1)
+            row = [number, batch.column(0).to_pylist(), learn.tobytes(), squeezed(symbols.tobytes()), sizes.tobytes(), squeezed(" ".join(words).encode()), n]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
             number += 1
 
@@ -103,8 +117,15 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over the encoded training texts, the end token included."""
-    each = texts.select(F.explode(F.arrays_zip("words", "n")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.n").alias("n"))
-    return each.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, n in zip(*batch.columns, strict=True):
+                n = n.values
+                some = pa.compute.greater(n, 0)
+                yield pa.RecordBatch.from_arrays([listed(words.as_py()).filter(some), n.filter(some)], names=["word", "n"])
+
+    return texts.select("words", "n").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _class_column(word: Column) -> Column:
@@ -353,7 +374,7 @@ def _going(sizes: np.ndarray) -> np.ndarray:
 def _sequences(codes: np.ndarray, symbols: bytes, sizes: bytes) -> list[np.ndarray]:
     """Each text of a row as symbols, which codes gives for the numbers of its word list."""
     n = np.frombuffer(sizes, np.int32)
-    return np.split(codes[np.frombuffer(pa.decompress(symbols, int(n.sum(dtype=np.int64)) * 4, "zstd"), np.int32)], np.cumsum(n)[:-1])
+    return np.split(codes[np.frombuffer(unsqueezed(symbols), np.int32)], np.cumsum(n)[:-1])
 
 
 def _to_learn(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, apart: bool) -> Iterator[tuple[list[np.ndarray], list[tuple]]]:
@@ -367,7 +388,7 @@ def _to_learn(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, apart: bool)
     held, more = 0, 0
     for columns in batches:
         for batch, learn, symbols, sizes, words, n in zip(*columns, strict=True):
-            words = words.values
+            words = listed(words.as_py())
             codes, outer, cls = lexicon.codes(words, apart)
             if apart:
                 codes[outer] += more
@@ -505,7 +526,7 @@ def score(texts: DataFrame, lexicon: Lexicon, model: Hmm, in_class: np.ndarray,
         lex, hmm, in_class, middle = sent.value
         out = []
         for ids, symbols, sizes, words in zip(*(batch.column(c) for c in ("ids", "symbols", "sizes", "words")), strict=True):
-            codes, places, cls = lex.codes(words.values, True)
+            codes, places, cls = lex.codes(listed(words.as_py()), True)
             row = np.zeros(len(codes), np.int64)
             row[places] = np.arange(len(places))
             at = row[known.column("at").to_numpy()]

@@ -57,7 +57,7 @@ def test_word_probabilities_add_up(spark, monkeypatch):
     lex = hmm.Lexicon(hmm.word_counts(texts).cache())
     assert 0 < lex.top <= 8 < len(lex.words) <= 20
     model, in_class, middle, outer = hmm.train(texts, lex)
-    words = {(r.batch, k): w for r in texts.select("batch", "words").collect() for k, w in enumerate(r.words)}
+    words = {(r.batch, k): w for r in texts.select("batch", "words").collect() for k, w in enumerate(hmm.listed(r.words).to_pylist())}
     assert len({b for b, _ in words}) > 1
     found = {words[r.batch, r["at"]]: (r.n, hmm.unpacked_shares(np.array([r.low]), np.array([r.high]))[:, 0]) for r in outer.collect()}
     total, size = np.zeros((hmm.STATES, hmm.CLASSES)), lex.class_size()
