@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_struct
+from .common import free_name, with_struct
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that a task remembers, and the longest of them in bytes.
@@ -157,7 +157,11 @@ def codec(path: str | None = None, pattern: str = public_tokenizers.PATTERN) ->
 
 
 def with_digests(docs: DataFrame, into: str = "__bpe", text: str = "text", path: str | None = None) -> DataFrame:
-    """docs with struct<n_tokens,ids_sha256,decoded_sha256>. A null text counts as an empty one: no ids."""
+    """docs with struct<n_tokens,ids_sha256,decoded_sha256>. A null text counts as an empty one: no ids.
+
+    Texts of any length are encoded whole, so repeated rows agree; of pairs that could be merged with equal rank, the first in
+    the text is. Other columns pass through, whatever their names; one named as `into` is replaced. A table without rows gives none.
+    """
 
     def make() -> Callable:
         c = codec(path)
@@ -178,7 +182,8 @@ def encoded(docs: DataFrame, into: str = "ids", text: str = "text", path: str |
         c = codec(path)
         return lambda texts: [[c.encode(t or "") for t in texts]]
 
-    return with_struct(docs, "__ids", "ids array<int>", make, text).withColumn(into, F.col("__ids")["ids"]).drop("__ids")
+    own = free_name(docs, "encoded ids")
+    return with_struct(docs, own, "ids array<int>", make, text).withColumn(into, F.col(f"`{own}`")["ids"]).drop(own)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:

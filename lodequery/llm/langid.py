@@ -152,7 +152,9 @@ def predictor(model: Model):
 def with_language(docs: DataFrame, model: Model, into: str = "__language", text: str = "text") -> DataFrame:
     """docs with struct<lang_pred,score>: `und` and 0 if the text is null or has no letter, or nothing was learned.
 
-    Nothing but the text enters a prediction.
+    Nothing but the text enters a prediction, so repeated rows agree. Texts and words of any length are read whole. Of languages
+    that fit equally, the first in order is taken. Other columns pass through, whatever their names; one named as `into` is
+    replaced. A table without rows gives none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return with_struct(docs, into, FIELDS, lambda: predictor(sent.value), text)
