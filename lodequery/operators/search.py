@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
@@ -22,9 +22,21 @@ def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
-def tokenised(docs: DataFrame, key: str, text: str, fold: bool) -> DataFrame:
+#: How texts are cut to tokens, as a column; what stands in for a word segmenter.
+Segment = Callable[[Column], Column]
+
+
+def segment_of(fold: bool, segment: Segment | None) -> Segment:
+    """A given segmenter's tokens, in lower case if `fold`; without one, tokens between white space."""
+    if segment is None:
+        return tokens.folded_tokens if fold else tokens.blank_split
+    cut = lambda text: F.filter(F.transform(segment(text), tokens.stripped), lambda t: t != "")
+    return (lambda text: F.transform(cut(text), F.lower)) if fold else cut
+
+
+def tokenised(docs: DataFrame, key: str, text: str, fold: bool, segment: Segment | None = None) -> DataFrame:
     """(chunk_id, tokens, dl). The first generation (fold) leaves texts without a character out of its index."""
-    cut = tokens.folded_tokens if fold else tokens.blank_split
+    cut = segment_of(fold, segment)
     kept = docs.where(F.coalesce(F.col(text), F.lit("")) != "") if fold else docs
     return kept.select(F.col(key).alias("chunk_id"), cut(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
 
@@ -47,13 +59,14 @@ class KeywordIndex:
     fold: bool
     k1: float = K1
     b: float = B
+    segment: Segment | None = None
 
     def idf(self) -> DataFrame:
         return idf_of(self.terms, self.docs)
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, chunk_id, score) for every document with a term of the query; a term that is repeated in a query counts again."""
-        cut = tokens.folded_tokens if self.fold else tokens.blank_split
+        cut = segment_of(self.fold, self.segment)
         asked = queries.select("query_id", F.explode(cut(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
         worth = self.idf().join(broadcast_if(asked, BROADCAST_TERMS), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
         mean = self.tokens / self.docs if self.docs else 0.0
@@ -80,8 +93,8 @@ class KeywordIndex:
         return ranked.withColumn("score", F.col("score") / F.when(most == 0, 1.0).otherwise(most))
 
 
-def postings_of(docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    split = tokenised(docs, key, text, fold)
+def postings_of(docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text", segment: Segment | None = None) -> DataFrame:
+    split = tokenised(docs, key, text, fold, segment)
     return split.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -89,11 +102,11 @@ def document_frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def keyword_index(docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> KeywordIndex:
+def keyword_index(docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, segment: Segment | None = None) -> KeywordIndex:
     """Texts are split once; postings and document frequencies are written and read from there."""
-    postings = written(postings_of(docs, fold, key, text), "postings")
+    postings = written(postings_of(docs, fold, key, text, segment), "postings")
     n = (docs.where(F.coalesce(F.col(text), F.lit("")) != "") if fold else docs).count()
-    return KeywordIndex(postings, written(document_frequencies(postings), "terms"), n, postings.agg(F.sum("tf")).first()[0] or 0, fold, k1, b)
+    return KeywordIndex(postings, written(document_frequencies(postings), "terms"), n, postings.agg(F.sum("tf")).first()[0] or 0, fold, k1, b, segment)
 
 
 def top(scored: DataFrame, k: int, route: str) -> DataFrame:

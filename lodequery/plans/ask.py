@@ -5,6 +5,7 @@ Each stage is a table; every stage leaves one audit row for each question that p
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -41,6 +42,29 @@ def gathered(queries: DataFrame, routes: dict[str, Retriever], k: int) -> tuple[
     return fusion.in_order(found), warnings
 
 
+class Guarded:
+    """A route that rests after `failures` calls in a row have failed: for `seconds` it finds nothing, without being called."""
+
+    def __init__(self, route: Retriever, failures: int = 5, seconds: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.route, self.failures, self.seconds, self.clock = route, failures, seconds, clock
+        self.run, self.until = 0, float("-inf")
+
+    def __call__(self, queries: DataFrame, k: int) -> DataFrame:
+        kind = queries.schema["query_id"].dataType.simpleString()
+        nothing = queries.sparkSession.createDataFrame([], f"query_id {kind}, {HIT}")
+        if self.clock() < self.until:
+            return nothing
+        try:
+            hits = written(self.route(queries, k).select(nothing.columns), "guarded")
+        except Exception:  # as a service that doesn't answer
+            self.run += 1
+            if self.run >= self.failures:
+                self.until = self.clock() + self.seconds
+            return nothing
+        self.run = 0
+        return hits
+
+
 @dataclass
 class Engine:
     retrievers: dict[str, Retriever]
@@ -51,16 +75,17 @@ class Engine:
     crag_scorer: Callable | None = None
     auditor: Callable | None = None
     rerank: bool = True
+    disabled: frozenset[str] = frozenset()
     rewriter: Callable = field(default=lambda text, n: F.concat(text, F.lit(f" (rewrite {n})")))
     generator: Callable | None = None
 
     def plan(self) -> list[str]:
-        """The tools that a question is sent to."""
-        return list(self.retrievers)
+        """The tools that a question is sent to: all that aren't disabled."""
+        return [name for name in self.retrievers if name not in self.disabled]
 
     def retrieve(self, queries: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
         """All routes' hits in order, the best few after merging and reranking, and warnings of routes that failed."""
-        hits, warnings = gathered(queries, self.retrievers, self.hits_before)
+        hits, warnings = gathered(queries, {name: self.retrievers[name] for name in self.plan()}, self.hits_before)
         first = F.struct("score", -F.col("ord"))
         best = hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("route", first).alias("route"), F.max_by("content", first).alias("content"), F.min("ord").alias("ord"))
         pool = fusion.ranked(best, "score", None)

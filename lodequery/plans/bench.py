@@ -5,6 +5,8 @@ Chunks: chunk_id, content, entities array. Questions: query_id, text. Triples: h
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,16 @@ def scored(parts: dict[str, DataFrame]) -> DataFrame:
     return A.provenance(parts["answers"], parts["claims"].select("query_id", "claim_index", "claim", "evidence_ids"), parts["cited"], parts["contexts"])
 
 
+def run(questions: DataFrame, chunks: DataFrame, triples: DataFrame, distractors: DataFrame, gold: DataFrame, answer: Callable[..., dict[str, DataFrame]] = answered, cases: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Both suites in a row: provenance of all questions, rates of all planted cases, and whether all of it passes.
+
+    answer: what answers questions, (questions, chunks, triples) -> parts as of answered(); cases: what meets the planted chunks,
+    (questions, gold, distractors) -> cases. The overlap answerer is the default for both.
+    """
+    summary = A.provenance_summary(scored(answer(questions, chunks, triples)))
+    return A.bench_report(summary, A.adversarial((cases or adversarial_cases)(questions, gold, distractors)))
+
+
 def adversarial_cases(questions: DataFrame, gold: DataFrame, distractors: DataFrame, strip: bool = True) -> DataFrame:
     """What the overlap answerer does with each case's own chunks (query_id, chunk_id, content) and its planted one.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import keys
 from ..operators import graph, search
 from ..operators.chunking import fixed_chunks, ingest_rows
 from ..sources.files import files, parsed, upload_gate
+from . import agents, tools
 from .ask import Engine
 
 
@@ -27,6 +30,13 @@ class Service:
     def ask(self, questions: DataFrame, top_k: int | None = None) -> dict[str, DataFrame]:
         return self.engine.ask(questions, top_k)
 
+    def stream(self, question: DataFrame, model: Callable[[str], Iterator[str]], top_k: int = 10) -> Iterator[str]:
+        """The answer to one question (a row query_id, text) as server-sent events; model yields the answer's tokens."""
+        return agents.event_frames(agents.answer_events(question, {n: self.engine.retrievers[n] for n in self.engine.plan()}, model, k=top_k))
+
+    def tools(self) -> DataFrame:
+        return tools.tool_list(self.spark)
+
     def vector_search(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
         """queries (query_id, text) by hash embedding."""
         return search.vector_search(queries.select("query_id", keys.hash_embedding(F.col("text")).alias("embedding")), self.vectors, graph.clamp(top_k, 1, 50))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodequery.functions import checks, keys, outputs
 from lodequery.operators import fusion, graph, search
-from lodequery.plans import agents, ask, tools
+from lodequery.plans import agents, ask, bench, tools
 from lodequery.plans.service import Service
 from lodequery.sources import files, stores
 from lodequery.streaming import streams
@@ -275,3 +275,42 @@ def test_tools_and_access(spark):
     bad = spark.createDataFrame([("[1, {\"text\": \"t\", \"support\": 3}]",), ("nope",), (None,), ("{\"k\": 1}",), ("[{\"text\": \"t\", \"evidence_ids\": [\"e\"], \"x\": 1}]",)], "t string")
     assert [[tuple(c) for c in r[0]] for r in bad.select(outputs.coerced_claims(F.col("t"))).collect()] == [[], [], [], [("k", [], "unsupported")], [("t", ["e"], "supported")]]
     assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00", spark.range(1).select(outputs.now_iso()).first()[0])
+
+
+def test_guarded_route(spark):
+    now, calls = [0.0], []
+
+    def down(queries, k):
+        calls.append(now[0])
+        raise RuntimeError("down")
+
+    asked = spark.createDataFrame([(1, "x")], "query_id long, text string")
+    route = ask.Guarded(down, failures=2, seconds=30, clock=lambda: now[0])
+    for t in (0, 1, 2, 31.5, 40):
+        now[0] = float(t)
+        assert route(asked, 5).count() == 0
+    assert calls == [0.0, 1.0, 31.5]  # open after the second failure, tried again when it has rested, open again
+    engine = ask.Engine({"kg": down, "web": down}, disabled=frozenset({"web"}))
+    assert engine.plan() == ["kg"]
+
+
+def test_segmenter_and_stream(spark):
+    docs = spark.createDataFrame([(1, "图谱检索"), (2, "向量检索"), (3, "图表"), (4, "其他"), (5, "More")], "doc_id long, text string")
+    index = search.keyword_index(docs, True, segment=lambda t: F.split(t, ""))
+    assert [r.chunk_id for r in index.search(spark.createDataFrame([(0, "图谱")], "query_id long, text string")).orderBy("rank").collect()] == [1, 3]
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+    s = Service(spark, chunks, chunks, chunks, chunks, ask.Engine({"bm25": ask.keyword_route(docs)}))
+    frames = list(s.stream(spark.createDataFrame([(0, "其他")], "query_id long, text string"), lambda prompt: iter(["yes"])))
+    assert frames[-1].startswith("event: done") and s.tools().count() == 5
+
+
+def test_whole_bench(spark):
+    chunks = spark.createDataFrame([("c1", "corvid speaks quill daily", ["corvid"]), ("c2", "lattice uses granite", ["lattice"])], "chunk_id string, content string, entities array<string>")
+    asked = spark.createDataFrame([(1, "Does the Corvid speaks quill?"), (2, "lattice granite")], "query_id long, text string")
+    triples = spark.createDataFrame([("corvid", "SPEAKS", "quill")], "head string, relation string, tail string")
+    planted = spark.createDataFrame([(1, "distractor:1", "corvid speaks other daily")], "case_id long, chunk_id string, content string")
+    gold = asked.where("query_id = 1").crossJoin(chunks.where("chunk_id = 'c1'")).select("query_id", "chunk_id", "content")
+    row = bench.run(asked, chunks, triples, planted, gold).first()
+    assert row.questions == 2 and row.mean_ps == 1.0 and row.misled_rate == 0.0 and row.cases == 1
+    assert {(r.query_id, r.name) for r in bench.named_in(asked, chunks.select(F.explode("entities").alias("name"))).collect()} == {(1, "corvid"), (2, "lattice")}
+    assert bench.run(asked, chunks, triples, planted, gold, cases=lambda q, g, d: bench.adversarial_cases(q, g, d, strip=False)).first().misled_rate == 1.0
