@@ -134,7 +134,9 @@ def graph_search(nodes: DataFrame, edges: DataFrame, entities: DataFrame, depth:
     found = neighbours(nodes, edges, entities.select("name"), depth).withColumnRenamed("name", "neighbour")
     met = entities.join(found, entities["name"] == found["start"]).select("query_id", "pos", "neighbour", "type", "distance")
     best = met.groupBy("query_id", "neighbour").agg(F.min_by(F.struct("type", "distance"), F.struct("pos", "distance")).alias("b"))
-    return best.select("query_id", F.col("neighbour").alias("name"), "b.type", "b.distance", rules.graph_context(F.col("neighbour"), F.col("b.type"), F.col("b.distance")).alias("content"), F.round(rules.distance_score(F.col("b.distance")), 9).alias("score"))
+    content = rules.graph_context(F.col("neighbour"), F.col("b.type"), F.col("b.distance"))
+    score = F.round(rules.distance_score(F.col("b.distance")), 9)
+    return best.select("query_id", F.col("neighbour").alias("name"), "b.type", "b.distance", content.alias("content"), score.alias("score"))
 
 
 def graph_search_paths(edges: DataFrame, entities: DataFrame, depth: int = 3, limit: int = 5) -> DataFrame:
@@ -184,7 +186,9 @@ def exported_nodes(nodes: DataFrame, edges: DataFrame, limit: int = 500, kind: s
     """The `limit` (1 to 2000) nodes of the highest degree with what they link to; an unknown kind filters nothing."""
     kept = nodes.where(F.col("type") == kind) if kind != "all" and kind in rules.ENTITY_TYPES else nodes
     target = rules.link_target(F.col("properties")["source_url"], F.col("properties")["doc_id"], F.col("name"))
-    return degrees(kept, edges).orderBy(F.desc("degree"), "name").limit(clamp(limit, 1, 2000)).where(F.coalesce("name", F.lit("")) != "").select(F.col("name").alias("id"), F.col("name").alias("label"), "type", "degree", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), target.alias("source"))
+    first = degrees(kept, edges).orderBy(F.desc("degree"), "name").limit(clamp(limit, 1, 2000)).where(F.coalesce("name", F.lit("")) != "")
+    name, confidence = F.col("name"), F.coalesce("confidence", F.lit(0.0))
+    return first.select(name.alias("id"), name.alias("label"), "type", "degree", confidence.alias("confidence"), target.alias("source"))
 
 
 def exported_links(shown: DataFrame, edges: DataFrame) -> DataFrame:
@@ -215,7 +219,18 @@ def path_hits(nodes: DataFrame, edges: DataFrame, entities: DataFrame, depth: in
     met = seeds.join(few, F.col("seed") == F.col("start")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 4 * k)
     visited = met.select("query_id", F.explode("nodes").alias("n")).distinct().groupBy("query_id").agg(F.array_sort(F.collect_list("n")).alias("all_nodes"))
     hits = met.where(F.col("rank") <= k).join(visited, "query_id")
-    return hits.select("query_id", "rank", keys.path_hit_id(F.col("nodes")).alias("chunk_id"), F.lit("kg").alias("route"), F.round(1 / F.col("rank"), 9).alias("score"), keys.rendered_path(F.col("nodes"), F.col("rels")).alias("content"), "depth", F.element_at("rels", 1).alias("relation"), F.array_join(F.when(F.col("rank") == 1, F.col("all_nodes")).otherwise(F.col("nodes")), ",").alias("visited"))
+    seen = F.when(F.col("rank") == 1, F.col("all_nodes")).otherwise(F.col("nodes"))
+    return hits.select(
+        "query_id",
+        "rank",
+        keys.path_hit_id(F.col("nodes")).alias("chunk_id"),
+        F.lit("kg").alias("route"),
+        F.round(1 / F.col("rank"), 9).alias("score"),
+        keys.rendered_path(F.col("nodes"), F.col("rels")).alias("content"),
+        "depth",
+        F.element_at("rels", 1).alias("relation"),
+        F.array_join(seen, ",").alias("visited"),
+    )
 
 
 def one_hop(triples: DataFrame, seeds: DataFrame) -> DataFrame:

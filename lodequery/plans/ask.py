@@ -118,7 +118,8 @@ class Engine:
         shown = rules.shown_score(F.col("rerank_score"), F.col("score"))
         line = rules.evidence_line(F.col("rank"), F.col("route"), shown, F.coalesce("content", F.lit("")))
         evidence = final.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n\n").alias("evidence"), F.count("*").alias("n"))
-        base = questions.join(decisions.select("query_id", "score", "decision", "rewrites"), "query_id").join(evidence, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("(no evidence)"))).withColumn("n", F.coalesce("n", F.lit(0)))
+        judged = questions.join(decisions.select("query_id", "score", "decision", "rewrites"), "query_id").join(evidence, "query_id", "left")
+        base = judged.withColumns({"evidence": F.coalesce("evidence", F.lit("(no evidence)")), "n": F.coalesce("n", F.lit(0))})
         skeleton = F.concat(F.col("n").cast("string"), F.lit(" passages bear on: "), F.col("text"))
         composed = self.generator(base) if self.generator else skeleton
         said = base.withColumn("answer", F.when(F.col("decision") == "use", composed).otherwise(rules.fallback_answer(F.col("text"), F.col("score"), F.col("rewrites"))))
@@ -127,9 +128,23 @@ class Engine:
         used = written(used, "answers")
         cited = self._cited(used.select("query_id", "answer"), final, warned)
         claims = written(A.heuristic_claims(used.select("query_id", "answer"), cited, final.select("query_id", "chunk_id", "content")), "claims")
-        verdicts = A.verdicts(used, claims, cited).unionByName(said.where("decision != 'use'").select("query_id", F.lit("warn").alias("auditor_verdict"), F.lit("warn").alias("verdict"), F.lit(0).cast("long").alias("claims"), F.lit(0).cast("long").alias("unsupported")))
+        warn, none = F.lit("warn"), F.lit(0).cast("long")
+        fallen = said.where("decision != 'use'").select("query_id", warn.alias("auditor_verdict"), warn.alias("verdict"), none.alias("claims"), none.alias("unsupported"))
+        verdicts = A.verdicts(used, claims, cited).unionByName(fallen)
         tail = said.select("query_id", F.explode(F.when(F.col("decision") == "use", F.array(F.lit("generator"), F.lit("auditor"))).otherwise(F.array(F.lit("fallback")))).alias("node"), F.col("rewrites").alias("round"))
-        return {"answers": said.select("query_id", "answer", "score", "decision", "rewrites"), "citations": citations, "cited": cited, "claims": claims, "verdicts": verdicts, "audit": audit.unionByName(tail), "hits": all_hits, "fused": final, "rewrites": rewrites, "records": decision_records(decisions), "warnings": spark.createDataFrame(warned, "round int, warning string")}
+        return {
+            "answers": said.select("query_id", "answer", "score", "decision", "rewrites"),
+            "citations": citations,
+            "cited": cited,
+            "claims": claims,
+            "verdicts": verdicts,
+            "audit": audit.unionByName(tail),
+            "hits": all_hits,
+            "fused": final,
+            "rewrites": rewrites,
+            "records": decision_records(decisions),
+            "warnings": spark.createDataFrame(warned, "round int, warning string"),
+        }
 
     def _cited(self, answers: DataFrame, evidence: DataFrame, warned: list) -> DataFrame:
         if self.auditor is not None:
