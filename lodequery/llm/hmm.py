@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, slices, written
+from .common import fold, give_back, slices, written
 
 STATES, ITERATIONS = 8, 2
 TOP, HEAD = 16_384, 131_072
@@ -41,9 +41,9 @@ SMOOTH = 0.1
 #: The share of the class at large in an outer word's probability within its class.
 AT_LARGE = 0.5
 #: Tokens whose state probabilities are held at a time: those of texts that step through the recursions together.
-ROOM = 500_000
+ROOM = 300_000
 #: Tokens that a task gathers before it runs the recursions.
-GATHERED = 1_500_000
+GATHERED = 1_000_000
 #: Bytes of text that are numbered together.
 BATCH_BYTES = 8 << 20
 #: Shares of states of an outer word travel as 16-bit numbers, four in a long.
@@ -386,6 +386,7 @@ def _to_learn(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, apart: bool)
     rows: list[tuple] = []
     first = lexicon.symbols + len(lexicon.middle_n)
     held, more = 0, 0
+    give_back()
     for columns in batches:
         for batch, learn, symbols, sizes, words, n in zip(*columns, strict=True):
             words = listed(words.as_py())
@@ -402,6 +403,8 @@ def _to_learn(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, apart: bool)
                 kept, rows, held, more = [], [], 0, 0
     if kept or rows:
         yield kept, rows
+    kept, rows = [], []
+    give_back()
 
 
 def _learning(texts: DataFrame) -> DataFrame:
