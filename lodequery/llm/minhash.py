@@ -34,7 +34,7 @@ HASHES = ROWS * BANDS
 PACKED = -(-HASHES * BITS // 64)
 #: Leaves out pairs of at least the threshold with a probability of about 1e-5 (4 standard deviations).
 MIN_ESTIMATE = 0.62
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 #: Classes of a bucket in a block, about.
 BLOCK = 256
 #: Pairs of one document that meet its set in one place.
