@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, hmm, langid, minhash, packing, pii, quality, warc
+from . import bpe, chat, covertree, hmm, langid, merkle, minhash, packing, pii, quality, warc
 from .common import fold, table, written
 
 
@@ -55,6 +55,10 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -66,5 +70,6 @@ QUERIES = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_hmm": op10_hmm,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op8_chat_perspectives": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_chat_perspectives": chat.SQL, "op12_merkle_manifest": merkle.SQL}
