@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, covertree, hmm, langid, merkle, minhash, packing, pii, quality, warc
+from . import align, bpe, chat, covertree, hmm, langid, merkle, minhash, packing, pii, quality, warc
 from .common import fold, table, written
 
 
@@ -59,6 +59,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,5 +75,6 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_hmm": op10_hmm,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_cross_tokenizer": op13_cross_tokenizer,
 }
 ORACLE_SQL: dict[str, str] = {"op8_chat_perspectives": chat.SQL, "op12_merkle_manifest": merkle.SQL}
