@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, covertree, hmm, langid, merkle, minhash, packing, pii, quality, warc
+from . import align, bpe, chat, covertree, hmm, langid, merkle, minhash, packing, pii, quality, toxicity, warc
 from .common import fold, table, written
 
 
@@ -55,6 +55,12 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "__toxicity.score", "__toxicity.predicted")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_hmm": op10_hmm,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_cross_tokenizer": op13_cross_tokenizer,
 }
