@@ -224,9 +224,11 @@ def forest(rows: DataFrame, group: str, digest: str, order: list[str], kept: lis
                     index, of = index >> 1, (of + 1) // 2
                 yield (*row[2:], root, way)
 
-    # a partition meets what was handed to it; both sides have a list for each partition
-    at_home = ways.partitionBy(partitions, int).glom()
-    met = ordered.glom().zip(at_home).mapPartitionsWithIndex(lambda p, it: (x for pair in it for x in proofs(pair, p)))
+    # a partition meets what was handed to it; both sides have a list for each partition, and as many partitions
+    at_home = ways.partitionBy(partitions, int)
+    more = at_home.getNumPartitions() - partitions
+    leaves = ordered.union(spark.sparkContext.parallelize([], more)) if more else ordered
+    met = leaves.glom().zip(at_home.glom()).mapPartitionsWithIndex(lambda p, it: (x for pair in it for x in proofs(pair, p)))
     return met, roots
 
 
