@@ -13,7 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import accumulate, chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -29,10 +29,11 @@ A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Entries of the dictionary that are broadcast, the most frequent ones.
 HEAD = 262_144
 #: Words that a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Below this code point, and without carriage returns, no token of either vocabulary begins before white space and ends
 #: after it (a test holds words against whole texts), so words are encoded once.
 SAME_BELOW = "ɐ"
+_OTHERS = re.compile(f"[\r{SAME_BELOW}-\U0010ffff]")
 _WORDS = re.compile("[\t\n\x0b\x0c \x85\xa0]*[^\t\n\x0b\x0c \x85\xa0]+|[\t\n\x0b\x0c \x85\xa0]+$")
 SPACE = "▁"
 ROW = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups array<struct<g:string,times:long>>"
@@ -51,7 +52,10 @@ def piece_bytes(piece: str) -> bytes:
 
 
 class Aligner:
-    """Groups of texts by a byte-level vocabulary (tokenizers file) and a piece vocabulary (sentencepiece model)."""
+    """Groups of texts by a byte-level vocabulary (tokenizers file) and a piece vocabulary (sentencepiece model).
+
+    A result is (n_a, n_b, groups joined by semicolons).
+    """
 
     def __init__(self, a_path: str | None = None, b_path: str | None = None):
         import sentencepiece
@@ -61,68 +65,90 @@ class Aligner:
         a_path, b_path = a_path or own[0], b_path or own[1]
         self.a, self.b = tokenizers.Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        letters = byte_letters()
-        self.of_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        letters, vocabulary = byte_letters(), self.a.get_vocab(with_added_tokens=True)
+        self.of_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.of_a[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         self.of_b = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        self.sizes = [len(x) for x in self.of_a], [len(x) for x in self.of_b]
+        self.names = list(map(str, range(max(len(self.of_a), len(self.of_b)))))
         self.blank, self.fast = self.b.piece_to_id(SPACE), None
         if (a_path, b_path) == own:
             import tiktoken
 
             ranks = bpe.read_ranks(public_tokenizers.path(A.replace(".json", ".tiktoken")))
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._known: dict[str, tuple[int, int, list[str]] | None] = {}
+        # what was met lately, and before that; a word that is met again stays
+        self._new: dict[str, tuple[int, int, str] | None] = {}
+        self._old: dict[str, tuple[int, int, str] | None] = {}
 
-    def cut(self, a: list[int], b: list[int], whole: bytes) -> tuple[int, int, list[str]] | None:
-        """(n_a, n_b, groups) of the ids of one text; none if the bytes of either aren't the text's."""
-        of_a, of_b = [self.of_a[i] for i in a], [self.of_b[i] for i in b]
-        if b"".join(of_a) != whole or b"".join(of_b) != whole:
+    def cut(self, a: list[int], b: list[int], whole: bytes) -> tuple[int, int, str] | None:
+        """The groups of the ids of one text; none if the bytes of either aren't the text's."""
+        if b"".join(map(self.of_a.__getitem__, a)) != whole or b"".join(map(self.of_b.__getitem__, b)) != whole:
             return None
-        if len(a) == 1 == len(b):
-            return 1, 1, [f"{a[0]}|{b[0]}"]
-        groups, i, j, at_a, at_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            if at_a <= at_b:
-                at_a, i = at_a + len(of_a[i]), i + 1
+        names, (size_a, size_b) = self.names, self.sizes
+        if len(a) == 1 or len(b) == 1:
+            return len(a), len(b), f"{','.join([names[i] for i in a])}|{','.join([names[i] for i in b])}"
+        groups, j, at_b, of_a, of_b, at_a = [], 0, 0, [], [], 0
+        for i in a:
+            at_a += size_a[i]
+            of_a.append(names[i])
             while at_b < at_a:
-                at_b, j = at_b + len(of_b[j]), j + 1
+                at_b += size_b[b[j]]
+                of_b.append(names[b[j]])
+                j += 1
             if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-        return len(a), len(b), groups
+                groups.append(f"{','.join(of_a)}|{','.join(of_b)}")
+                of_a, of_b = [], []
+        return len(a), len(b), ";".join(groups)
 
-    def whole(self, text: str) -> tuple[int, int, list[str]] | None:
+    def whole(self, text: str) -> tuple[int, int, str] | None:
         said = " " + text
         return self.cut(self.a.encode(said, add_special_tokens=False).ids, self.b.encode(text), said.encode())
 
-    def word(self, word: str) -> tuple[int, int, list[str]] | None:
-        """A word with the white space before it: as inside a text, where nothing is put before it."""
-        b = self.b.encode(word[1:]) if word[0] == " " else self.b.encode(word)
-        if word == " ":
-            b = [self.blank]
-        elif word[0] != " " and b[:1] == [self.blank]:
-            b = b[1:]
-        return self.cut(self.fast(word), b, word.encode())
-
-    def __call__(self, text: str | None) -> tuple[int, int, list[str]]:
-        """(n_a, n_b, groups); nothing for a null or empty text, and for one that a vocabulary can't give back."""
-        if not text:
-            return 0, 0, []
-        if not self.fast or max(text) >= SAME_BELOW or "\r" in text:
-            return self.whole(text) or (0, 0, [])
-        known, met = self._known, []
-        for w in _WORDS.findall(" " + text):
-            try:
-                met.append(known[w])
-            except KeyError:
-                got = self.word(w)
-                if len(w) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[w] = got
-                met.append(got)
-        if None in met:
-            return 0, 0, []
-        return sum(m[0] for m in met), sum(m[1] for m in met), list(chain.from_iterable(m[2] for m in met))
+    def words(self, words: list[str]) -> list[tuple[int, int, str] | None]:
+        """Words with the white space before them: as inside a text, where nothing is put before them."""
+        out = []
+        for w, b in zip(words, self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1), strict=True):
+            if w == " ":
+                b = [self.blank]
+            elif w[0] != " " and b[:1] == [self.blank]:
+                b = b[1:]
+            out.append(self.cut(self.fast(w), b, w.encode()))
+        return out
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the words of some texts that aren't known yet."""
+        new, old = self._new, self._old
+        if len(new) >= REMEMBERED:
+            self._new, self._old = new, old = {}, new
+        unseen = []
+        for w in set(chain.from_iterable(texts)):
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    unseen.append(w)
+        new.update(zip(unseen, self.words(unseen), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, str]]:
+        """A result for each text: nothing for a null or empty one, and for one that a vocabulary can't give back."""
+        cut = [_WORDS.findall(" " + t) if t and self.fast and not _OTHERS.search(t) else None for t in texts]
+        self.learn([c for c in cut if c])
+        known, out = self._new, []
+        for t, words in zip(texts, cut, strict=True):
+            got = None
+            if words:
+                met = list(map(known.__getitem__, words))
+                if None not in met:
+                    n_a, n_b, groups = zip(*met, strict=True)
+                    got = sum(n_a), sum(n_b), ";".join(groups)
+            elif t:
+                got = self.whole(t)
+            out.append(got or (0, 0, ""))
+        for w in [w for w in known if len(w) > LONGEST]:
+            del known[w]
+        return out
 
 
 _ALIGNERS: dict[tuple[str | None, str | None], Aligner] = {}
@@ -145,21 +171,19 @@ def counted(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(a_path, b_path)
         for batch in slices(batches, "text", 4 << 20):
-            cols: list[list] = [[] for _ in range(7)]
-            freq, within = Counter(), Counter()
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n_a, n_b, groups = align(text)
-                times = Counter(groups)
-                freq.update(times)
-                within.update(times.keys())
-                row = doc, n_a, n_b, len(groups), len(groups), sha256(";".join(groups).encode()).hexdigest() if groups else "", [{"g": g, "times": n} for g, n in times.items()]
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            none = [[None] * len(cols[0])] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols + none, kinds, strict=True)], schema=kinds)
-            if freq:
-                own = [[None] * len(freq)] * 7 + [list(freq), list(freq.values()), [within[g] for g in freq]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(own, kinds, strict=True)], schema=kinds)
+            made = align(batch.column(1).to_pylist())
+            cut = [m[2].split(";") if m[2] else [] for m in made]
+            times = list(map(Counter, cut))
+            at = [0, *accumulate(map(len, times))]
+            inner = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(times)), pa.string()), pa.array(list(chain.from_iterable(t.values() for t in times)), pa.int64())], fields=list(kinds.field("groups").type.value_type))
+            sizes = [len(c) for c in cut]
+            digests = [sha256(m[2].encode()).hexdigest() if m[2] else "" for m in made]
+            rows = [batch.column(0), [m[0] for m in made], [m[1] for m in made], sizes, sizes, digests, pa.ListArray.from_arrays(pa.array(at, pa.int32()), inner, type=kinds.field("groups").type)]
+            none = [[None] * len(made)] * 3
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(rows + none, kinds, strict=True)], schema=kinds)
+            freq, within = Counter(chain.from_iterable(cut)), Counter(chain.from_iterable(times))
+            own = [[None] * len(freq)] * 7 + [list(freq), list(freq.values()), [within[g] for g in freq]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(own, kinds, strict=True)], schema=kinds)
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return plain.mapInArrow(run, COUNTED).withColumn("n", F.monotonically_increasing_id())
