@@ -109,10 +109,10 @@ def keyword_index(docs: DataFrame, fold: bool, key: str = "doc_id", text: str =
     return KeywordIndex(postings, written(document_frequencies(postings), "terms"), n, postings.agg(F.sum("tf")).first()[0] or 0, fold, k1, b, segment)
 
 
-def top(scored: DataFrame, k: int, route: str) -> DataFrame:
+def top(scored: DataFrame, k: int, route: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The k best for each query; ties by chunk_id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("route", F.lit(route)).select("query_id", "route", "chunk_id", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("route", F.lit(route)).select("query_id", "route", "chunk_id", "score", "rank", *keep)
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, fold: bool, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks, keys, outputs, rules, tokens
 from .operators import answers as A
-from .operators import chunking, fusion, graph, search
+from .operators import ann, chunking, fusion, graph, search
 from .plans import agents, ask, bench, tools
 from .sources import files, stores
 from .streaming import streams
@@ -297,6 +297,31 @@ def vector_search(spark, d):
     return search.vector_search(asked, vectors, 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def vector_index(spark, d) -> tuple[ann.VectorIndex, DataFrame, DataFrame]:
+    """An index of all embeddings in two additions, these, and the ones that are asked for."""
+    vectors, path = table(spark, d, "embeddings").select("vec_id", "embedding"), f"{shared_dir(spark)}/lodequery-vectors-{uuid.uuid4().hex}"
+    ann.build(vectors.where("vec_id % 3 > 0"), path)
+    ann.add(vectors.where("vec_id % 3 = 0"), path)
+    asked = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return ann.load(spark, path), vectors.withColumnRenamed("vec_id", "chunk_id"), asked
+
+
+@query(SQL["vector_search"])
+def vector_index_search(spark, d):
+    """All cells probed: what codes and re-ranking find is what the exact search finds."""
+    index, _, asked = vector_index(spark, d)
+    return index.search(asked, 5, probed=1.0).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_index_recall(spark, d):
+    """How many of the ten exact hits of each query the index finds with its usual share of cells."""
+    index, vectors, asked = vector_index(spark, d)
+    exact = search.vector_search(asked, vectors, 10).select("query_id", "chunk_id")
+    found = index.search(asked, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+
+
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
 SELECT vec_id, len(e) AS dims, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first FROM v""")
 def vector_normalised(spark, d):
