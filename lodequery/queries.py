@@ -11,7 +11,7 @@ from .functions import checks, keys, outputs, rules, tokens
 from .operators import answers as A
 from .operators import ann, chunking, fusion, graph, search
 from .plans import agents, ask, bench, tools
-from .sources import files, stores
+from .sources import files, keyword_store, stores
 from .streaming import streams
 from .tables import shared_dir
 
@@ -282,6 +282,25 @@ def bm25_saved_search(spark, d):
     return stores.load_index(spark, path).search(benchmark_queries(spark, d)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(SQL["bm25_search"])
+def bm25_blockmax_search(spark, d):
+    """Blocks that can't hold a hit are skipped."""
+    path = f"{shared_dir(spark)}/lodequery-blocks-{uuid.uuid4().hex}"
+    keyword_store.append(table(spark, d, "documents"), path)
+    return keyword_store.load(spark, path).search(benchmark_queries(spark, d)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(SQL["bm25_search"])
+def bm25_stream_search(spark, d):
+    """An index that a stream of three batches keeps, two of which are merged."""
+    path = f"{shared_dir(spark)}/lodequery-stream-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(3).write.parquet(f"{path}/landed")
+    landed = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
+    keyword_store.keep(landed, f"{path}/index", f"{path}/checkpoint", fan=2, once=True).awaitTermination()
+    return keyword_store.load(spark, f"{path}/index").search(benchmark_queries(spark, d)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {s_bm25(True)}, every AS (SELECT item_id AS query_id, doc_id, coalesce(score, 0) AS score FROM benchmark b CROSS JOIN split LEFT JOIN scored USING (doc_id) WHERE scored.query_id = b.item_id OR scored.query_id IS NULL
   UNION SELECT item_id, doc_id, 0 FROM benchmark, split WHERE (item_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM scored)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM every), m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS most FROM r WHERE rank <= 10)
