@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +49,20 @@ def asserted(rows: DataFrame, fits: Column, what: str) -> DataFrame:
     return rows.where(F.assert_true(fits, F.lit(what)).isNull())
 
 
-def allowed_keys(listed: str | None) -> list[str]:
-    """Keys from a comma-separated list; blanks are none."""
-    return [k.strip() for k in (listed or "").split(",") if k.strip()]
+def key_digests(listed: str | None) -> list[str]:
+    """Digests of the keys in a comma-separated list, blanks around them and empty ones aside."""
+    return [sha256(k.encode()).hexdigest() for k in re.findall(r"[^,\s](?:[^,]*[^,\s])?", listed or "")]
 
 
 def access(key: Column, enabled: bool, listed: str | None) -> Column:
-    """(status, key): 200 without checks or for a listed key; 503 if checks are on and no key is listed; else 401."""
-    keys = allowed_keys(listed)
+    """(status, key): 200 without checks or for a listed key; 503 if checks are on and no key is listed; else 401.
+
+    Digests are compared, so that no listed key stands in a plan, where the UI and logs show it.
+    """
+    digests = key_digests(listed)
     if not enabled:
         return F.struct(F.lit(200).alias("status"), F.lit("auth_disabled").alias("key"))
-    if not keys:
+    if not digests:
         return F.struct(F.lit(503).alias("status"), F.lit(None).cast("string").alias("key"))
-    known = F.coalesce(key.isin(*keys), F.lit(False))
+    known = F.coalesce(F.sha2(key.cast("binary"), 256).isin(*digests), F.lit(False))
     return F.struct(F.when(known, 200).otherwise(401).alias("status"), F.when(known, key).alias("key"))

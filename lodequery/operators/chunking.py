@@ -60,6 +60,8 @@ class Packer:
     """
 
     def __init__(self, most: int = DEFAULT_TOKENS, overlap: int = DEFAULT_OVERLAP_TOKENS, count: Counter | None = None):
+        if not 0 <= overlap < most:
+            raise ValueError("overlap must be less than the budget")
         self.most, self.overlap, self.count = most, overlap, count or estimate
 
     @staticmethod

@@ -18,6 +18,8 @@ from ..operators import fusion
 from .ask import Retriever, hybrid
 
 Model = Callable[[str], str]
+#: The types of a stream's events, in order, and its phases; a stream may end with an error instead.
+PHASES, EVENTS = ("analysis", "retrieval"), ("phase", "answer_start", "token", "answer_end", "done", "error")
 #: Rows of evidence that reasoning sees, sources that verification and the end of a stream see, and characters of these.
 EVIDENCE, SOURCES, SOURCE_CHARS = 10, 5, 200
 NO_EVIDENCE = "There is not enough in the knowledge base to answer this question."
@@ -57,9 +59,11 @@ def reasoned(queries: DataFrame, evidence: DataFrame, model: Model) -> DataFrame
     """queries with reasoning over (query_id, evidence, sources); without evidence the model isn't asked."""
     met = queries.join(evidence, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
     prompt = F.concat(F.lit("Answer from the evidence alone, with the numbers of what you use, as JSON (answer, reasoning_path, sources_used, confidence, limitations).\n\nQuestion: "), "text", F.lit("\n\nEvidence:\n"), "evidence")
-    asked = met.withColumn("__said", F.when(F.col("evidence") != "", called(model, prompt)))
+    # a condition around a Python function doesn't hold its calls back, so the rows part ways
+    asked = met.where("evidence != ''").withColumn("__said", called(model, prompt))
     empty = F.lit(json.dumps({"answer": NO_EVIDENCE, "reasoning_path": ["nothing was found"], "limitations": "retrieval_empty"}))
-    return asked.withColumn("reasoning", outputs.reasoning(F.coalesce("__said", empty), NO_ANSWER)).drop("__said")
+    both = asked.unionByName(met.where("evidence = ''").withColumn("__said", empty))
+    return both.withColumn("reasoning", outputs.reasoning(F.col("__said"), NO_ANSWER)).drop("__said")
 
 
 def verified(answers: DataFrame, model: Model) -> DataFrame:
@@ -94,6 +98,41 @@ def answer_events(question: DataFrame, routes: dict[str, Retriever], stream: Cal
     yield {"type": "done", "data": {"sources": [s[:SOURCE_CHARS] for s in sources], "confidence": checked["confidence"], "verification": checked, "analysis": analysis}}
 
 
+def streamed(answer: Callable[[str], Iterator[str]], prompt: Column) -> Column:
+    """The tokens that a model yields for each prompt."""
+
+    @F.pandas_udf("array<string>")
+    def run(prompts: pd.Series) -> pd.Series:
+        return pd.Series([list(answer(p)) for p in prompts], dtype=object)
+
+    return run(prompt)
+
+
+def event_rows(queries: DataFrame, routes: dict[str, Retriever], answer: Callable[[str], Iterator[str]], analyse: Model | None = None, verify: Model | None = None, k: int = 10) -> DataFrame:
+    """(query_id, seq, type, text, data): the events that a stream of each question's answer has, for many questions at once.
+
+    text is a phase's name or a token; data is JSON, as answer_events has it. A question without evidence isn't sent to the
+    model that answers; its one token says so.
+    """
+    silent: Model = lambda prompt: "{}"
+    found = analysed(queries.select("query_id", "text"), analyse or silent)
+    fused, _, hits = hybrid(found.select("query_id", F.col("analysis.query_rewrite").alias("text")), routes, k)
+    counts = hits.groupBy("query_id").pivot("route", list(routes)).count().select("query_id", F.struct(*(F.coalesce(F.col(r), F.lit(0)).alias(f"{r}_count") for r in routes)).alias("counts"))
+    met = found.join(evidence_texts(fused), "query_id", "left")
+    prompt = F.concat(F.lit("Question: "), "text", F.lit("\n\nEvidence:\n"), "evidence")
+    told = met.where("evidence IS NOT NULL").withColumn("tokens", streamed(answer, prompt)).unionByName(met.where("evidence IS NULL").withColumn("tokens", F.array(F.lit(NO_EVIDENCE))))
+    checked = verified(told.withColumn("answer", F.array_join("tokens", "")), verify or silent).join(counts, "query_id", "left")
+    nothing = F.lit(None).cast("string")
+    event = lambda kind, text=None, data=None: F.struct(F.lit(kind).alias("type"), (nothing if text is None else text).alias("text"), (nothing if data is None else data).alias("data"))
+    shown = F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda x: F.substring(x, 1, SOURCE_CHARS))
+    done = F.to_json(F.struct(shown.alias("sources"), "verification.confidence", "verification", "analysis"))
+    events = F.concat(
+        F.array(event("phase", F.lit(PHASES[0]), F.to_json("analysis")), event("phase", F.lit(PHASES[1]), F.to_json("counts")), event("answer_start")),
+        F.transform("tokens", lambda t: event("token", t)), F.array(event("answer_end"), event("done", None, done)),
+    )
+    return checked.select("query_id", F.posexplode(events).alias("seq", "e")).select("query_id", "seq", "e.*")
+
+
 def hybrid_counts(queries: DataFrame, routes: dict[str, Retriever], k: int) -> tuple[DataFrame, dict[str, int], list[str]]:
     """Fused evidence, how many hits each route gave, and warnings."""
     fused, warnings, hits = hybrid(queries, routes, k)

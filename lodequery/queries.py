@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import checks, keys, outputs, rules, tokens
 from .operators import answers as A
 from .operators import ann, chunking, fusion, graph, search
-from .plans import agents, ask, bench, tools
+from .plans import agents, ask, bench
 from .sources import files, keyword_store, stores
 from .streaming import streams
 from .tables import shared_dir
@@ -584,14 +585,17 @@ def hybrid_search(spark, d):
     return fused.select("query_id", "rank", "chunk_id", F.round("fusion_score", 6).alias("fusion_score"), F.length("content").alias("chars"))
 
 
-@query(f"""WITH q AS (SELECT {s_split('text')} AS l FROM benchmark ORDER BY item_id LIMIT 1), e AS (SELECT 0 AS seq, 'phase' AS type, 'analysis' AS text UNION ALL SELECT 1, 'phase', 'retrieval' UNION ALL SELECT 2, 'answer_start', ''
-UNION ALL SELECT 3 + i, 'token', l[i + 1] FROM (SELECT l, unnest(range(0, len(l))) AS i FROM q) UNION ALL SELECT 3 + len(l), 'answer_end', '' FROM q UNION ALL SELECT 4 + len(l), 'done', '' FROM q) SELECT CAST(seq AS INTEGER) AS seq, type, text FROM e""")
+@query(f"""WITH q AS (SELECT item_id AS query_id, {s_split('text')} AS l FROM benchmark), e AS (
+  SELECT query_id, 0 AS seq, 'phase' AS type, 'analysis' AS text FROM q UNION ALL SELECT query_id, 1, 'phase', 'retrieval' FROM q
+  UNION ALL SELECT query_id, 2, 'answer_start', '' FROM q
+  UNION ALL SELECT query_id, 3 + i, 'token', l[i + 1] FROM (SELECT query_id, l, unnest(range(0, len(l))) AS i FROM q)
+  UNION ALL SELECT query_id, 3 + len(l), 'answer_end', '' FROM q UNION ALL SELECT query_id, 4 + len(l), 'done', '' FROM q)
+SELECT query_id, CAST(seq AS INTEGER) AS seq, type, text FROM e""")
 def answer_stream(spark, d):
-    """The events of the first benchmark question, answered by its own words one at a time."""
-    question = benchmark_queries(spark, d).orderBy("query_id").limit(1)
-    said = question.select(tokens.blank_split(F.col("text"))).first()[0]
-    events = agents.answer_events(question, hybrid_routes(spark, d), lambda prompt: iter(said), k=5)
-    return spark.createDataFrame([(i, e["type"], e.get("phase") or e.get("text") or "") for i, e in enumerate(events)], "seq int, type string, text string")
+    """The events of every benchmark question, each answered by its own words one at a time."""
+    own_words = lambda prompt: (w for w in re.split(r"[ \t\n\x0b\f\r]+", prompt.split("\n\nEvidence:")[0].removeprefix("Question: ")) if w)
+    events = agents.event_rows(benchmark_queries(spark, d), hybrid_routes(spark, d), own_words, k=5)
+    return events.select("query_id", "seq", "type", F.coalesce("text", F.lit("")).alias("text"))
 
 
 # --- model output, records, access -----------------------------------------------------------------------------------
@@ -608,15 +612,16 @@ def claim_coercion(spark, d):
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'compare' ELSE 'query' END AS intent, CASE event_id % 3 WHEN 0 THEN 'a,b' ELSE '' END AS entities, 'medium' AS complexity, event_id % 3 = 0 AS requires_multi_hop,
-CASE event_id % 3 WHEN 1 THEN 'better ' || event_type ELSE event_type END AS query_rewrite, event_id % 3 = 1 AS is_supported, CASE event_id % 3 WHEN 1 THEN 0.5 ELSE 0 END AS confidence FROM events""")
+CASE event_id % 3 WHEN 1 THEN 'better ' || event_type ELSE event_type END AS query_rewrite, event_id % 3 = 1 AS is_supported, CASE event_id % 3 WHEN 1 THEN 0.5 ELSE 0 END AS confidence,
+CASE event_id % 3 WHEN 1 THEN 'so' ELSE 'nothing' END AS answer, CASE event_id % 3 WHEN 1 THEN 'a>b' ELSE '' END AS reasoning_path, CASE event_id % 3 WHEN 1 THEN 'few' ELSE '' END AS limitations FROM events""")
 def typed_outputs(spark, d):
     """Fields that are there, missing, mistyped, and a text that is no JSON."""
     kind = F.col("event_id") % 3
     said = F.when(kind == 0, '{"intent": "compare", "entities": ["a", "b"], "requires_multi_hop": true, "query_rewrite": "", "confidence": null}').when(
-        kind == 1, F.concat(F.lit('{"intent": 7, "query_rewrite": "better '), "event_type", F.lit('", "is_supported": true, "confidence": 0.5, "complexity": []}'))
+        kind == 1, F.concat(F.lit('{"intent": 7, "query_rewrite": "better '), "event_type", F.lit('", "is_supported": true, "confidence": 0.5, "complexity": [], "answer": "so", "reasoning_path": ["a", "b"], "limitations": "few"}'))
     ).otherwise("no JSON")
-    rows = table(spark, d, "events").select("event_id", outputs.analysis(said, F.col("event_type")).alias("a"), outputs.verification(said).alias("v"))
-    return rows.select("event_id", "a.intent", F.array_join("a.entities", ",").alias("entities"), "a.complexity", "a.requires_multi_hop", "a.query_rewrite", "v.is_supported", "v.confidence")
+    rows = table(spark, d, "events").select("event_id", outputs.analysis(said, F.col("event_type")).alias("a"), outputs.verification(said).alias("v"), outputs.reasoning(said, "nothing").alias("r"))
+    return rows.select("event_id", "a.intent", F.array_join("a.entities", ",").alias("entities"), "a.complexity", "a.requires_multi_hop", "a.query_rewrite", "v.is_supported", "v.confidence", "r.answer", F.array_join("r.reasoning_path", ">").alias("reasoning_path"), "r.limitations")
 
 
 @query("""SELECT event_id, event_id % 4 = event_id % 3 + 1 AND user_id % 3 = event_id % 3 AS path_fits, regexp_matches(CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'X' || event_type END, '^[a-z][a-z0-9_]*$') AS plain_name,
@@ -638,11 +643,6 @@ def key_access(spark, d):
     return table(spark, d, "customer").select("c_custkey", listed["status"].alias("status"), listed["key"].alias("key"), unlisted["status"].alias("unlisted"), off["key"].alias("unchecked"))
 
 
-@query("SELECT name, true AS read_only, position = 5 AS asks FROM (VALUES ('search.vector', 1), ('search.bm25', 2), ('search.kg', 3), ('search.web', 4), ('orchestrate.ask', 5)) t(name, position)")
-def tool_list(spark, d):
-    return tools.tool_list(spark).select("name", "read_only", (F.get_json_object("descriptor", "$.metadata.route") == "all").alias("asks"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN s >= 0.7 THEN 'use' WHEN s >= 0.3 AND r < 2 THEN 'rewrite' ELSE 'fallback' END AS branch, CASE WHEN r >= 2 THEN 'fallback' WHEN s >= 0.7 THEN 'use' WHEN s >= 0.3 THEN 'rewrite' ELSE 'fallback' END AS branch_cap_first,
 printf('score %.4f after %d rewrites: %s', s, r, branch) AS reasoning FROM (SELECT l_orderkey, l_linenumber, round(least(1, l_discount * 10), 1) AS s, CAST(l_linenumber % 3 AS INTEGER) AS r FROM lineitem)""")
 def decision_records(spark, d):

@@ -75,6 +75,9 @@ def test_many_short_sentences_are_linear():
     """Sentences under four characters count for nothing, so one chunk takes them all: without going over them again each time."""
     began = time.process_time()
     assert len(list(C.Packer().chunks("a. " * 40_000))) == 1
+    for overlap in (512, 513, -1):
+        with pytest.raises(ValueError):
+            C.Packer(512, overlap)
     assert time.process_time() - began < 3
 
 

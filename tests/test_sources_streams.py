@@ -230,7 +230,7 @@ def test_hooks(spark):
     assert failing["cited"].count() > 0 and "auditor_failed" in failing["warnings"].first().warning
 
 
-def test_agents_and_frames(spark):
+def test_agents_and_frames(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "corvid speaks quill"), (2, "other things"), (3, "nothing here")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "corvid quill")], "query_id long, text string")
 
@@ -244,6 +244,19 @@ def test_agents_and_frames(spark):
     said = agents.reasoned(asked, evidence, model).first()
     assert said.reasoning.answer == "a raven" and said.reasoning.confidence == 0.0 and "corvid speaks quill" in said.evidence
     assert agents.reasoned(asked, evidence.limit(0), model).first().reasoning.limitations == "retrieval_empty"
+    calls = tmp_path / "calls"
+
+    def counting(prompt):
+        with calls.open("a") as f:
+            f.write("x")
+        return "{}"
+
+    many = spark.createDataFrame([(i, "corvid quill" if i == 1 else "zzz") for i in range(20)], "query_id long, text string")
+    got = agents.reasoned(many, evidence, counting).collect()
+    assert len(got) == 20 and calls.read_text() == "x" and sum(r.reasoning.limitations == "retrieval_empty" for r in got) == 19
+    events = agents.event_rows(many.where("query_id < 3"), {"bm25": ask.keyword_route(chunks)}, lambda p: iter(["a ", "raven"])).orderBy("query_id", "seq").collect()
+    assert [(e.query_id, e.type, e.text) for e in events if e.type == "token"] == [(0, "token", agents.NO_EVIDENCE), (1, "token", "a "), (1, "token", "raven"), (2, "token", agents.NO_EVIDENCE)]
+    assert json.loads([e.data for e in events if e.query_id == 1][1]) == {"bm25_count": 1} and [e.type for e in events if e.query_id == 1][-2:] == ["answer_end", "done"]
     checked = agents.verified(asked.withColumns({"answer": F.lit("x"), "sources": F.array(F.lit("s"))}), model).first().verification
     assert (checked.is_supported, checked.confidence, checked.issues) == (False, 0.0, [])
     events = list(agents.answer_events(asked, {"bm25": ask.keyword_route(chunks)}, lambda p: iter(["a ", "raven"]), model))
@@ -262,13 +275,18 @@ def test_agents_and_frames(spark):
 
 
 def test_tools_and_access(spark):
-    described = tools.TOOLS[0].descriptor()
-    assert described["annotations"] == {"readOnlyHint": True, "idempotent": True, "openWorld": False} and described["inputSchema"]["required"] == ["query"]
-    assert not tools.Tool("w", "writes", {}, {}, side_effects=True).descriptor()["annotations"]["readOnlyHint"]
+    described = {r.name: (r.read_only, json.loads(r.descriptor)) for r in tools.tool_list(spark).collect()}
+    assert list(described) == ["search.vector", "search.bm25", "search.kg", "search.web", "orchestrate.ask"]
+    read_only, first = described["search.vector"]
+    assert read_only and list(first) == ["name", "description", "inputSchema", "outputSchema", "annotations", "metadata"] and first["metadata"] == {"route": "vector"}
+    assert first["annotations"] == {"readOnlyHint": True, "idempotent": True, "openWorld": False} and first["inputSchema"]["required"] == ["query"]
+    writing = tools.described(tools.service_tools(spark).withColumn("writes", F.lit(True))).first()
+    assert not writing.read_only and not json.loads(writing.descriptor)["annotations"]["readOnlyHint"]
     assert tools.planned_tools() == ["retrieve_vector", "retrieve_bm25", "retrieve_kg"] and tools.planned_tools(False, True)[-1] == "retrieve_web"
     rows = spark.createDataFrame([("a",), (None,), ("z",)], "key string")
     assert [r[0].status for r in rows.select(checks.access(F.col("key"), True, "a, b")).collect()] == [200, 401, 401]
     assert [r[0].status for r in rows.select(checks.access(F.col("key"), True, " ,")).collect()] == [503] * 3
+    assert "s3cret" not in rows.select(checks.access(F.col("key"), True, "s3cret, b"))._jdf.queryExecution().toString()
     assert checks.asserted(rows, F.lit(True), "fine").count() == 3
     with pytest.raises(Exception, match="no key"):
         checks.asserted(rows, F.col("key").isNotNull(), "no key").collect()
