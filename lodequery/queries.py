@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks, keys, outputs, rules, tokens
 from .operators import answers as A
-from .operators import ann, chunking, fusion, graph, search
+from .operators import ann, chunking, fusion, graph, search, segment
 from .plans import agents, ask, bench
 from .sources import files, keyword_store, stores
 from .streaming import streams
@@ -264,6 +264,13 @@ def decision_rules(spark, d):
 # --- search ----------------------------------------------------------------------------------------------------------
 
 
+@query()
+def segmented_words(spark, d):
+    """Every text's words written without spaces, and cut again by the words of all texts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return segment.glued_agreement(docs, segment.spaced_words(docs))
+
+
 @query(f"WITH {s_bm25(False)} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_statistics(spark, d):
     return search.keyword_index(table(spark, d, "documents"), False).idf().withColumn("idf", F.round("idf", 6))
