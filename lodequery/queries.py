@@ -824,6 +824,24 @@ def breaker_openings(spark, d):
     return streams.openings(calls, 2).drop("failed")
 
 
+@query(SQL["breaker_openings"].replace(", CAST(streak AS BIGINT) AS streak", ""))
+def breaker_stream(spark, d):
+    """Three batches of events in order, through a breaker that keeps its state between them and opens for no time at all."""
+    calls = table(spark, d, "events").select(F.col("user_id").alias("service"), "ts", F.col("event_id").alias("call_id"), (F.col("event_type") == "error").alias("failed"))
+    path = f"{shared_dir(spark)}/lodequery-calls-{uuid.uuid4().hex}"
+    first, last = calls.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(3):  # files are taken by the time they were written
+        low, high = first + (last - first) / 3 * i, first + (last - first) / 3 * (i + 1)
+        part = calls.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | F.lit(i == 2)))
+        part.coalesce(1).write.mode("append").parquet(f"{path}/calls")
+    landed = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/calls")
+    kept = streams.as_streak(landed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", streams.LATE), 2, 0)
+    streams.with_rocksdb(spark)
+    kept.where("opened").writeStream.format("parquet").option("path", f"{path}/opened").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    opened = spark.read.schema("service long, ts timestamp, call_id long").parquet(f"{path}/opened")
+    return opened.withColumn("service", F.col("service").cast(calls.schema["service"].dataType)).withColumn("ts", F.col("ts").cast(calls.schema["ts"].dataType))
+
+
 @query("SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type, round(arg_max(value, {'a': ts, 'b': event_id}), 6) AS value FROM events GROUP BY 1")
 def latest_state(spark, d):
     rows = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("seq"), "event_type", "value")

@@ -7,14 +7,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.answers import EXPECTED_NODES
 from ..operators.chunking import fixed_chunks, ingest_rows
 
 LIMIT, WINDOW = 60, "1 minute"
-FAILURES, OPEN_SECONDS = 5, 30
-LATE = "10 minutes"
+FAILURES, OPEN_SECONDS, IDLE_SECONDS = 5, 30, 3600
+LATE, WITHIN = "10 minutes", "1 hour"
 #: Folders of an upserted table; tables have no such columns of their own.
 BUCKET, VERSION = "__bucket", "__version"
 
@@ -140,3 +141,80 @@ def run_completeness(audit: DataFrame) -> DataFrame:
     """
     seen = sum((F.max(F.when(F.col("node") == n, 1).otherwise(0)) for n in EXPECTED_NODES[1:]), F.max(F.when(F.col("node") == EXPECTED_NODES[0], 1).otherwise(0)))
     return audit.groupBy("run_id").agg((seen / len(EXPECTED_NODES)).alias("completeness"))
+
+
+def as_streak(calls: DataFrame, failures: int = FAILURES, open_seconds: float = OPEN_SECONDS, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """The breaker with state that leaves: calls (service, ts, call_id, failed) with `allowed`, and `opened` where it opens.
+
+    Needs a watermark on ts and the RocksDB state store (`with_rocksdb`). State of a service: failures in a row, until when it is
+    open, and when it may be forgotten. Its timer clears it once the watermark is idle_seconds past the service's last call,
+    so services that are gone cost nothing. Rows of a service are put in order of (ts, call_id) within a batch.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema.fields}
+
+    class Breaker(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("breaker", "run int, until double, leaves long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            run, until, leaves = self.state.get() if self.state.exists() else (0, 0.0, 0)
+            batch = pd.concat(list(rows)).sort_values(["ts", "call_id"])
+            allowed, opened = [], []
+            for ts, failed in zip(batch["ts"], batch["failed"], strict=True):
+                now = ts.timestamp()
+                ok = now >= until
+                run = (run + 1 if failed else 0) if ok else run
+                opens = bool(ok and failed and run >= failures)
+                if opens:
+                    run, until = 0, now + open_seconds
+                allowed.append(bool(ok))
+                opened.append(opens)
+            last = int((batch["ts"].iloc[-1].timestamp() + idle_seconds) * 1000)
+            if last > leaves:
+                self.handle.registerTimer(last)
+            self.state.update((int(run), float(until), max(last, leaves)))
+            yield batch.assign(allowed=allowed, opened=opened)[["service", "ts", "call_id", "failed", "allowed", "opened"]]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            # a timer that later calls have overtaken clears nothing
+            if self.state.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.state.get()[2]:
+                self.state.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    out = f"service {kinds['service']}, ts timestamp, call_id {kinds['call_id']}, failed boolean, allowed boolean, opened boolean"
+    return calls.groupBy("service").transformWithStateInPandas(Breaker(), out, "Append", "EventTime")
+
+
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """State with timers lives in RocksDB; streams that are started from now on use it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+def matched_stream(made: DataFrame, seen: DataFrame, what: str, within: str = WITHIN, late: str = LATE) -> DataFrame:
+    """(run_id, what, ts, hit): each different thing of a run that one stream has (run_id, what, ts), and whether the other has it.
+
+    Streams join on run and thing, with times at most `within` apart; rows later than `late` are left out. A thing that is never
+    matched is told once no match can come any more.
+    """
+    key = ["run_id", what]
+    left = made.select(*key, "ts").withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+    right = seen.select(F.col("run_id").alias("run"), F.col(what).alias("thing"), F.col("ts").alias("seen_at")).withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["run", "thing"])
+    near = F.expr(f"run_id = run AND `{what}` = thing AND seen_at BETWEEN ts - INTERVAL {within} AND ts + INTERVAL {within}")
+    return left.join(right, near, "leftOuter").select(*key, "ts", F.col("run").isNotNull().alias("hit"))
+
+
+def share_of_matched(rows: DataFrame, what: str, name: str) -> DataFrame:
+    """(run_id, name) from the rows of matched_stream so far: tool necessity of tools, audit coverage of nodes."""
+    different = rows.groupBy("run_id", what).agg(F.max(F.col("hit").cast("int")).alias("hit"))
+    return different.groupBy("run_id").agg(F.round(F.sum("hit") / F.count("*"), 4).alias(name))
+
+
+def fix_rate_stream(runs: DataFrame) -> DataFrame:
+    """One row, in complete mode: the share of rewritten runs that ended in use so far, and how many were rewritten."""
+    used = (F.lower(F.coalesce("final_decision", F.lit(""))) == "use").cast("double")
+    return runs.where("rewrites > 0").agg(F.coalesce(F.avg(used), F.lit(0.0)).alias("fix_rate"), F.count("*").alias("rewritten_runs"))
