@@ -91,12 +91,20 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish; directions stay the same to the last bit."""
+    exponent = np.frexp(np.abs(raw).max(axis=-1, keepdims=True, initial=0.0))[1]
+    return np.ldexp(raw, -exponent)
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
+    raw = scaled(raw)
     return raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
 
 
 def near(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     """Cosine of two raw vectors in double precision."""
+    x, y = scaled(x), scaled(y)
     return float(x @ y) / (math.sqrt(float(x @ x)) * math.sqrt(float(y @ y))) >= threshold
 
 

@@ -22,6 +22,17 @@ def test_pairs_against_brute_force(n, dims, groups):
     assert covertree.exact_pairs(raw) == plain(raw)
 
 
+def test_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = cloud(rng, 80, 16, 5)
+    want = plain(x)
+    sizes = np.array([1e200, 1e-200, 1.0, 1e150, 1e-160])[np.arange(80) % 5]
+    assert covertree.exact_pairs(x * sizes[:, None]) == want and want
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x * sizes[:, None])]
+    got = {r.vec_id: r.n_links for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: sum(i in p for p in want) for i in range(80)}
+
+
 def test_tree_covers_with_halving_radii():
     points = covertree.unit(cloud(np.random.default_rng(5), 300, 6, 10))
     t = covertree.Tree(points)
