@@ -5,8 +5,8 @@ hold more often than chance allows, and all other words of a text are one more t
 a long text weighs little. A vector has (1 + log count) times the inverse document frequency of each term, at unit length.
 
 Examples of equal vectors are one entry with the weight of each label. Entries stand in blocks of alike ones; a term has
-postings by entry and its greatest impact in each block. A search sums these bounds by block, visits blocks from the
-greatest bound down, and stops when no further block can hold one of the k nearest; what it finds is what a full scan finds.
+postings by entry and its greatest impact in each block. A search sums these bounds by block, scores the blocks of greatest
+bound, and then only blocks that can still hold one of the k nearest; what it finds is what a full scan finds.
 
 The examples are a bounded sample: at most PER_LABEL documents of each label, by a hash of the id. Votes are weighted by what
 an example stands for, so that scores follow the corpus and not the sample. Every document gets a score.
@@ -32,6 +32,8 @@ PER_LABEL, TERMS, NEAREST = 1500, 512, 10
 LEAST_G2, TOXIC_FROM = 20.0, 0.3
 #: Entries of a block, letters of beginnings of words, and of the longest word that can be a term.
 BLOCK, STARTS, LONGEST = 32, (3, 4, 5), 40
+#: Blocks that a search scores first.
+FIRST = 4
 #: What is added to a distance before its inverse square weighs a vote, and examples that are named as evidence.
 NEAR, EVIDENCE = 0.02, 3
 FIELDS = "score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
@@ -61,38 +63,39 @@ class BlockMax:
         # alike entries side by side: by strongest term, then by its weight
         strongest = rows.argmax(axis=1) if n else np.zeros(0, int)
         self.order = np.lexsort((-rows.max(axis=1, initial=0.0), strongest))
-        rows, self.size, self.n, self.visited = rows[self.order], size, n, 0
-        self.blocks = -(-n // size)
-        self.most = np.zeros((self.blocks, terms))
-        self.at, self.impact = [], []  # of each term: entries and their weights
-        self.start = np.zeros((terms, self.blocks + 1), np.int64)  # where each block's postings begin
-        for b in range(self.blocks):
-            self.most[b] = rows[b * size : (b + 1) * size].max(axis=0)
-        for t in range(terms):
-            at = np.flatnonzero(rows[:, t])
-            self.at.append(at)
-            self.impact.append(rows[at, t])
-            self.start[t] = np.searchsorted(at, np.arange(self.blocks + 1) * size)
+        self.size, self.n, self.visited, self.blocks = size, n, 0, -(-n // size)
+        # a term's postings: its impact by entry, room for whole blocks; a block's are side by side
+        self.postings = np.zeros((terms, self.blocks * size))
+        self.postings[:, :n] = rows[self.order].T
+        self.most = self.postings.reshape(terms, self.blocks, size).max(axis=2, initial=0.0)
+        self.inside = np.arange(size)
+
+    def _scores(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of some blocks that share a term with a query, and their cosines."""
+        self.visited += len(blocks)
+        at = (blocks[:, None] * self.size + self.inside).ravel()
+        scores = weights @ self.postings[terms[:, None], at]
+        hit = scores > 0
+        return at[hit], np.round(scores[hit], 12)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of greatest cosine, and these; of equals the first in index order."""
-        bound = self.most[:, terms] @ weights
-        found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if len(found) == k and bound[b] < found[-1] - 1e-12:
-                break
-            self.visited += 1
-            low = b * self.size
-            scores = np.zeros(min(self.size, self.n - low))
-            for t, w in zip(terms, weights, strict=True):
-                i, j = self.start[t, b], self.start[t, b + 1]
-                if i < j:
-                    scores[self.at[t][i:j] - low] += w * self.impact[t][i:j]
-            hit = np.flatnonzero(scores > 0)
-            found_at, found = np.concatenate([found_at, hit + low]), np.concatenate([found, np.round(scores[hit], 12)])
-            best = np.lexsort((found_at, -found))[:k]
-            found_at, found = found_at[best], found[best]
-        return self.order[found_at], found
+        """The k rows of greatest cosine, and these; of equals the first in index order.
+
+        The FIRST blocks of greatest bound are scored, then those whose bound reaches the k-th cosine so far.
+        """
+        bound = weights @ self.most[terms]
+        first = np.argsort(-bound, kind="stable")[:FIRST]
+        at, found = self._scores(first, terms, weights)
+        floor = np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else 0.0
+        bound[first] = -1.0
+        late = np.flatnonzero(bound >= max(floor - 1e-9, 1e-12))
+        if len(late):
+            more, cosines = self._scores(late, terms, weights)
+            at, found = np.concatenate([at, more]), np.concatenate([found, cosines])
+        good = found >= floor
+        at, found = at[good], found[good]
+        best = np.lexsort((at, -found))[:k]
+        return self.order[at[best]], found[best]
 
 
 @dataclass
