@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, rules
+from ..tables import written
+from .search import broadcast_if
 
 BRANCHES = 8
+#: Edges of a node in one slice of it, and nodes of several slices up to which they are broadcast.
+HUB_EDGES, BROADCAST_HUBS = 2048, 200_000
 
 
 def clamp(x: int, low: int, high: int) -> int:
@@ -53,31 +57,46 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.union(edges.where("source != target").select("target", "source", "type", "edge_id"))
 
 
-def trails(edges: DataFrame, starts: DataFrame, depth: int, enough: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def _steps(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges from either end with the slice of their node they belong to, and the nodes of several slices (u, slices).
+
+    A slice holds about HUB_EDGES edges, so a join by node and slice deals a hub's edges out to many tasks.
+    """
+    step = written(both_ways(edges), "steps")
+    hubs = step.groupBy("u").agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("slices")).where("slices > 1")
+    hubs = broadcast_if(written(hubs, "hubs"), BROADCAST_HUBS)
+    part = F.coalesce(F.pmod(F.xxhash64("edge_id"), F.col("slices")), F.lit(0)).cast("int")
+    return step.join(hubs, "u", "left").select("u", "v", "type", "edge_id", part.alias("slice")), hubs
+
+
+def _at(starts: DataFrame) -> DataFrame:
+    """Trails without edges (start, end, nodes, rels, edge_ids), one for each start."""
+    none = F.array().cast("array<string>")
+    return starts.select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), none.alias("rels"), none.alias("edge_ids"))
+
+
+def _onward(now: DataFrame, step: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Trails with one more edge, which they don't hold yet."""
+    slices = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
+    dealt = now.join(hubs.withColumnRenamed("u", "end"), "end", "left").withColumn("slice", F.explode(slices)).drop("slices")
+    met = dealt.join(step.withColumnRenamed("u", "end"), ["end", "slice"])
+    more = lambda c, one: F.concat(c, F.array(one)).alias(c)
+    fresh = met.where(~F.array_contains("edge_ids", F.col("edge_id")))
+    return fresh.select("start", F.col("v").alias("end"), more("nodes", "v"), more("rels", "type"), more("edge_ids", "edge_id"))
+
+
+def trails(edges: DataFrame, starts: DataFrame, depth: int, enough: int | None = None) -> DataFrame:
     """Undirected paths of 1 to depth edges, none of which repeats: start, end, depth, nodes, rels, edge_ids. Unrolled joins.
 
-    enough: starts with so many paths already are not followed further, as longer ones would come after these. pairs (source,
-    target): only paths to a start's targets are wanted, of which `enough` for each; the last step then goes to these alone.
+    enough: starts with so many paths already are not followed further, as longer ones would come after these.
     """
-    step = both_ways(edges)
-    seeds = starts.select(F.col("name").alias("start")).distinct()
-    wanted = None if pairs is None else pairs.select(F.col("source").alias("start"), F.col("target").alias("v")).distinct()
-    ahead = step.select(F.col("u").alias("end"), "v", "type", "edge_id")
-    array = lambda c, kind: F.array().cast(f"array<{kind}>") if c is None else F.array(c)
-    now = seeds.select("start", F.col("start").alias("end"), array("start", "string").alias("nodes"), array(None, "string").alias("rels"), array(None, "string").alias("edge_ids"))
-    out = None
-    for d in range(1, depth + 1):
+    step, hubs = _steps(edges)
+    now, out = _at(starts.select(F.col("name").alias("start")).distinct()), None
+    for _ in range(depth):
         if out is not None and enough is not None:
-            if wanted is None:
-                done = out.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("start")
-                now = now.join(done, "start", "left_anti")
-            else:
-                full = out.select("start", F.col("end").alias("v")).join(wanted, ["start", "v"]).groupBy("start", "v").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
-                now = now.join(wanted.join(full, ["start", "v"], "left_anti").select("start").distinct(), "start", "left_semi")
-        last = d == depth and wanted is not None
-        met = now.join(wanted, "start").join(ahead, ["end", "v"]) if last else now.join(ahead, "end")
-        fresh = met.where(~F.array_contains("edge_ids", F.col("edge_id")))
-        now = fresh.select("start", F.col("v").alias("end"), F.concat("nodes", F.array("v")).alias("nodes"), F.concat("rels", F.array("type")).alias("rels"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
+            done = out.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("start")
+            now = now.join(done, "start", "left_anti")
+        now = _onward(now, step, hubs)
         out = now if out is None else out.union(now)
     return out.withColumn("depth", F.size("rels"))
 
@@ -115,12 +134,39 @@ def neighbours(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int
 
 
 def paths_between(edges: DataFrame, pairs: DataFrame, depth: int = 3, limit: int = 5) -> DataFrame:
-    """(source, target, rank, depth, path, rels): the shortest `limit` paths of each pair (source, target); ties by path."""
-    pairs = pairs.select("source", "target").distinct()
-    found = trails(edges, pairs.select(F.col("source").alias("name")), clamp(depth, 1, 4), limit, pairs).join(pairs, (F.col("start") == F.col("source")) & (F.col("end") == F.col("target")))
-    keyed = found.withColumn("path", keys.path_id(F.col("nodes"))).withColumn("rel_list", F.array_join("rels", ","))
+    """(source, target, rank, depth, path, rel_list): the shortest `limit` paths of each pair (source, target); ties by path.
+
+    Trails grow from both ends in turn, each to half the depth, and meet in a join, so a hub between two names costs its edges
+    and not their square. Pairs that have `limit` paths are left out of longer ones. A pair of one name twice asks for cycles;
+    null names have no path.
+    """
+    pairs = written(pairs.select("source", "target").distinct(), "pairs")
+    step, hubs = _steps(edges)
+    side = lambda c: _at(pairs.select(F.col(c).alias("start")).distinct())
+    ahead, back, opened, found = side("source"), side("target"), pairs, None
+    ranked = Window.partitionBy("source", "target").orderBy("path", "rel_list")
+    for d in range(1, clamp(depth, 1, 4) + 1):
+        grown, end = (ahead, "source") if d % 2 else (back, "target")
+        grown = _onward(grown.join(opened.select(F.col(end).alias("start")).distinct(), "start", "left_semi"), step, hubs)
+        grown = written(grown, "trails") if d < depth else grown
+        ahead, back = (grown, back) if d % 2 else (ahead, grown)
+        paths = _met(ahead, back, opened).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
+        now = written(paths.select("source", "target", F.lit(d).alias("depth"), "path", "rel_list"), "paths")
+        found = now if found is None else found.union(now)
+        full = found.groupBy("source", "target").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+        opened = pairs.join(full, ["source", "target"], "left_anti")
     w = Window.partitionBy("source", "target").orderBy("depth", "path", "rel_list")
-    return keyed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("source", "target", "rank", "depth", "path", "rel_list")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return best.select("source", "target", "rank", "depth", "path", "rel_list")
+
+
+def _met(ahead: DataFrame, back: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, target, path, rel_list): trails from a pair's source that end where some from its target do, without a common edge."""
+    there = ahead.select(F.col("start").alias("source"), F.col("end").alias("mid"), "nodes", "rels", "edge_ids").join(pairs, "source")
+    here = back.select(F.col("start").alias("target"), F.col("end").alias("mid"), *(F.reverse(c).alias(f"{c}_back") for c in ("nodes", "rels", "edge_ids")))
+    met = there.join(here, ["target", "mid"]).where(~F.arrays_overlap("edge_ids", "edge_ids_back"))
+    nodes = F.concat("nodes", F.slice("nodes_back", 2, F.size("nodes_back")))
+    return met.select("source", "target", keys.path_id(nodes).alias("path"), F.array_join(F.concat("rels", "rels_back"), ",").alias("rel_list"))
 
 
 def entity_pairs(entities: DataFrame) -> DataFrame:

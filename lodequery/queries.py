@@ -721,6 +721,35 @@ def graph_paths(spark, d):
     return graph.paths_between(edges, graph.entity_pairs(nation).drop("query_id"))
 
 
+def brand_graph(spark, d) -> DataFrame:
+    """Regions, nations, suppliers and the brands they deliver, which are hubs of all suppliers."""
+    region, nation, supplier, part = (table(spark, d, t) for t in ("region", "nation", "supplier", "part"))
+    edge = lambda df, a, b, kind: df.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("type"))
+    delivered = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    brands = delivered.join(part, "p_partkey").select("s_suppkey", "p_brand").distinct().join(supplier, "s_suppkey")
+    edges = edge(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "r_name", "PART_OF")
+    edges = edges.union(edge(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")), "s_name", "n_name", "BELONGS_TO"))
+    return edges.union(edge(brands, "s_name", "p_brand", "USES")).withColumn("edge_id", F.concat_ws("|", "source", "type", "target"))
+
+
+@query("""WITH edges AS (SELECT n_name AS source, r_name AS target, 'PART_OF' AS type FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT s_name, n_name, 'BELONGS_TO' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT DISTINCT s_name, p_brand, 'USES' FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+both_ways AS (SELECT source AS u, target AS v, type, source || '|' || type || '|' || target AS e FROM edges UNION ALL SELECT target, source, type, source || '|' || type || '|' || target FROM edges),
+p AS (SELECT a.n_name AS source, b.n_name AS target FROM nation a JOIN nation b ON b.n_nationkey - a.n_nationkey BETWEEN 1 AND 2),
+"""
++ "starts AS (SELECT DISTINCT source AS name FROM p), " + S_TRAILS + """,
+t4 AS (SELECT start, v AS fin, 4 AS depth, list_append(nodes, v) AS nodes, list_append(rels, type) AS rels FROM t3 JOIN p ON start = source JOIN both_ways ON fin = u AND target = v WHERE NOT list_contains(es, e)),
+a AS (SELECT start, fin, depth, nodes, rels FROM t1 UNION ALL SELECT start, fin, depth, nodes, rels FROM t2 UNION ALL SELECT start, fin, depth, nodes, rels FROM t3 UNION ALL SELECT * FROM t4),
+f AS (SELECT source, target, depth, array_to_string(nodes, '->') || '@d' || depth AS path, array_to_string(rels, ',') AS rel_list FROM a JOIN p ON start = source AND fin = target)
+SELECT source, target, CAST(rank AS INTEGER) AS rank, depth, path, rel_list FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY depth, path, rel_list) AS rank FROM f) WHERE rank <= 20""")
+def graph_paths_deep(spark, d):
+    """Paths of up to four edges between nations of neighbouring keys."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    ahead = nation.select(F.col("n_name").alias("source"), F.explode(F.array(F.col("n_nationkey") + 1, F.col("n_nationkey") + 2)).alias("n_nationkey"))
+    return graph.paths_between(brand_graph(spark, d), ahead.join(nation, "n_nationkey").select("source", F.col("n_name").alias("target")), 4, 20)
+
+
 S_ENTITIES = "entities AS (SELECT CAST(r_regionkey AS BIGINT) AS query_id, CAST(n_nationkey AS BIGINT) AS pos, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 

@@ -79,3 +79,36 @@ def test_neighbours_like_trails(spark):
             for b in names[5:8]:
                 best = sorted((r.depth, r.p, r.r) for r in every if (r.start, r.end) == (a, b))[:2]
                 assert [found[a, b, k + 1] for k in range(len(best))] == [x[:2] for x in best] and (a, b, len(best) + 1) not in found
+
+
+def test_paths_like_trails(spark):
+    """Paths from both ends are those of whole trails: cycles, loops, equal edges and null names included."""
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(9)]
+    rows = [(rng.choice(names), rng.choice(names), rng.choice(["USES", "CAUSES"]), f"e{i}") for i in range(15)]
+    edges = spark.createDataFrame(rows + [("n0", "n0", "USES", "loop"), ("n1", "n2", "USES", "x1"), ("n1", "n2", "USES", "x2")], "source string, target string, type string, edge_id string")
+    pairs = [(a, b) for a in names[:4] for b in names] + [("n1", "n1"), ("n1", None), (None, "n1"), ("n1", "nobody")]
+    asked = spark.createDataFrame(pairs + pairs[:3], "source string, target string")
+    starts = spark.createDataFrame([(n,) for n in names], "name string")
+    every = G.trails(edges, starts, 4).select("start", "end", "depth", keys.path_id(F.col("nodes")).alias("p"), F.array_join("rels", ",").alias("r")).collect()
+    for depth, limit in ((1, 9), (2, 1), (3, 4), (4, 3), (4, 100_000)):
+        got = sorted((r.source, r.target, r.rank, r.depth, r.path, r.rel_list) for r in G.paths_between(edges, asked, depth, limit).collect())
+        want = []
+        for a, b in set(pairs):
+            best = sorted((r.depth, r.p, r.r) for r in every if (r.start, r.end) == (a, b) and r.depth <= depth)[:limit]
+            want += [(a, b, i + 1, *x) for i, x in enumerate(best)]
+        assert got == sorted(want)
+    assert G.paths_between(edges.limit(0), asked).count() == G.paths_between(edges, asked.limit(0)).count() == 0
+
+
+def test_paths_through_hub(spark):
+    """A hub of 10,000 edges on the way of all pairs costs its edges, which are dealt out, and not their square."""
+    hub = spark.range(10_000).select(F.concat(F.lit("leaf"), "id").alias("source"), F.lit("hub").alias("target"), F.lit("USES").alias("type"))
+    legs = spark.createDataFrame([("a", "hub", "USES"), ("b", "hub", "USES"), ("leaf7", "c", "CAUSES"), ("leaf9", "d", "CAUSES")], "source string, target string, type string")
+    edges = hub.union(legs).withColumn("edge_id", F.concat_ws("|", "source", "target"))
+    step, _ = G._steps(edges)
+    slices = {r.slice: r.n for r in step.where("u = 'hub'").groupBy("slice").agg(F.count("*").alias("n")).collect()}
+    assert len(slices) == 5 and max(slices.values()) < 2 * G.HUB_EDGES and sum(slices.values()) == 10_002
+    asked = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d"), ("hub", "d")], "source string, target string")
+    got = {(r.source, r.target): r.path for r in G.paths_between(edges, asked, 4).collect()}
+    assert got == {("a", "b"): "a->hub->b@d2", ("a", "c"): "a->hub->leaf7->c@d3", ("c", "d"): "c->leaf7->hub->leaf9->d@d4", ("hub", "d"): "hub->leaf9->d@d2"}
