@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, tokens
@@ -126,6 +126,20 @@ def semantic_chunks(docs: DataFrame, most: int = DEFAULT_TOKENS, overlap: int =
     return _per_text(docs, key, text, CHUNKS, rows)
 
 
+class ChunkRows:
+    """The table function behind register_chunks: a row for each chunk of a text, none for a null one."""
+
+    def eval(self, doc: str, text: str, most: int, overlap: int):
+        if text is not None:
+            for i, (content, n) in enumerate(Packer(most, overlap).chunks(text)):
+                yield i, chunk_key(doc, i, content), content, n
+
+
+def register_chunks(spark: SparkSession, name: str = "chunks_of") -> None:
+    """Registers packing as a table function, so that it composes in SQL by a lateral join: name(doc, text, most, overlap)."""
+    spark.udtf.register(name, F.udtf(ChunkRows, returnType=CHUNKS, useArrow=True))
+
+
 def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, section_index, breadcrumbs array, content) of the sections of each markdown text that hold anything.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..operators import answers as A
 from ..operators.graph import one_hop
+from ..operators.mentions import mentions
 
 TOP, VISITED = 3, 6
 
@@ -58,17 +59,8 @@ def answered(questions: DataFrame, chunks: DataFrame, triples: DataFrame) -> dic
 
 
 def named_in(questions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(query_id, name): entities whose name a question's text contains, in any case.
-
-    A question's substrings of the lengths that names have meet the names in an equi-join; there are as many lengths as the
-    longest name has characters at most.
-    """
-    names = entities.where(F.coalesce("name", F.lit("")) != "").select("name", F.lower("name").alias("low")).distinct()
-    sizes = [r[0] for r in names.select(F.length("low").alias("n")).distinct().collect()]
-    low = F.lower("text")
-    cut = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    parts = F.array_distinct(F.flatten(F.array(*map(cut, sizes)))) if sizes else F.array().cast("array<string>")
-    return questions.select("query_id", F.explode(parts).alias("low")).join(names, "low").select("query_id", "name")
+    """(query_id, name): entities whose name a question's text contains, in any case."""
+    return mentions(questions, entities, "query_id").select("query_id", "name")
 
 
 def scored(parts: dict[str, DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks, keys, outputs, rules, tokens
 from .operators import answers as A
-from .operators import ann, chunking, fusion, graph, search, segment
+from .operators import ann, chunking, fusion, graph, mentions, search, segment
 from .plans import agents, ask, bench
 from .sources import files, keyword_store, stores
 from .streaming import streams
@@ -145,11 +145,43 @@ def sentence_split(spark, d):
     return chunking.sentences(table(spark, d, "documents").select("doc_id", "text"))
 
 
-@query()
+def s_estimate(x: str) -> str:
+    others = f"len(regexp_replace({x}, '{tokens.CJK}', '', 'g'))"
+    return f"(len({x}) - {others} + {others} // 4)"
+
+
+#: A step for each sentence: the pieces of the open chunk, their tokens, and the chunk that the sentence closes, if any.
+S_PACKED = f"""sen AS (SELECT doc_id, i, l[i] AS sen, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {s_sentences('text')} AS l FROM documents WHERE text IS NOT NULL))),
+step(doc_id, i, pieces, total, chunk_index, closed, closed_total) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(NULL AS VARCHAR[]), CAST(NULL AS BIGINT) FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i, list_append(tail, piece), CAST(coalesce(list_sum(list_transform(tail, lambda x: {s_estimate('x')})), 0) + {s_estimate('piece')} AS BIGINT),
+    chunk_index + CAST(spills AS BIGINT), CASE WHEN spills THEN pieces END, CASE WHEN spills THEN total END
+  FROM (SELECT *, CASE WHEN spills THEN sen ELSE plain END AS piece,
+      CASE WHEN spills THEN list_filter(pieces, lambda x, j: j = len(pieces) OR list_sum(list_transform(pieces[j:], lambda y: {s_estimate('y')})) <= 64) ELSE pieces END AS tail
+    FROM (SELECT *, len(pieces) > 0 AND total + {s_estimate('plain')} > 512 AS spills
+      FROM (SELECT p.doc_id, s.i, pieces, total, chunk_index, sen,
+          CASE WHEN len(pieces) = 0 OR (regexp_matches(pieces[-1], '{tokens.CJK}$') AND regexp_matches(sen, '^{tokens.CJK}')) THEN sen ELSE ' ' || sen END AS plain
+        FROM step p JOIN sen s ON s.doc_id = p.doc_id AND s.i = p.i + 1)))),
+packed AS (SELECT doc_id, chunk_index, closed AS pieces, closed_total AS total FROM step WHERE closed IS NOT NULL
+  UNION ALL SELECT doc_id, chunk_index + 1, pieces, total FROM step JOIN (SELECT DISTINCT doc_id, n FROM sen) USING (doc_id) WHERE i = n),
+made AS (SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, {s_strip("array_to_string(pieces, '')")} AS content, CAST(total AS INTEGER) AS token_count FROM packed)
+SELECT doc_id, chunk_index, doc_id || ':' || chunk_index || ':' || substr(sha256(doc_id || '|' || chunk_index || '|' || content), 1, 12) AS chunk_id, content, token_count FROM made WHERE content <> ''"""
+
+
+@query(f"WITH RECURSIVE {S_PACKED}")
 def semantic_chunks(spark, d):
     return chunking.semantic_chunks(table(spark, d, "documents"))
 
 
+@query(f"WITH RECURSIVE {S_PACKED}")
+def semantic_chunks_lateral(spark, d):
+    """The same by a lateral join in SQL."""
+    chunking.register_chunks(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, c.* FROM {docs}, LATERAL chunks_of(CAST(doc_id AS STRING), text, 512, 64) c", docs=docs)
+
+
 @query()
 def markdown_chunks(spark, d):
     return chunking.markdown_chunks(markdown_texts(spark, d))
@@ -721,6 +753,14 @@ def graph_paths(spark, d):
     return graph.paths_between(edges, graph.entity_pairs(nation).drop("query_id"))
 
 
+@query("""WITH names AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name <> '' UNION SELECT DISTINCT substr(lower(text), 1, 8) FROM benchmark WHERE text <> '')
+SELECT doc_id, name, CAST(strpos(lower(text), lower(name)) AS INTEGER) AS first FROM documents JOIN names ON contains(lower(text), lower(name))""")
+def name_mentions(spark, d):
+    """Where documents name parts, or hold the beginnings of benchmark passages."""
+    begun = table(spark, d, "benchmark").select(F.lower("text").substr(1, 8).alias("name"))
+    return mentions.mentions(table(spark, d, "documents"), table(spark, d, "part").select(F.col("p_name").alias("name")).union(begun), "doc_id")
+
+
 def brand_graph(spark, d) -> DataFrame:
     """Regions, nations, suppliers and the brands they deliver, which are hubs of all suppliers."""
     region, nation, supplier, part = (table(spark, d, t) for t in ("region", "nation", "supplier", "part"))

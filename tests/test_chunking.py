@@ -100,3 +100,15 @@ def test_batches(spark):
     assert C.batches(rows.limit(0), 10, "i").count() == 0
     with pytest.raises(ValueError):
         C.batches(rows, 0, "i")
+
+
+def test_chunks_in_sql(spark):
+    """The table function by a lateral join gives the rows of semantic_chunks, nulls, empty and long texts included."""
+    long = " ".join(f"sentence number {i}." for i in range(400))
+    docs = spark.createDataFrame([("a", long), ("b", None), ("c", ""), ("d", "   "), ("e", "一二三。四五六。" * 60), ("a", "again.")], "doc_id string, text string")
+    C.register_chunks(spark)
+    got = spark.sql("SELECT doc_id, c.* FROM {docs}, LATERAL chunks_of(doc_id, text, 40, 10) c", docs=docs)
+    want = C.semantic_chunks(docs, 40, 10)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    counted = spark.sql("SELECT doc_id, count(*) AS n, max(token_count) AS most FROM {docs}, LATERAL chunks_of(doc_id, text, 40, 10) WHERE length(text) > 400 GROUP BY 1", docs=docs)
+    assert {r.doc_id for r in counted.where("n > 3 AND most <= 40").collect()} == {"a", "e"}

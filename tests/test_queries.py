@@ -32,7 +32,7 @@ def test_like_sql(spark, con, name):
     assert sorted((tuple(r[c] for c in order) for r in got), key=repr) == sorted((tuple(r[names.index(c)] for c in order) for r in want), key=repr)
 
 
-@pytest.mark.parametrize("name", ["semantic_chunks", "markdown_chunks", "ask_questions"])
+@pytest.mark.parametrize("name", ["markdown_chunks", "ask_questions"])
 def test_has_rows(spark, name):
     assert entry.queries()[name](spark, DATA).count() > 0
 
