@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, rules
 from ..tables import written
-from .search import broadcast_if
 
 BRANCHES = 8
-#: Edges of a node in one slice of it, and nodes of several slices up to which they are broadcast.
-HUB_EDGES, BROADCAST_HUBS = 2048, 200_000
+#: Edges of a node in one slice of it, and nodes of several slices up to which they pass the driver and are broadcast.
+HUB_EDGES, BROADCAST_HUBS = 2048, 50_000
 
 
 def clamp(x: int, low: int, high: int) -> int:
@@ -57,14 +56,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.union(edges.where("source != target").select("target", "source", "type", "edge_id"))
 
 
-def _steps(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges from either end with the slice of their node they belong to, and the nodes of several slices (u, slices).
+def _steps(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges from either end with the slice of their node they belong to, and the nodes of several slices (u, slices), if any.
 
     A slice holds about HUB_EDGES edges, so a join by node and slice deals a hub's edges out to many tasks.
     """
     step = written(both_ways(edges), "steps")
     hubs = step.groupBy("u").agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("slices")).where("slices > 1")
-    hubs = broadcast_if(written(hubs, "hubs"), BROADCAST_HUBS)
+    first = hubs.take(BROADCAST_HUBS + 1)
+    if not first:
+        return step, None
+    hubs = written(hubs, "hubs") if len(first) > BROADCAST_HUBS else F.broadcast(edges.sparkSession.createDataFrame(first, hubs.schema))
     part = F.coalesce(F.pmod(F.xxhash64("edge_id"), F.col("slices")), F.lit(0)).cast("int")
     return step.join(hubs, "u", "left").select("u", "v", "type", "edge_id", part.alias("slice")), hubs
 
@@ -75,11 +77,13 @@ def _at(starts: DataFrame) -> DataFrame:
     return starts.select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), none.alias("rels"), none.alias("edge_ids"))
 
 
-def _onward(now: DataFrame, step: DataFrame, hubs: DataFrame) -> DataFrame:
+def _onward(now: DataFrame, step: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """Trails with one more edge, which they don't hold yet."""
-    slices = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
-    dealt = now.join(hubs.withColumnRenamed("u", "end"), "end", "left").withColumn("slice", F.explode(slices)).drop("slices")
-    met = dealt.join(step.withColumnRenamed("u", "end"), ["end", "slice"])
+    by = ["end"]
+    if hubs is not None:
+        slices = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
+        now, by = now.join(hubs.withColumnRenamed("u", "end"), "end", "left").withColumn("slice", F.explode(slices)).drop("slices"), ["end", "slice"]
+    met = now.join(step.withColumnRenamed("u", "end"), by)
     more = lambda c, one: F.concat(c, F.array(one)).alias(c)
     fresh = met.where(~F.array_contains("edge_ids", F.col("edge_id")))
     return fresh.select("start", F.col("v").alias("end"), more("nodes", "v"), more("rels", "type"), more("edge_ids", "edge_id"))
@@ -140,19 +144,22 @@ def paths_between(edges: DataFrame, pairs: DataFrame, depth: int = 3, limit: int
     and not their square. Pairs that have `limit` paths are left out of longer ones. A pair of one name twice asks for cycles;
     null names have no path.
     """
-    pairs = written(pairs.select("source", "target").distinct(), "pairs")
+    pairs, depth = written(pairs.select("source", "target").distinct(), "pairs"), clamp(depth, 1, 4)
     step, hubs = _steps(edges)
     side = lambda c: _at(pairs.select(F.col(c).alias("start")).distinct())
     ahead, back, opened, found = side("source"), side("target"), pairs, None
     ranked = Window.partitionBy("source", "target").orderBy("path", "rel_list")
-    for d in range(1, clamp(depth, 1, 4) + 1):
+    for d in range(1, depth + 1):
         grown, end = (ahead, "source") if d % 2 else (back, "target")
         grown = _onward(grown.join(opened.select(F.col(end).alias("start")).distinct(), "start", "left_semi"), step, hubs)
-        grown = written(grown, "trails") if d < depth else grown
+        grown = written(grown, "trails") if d == 3 < depth else grown  # shorter ones are one join of a written table
         ahead, back = (grown, back) if d % 2 else (ahead, grown)
         paths = _met(ahead, back, opened).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
-        now = written(paths.select("source", "target", F.lit(d).alias("depth"), "path", "rel_list"), "paths")
+        now = paths.select("source", "target", F.lit(d).alias("depth"), "path", "rel_list")
+        now = written(now, "paths") if d < depth else now
         found = now if found is None else found.union(now)
+        if d == depth:
+            break
         full = found.groupBy("source", "target").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
         opened = pairs.join(full, ["source", "target"], "left_anti")
     w = Window.partitionBy("source", "target").orderBy("depth", "path", "rel_list")
