@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +14,8 @@ from ..functions import tokens
 from ..tables import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms, and query vectors in a block, up to which they are broadcast.
-BROADCAST_TERMS, QUERY_BLOCK = 500_000, 4096
+#: Query terms, and query vectors in a block, up to which they are broadcast; stored vectors that a block meets in one task.
+BROADCAST_TERMS, QUERY_BLOCK, VECTOR_BLOCK = 500_000, 4096, 65_536
 
 
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
@@ -130,46 +130,67 @@ def bm25_relative(queries: DataFrame, docs: DataFrame, k: int = 10, key: str = "
     return keyword_index(docs, True, key, text).relative(queries, k, kept)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "chunk_id", dims: int | None = None) -> DataFrame:
-    """Exact cosine top-k of (query_id, embedding) over (key, embedding).
+def _unit(xs: Sequence) -> np.ndarray:
+    x = np.array(list(xs), float)
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
-    Queries are taken in blocks of bounded size; each batch of vectors is one matrix product with a block, and only its own
-    k best for each query leave the batch. Null and zero vectors and those of other dimensions are in no result.
-    """
-    rows, out = [], None
 
-    def unit(xs: list) -> np.ndarray:
-        x = np.array(xs, float)
-        return x / np.linalg.norm(x, axis=1)[:, None]
+def _best(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best keys of each id; ties by key. 64 ids are compared at a time."""
+    of, best, scores = [], [], []
+    for at in range(0, len(ids), 64):
+        for j, row in enumerate(np.round(q[at : at + 64] @ x.T, 9), at):
+            near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+            near = near[np.lexsort((keys[near], -row[near]))[:k]]
+            of.append(np.full(len(near), j))
+            best.append(near)
+            scores.append(row[near])
+    return pd.DataFrame({"query_id": ids[np.concatenate(of)], "chunk_id": keys[np.concatenate(best)], "score": np.concatenate(scores)})
+
 
-    def usable(v) -> bool:
-        return v is not None and len(v) > 0 and (dims is None or len(v) == dims) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+def usable(v: Column, dims: int | None = None) -> Column:
+    """Whether a vector has a direction: not null, not zero, all components finite; of `dims` components, if given."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = finite & F.exists(v, lambda x: x != 0)
+    return F.coalesce(ok if dims is None else ok & (F.size(v) == dims), F.lit(False))
 
-    def against(block: list[tuple]) -> DataFrame:
-        sent = vectors.sparkSession.sparkContext.broadcast(([b[0] for b in block], unit([b[1] for b in block])))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "chunk_id", dims: int | None = None, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """Exact cosine top-k of (query_id, embedding) over (key, embedding).
+
+    Up to query_block queries are sent to all tasks, and vectors are scanned where they are. More are cut into blocks of about
+    that size, which meet slices of about vector_block vectors in a join of block pairs. Only a pair's k best for each query
+    leave it. Null and zero vectors and those of other dimensions are in no result.
+    """
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding"), dims))
+    stored = vectors.select(F.col(key).alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding"), dims))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    out = f"query_id {kind(queries, 'query_id')}, chunk_id {kind(vectors, key)}, score double"
+    rows = asked.take(query_block + 1)
+    if len(rows) <= query_block:
+        sizes = {len(r["embedding"]) for r in rows}
+        groups = {n: [r for r in rows if len(r["embedding"]) == n] for n in sizes}
+        sent = queries.sparkSession.sparkContext.broadcast({n: (np.array([r["query_id"] for r in g]), _unit([r["embedding"] for r in g])) for n, g in groups.items()})
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                good = [i for i, v in enumerate(f["embedding"]) if usable(v) and len(v) == q.shape[1]]
-                if not good:
-                    continue
-                keys_ = f[key].to_numpy()[good]
-                cos = np.round(unit([f["embedding"].iloc[i] for i in good]) @ q.T, 9)
-                for j, qid in enumerate(ids):
-                    at = np.lexsort((keys_, -cos[:, j]))[:k]
-                    yield pd.DataFrame({"query_id": qid, "chunk_id": keys_[at], "score": cos[at, j]})
-
-        kind = vectors.schema[key].dataType.simpleString()
-        return vectors.select(key, "embedding").mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {kind}, score double")
-
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        if usable(r["embedding"]):
-            rows.append((r["query_id"], list(r["embedding"])))
-        if len(rows) == QUERY_BLOCK:
-            part, rows = against(rows), []
-            out = part if out is None else out.union(part)
-    if rows or out is None:
-        part = against(rows) if rows else vectors.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.col(key).alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
-        out = part if out is None else out.union(part)
-    return top(out, k, "vector")
+                width = f["embedding"].str.len()
+                for n, (ids, q) in sent.value.items():
+                    part = f[width == n]
+                    if len(part):
+                        yield _best(ids, q, part["chunk_id"].to_numpy(), _unit(part["embedding"]), k)
+
+        return top(stored.mapInPandas(scan, out), k, "vector")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda df, c, n: df.withColumn("width", F.size("embedding")).withColumn("n", F.lit(n)).withColumn(c, F.expr("cast(floor(rand(7) * n) as int)")).drop("n")
+    blocks, slices = -(-asked.count() // query_block), max(-(-stored.count() // vector_block), 1)
+    left = written(dealt(asked, "block", blocks), "query-blocks").withColumn("slice", every(slices))
+    right = written(dealt(stored, "slice", slices), "vector-slices").withColumn("block", every(blocks))
+
+    def meet(f: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or not len(g):
+            return pd.DataFrame(columns=["query_id", "chunk_id", "score"])
+        return _best(f["query_id"].to_numpy(), _unit(f["embedding"]), g["chunk_id"].to_numpy(), _unit(g["embedding"]), k)
+
+    pair = ["width", "block", "slice"]
+    return top(left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(meet, out), k, "vector")

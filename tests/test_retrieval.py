@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,22 @@ def test_functions(spark):
     assert (row.p, row.r, row.c, row.v) == ("n0->n1->n2@d2", "A —[USES]→ B —[HAS]→ C", 0.8, "pass")
     assert row.j.strip() == '{"a": 1}' and row.none is None and row.k == 0.5 and (row.s, row.t, row.g) == (0.4, 0.0, 0.5)
     assert row.a == "A\n\nSources:\n- s1\n\nNote: low confidence" and row.l == "doc:d"
+
+
+def test_vector_blocks(spark):
+    """Blocks of queries against slices of vectors give what one scan gives: ties, copies, odd vectors, two widths."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4 if i % 5 else 3)]) for i in range(120)]
+    rows += [(200, None), (201, []), (202, [0.0] * 4), (203, [1.0, None, 0.0, 1.0]), (204, [float("nan"), 1.0, 1.0, 1.0]), (205, [float("inf"), 1.0, 1.0, 1.0]), (206, rows[1][1]), (207, rows[1][1])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = vectors.where("chunk_id % 2 = 0").withColumnRenamed("chunk_id", "query_id")
+    ok = {i: np.array(v) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
+    want = set()
+    for i in (i for i in ok if i % 2 == 0):
+        near = sorted((-round(float(ok[i] @ w / np.linalg.norm(ok[i]) / np.linalg.norm(w)), 9), j) for j, w in ok.items() if len(w) == len(ok[i]))[:6]
+        want |= {(i, j, -s, r + 1) for r, (s, j) in enumerate(near)}
+    for sizes in ({}, {"query_block": 9, "vector_block": 25}):
+        got = {(r.query_id, r.chunk_id, r.score, r.rank) for r in search.vector_search(queries, vectors, 6, **sizes).collect()}
+        assert got == want, sizes
+    assert {r.chunk_id for r in search.vector_search(queries, vectors, 99, dims=3, query_block=3, vector_block=5).collect()} == {i for i, v in ok.items() if len(v) == 3}
+    assert search.vector_search(queries.limit(0), vectors).count() == search.vector_search(queries, vectors.limit(0), query_block=3).count() == 0
