@@ -188,8 +188,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     if rows:
                         yield batch_of(rows)
 
-    # an archive is a task's work: paths are dealt out evenly, whatever files list them
-    spread = archives.select("path").repartition(max(1, min(archives.count(), 10_000)), "path")
+    # an archive is a unit of work: paths are dealt out in turn, whatever files list them
+    spread = archives.select("path").repartition(max(1, min(archives.count(), 10_000)))
     return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
