@@ -5,6 +5,9 @@ replaced by the number of its nearest codeword, one byte a piece. The index is a
 its nearest cells: codes of these cells alone are read, met by cell in a join and ranked by the sum of table look-ups; the best
 `refine` times k of them are read whole and ranked by their cosine.
 
+A query that probes all cells gets what the exact search finds: the k-th score so far and the length of the longest residual of a
+cell tell which cells can hold more, and these are compared whole.
+
 Centroids and codewords are fitted on a bounded sample, at most SAMPLE vectors by a hash of the key; every vector is indexed. A
 cell that many vectors share (copies, say) is met in slices of SLICE rows, so it is no hot spot.
 """
@@ -16,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import written
@@ -24,6 +27,8 @@ from .search import top
 
 #: Vectors that are fitted on, rounds of fitting, cells at most, and rows of a cell that meet a query at a time.
 SAMPLE, ROUNDS, MOST_CELLS, SLICE = 50_000, 12, 4096, 50_000
+#: Scores are sums in different orders.
+SLACK = 1e-8
 #: Pieces of a vector, share of the cells that is probed, and candidates for each hit. Vectors that lie in all directions alike
 #: need many cells for a recall of 0.9 (README has figures); those that gather in clusters need few.
 PARTS, PROBED, REFINE = 16, 0.6, 10
@@ -103,7 +108,7 @@ def fit(vectors: DataFrame, key: str, cells: int | None = None, parts: int = PAR
 
 
 def encoded(vectors: DataFrame, key: str, quantiser: Quantiser) -> DataFrame:
-    """(chunk_id, cell, codes, embedding at unit length); vectors without a direction or of other dimensions have no row."""
+    """(chunk_id, cell, codes, far: distance from the centroid, embedding at unit length); vectors without a direction or of other dimensions have no row."""
     sent = vectors.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,10 +118,10 @@ def encoded(vectors: DataFrame, key: str, quantiser: Quantiser) -> DataFrame:
             if len(at) and len(q.centroids):
                 cell = q.cells(x)
                 codes = q.codes(x, cell)
-                yield pd.DataFrame({"chunk_id": f[key].to_numpy()[at], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "embedding": list(x)})
+                yield pd.DataFrame({"chunk_id": f[key].to_numpy()[at], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "far": np.linalg.norm(x - q.centroids[cell], axis=1), "embedding": list(x)})
 
     kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, "embedding").mapInPandas(run, f"chunk_id {kind}, cell int, codes binary, embedding array<double>")
+    return vectors.select(key, "embedding").mapInPandas(run, f"chunk_id {kind}, cell int, codes binary, far double, embedding array<double>")
 
 
 def _append(rows: DataFrame, path: str) -> None:
@@ -145,7 +150,8 @@ class VectorIndex:
     rows: DataFrame
 
     def search(self, queries: DataFrame, k: int = 20, probed: float = PROBED, refine: int = REFINE) -> DataFrame:
-        """The k best found for each of (query_id, embedding), as vector_search has them; scores are exact cosines.
+        """The k best found for each of (query_id, embedding), as vector_search has them; scores are exact cosines. If all cells
+        are probed, none is missing, however many vectors (copies, say) have like codes.
 
         Queries without a direction, and those of other dimensions, find nothing. Of equal scores the smallest ids come first.
         """
@@ -190,7 +196,34 @@ class VectorIndex:
         chosen = top_guesses(guessed, most)
         exact = chosen.join(inside.select("chunk_id", "cell", "embedding"), ["cell", "chunk_id"]).join(asked.groupBy("query_id").agg(F.first("q").alias("q")), "query_id")
         cosine = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return top(exact.select("query_id", "chunk_id", F.round(cosine, 9).alias("score")), k, "vector")
+        best = top(exact.select("query_id", "chunk_id", F.round(cosine, 9).alias("score")), k, "vector")
+        return best if probed < 1 else self._complete(best, met, number, k)
+
+    def _complete(self, best: DataFrame, met: DataFrame, number: Column, k: int) -> DataFrame:
+        """The k best of all vectors of the met cells, given the best so far.
+
+        An inner product with a query is at most the centroid's and the distance from it; slices that can't reach the k-th score
+        are left out, the others' k best that reach it leave their task.
+        """
+        kind, asked_kind = (df.schema[c].dataType.simpleString() for df, c in ((self.rows, "chunk_id"), (met, "query_id")))
+        floor = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score") - SLACK).otherwise(-2.0).alias("floor"))
+        reach = self.rows.groupBy("cell").agg(F.max("far").alias("reach"))  # a row for each cell, MOST_CELLS at most
+        open_ = met.join(written(floor, "floors"), "query_id").join(F.broadcast(reach), "cell").where(F.col("near") + F.col("reach") >= F.col("floor"))
+        rows = self.rows.select("chunk_id", "cell", F.pmod(F.xxhash64("chunk_id", "codes"), F.element_at(number, F.col("cell"))).cast("int").alias("slice"), "embedding")
+
+        def compare(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(vectors) and len(asked):
+                x, ids = np.stack(vectors["embedding"]), vectors["chunk_id"].to_numpy()
+                for qid, floor, q in zip(asked["query_id"], asked["floor"], asked["q"], strict=True):
+                    score = np.round(x @ np.asarray(q), 9)
+                    near = np.flatnonzero(score >= floor)
+                    near = near[np.lexsort((ids[near], -score[near]))[:k]]
+                    out.append(pd.DataFrame({"query_id": qid, "chunk_id": ids[near], "score": score[near]}))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+
+        found = rows.groupBy("cell", "slice").cogroup(open_.groupBy("cell", "slice")).applyInPandas(compare, f"query_id {asked_kind}, chunk_id {kind}, score double")
+        return top(found, k, "vector")
 
 
 def top_guesses(guessed: DataFrame, most: int) -> DataFrame:

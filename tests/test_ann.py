@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodequery import queries
 from lodequery.operators import ann, search
@@ -49,3 +50,16 @@ def test_a_probe_reads_codes_and_no_vectors(spark, tmp_path):
     plan = index.search(table(spark, np.eye(6)[:1]).withColumnRenamed("vec_id", "query_id"), 1)._jdf.queryExecution().executedPlan().toString()
     scans = [x.split("ReadSchema:")[1] for x in plan.split("\n") if "ReadSchema:" in x and "codes" in x.split("ReadSchema:")[1]]
     assert scans and all("embedding" not in x for x in scans)
+
+
+def test_many_copies_like_the_exact_search(spark, tmp_path):
+    """More copies than there are candidates: of equal scores the smallest ids come first."""
+    rng = np.random.default_rng(5)
+    some = rng.normal(size=(12, 5))
+    rows = [(i, [float(e) for e in some[(i * 7) % 12]]) for i in range(1200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").orderBy(F.desc("vec_id"))
+    ann.build(vectors.where("vec_id % 2 = 0"), str(tmp_path / "i"), cells=4)
+    ann.add(vectors.where("vec_id % 2 = 1"), str(tmp_path / "i"))
+    asked = vectors.where("vec_id < 12").withColumnRenamed("vec_id", "query_id")
+    got = {tuple(r) for r in ann.load(spark, str(tmp_path / "i")).search(asked, 5, probed=1.0).collect()}
+    assert got == {tuple(r) for r in search.vector_search(asked, vectors.withColumnRenamed("vec_id", "chunk_id"), 5).collect()}
