@@ -141,17 +141,21 @@ def paths_between(edges: DataFrame, pairs: DataFrame, depth: int = 3, limit: int
     """(source, target, rank, depth, path, rel_list): the shortest `limit` paths of each pair (source, target); ties by path.
 
     Trails grow from both ends in turn, each to half the depth, and meet in a join, so a hub between two names costs its edges
-    and not their square. Pairs that have `limit` paths are left out of longer ones. A pair of one name twice asks for cycles;
-    null names have no path.
+    and not their square. Of one name's trails of two edges to the same node only those are met that can be part of the first
+    `limit` paths. Pairs that have `limit` paths are left out of longer ones. A pair of one name twice asks for cycles; null
+    names have no path.
     """
     pairs, depth = written(pairs.select("source", "target").distinct(), "pairs"), clamp(depth, 1, 4)
     step, hubs = _steps(edges)
     side = lambda c: _at(pairs.select(F.col(c).alias("start")).distinct())
     ahead, back, opened, found = side("source"), side("target"), pairs, None
     ranked = Window.partitionBy("source", "target").orderBy("path", "rel_list")
+    most = lambda *by: step.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    parallel = most("u", "v") * most("u", "edge_id") if depth > 2 else 1
     for d in range(1, depth + 1):
         grown, end = (ahead, "source") if d % 2 else (back, "target")
         grown = _onward(grown.join(opened.select(F.col(end).alias("start")).distinct(), "start", "left_semi"), step, hubs)
+        grown = _first_trails(grown, d == 3, d, limit, parallel) if d > 2 else grown
         grown = written(grown, "trails") if d == 3 < depth else grown  # shorter ones are one join of a written table
         ahead, back = (grown, back) if d % 2 else (ahead, grown)
         paths = _met(ahead, back, opened).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= limit)
@@ -167,6 +171,24 @@ def paths_between(edges: DataFrame, pairs: DataFrame, depth: int = 3, limit: int
     return best.select("source", "target", "rank", "depth", "path", "rel_list")
 
 
+def _first_trails(trails: DataFrame, ahead: bool, depth: int, limit: int, parallel: int) -> DataFrame:
+    """Of trails of two edges, those that can be part of the first `limit` paths of `depth` edges between any two names.
+
+    Among trails with the same ends, what comes first stays first whatever it is joined with, unless they have an edge in common.
+    The other part has two edges at most, and each of them is in at most 2 `parallel` of these trails (`parallel`: edges between the
+    same two nodes at most, times edges of a node with the same id at most), so limit + 4 parallel trails are enough. A path is compared as text: trails that paths begin with
+    and whose names hold the arrow, or types the comma, between which that order isn't fixed, all stay.
+    """
+    nodes, rels = (F.col(c) if ahead else F.reverse(c) for c in ("nodes", "rels"))
+    text = F.concat(F.array_join(nodes, "->"), F.lit("->" if ahead else f"@d{depth}"))
+    types = F.concat(F.array_join(rels, ","), F.lit("," if ahead else ""))
+    odd = F.exists("nodes", lambda x: F.contains(x, F.lit("->"))) | F.exists("rels", lambda x: F.coalesce(F.contains(x, F.lit(",")), F.lit(True)))
+    marked = trails.withColumns({"text": text, "types": types, "odd": F.coalesce(odd, F.lit(True)) if ahead else F.lit(False)})
+    w = Window.partitionBy("start", "end").orderBy("text", "types")
+    kept = marked.where("not odd").withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit + 4 * parallel).drop("place")
+    return (kept.unionByName(marked.where("odd")) if ahead else kept).select(trails.columns)
+
+
 def _met(ahead: DataFrame, back: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, path, rel_list): trails from a pair's source that end where some from its target do, without a common edge."""
     there = ahead.select(F.col("start").alias("source"), F.col("end").alias("mid"), "nodes", "rels", "edge_ids").join(pairs, "source")
