@@ -12,8 +12,9 @@ from collections.abc import Callable
 from itertools import accumulate
 from math import log
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens
@@ -67,40 +68,53 @@ class Lattice:
     def __init__(self, words: dict[str, int]):
         total = sum(words.values()) or 1
         self.weight = {w: log(n / total) for w, n in words.items()}
-        self.longest = max(map(len, words), default=1)
         self.unknown = log(0.5 / total)
+        self.read = ahocorasick.Automaton()  # finds all words in one pass
+        for w, x in self.weight.items():
+            self.read.add_word(w, (len(w), x))
+        self.read.make_automaton()
 
     def cut(self, run: str) -> list[str]:
         """Of equally likely ways, that with the longest last word, then the longest one before it, and so on."""
-        get, best, size = self.weight.get, [0.0], [0]
-        for end in range(1, len(run) + 1):
-            top, chosen = best[end - 1] + get(run[end - 1], self.unknown), 1
-            for k in range(2, min(self.longest, end) + 1):
-                w = get(run[end - k : end])
-                if w is not None and (x := best[end - k] + w) >= top:
-                    top, chosen = x, k
-            best.append(top)
-            size.append(chosen)
-        out, end = [], len(run)
+        at = self.places(run)
+        return [run[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def places(self, run: str) -> list[int]:
+        """Where the words of cut() end, from 0 on."""
+        best, size, n, unknown = [0.0], [0], 0, self.unknown
+        for last, (k, w) in self.read.iter(run) if self.weight else ():
+            while n <= last:
+                best.append(best[n] + unknown)
+                size.append(1)
+                n += 1
+            x = best[n - k] + w
+            if x > best[n] or (x == best[n] and k > size[n]):
+                best[n], size[n] = x, k
+        size += [1] * (len(run) - n)
+        out, end = [len(run)], len(run)
         while end:
-            out.append(run[end - size[end] : end])
             end -= size[end]
+            out.append(end)
         return out[::-1]
 
 
+def dictionary(words: DataFrame) -> Callable[[], Lattice]:
+    """The lattice of (word, n), MOST rows at most, for use inside tasks, where it is made once."""
+    sent = words.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in words.limit(MOST).collect()})
+    made: dict[int, Lattice] = {}
+    return lambda: made.get(0) or made.setdefault(0, Lattice(sent.value))
+
+
 def segmenter(words: DataFrame, script: str = HAN) -> Callable[[Column], Column]:
     """Texts to tokens: cut at white space, and runs of the script's characters by the dictionary (word, n), MOST rows at most.
 
     What isn't of the script stays whole between runs. A null text has no tokens.
     """
-    spark: SparkSession = words.sparkSession
-    sent = spark.sparkContext.broadcast({r["word"]: r["n"] for r in words.limit(MOST).collect()})
-    find, blank = re.compile(f"({script})"), re.compile(tokens.BLANK + "+")
-    made: dict[int, Lattice] = {}
+    find, blank, known = re.compile(f"({script})"), re.compile(tokens.BLANK + "+"), dictionary(words)
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        lattice = made.get(0) or made.setdefault(0, Lattice(sent.value))
+        lattice = known()
 
         def one(text: str | None) -> list[str]:
             out = []
@@ -120,19 +134,23 @@ def glued_agreement(docs: DataFrame, words: DataFrame, key: str = "doc_id", text
 
     A measure of a dictionary. Null and empty texts have no words; texts of any length are cut line by line.
     """
-    # one token for each line, and each line's words as they were
     lines = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: x.rlike(script))
-    found = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(script), F.lit(0)))
-    glued = F.array_join(F.transform(found, lambda w: F.array_join(w, "")), " ")
-    again = segmenter(words, script)(glued)
-
-    @F.pandas_udf("int")
-    def shared(words_: pd.Series, pieces: pd.Series) -> pd.Series:
-        def spans(parts: list[str]) -> set[tuple[int, int]]:
-            ends = [0, *accumulate(map(len, parts))]
-            return set(zip(ends, ends[1:], strict=False))
-
-        return pd.Series([len(spans(a) & spans(b)) for a, b in zip(words_, pieces, strict=True)])
-
-    rows = docs.select(F.col(key), F.flatten(found).alias("words"), again.alias("pieces"))
-    return rows.select(key, F.size("words").alias("n_words"), F.size("pieces").alias("n_pieces"), shared("words", "pieces").alias("n_same"))
+    found = F.transform(lines, lambda x: F.array_join(F.regexp_extract_all(x, F.lit(script), F.lit(0)), " "))
+    known = dictionary(words)
+
+    @F.pandas_udf("n_words int, n_pieces int, n_same int")
+    def compared(texts: pd.Series) -> pd.DataFrame:
+        lattice, out = known(), []
+        spans = lambda at: set(zip(at, at[1:], strict=False))
+
+        for lines in texts:
+            n_words = n_pieces = n_same = 0
+            for line in lines:
+                said = line.split(" ")
+                pieces = lattice.places("".join(said))
+                n_words, n_pieces = n_words + len(said), n_pieces + len(pieces) - 1
+                n_same += len(spans([0, *accumulate(map(len, said))]) & spans(pieces))
+            out.append((n_words, n_pieces, n_same))
+        return pd.DataFrame(out, columns=["n_words", "n_pieces", "n_same"])
+
+    return docs.select(F.col(key), compared(found).alias("c")).select(key, "c.*")
