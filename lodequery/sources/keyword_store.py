@@ -69,9 +69,9 @@ def _read(spark: SparkSession, path: str, name: str, parts: list[str]) -> DataFr
 
 
 def _write(blocks: DataFrame, path: str, part: str) -> DataFrame:
-    """Blocks and document frequencies of a part; gives (term, df). What an interrupted run left is replaced."""
+    """Blocks and document frequencies of a part; gives (term, df). Blocks stay in the partitions they were made in. What an interrupted run left is replaced."""
     spark = blocks.sparkSession
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks/part={part}")
+    blocks.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks/part={part}")
     made = _read(spark, path, "blocks", [part])
     made.groupBy("term").agg(F.sum(F.size("entries")).alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms/part={part}")
     return _read(spark, path, "terms", [part]).drop("part")
