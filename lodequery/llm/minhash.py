@@ -11,7 +11,8 @@
 4. Buckets whose classes are all connected by now need no more pairs, which settles large groups of near copies with a
    number of pairs in proportion to their size. What remains is compared pair by pair: buckets are cut into blocks of about
    BLOCK classes and pairs of blocks are dealt out, so that no task holds a bucket. Pairs that aren't connected and pass
-   the estimate, and then a closer one by WIDE minima of these few documents, are confirmed, each once.
+   the estimate, and then a closer one by WIDE minima of these few documents, are confirmed where their blocks meet, each
+   in the first bucket that both share. Only links that connect what wasn't connected leave a meeting, never its pairs.
 """
 
 from __future__ import annotations
@@ -246,23 +247,31 @@ def _leader_pairs(proposed: DataFrame, classes: DataFrame) -> DataFrame:
     return scored.groupBy("rep").agg(best.alias("p")).select("p.a", "p.b").distinct()
 
 
-def _open_pairs(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): all pairs of classes that share a bucket, aren't in one component c, and may be similar by both estimates."""
+def _open_links(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between classes that share a bucket, in each meeting of two blocks only as many as connect its components c.
+
+    Rows of a meeting ask for their sets if a pair of theirs passes both estimates there; the sets are sent to these alone.
+    """
     reps = small(written(open_.select("rep").distinct(), "open-reps"), BROADCAST_IDS)
     wide = written(wide_of(sets.join(reps, "rep", "left_semi")), "wide")
-    own = classes.join(reps, "rep", "left_semi").select("rep", "s").join(wide, "rep")
+    own = classes.join(reps, "rep", "left_semi").select("rep", "s", "bands").join(wide, "rep")
     sizes = open_.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = open_.join(sizes, "band").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     # a block meets itself and every other one: as the first with later ones, as the second with earlier ones
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"), (j < F.col("i")).alias("second")))
     rows = placed.select("band", "rep", "c", F.explode(meets).alias("m")).select("band", "m.*", "rep", "c").join(own, "rep")
     key = ["band", "p", "q"]
-    cols = rows.select(*key, "second", "rep", "c", F.col("s.n").alias("n"), F.array(*(F.col("s")[f"s{i}"] for i in range(PACKED))).alias("sig"), "wide")
-    return cols.repartition(*key).sortWithinPartitions(*key).mapInArrow(_meeting, "a long, b long").distinct()
+    cols = rows.select(*key, "second", "rep", "c", F.col("s.n").alias("n"), F.array(*(F.col("s")[f"s{i}"] for i in range(PACKED))).alias("sig"), "wide", "bands")
+    asking = written(cols.repartition(*key).sortWithinPartitions(*key).mapInArrow(_asking, cols.schema), "asking")
+    needed = sets.join(small(asking.select("rep").distinct(), BROADCAST_IDS), "rep", "left_semi").select("rep", "hashes")
+    links = written(asking.join(needed, "rep").select(*cols.columns, "hashes").repartition(*key).sortWithinPartitions(*key).mapInArrow(_linking, "a long, b long"), "links")
+    for df in (wide, asking):
+        drop_written(df)
+    return links
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each run of rows with equal band, p and q: rows of one block among themselves (p = q), or of two with each other."""
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Each run of rows with equal band, p and q: rows of one block (p = q), or of two."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         keys = [batch.column(k).to_numpy() for k in range(3)]
@@ -270,20 +279,59 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             part = batch.slice(i, j - i)
             if held and j > i and any(held[-1].column(k)[-1].as_py() != part.column(k)[0].as_py() for k in range(3)):
-                yield from _compared(held)
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
             if j > i:
                 held.append(part)
     if held:
-        yield from _compared(held)
-
-
-def _compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = pa.Table.from_batches(parts).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each meeting that have a near pair there."""
+    for rows in _meetings(batches):
+        asks = np.zeros(rows.num_rows, bool)
+        for at, to in _near(rows):
+            asks[at] = asks[to] = True
+        if asks.any():
+            yield from rows.filter(pa.array(asks)).combine_chunks().to_batches()
+
+
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) for near pairs of each meeting that reach the threshold on full sets and whose components no link before connects."""
+    for rows in _meetings(batches):
+        lists = rows.column("hashes").chunk(0)
+        ends, hashes = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        rep, c = (rows.column(k).to_numpy() for k in ("rep", "c"))
+        _, root = np.unique(c, return_inverse=True)
+        found: list[tuple[int, int]] = []
+        for at, to in _near(rows):
+            for i in np.unique(at).tolist():
+                mine = hashes[ends[i] : ends[i + 1]]
+                for j in to[at == i].tolist():
+                    if root[i] == root[j]:
+                        continue
+                    theirs = hashes[ends[j] : ends[j + 1]]
+                    both = int((mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).sum())
+                    if 100 * both >= THRESHOLD * (len(mine) + len(theirs) - both):
+                        root[root == root[j]] = root[i]
+                        found.append((i, j))
+        if found:
+            ends_of = rep[np.array(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends_of.min(axis=1)), pa.array(ends_of.max(axis=1))], names=["a", "b"])
+
+
+def _near(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a meeting's rows (by number) that aren't in one component and may be similar by both estimates.
+
+    Of the buckets that two classes share only the first one gives their pair.
+    """
     own = rows.column("p")[0].as_py() == rows.column("q")[0].as_py()
+    band = rows.column("band")[0].as_py()
     second = rows.column("second").to_numpy()
     rep, c, n = (rows.column(k).to_numpy() for k in ("rep", "c", "n"))
-    sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), PACKED)
+    sig, keys = (rows.column(k).chunk(0).flatten().to_numpy().reshape(len(rep), -1) for k in ("sig", "bands"))
+    sig = sig.view(np.uint64)
     wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(len(rep), -1)
     first, other = (np.arange(len(rep)),) * 2 if own else (np.flatnonzero(~second), np.flatnonzero(second))
     for k in range(0, len(first), 64):
@@ -296,10 +344,11 @@ def _compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, to = x[at], other[to]
         near = similarity(sig[at], sig[to], HASHES) >= MIN_ESTIMATE
         at, to = at[near], to[near]
+        near = keys[at, (keys[at] == keys[to]).argmax(axis=1)] == band
+        at, to = at[near], to[near]
         near = similarity(wide[at], wide[to], WIDE) >= MIN_WIDE
         if near.any():
-            a, b = rep[at[near]], rep[to[near]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield at[near], to[near]
 
 
 def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -332,10 +381,9 @@ def class_components(marks: DataFrame, docs: DataFrame, key: str, text: str = "t
         tested = pairs if tested is None else tested.union(pairs)
         component = _merged(component, links)
     open_ = written(_open_members(members, component), "open")
-    pairs = written(_open_pairs(open_, classes, sets).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = _confirmed(pairs, sets)
+    links = _open_links(open_, classes, sets)
     component = _merged(component, links)
-    for df in (*used, open_, pairs, links):
+    for df in (*used, open_, links):
         drop_written(df)
     return classes.join(component, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
 

@@ -108,6 +108,25 @@ def test_blocks_of_open_buckets(spark, monkeypatch, block):
     assert got == plain(rows)
 
 
+def test_pairs_of_an_open_bucket_stay_in_its_meetings(spark, monkeypatch):
+    """60 pages of one template, similar at 0.723, two of them linked: no table of pairs has more rows than there are pages."""
+    pairs = []
+
+    def spy(df, what, real=minhash.written):
+        out = real(df, what)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", spy)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rows = [(i, " ".join([f"page{k}" for k in range(150)] + [f"own{i}-{k}" for k in range(28)]), 0) for i in range(60)]
+    rows[50] = (50, rows[20][1] + " more", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept long")).collect()}
+    assert got == plain(rows) and got[50][1] == 20
+    assert max(pairs) <= len(rows)
+
+
 def test_many_pairs_of_one_document(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SPLIT", 3)
     rows = corpus()
