@@ -52,14 +52,20 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Collect the driver's garbage: plans, generated classes, broadcasts and shuffle files of jobs that are over stay until then."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fold(doc_id: str = "doc_id", n: int = 5) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast only if it has at most so many rows; otherwise Spark shuffles it."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    """df, marked for broadcast only if it has at most so many rows, which executors count; otherwise Spark shuffles it."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def free_name(df: DataFrame, name: str) -> str:

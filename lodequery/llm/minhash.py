@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, free_name, same_columns, slices, small, written
+from .common import drop_written, forget, free_name, same_columns, slices, small, written
 from .components import connected
 
 WORDS, THRESHOLD = 5, 75
@@ -228,7 +228,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
     """(id, component) after further links between the components so far; documents that occur in neither have no row."""
     if component is None:
-        return written(connected(links), "components")
+        component = written(connected(links), "components")
+        forget(links.sparkSession)
+        return component
     of = lambda end: component.select(F.col("id").alias(f"{end}_id"), F.col("component").alias(f"{end}_c"))
     ends = links.join(of("a"), F.col("a") == F.col("a_id"), "left").join(of("b"), F.col("b") == F.col("b_id"), "left")
     step = written(connected(ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))), "steps")
@@ -236,6 +238,7 @@ def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
     done = written(moved.union(step.join(component, "id", "left_anti")), "components")
     drop_written(step)
     drop_written(component)
+    forget(links.sparkSession)
     return done
 
 

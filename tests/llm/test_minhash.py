@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -160,3 +161,23 @@ def test_components(spark):
     got = {r.id: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in [*range(51), 100]} | {200: 200, 201: 200} | {1000 + i: 1000 for i in range(400)}
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jobs_leave_little_with_the_driver(spark, monkeypatch):
+    """Rows aren't taken to the driver to be counted, and the shuffles of earlier rounds don't pile up there."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def taken(self, num, real=DataFrame.take):
+        assert num == 1
+        return real(self, num)
+
+    monkeypatch.setattr(DataFrame, "take", taken)
+    live = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = live()
+    out = minhash.near_duplicates(spark.createDataFrame([r[:2] for r in corpus()[:60]], "doc_id long, text string"))
+    for _ in range(20):  # the cleaner works on its own
+        if live() - before < 5:
+            break
+        time.sleep(0.2)
+    assert live() - before < 5
+    assert out.count() == 60
