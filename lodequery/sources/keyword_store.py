@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.blockmax import BlockIndex, block_postings, blocks_of, length_class, mean_idf, postings_in
+from ..operators.blockmax import BlockIndex, gathered, mean_idf, pieces_of, totals, uncut
 from ..operators.search import K1, B, Segment
+from ..tables import written
 
 FAN = 8
 LOG = "seq long, part string, level int, replaces array<string>, batch string, docs long, tokens long, fold boolean, k1 double, b double, frequencies map<long,long>"
@@ -69,12 +70,16 @@ def _read(spark: SparkSession, path: str, name: str, parts: list[str]) -> DataFr
 
 
 def _write(blocks: DataFrame, path: str, part: str) -> DataFrame:
-    """Blocks and document frequencies of a part; gives (term, df). Blocks stay in the partitions they were made in. What an interrupted run left is replaced."""
-    spark = blocks.sparkSession
+    """Blocks of a part. They stay in the partitions they were made in. What an interrupted run left is replaced."""
     blocks.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks/part={part}")
-    made = _read(spark, path, "blocks", [part])
-    made.groupBy("term").agg(F.sum(F.size("entries")).alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms/part={part}")
-    return _read(spark, path, "terms", [part]).drop("part")
+    return _read(blocks.sparkSession, path, "blocks", [part]).drop("part")
+
+
+def _write_terms(blocks: DataFrame, path: str, part: str) -> DataFrame:
+    """(term, df) of a part's blocks."""
+    df = blocks.where("term is not null").groupBy("term").agg(F.sum(F.size("entries.tf")).alias("df"))
+    df.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms/part={part}")
+    return _read(blocks.sparkSession, path, "terms", [part]).drop("part")
 
 
 def _commit(spark: SparkSession, path: str, row: tuple) -> None:
@@ -83,15 +88,16 @@ def _commit(spark: SparkSession, path: str, row: tuple) -> None:
 
 def _moved(spark: SparkSession, path: str, before: State | None, added: DataFrame) -> Counter:
     """Terms by document frequency after an addition: only its own terms are looked up."""
-    out = Counter(before.frequencies) if before else Counter()
-    old = _read(spark, path, "terms", list(before.live)).select("term", "df") if before and before.live else added.select("term", F.lit(0).cast("long").alias("df")).limit(0)
+    if not before or not before.live:
+        return Counter({r["df"]: r["count"] for r in added.groupBy("df").count().collect()})
+    out = Counter(before.frequencies)
+    old = _read(spark, path, "terms", list(before.live)).select("term", "df")
     known = old.join(added.select("term"), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("old"))
     both = added.join(known, "term", "left").select(F.coalesce("old", F.lit(0)).cast("long").alias("old"), (F.coalesce("old", F.lit(0)) + F.col("df")).cast("long").alias("new"))
+    moves = both.select(F.explode(F.array(F.struct(F.col("old").alias("df"), F.lit(-1).alias("by")), F.struct(F.col("new").alias("df"), F.lit(1).alias("by")))).alias("m"))
     # a row for each different frequency
-    for sign, column in ((-1, "old"), (1, "new")):
-        for r in both.groupBy(column).count().collect():
-            if r[column]:
-                out[r[column]] += sign * r["count"]
+    for r in moves.where("m.df > 0").groupBy("m.df").agg(F.sum("m.by").alias("by")).collect():
+        out[r["df"]] += r["by"]
     return Counter({df: n for df, n in out.items() if n})
 
 
@@ -107,8 +113,12 @@ def append(docs: DataFrame, path: str, batch: str | None = None, fold: bool = Fa
     if before:
         fold, k1, b = before.fold, before.k1, before.b
     part = f"b{uuid.uuid5(uuid.NAMESPACE_OID, batch).hex}" if batch is not None else f"a{uuid.uuid4().hex}"
-    blocks, n, tokens = block_postings(docs, fold, key, text, segment)
-    frequencies = _moved(spark, path, before, _write(blocks, path, part))
+    pieces = _write(pieces_of(uncut(docs, key, text, fold, segment)), path, part)
+    n, tokens = totals(pieces)
+    blocks = gathered(pieces)
+    if blocks is not pieces:
+        pieces = _write(written(blocks, "gathered"), path, part)
+    frequencies = _moved(spark, path, before, _write_terms(pieces, path, part))
     _commit(spark, path, ((before.seq if before else 0) + 1, part, 0, [], batch, n, tokens, fold, k1, b, dict(frequencies)))
     while merge(spark, path, fan):
         pass
@@ -125,11 +135,9 @@ def merge(spark: SparkSession, path: str, fan: int = FAN) -> bool:
         if len(parts) < fan:
             continue
         docs, tokens = sum(now.live[p][1] for p in parts), sum(now.live[p][2] for p in parts)
-        postings = postings_in(_read(spark, path, "blocks", parts))
-        # documents of a length class, from postings: one estimate for each document
-        classes = {r["class"]: r["n"] for r in postings.groupBy(length_class(F.col("dl")).alias("class")).agg(F.approx_count_distinct("chunk_id").alias("n")).collect()}
+        blocks = _read(spark, path, "blocks", parts).withColumn("block", F.hex(F.xxhash64("part", "block"))).drop("part")
         name = f"m{now.seq + 1}-{uuid.uuid4().hex}"
-        _write(blocks_of(postings, classes), path, name)
+        _write_terms(_write(gathered(blocks), path, name), path, name)
         _commit(spark, path, (now.seq + 1, name, level + 1, parts, None, docs, tokens, now.fold, now.k1, now.b, dict(now.frequencies)))
         return True
     return False
